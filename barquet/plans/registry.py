@@ -82,3 +82,151 @@ def d1_daily_report_dirty(spark: SparkSession, sf: str) -> DataFrame:
 def w2b_daily_report_start_close(spark: SparkSession, sf: str) -> DataFrame:
     """The early variant: close = last StartPrice of the day, no index, no date filter."""
     return reports.daily_report(fx.trades(spark, sf), arg_date=None, close_col="StartPrice", with_index=False)
+
+
+def _morning_sql(view: str, extra_where: str = "") -> str:
+    m = "(start_price + end_price) / 2"
+    return _w(view) + f""", c as (select * from {view} where {_NOT_NULL_BARS}),
+oc as (select ISIN, Date, arg_min(StartPrice, Time) as start_price, arg_max(EndPrice, Time) as end_price
+       from c group by ISIN, Date),
+w as (select ISIN, Date, min(MinPrice) as minimum_price, max(MaxPrice) as maximum_price,
+      cast(sum(TradedVolume) as bigint) as daily_traded_volume
+      from c where Time > '08:00' and Time < '12:00' group by ISIN, Date),
+morning as (select w.ISIN, w.Date, start_price, end_price, minimum_price, maximum_price, daily_traded_volume,
+      end_price * 19.08 as end_price_mx,
+      sqrt(((start_price - {m}) * (start_price - {m}) + (end_price - {m}) * (end_price - {m})) / 1)
+        as standard_deviation
+      from w join oc on w.ISIN = oc.ISIN and w.Date = oc.Date)"""
+
+
+@register("d2_morning_report", _morning_sql("trades") + " select * from morning")
+def d2_morning_report(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.morning_report(fx.trades(spark, sf))
+
+
+@register("d2_morning_report_wide", _morning_sql("trades_wide") + " select * from morning")
+def d2_morning_report_wide(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.morning_report(fx.trades_wide(spark, sf))
+
+
+@register("d2_morning_report_dirty", _morning_sql("trades_dirty") + " select * from morning")
+def d2_morning_report_dirty(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.morning_report(fx.trades_dirty(spark, sf))
+
+
+@register("a3_max_end_price", _morning_sql("trades") + " select max(end_price) as max_end_price from morning")
+def a3_max_end_price(spark: SparkSession, sf: str) -> DataFrame:
+    from barquet.operators.bars import global_max
+    return global_max(reports.morning_report(fx.trades(spark, sf)), "end_price", "max_end_price")
+
+
+_EXPLORE_SQL = """ select count(*) as n_rows, 8 as n_columns,
+  cast(count(distinct ISIN) + coalesce(max(cast(ISIN is null as int)), 0) as bigint) as n_securities,
+  (select count(*) from (select distinct ISIN, Date from {v} where ISIN is not null and Date is not null))
+    as n_groups
+  from {v}"""
+
+
+@register("d8_explore", _w("trades") + _EXPLORE_SQL.format(v="trades"))
+def d8_explore(spark: SparkSession, sf: str) -> DataFrame:
+    from barquet.operators.bars import explore
+    return explore(fx.trades(spark, sf))
+
+
+@register("d8_explore_dirty", _w("trades_dirty") + _EXPLORE_SQL.format(v="trades_dirty"))
+def d8_explore_dirty(spark: SparkSession, sf: str) -> DataFrame:
+    from barquet.operators.bars import explore
+    return explore(fx.trades_dirty(spark, sf))
+
+
+@register("w1_w2_attach_open_close", _w("trades") + """ select *,
+  first_value(StartPrice) over (partition by ISIN, Date order by Time
+    rows between unbounded preceding and unbounded following) as opening_price,
+  last_value(EndPrice) over (partition by ISIN, Date order by Time
+    rows between unbounded preceding and unbounded following) as closing_price
+  from trades""")
+def w1_w2_attach_open_close(spark: SparkSession, sf: str) -> DataFrame:
+    from barquet.operators.bars import attach_open_close
+    return attach_open_close(fx.trades(spark, sf))
+
+
+@register("w3_prev_close", _w("trades") + """ select ISIN, Date, arg_max(EndPrice, Time) as closing_price_eur,
+  lag(arg_max(EndPrice, Time)) over (partition by ISIN order by Date) as prev_closing_price
+  from trades group by ISIN, Date""")
+def w3_prev_close(spark: SparkSession, sf: str) -> DataFrame:
+    from barquet.operators.bars import daily_ohlcv
+    day = daily_ohlcv(fx.trades(spark, sf)).select("ISIN", "Date", "closing_price_eur")
+    return reports.previous_close(day)
+
+
+@register("p1_p2_clean_bars", _w("trades_dirty") + f""" select ISIN, Date, Time, EndPrice from trades_dirty
+  where {_NOT_NULL_BARS}""")
+def p1_p2_clean_bars(spark: SparkSession, sf: str) -> DataFrame:
+    from barquet.operators.bars import drop_missing, select_columns
+    return select_columns(drop_missing(fx.trades_dirty(spark, sf)), ["ISIN", "Date", "Time", "EndPrice"])
+
+
+@register("p3_key_equals", _w("trades") + " select * from trades where ISIN = 'click'")
+def p3_key_equals(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import functions as F
+    return fx.trades(spark, sf).filter(F.col("ISIN") == "click")
+
+
+@register("p4_key_in_list", _w("trades") + " select * from trades where ISIN in ('click', 'view', 'error')")
+def p4_key_in_list(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import functions as F
+    return fx.trades(spark, sf).filter(F.col("ISIN").isin("click", "view", "error"))
+
+
+@register("p5_morning_bars", _w("trades") + " select * from trades where Time > '08:00' and Time < '12:00'")
+def p5_morning_bars(spark: SparkSession, sf: str) -> DataFrame:
+    from barquet.functions.columns import time_between_exclusive
+    return fx.trades(spark, sf).filter(time_between_exclusive("Time"))
+
+
+@register("p6_after_open", _w("trades") + " select * from trades where Time > '08:00'")
+def p6_after_open(spark: SparkSession, sf: str) -> DataFrame:
+    from barquet.functions.columns import time_after
+    return fx.trades(spark, sf).filter(time_after("Time"))
+
+
+@register("p8_report_of_previous_day", _morning_sql("trades")
+          + f" select * from morning where Date = strftime(date '{RUN_DATE}' - interval 1 day, '%Y-%m-%d')")
+def p8_report_of_previous_day(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import functions as F
+    from barquet.functions.columns import previous_day
+    day = F.date_format(previous_day(F.lit(RUN_DATE)), "yyyy-MM-dd")
+    return reports.morning_report(fx.trades(spark, sf)).filter(F.col("Date") == day)
+
+
+@register("p9_report_date_range", _morning_sql("trades")
+          + " select * from morning where Date >= '2024-01-05' and Date <= '2024-01-12'")
+def p9_report_date_range(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import functions as F
+    return reports.morning_report(fx.trades(spark, sf)).filter(F.col("Date").between("2024-01-05", "2024-01-12"))
+
+
+@register("f6_next_days", _w("trades") + """, f as (select ISIN, min(Date) as d0 from trades group by ISIN),
+  g as (select ISIN, unnest(generate_series(cast(d0 as date), cast(d0 as date) + interval 2 day,
+    interval 1 day)) as d from f)
+  select ISIN, strftime(cast(d as date), '%Y-%m-%d') as Date from g""")
+def f6_next_days(spark: SparkSession, sf: str) -> DataFrame:
+    """Three consecutive dates from each security's first trading day."""
+    from pyspark.sql import functions as F
+    from barquet.functions.columns import date_sequence
+    first = fx.trades(spark, sf).groupBy("ISIN").agg(F.min("Date").alias("d0"))
+    days = first.select("ISIN", F.explode(date_sequence("d0", 3)).alias("d"))
+    return days.select("ISIN", F.date_format("d", "yyyy-MM-dd").alias("Date"))
+
+
+@register("f7_price_labels", _morning_sql("trades")
+          + " select ISIN, Date, printf('%.2f', round_even(end_price * 100, 0) / 100) as label from morning")
+def f7_price_labels(spark: SparkSession, sf: str) -> DataFrame:
+    from barquet.functions.columns import two_decimal_label
+    return reports.morning_report(fx.trades(spark, sf)).select("ISIN", "Date", two_decimal_label("end_price").alias("label"))
+
+
+@register("o4_first_ten_bars", _w("trades") + " select * from trades order by ISIN, Date, Time limit 10")
+def o4_first_ten_bars(spark: SparkSession, sf: str) -> DataFrame:
+    from barquet.operators.ordering import head
+    return head(fx.trades(spark, sf), ["ISIN", "Date", "Time"], 10)
