@@ -230,3 +230,220 @@ def f7_price_labels(spark: SparkSession, sf: str) -> DataFrame:
 def o4_first_ten_bars(spark: SparkSession, sf: str) -> DataFrame:
     from barquet.operators.ordering import head
     return head(fx.trades(spark, sf), ["ISIN", "Date", "Time"], 10)
+
+
+# --- series and models -------------------------------------------------------
+
+def _round(df: DataFrame, digits: dict[str, int]) -> DataFrame:
+    from barquet.functions.columns import round_half_even
+    from pyspark.sql import functions as F
+    return df.select(*[round_half_even(F.col(c), digits[c]).alias(c) if c in digits else F.col(c)
+                       for c in df.columns])
+
+
+def _re(x: str, d: int) -> str:
+    return f"round_even(({x}) * {10 ** d}.0, 0) / {10 ** d}.0"
+
+
+@register("w5_lead7_pairs", _morning_sql("trades") + """ select ISIN, Date, end_price,
+  lead(end_price, 7) over (partition by ISIN order by Date) as target from morning qualify target is not null""")
+def w5_lead7_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    from barquet.operators.series import lead_pairs
+    m = reports.morning_report(fx.trades(spark, sf)).select("ISIN", "Date", "end_price")
+    return lead_pairs(m, "ISIN", "Date", "end_price", 7)
+
+
+@register("w7_chrono_split", _w("closes") + """, n as (select series_id, count(*) as n,
+  cast(floor(count(*) * 0.8) as bigint) as cut from closes group by series_id)
+  select c.series_id, c.idx, c.Close, case when idx < cut then 'train' else 'test' end as split,
+    case when idx < cut then 0 else cut end as split_start,
+    case when idx < cut then cut else n - cut end as split_len
+  from closes c join n on c.series_id = n.series_id""")
+def w7_chrono_split(spark: SparkSession, sf: str) -> DataFrame:
+    from barquet.operators.series import chrono_split
+    return chrono_split(fx.closes(spark, sf), "series_id", "idx", 0.8)
+
+
+_SCALED = """, mm as (select series_id, min(Close) as scale_min,
+  coalesce(nullif(max(Close) - min(Close), 0), 1.0) as scale_range from closes group by series_id),
+  sc as (select c.series_id, c.idx, c.Close, (c.Close - scale_min) / scale_range as v, scale_min, scale_range
+  from closes c join mm on c.series_id = mm.series_id)"""
+
+
+@register("m2_minmax_scale", _w("closes") + _SCALED + """ select series_id, idx, Close, v as Close_scaled,
+  v * scale_range + scale_min as Close_restored from sc""")
+def m2_minmax_scale(spark: SparkSession, sf: str) -> DataFrame:
+    from barquet.operators.series import minmax_inverse, minmax_scale
+    s = minmax_scale(fx.closes(spark, sf), "series_id", "Close", name="Close_scaled")
+    return s.select("series_id", "idx", "Close", "Close_scaled", minmax_inverse("Close_scaled").alias("Close_restored"))
+
+
+_LAGS = ", ".join(f"lag(v, {k}) over w as f{10 - k}" for k in range(10, 0, -1))
+
+
+@register("w6_lag_windows", _w("closes") + _SCALED + f""", n as (select series_id, count(*) as n,
+  cast(floor(count(*) * 0.8) as bigint) as cut from closes group by series_id),
+  p as (select sc.*, case when idx < cut then 'train' else 'test' end as split,
+    case when idx < cut then 0 else cut end as st, case when idx < cut then cut else n - cut end as len
+    from sc join n on sc.series_id = n.series_id),
+  l as (select series_id, idx, split, st, len, v, {_LAGS} from p
+    window w as (partition by series_id, split order by idx))
+  select series_id, idx, split, {", ".join(f"f{i}" for i in range(10))}, v as target from l
+  where idx - st >= 10 and idx - st <= len - 2""")
+def w6_lag_windows(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import functions as F
+    from barquet.operators.series import lag_windows, minmax_scale
+    s = minmax_scale(fx.closes(spark, sf), "series_id", "Close", name="v")
+    w = lag_windows(s, "series_id", "idx", "v", time_step=10, frac=0.8)
+    return w.select("series_id", "idx", "split", *[F.col("features")[i].alias(f"f{i}") for i in range(10)], "target")
+
+
+@register("w8_last_ten", _w("closes") + """ select series_id, idx, Close from closes
+  qualify row_number() over (partition by series_id order by idx desc) <= 10""")
+def w8_last_ten(spark: SparkSession, sf: str) -> DataFrame:
+    from barquet.operators.ordering import last_k_per_key
+    return last_k_per_key(fx.closes(spark, sf), ["series_id"], "idx", 10)
+
+
+def _ols_sql(src: str, by: str | None) -> str:
+    g = f"{by}, " if by else ""
+    gb = f"group by {by}" if by else ""
+    return f""" select {g}
+  {_re("case when var_pop(start_price) = 0 then 0.0 else regr_slope(end_price, start_price) end", 6)} as slope,
+  {_re("case when var_pop(start_price) = 0 then avg(end_price) else regr_intercept(end_price, start_price) end", 6)}
+    as intercept,
+  {_re('''case when count(*) < 2 then null when var_pop(start_price) = 0 then
+      (case when var_pop(end_price) = 0 then 1.0 else 0.0 end) else regr_r2(end_price, start_price) end''', 6)} as r2,
+  cast(regr_count(end_price, start_price) as bigint) as n from {src} {gb}"""
+
+
+_M6 = {"slope": 6, "intercept": 6, "r2": 6}
+
+
+@register("m1_open_close_ols", _morning_sql("trades_wide") + _ols_sql("morning", "Date"))
+def m1_open_close_ols(spark: SparkSession, sf: str) -> DataFrame:
+    from barquet.operators.regression import ols_fit
+    m = reports.morning_report(fx.trades_wide(spark, sf))
+    return _round(ols_fit(m, "end_price", "start_price", by="Date"), _M6)
+
+
+@register("m1_fitted_values", _morning_sql("trades_wide") + """, f as (select Date,
+  case when var_pop(start_price) = 0 then 0.0 else regr_slope(end_price, start_price) end as s,
+  case when var_pop(start_price) = 0 then avg(end_price) else regr_intercept(end_price, start_price) end as i
+  from morning group by Date)
+  select m.ISIN, m.Date, m.start_price, m.end_price, """ + _re("s * m.start_price + i", 6) + """ as prediction
+  from morning m join f on m.Date = f.Date""")
+def m1_fitted_values(spark: SparkSession, sf: str) -> DataFrame:
+    from barquet.operators.regression import ols_fit, ols_predict
+    m = reports.morning_report(fx.trades_wide(spark, sf)).select("ISIN", "Date", "start_price", "end_price")
+    fit = ols_fit(m, "end_price", "start_price", by="Date")
+    return _round(ols_predict(m, fit, "start_price", by="Date"), {"prediction": 6})
+
+
+@register("d5_fit_open_close_day", _morning_sql("trades_wide")
+          + ", one as (select * from morning where Date = '2024-01-09')" + _ols_sql("one", None))
+def d5_fit_open_close_day(spark: SparkSession, sf: str) -> DataFrame:
+    from barquet.plans.models import fit_open_close
+    return _round(fit_open_close(reports.morning_report(fx.trades_wide(spark, sf)), "2024-01-09"), _M6)
+
+
+@register("d5_fit_open_close_range", _morning_sql("trades_wide")
+          + ", rng as (select * from morning where Date >= '2024-01-08' and Date <= '2024-01-10')"
+          + _ols_sql("rng", None))
+def d5_fit_open_close_range(spark: SparkSession, sf: str) -> DataFrame:
+    from barquet.plans.models import fit_open_close
+    return _round(fit_open_close(reports.morning_report(fx.trades_wide(spark, sf)), "2024-01-08", "2024-01-10"), _M6)
+
+
+_LINREG_SQL = _w("trades") + """, tw as (select * from trades where Date >= '{a}' and Date <= '{b}'),
+  g as (select ISIN, regr_slope(EndPrice, StartPrice) as slope, regr_intercept(EndPrice, StartPrice) as intercept,
+    corr(StartPrice, EndPrice) as r, cast(regr_count(EndPrice, StartPrice) as bigint) as n,
+    var_pop(StartPrice) as vx, var_pop(EndPrice) as vy, avg(StartPrice) as mx from tw group by ISIN),
+  lr as (select ISIN, slope, intercept, r, sqrt((1 - r * r) * vy / (vx * (n - 2))) as stderr,
+    sqrt((1 - r * r) * vy / (vx * (n - 2))) * sqrt(vx + mx * mx) as intercept_stderr, n from g)"""
+
+_LR_DIG = {"slope": 6, "intercept": 4, "r": 6, "stderr": 6, "intercept_stderr": 4}
+
+
+@register("m1b_linregress", _LINREG_SQL.format(a="2024-01-08", b="2024-01-10") + " select ISIN, "
+          + ", ".join(f"{_re(c, d)} as {c}" for c, d in _LR_DIG.items()) + ", n from lr")
+def m1b_linregress(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import functions as F
+    from barquet.operators.regression import linregress
+    t = fx.trades(spark, sf).filter(F.col("Date").between("2024-01-08", "2024-01-10"))
+    return _round(linregress(t, "EndPrice", "StartPrice", by="ISIN", p_value=False), _LR_DIG)
+
+
+@register("m1b_p_value")
+def m1b_p_value(spark: SparkSession, sf: str) -> DataFrame:
+    """Same fits with the two-sided p value of the slope (no SQL form for Student's t)."""
+    from pyspark.sql import functions as F
+    from barquet.operators.regression import linregress
+    t = fx.trades(spark, sf).filter(F.col("Date").between("2024-01-08", "2024-01-10"))
+    return linregress(t, "EndPrice", "StartPrice", by="ISIN", p_value=True)
+
+
+@register("m1c_next_days_forecast", _LINREG_SQL.format(a="2024-01-29", b="2024-01-31") + """,
+  days as (select ISIN, strftime(cast(unnest(generate_series(date '2024-01-29', date '2024-01-31',
+    interval 1 day)) as date), '%Y-%m-%d') as Date from lr),
+  firsts as (select ISIN, Date, arg_min(StartPrice, Time) as first_StartPrice from trades
+    where StartPrice is not null and Date >= '2024-01-29' and Date <= '2024-01-31' group by ISIN, Date)
+  select d.ISIN, d.Date, f.first_StartPrice,
+    """ + _re("lr.slope * f.first_StartPrice + lr.intercept", 6) + """ as predicted_EndPrice
+  from days d left join firsts f on d.ISIN = f.ISIN and d.Date = f.Date join lr on d.ISIN = lr.ISIN""")
+def m1c_next_days_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import functions as F
+    from barquet.operators.regression import linregress, predict_days_ahead
+    t = fx.trades(spark, sf)
+    win = t.filter(F.col("Date").between("2024-01-29", "2024-01-31"))
+    model = linregress(win, "EndPrice", "StartPrice", by="ISIN", p_value=False)
+    out = predict_days_ahead(t, model, "2024-01-29", 3, by="ISIN")
+    return _round(out.select("ISIN", "Date", "first_StartPrice", "predicted_EndPrice"), {"predicted_EndPrice": 6})
+
+
+_AR1 = """, l as (select series_id, idx, Close, lag(Close) over (partition by series_id order by idx) as y1
+  from closes),
+  f as (select series_id, regr_slope(Close, y1) as phi, regr_intercept(Close, y1) as c,
+    arg_max(Close, idx) as yn, cast(max(idx) as bigint) as last_idx from l group by series_id)"""
+
+
+@register("m6b_ar1_forecast", _w("closes") + _AR1 + """, s as (select f.*, unnest(generate_series(1, 100)) as step
+  from f)
+  select series_id, cast(step as bigint) as step, last_idx + step as idx,
+    case when abs(phi) < 1 then """ + _re("c / (1 - phi) + pow(phi, step) * (yn - c / (1 - phi))", 2)
+          + """ end as forecast from s""")
+def m6b_ar1_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    from barquet.operators.forecast import ar1_forecast
+    return _round(ar1_forecast(fx.closes(spark, sf), "series_id", "idx", "Close", steps=100), {"forecast": 2})
+
+
+@register("a7_a8_ar1_errors", _w("closes") + _AR1 + """, n as (select series_id, count(*) as n,
+  cast(floor(count(*) * 0.8) as bigint) as cut from closes group by series_id),
+  p as (select l.series_id, case when idx < cut then 'train' else 'test' end as split,
+    (Close - (c + phi * y1)) as d from l join f on l.series_id = f.series_id join n on l.series_id = n.series_id
+    where y1 is not null)
+  select series_id, split, """ + _re("sqrt(avg(d * d))", 2) + " as rmse, " + _re("avg(d * d)", 0)
+          + """ as mse from p group by series_id, split""")
+def a7_a8_ar1_errors(spark: SparkSession, sf: str) -> DataFrame:
+    from barquet.operators.forecast import ar1_fitted
+    from barquet.operators.metrics import errors_by
+    from barquet.operators.series import chrono_split
+    fitted = ar1_fitted(fx.closes(spark, sf), "series_id", "idx", "Close")
+    parts = chrono_split(fitted, "series_id", "idx", 0.8)
+    return _round(errors_by(parts, "Close", "prediction", ["series_id", "split"]), {"rmse": 2, "mse": 0})
+
+
+@register("m8_actual_and_forecast", _w("closes") + _AR1 + """, s as (select f.*, unnest(generate_series(1, 7))
+  as step from f),
+  fc as (select series_id, last_idx + step as idx, 'forecast' as kind,
+    case when abs(phi) < 1 then """ + _re("c / (1 - phi) + pow(phi, step) * (yn - c / (1 - phi))", 2)
+          + """ end as value from s),
+  u as (select series_id, cast(idx as bigint) as idx, 'actual' as kind, Close as value from closes
+    union all select * from fc)
+  select series_id, idx, kind, value, printf('%.2f', """ + _re("value", 2) + """) as label from u""")
+def m8_actual_and_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    from barquet.operators.charts import actual_and_forecast
+    from barquet.operators.forecast import ar1_forecast
+    c = fx.closes(spark, sf)
+    fc = _round(ar1_forecast(c, "series_id", "idx", "Close", steps=7), {"forecast": 2})
+    return actual_and_forecast(c, fc, "series_id", "idx", "Close", "forecast")
