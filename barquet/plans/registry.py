@@ -447,3 +447,64 @@ def m8_actual_and_forecast(spark: SparkSession, sf: str) -> DataFrame:
     c = fx.closes(spark, sf)
     fc = _round(ar1_forecast(c, "series_id", "idx", "Close", steps=7), {"forecast": 2})
     return actual_and_forecast(c, fc, "series_id", "idx", "Close", "forecast")
+
+
+@register("m6_arma11_forecast")
+def m6_arma11_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    """ARMA(1,1) forecasts, days = 7 (8 steps) per series of the smooth closes."""
+    from barquet.operators.forecast import arma11_forecast
+    return arma11_forecast(fx.closes_smooth(spark, sf), "series_id", "idx", "Close", days=7)
+
+
+@register("m7_one_class_flags")
+def m7_one_class_flags(spark: SparkSession, sf: str) -> DataFrame:
+    """Every close with its one-class score and anomaly flag (nu = 0.05)."""
+    from barquet.operators.anomaly import one_class_flags
+    return one_class_flags(fx.closes(spark, sf), "series_id", "Close", nu=0.05)
+
+
+@register("d6_analyze_series_chart")
+def d6_analyze_series_chart(spark: SparkSession, sf: str) -> DataFrame:
+    from barquet.plans.analytics import analyze_series
+    return analyze_series(fx.closes_smooth(spark, sf), days=5, nu=0.05)["chart"]
+
+
+@register("d6_analyze_series_anomalies")
+def d6_analyze_series_anomalies(spark: SparkSession, sf: str) -> DataFrame:
+    from barquet.plans.analytics import analyze_series
+    return analyze_series(fx.closes_smooth(spark, sf), days=5, nu=0.05)["anomalies"]
+
+
+@register("m3_multi_feature_ols")
+def m3_multi_feature_ols(spark: SparkSession, sf: str) -> DataFrame:
+    """end_price on start, minimum, maximum and volume of the morning report (MLlib, normal equations)."""
+    from barquet.operators.mlmodels import multi_feature_regression
+    m = reports.morning_report(fx.trades_wide(spark, sf))
+    _, summary, _ = multi_feature_regression(
+        m, "end_price", ["start_price", "minimum_price", "maximum_price", "daily_traded_volume"])
+    return summary
+
+
+@register("d7_lag_forecast")
+def d7_lag_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    """7-step lag-window forecast of every security's morning close (time_step 10)."""
+    from barquet.plans.analytics import report_lag_forecast
+    fc, _ = report_lag_forecast(reports.morning_report(fx.trades(spark, sf)), time_step=10, horizon=7)
+    return fc
+
+
+@register("d7_lag_forecast_errors")
+def d7_lag_forecast_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Train/test RMSE of the lag-window model on the smooth closes, per series."""
+    from barquet.operators.mlmodels import lag_forecast
+    _, err = lag_forecast(fx.closes_smooth(spark, sf), "series_id", "idx", "Close", 10, 7)
+    return err
+
+
+@register("m5_sigmoid_unit")
+def m5_sigmoid_unit(spark: SparkSession, sf: str) -> DataFrame:
+    """Scaled close 7 rows later from a one-unit logistic model, for each security's last 7 days."""
+    from barquet.operators.mlmodels import sigmoid_unit
+    m = reports.morning_report(fx.trades(spark, sf)).select("ISIN", "Date", "end_price")
+    _, pred = sigmoid_unit(m, "ISIN", "Date", "end_price", 7)
+    return pred
