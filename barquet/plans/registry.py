@@ -49,10 +49,12 @@ def _r2(x: str) -> str:
     return f"round_even(({x}) * 100, 0) / 100"
 
 
-def _daily_sql(view: str, close: str = "EndPrice", index: bool = True, arg_date: str | None = RUN_DATE) -> str:
+def _daily_sql(view: str, close: str = "EndPrice", index: bool = True, arg_date: str | None = RUN_DATE,
+               since: str | None = None) -> str:
     idx = 'row_number() over (order by ISIN, Date) - 1 as "index", ' if index else ""
     where = f"where Date >= '{arg_date}'" if arg_date else ""
-    return _w(view) + f""", c as (select * from {view} where {_NOT_NULL_BARS}),
+    extracted = f" and Date >= '{since}'" if since else ""
+    return _w(view) + f""", c as (select * from {view} where {_NOT_NULL_BARS}{extracted}),
 d as (select ISIN, Date, arg_min(StartPrice, Time) as o, arg_max({close}, Time) as cl,
       min(MinPrice) as mn, max(MaxPrice) as mx, cast(sum(TradedVolume) as bigint) as vol
       from c group by ISIN, Date),
@@ -508,3 +510,66 @@ def m5_sigmoid_unit(spark: SparkSession, sf: str) -> DataFrame:
     m = reports.morning_report(fx.trades(spark, sf)).select("ISIN", "Date", "end_price")
     _, pred = sigmoid_unit(m, "ISIN", "Date", "end_price", 7)
     return pred
+
+
+# --- files -------------------------------------------------------------------
+
+def _landing(spark: SparkSession, sf: str) -> str:
+    """The ``trades`` view written as a dated CSV tree in the shared scratch folder."""
+    from barquet.session import work_dir
+    from barquet.sources.files import write_dated_csv
+    return write_dated_csv(fx.trades(spark, sf), work_dir(spark, "landing"))
+
+
+_BAR_SELECT = ["ISIN", "Date", "Time", "StartPrice", "MaxPrice", "MinPrice", "EndPrice", "TradedVolume"]
+
+
+@register("s1_s3_extract_dated_csv", _w("trades") + " select * from trades where Date >= '2024-01-09'")
+def s1_s3_extract_dated_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """Days from run date - 1 on, read back from the dated CSV tree by header name."""
+    from barquet.sources.files import extract
+    return extract(spark, _landing(spark, sf), RUN_DATE, lookback_days=1).select(*_BAR_SELECT)
+
+
+@register("d3_d1_d4_daily_run", _daily_sql("trades", since="2024-01-09"))
+def d3_d1_d4_daily_run(spark: SparkSession, sf: str) -> DataFrame:
+    """Extract from the dated tree, build the daily report, store it, read the latest back."""
+    from barquet.plans.etl import run_daily
+    from barquet.session import work_dir
+    _, latest = run_daily(spark, _landing(spark, sf), work_dir(spark, "reports"), RUN_DATE,
+                          run_ts="20240110_180000")
+    return latest
+
+
+@register("s6_s8_latest_report", _daily_sql("trades"))
+def s6_s8_latest_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Two stored daily reports (an older run and the run date's); the latest one read back."""
+    from barquet.session import work_dir
+    from barquet.sources.files import latest_report, write_report
+    base = work_dir(spark, "reports")
+    bars = fx.trades(spark, sf)
+    write_report(reports.daily_report(bars, arg_date="2024-01-05"), base, "20240105_180000")
+    write_report(reports.daily_report(bars, arg_date=RUN_DATE), base, "20240110_180000")
+    return latest_report(spark, base)
+
+
+@register("s9_list_reports")
+def s9_list_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """Stamps of the stored reports (two runs of the daily report)."""
+    from barquet.session import work_dir
+    from barquet.sources.files import list_reports, write_report
+    base = work_dir(spark, "reports")
+    bars = fx.trades(spark, sf)
+    write_report(reports.daily_report(bars, arg_date="2024-01-05"), base, "20240105_180000")
+    write_report(reports.daily_report(bars, arg_date=RUN_DATE), base, "20240110_180000")
+    return list_reports(spark, base)
+
+
+@register("s10_csv_round_trip", _morning_sql("trades") + " select * from morning")
+def s10_csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """The morning report written as CSV (header, no index) and read back with its schema."""
+    from barquet.session import work_dir
+    from barquet.sources.files import write_report_csv
+    m = reports.morning_report(fx.trades(spark, sf))
+    path = write_report_csv(m, work_dir(spark, "csv"))
+    return spark.read.schema(m.schema).option("header", True).option("enforceSchema", False).csv(path)
