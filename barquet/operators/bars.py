@@ -3,9 +3,14 @@
 The reference attaches the first and last price of each (security, day) to
 every row with a sorted window and then dedupes with ``min`` inside a group
 by. Here the same values come out of one grouped aggregate with ``min_by`` /
-``max_by`` keyed on ``struct(Time, tiebreak)``: it has a partial (map-side)
-stage, so a security holding a third of all bars is pre-reduced in every
-scan task before the shuffle, and no task ever holds a whole group.
+``max_by``: it has a partial (map-side) stage, so a security holding a
+third of all bars is pre-reduced in every scan task before the shuffle, and
+no task ever holds a whole group.
+
+The order key is a ``long`` (seconds of the day, times 2^46, plus an
+optional integer tiebreak), not the ``HH:mm`` text or a struct: with only
+fixed-width values in the aggregation buffer Spark runs a hash aggregate;
+a text or struct key would force a sort of every input row on the map side.
 """
 
 from __future__ import annotations
@@ -43,8 +48,46 @@ def drop_missing(df: DataFrame, subset: Sequence[str] | None | object = _ALL) ->
     return df.na.drop("any", subset=list(subset))
 
 
+_TIEBREAK_BITS = 46
+
+
+def time_order_key(time_col: str = "Time", tiebreak: str | None = None) -> Column:
+    """``HH:mm`` or ``HH:mm:ss`` text (plus an optional tiebreak) as one ``long`` sort key.
+
+    Orders exactly as ``(Time, tiebreak)`` for valid times; the tiebreak must
+    be an integer in [0, 2^46). An unparsable time gives NULL (the row is
+    then not a first/last candidate).
+    """
+    parts = F.split(F.col(time_col), ":")
+    secs = (F.try_element_at(parts, F.lit(1)).try_cast("long") * 3600
+            + F.try_element_at(parts, F.lit(2)).try_cast("long") * 60
+            + F.coalesce(F.try_element_at(parts, F.lit(3)).try_cast("long"), F.lit(0)))
+    key = F.shiftleft(secs, _TIEBREAK_BITS)
+    return key + F.col(tiebreak).cast("long") if tiebreak else key
+
+
 def _order_key(time_col: str, tiebreak: str | None) -> Column:
-    return F.struct(F.col(time_col), F.col(tiebreak)) if tiebreak else F.struct(F.col(time_col))
+    return time_order_key(time_col, tiebreak)
+
+
+_ORD = "_bq_ord"
+
+
+def with_order_key(bars: DataFrame, time_col: str = "Time", tiebreak: str | None = None) -> DataFrame:
+    """Add the ``long`` time order key once per row (shared by first/last aggregates)."""
+    return bars.withColumn(_ORD, time_order_key(time_col, tiebreak))
+
+
+def first_by_key(value: str, key: str = _ORD) -> Column:
+    """Aggregate: the non-missing ``value`` with the smallest order key."""
+    v = F.col(value)
+    return F.min_by(v, F.when(v.isNotNull(), F.col(key)))
+
+
+def last_by_key(value: str, key: str = _ORD) -> Column:
+    """Aggregate: the non-missing ``value`` with the largest order key."""
+    v = F.col(value)
+    return F.max_by(v, F.when(v.isNotNull(), F.col(key)))
 
 
 def first_by_time(value: str, time_col: str = "Time", tiebreak: str | None = None) -> Column:
@@ -66,9 +109,9 @@ def daily_ohlcv(bars: DataFrame, open_col: str = "StartPrice", close_col: str =
     ``close_col="StartPrice"`` gives the early variant whose close is the
     last start price of the day.
     """
-    return bars.groupBy(*KEYS).agg(
-        first_by_time(open_col, tiebreak=tiebreak).alias("opening_price_eur"),
-        last_by_time(close_col, tiebreak=tiebreak).alias("closing_price_eur"),
+    return with_order_key(bars, tiebreak=tiebreak).groupBy(*KEYS).agg(
+        first_by_key(open_col).alias("opening_price_eur"),
+        last_by_key(close_col).alias("closing_price_eur"),
         F.min("MinPrice").alias("minimum_price_eur"),
         F.max("MaxPrice").alias("maximum_price_eur"),
         F.sum("TradedVolume").cast("bigint").alias("daily_traded_volume"),
@@ -84,9 +127,9 @@ def morning_ohlcv(bars: DataFrame, lo: str = MORNING_OPEN, hi: str = MORNING_CLO
     window has no row.
     """
     inside = time_between_exclusive("Time", lo, hi)
-    return (bars.groupBy(*KEYS).agg(
-        first_by_time("StartPrice", tiebreak=tiebreak).alias("start_price"),
-        last_by_time("EndPrice", tiebreak=tiebreak).alias("end_price"),
+    return (with_order_key(bars, tiebreak=tiebreak).groupBy(*KEYS).agg(
+        first_by_key("StartPrice").alias("start_price"),
+        last_by_key("EndPrice").alias("end_price"),
         F.min(F.when(inside, F.col("MinPrice"))).alias("minimum_price"),
         F.max(F.when(inside, F.col("MaxPrice"))).alias("maximum_price"),
         F.sum(F.when(inside, F.col("TradedVolume"))).cast("bigint").alias("daily_traded_volume"),
@@ -105,8 +148,8 @@ def attach_open_close(bars: DataFrame, open_col: str = "StartPrice", close_col:
     and the join lets AQE broadcast it when its measured size is small or
     split a hot key's partition (skew join) when it is not.
     """
-    day = bars.groupBy(*KEYS).agg(first_by_time(open_col, tiebreak=tiebreak).alias(open_name),
-                                  last_by_time(close_col, tiebreak=tiebreak).alias(close_name))
+    day = with_order_key(bars, tiebreak=tiebreak).groupBy(*KEYS).agg(
+        first_by_key(open_col).alias(open_name), last_by_key(close_col).alias(close_name))
     return bars.join(day, on=KEYS, how="left")
 
 
