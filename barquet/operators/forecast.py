@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from barquet.operators.series import DEFAULT_BLOCK, with_shifts
+from barquet.session import materialize
 
 
 def _keys(key: str | Sequence[str]) -> list[str]:
@@ -30,10 +31,11 @@ def _keys(key: str | Sequence[str]) -> list[str]:
 
 
 def ar1_fit(series: DataFrame, key: str | Sequence[str], idx: str, value: str,
-            block: int = DEFAULT_BLOCK) -> DataFrame:
+            block: int = DEFAULT_BLOCK, lagged: DataFrame | None = None) -> DataFrame:
     """AR(1) with constant per key: ``phi``, ``c``, last value, last position, n."""
     keys = _keys(key)
-    lagged = with_shifts(series, keys, idx, value, lags=[1], block=block, lag_name="_bq_y1")
+    if lagged is None:
+        lagged = with_shifts(series, keys, idx, value, lags=[1], block=block, lag_name="_bq_y1")
     y, y1 = F.col(value), F.col("_bq_y1")
     return lagged.groupBy(*keys).agg(
         F.regr_slope(y, y1).alias("phi"), F.regr_intercept(y, y1).alias("c"),
@@ -62,8 +64,8 @@ def ar1_fitted(series: DataFrame, key: str | Sequence[str], idx: str, value: str
                block: int = DEFAULT_BLOCK, name: str = "prediction") -> DataFrame:
     """One-step in-sample predictions ``c + phi * y_(t-1)`` (first row of each key has none)."""
     keys = _keys(key)
-    fit = ar1_fit(series, keys, idx, value, block).select(*keys, "phi", "c")
-    lagged = with_shifts(series, keys, idx, value, lags=[1], block=block, lag_name="_bq_y1")
+    lagged = materialize(with_shifts(series, keys, idx, value, lags=[1], block=block, lag_name="_bq_y1"))
+    fit = ar1_fit(series, keys, idx, value, block, lagged=lagged).select(*keys, "phi", "c")
     return (lagged.join(fit, on=keys, how="left")
             .withColumn(name, F.col("c") + F.col("phi") * F.col("_bq_y1"))
             .drop("_bq_y1", "phi", "c"))
@@ -131,8 +133,10 @@ def arma11_fit(series: DataFrame, key: str | Sequence[str], idx: str, value: str
     stats = series.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"),
                                       F.max(idx).cast("long").alias("last_idx"))
     centred = series.join(stats.select(*keys, "mean"), on=keys).withColumn("_bq_y", F.col(value) - F.col("mean"))
-    lagged = with_shifts(centred, keys, idx, "_bq_y", lags=list(range(1, p + 2)), block=block,
-                         lag_name="_bq_y{k}")
+    # the lag table feeds three aggregates: write it once
+    lagged = materialize(with_shifts(centred, keys, idx, "_bq_y", lags=list(range(1, p + 2)), block=block,
+                                     lag_name="_bq_y{k}"))
+    stats = materialize(stats)
     y = F.col("_bq_y")
     lag = [F.col(f"_bq_y{k}") for k in range(1, p + 2)]
 

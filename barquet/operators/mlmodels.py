@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barquet.operators.metrics import errors_by
+from barquet.session import materialize
 from barquet.operators.series import lag_windows, lead_pairs, minmax_fit, minmax_inverse, minmax_scale
 
 
@@ -40,7 +41,7 @@ def multi_feature_regression(df: DataFrame, label: str, features: Sequence[str],
     """
     rows = df.na.drop(subset=[label, *features])
     va = VectorAssembler(inputCols=list(features), outputCol="_bq_x")
-    data = va.transform(rows)
+    data = materialize(va.transform(rows))
     model = _regressor(kind, "_bq_x", label).fit(data)
     pred = model.transform(data).drop("_bq_x")
     err = errors_by(pred, label, "prediction")
@@ -82,7 +83,10 @@ def lag_forecast(series: DataFrame, key: str | Sequence[str], idx: str, value: s
     scaled = minmax_scale(series, keys, value, name="_bq_v", fit=fit)
     windows = lag_windows(scaled, keys, idx, "_bq_v", time_step=time_step, frac=frac,
                           features="_bq_f", target="_bq_t")
-    windows = windows.withColumn("_bq_x", array_to_vector("_bq_f"))
+    # The solver makes several passes over its input: write the windows once
+    # (reliable checkpoint in the shared folder) instead of recomputing the
+    # scans, aggregates and windows behind them on every pass.
+    windows = materialize(windows.withColumn("_bq_x", array_to_vector("_bq_f")))
     model = _regressor(kind, "_bq_x", "_bq_t").fit(windows.filter(F.col("split") == "train"))
 
     pred = model.transform(windows).join(fit, on=keys)
@@ -128,6 +132,7 @@ def sigmoid_unit(series: DataFrame, key: str | Sequence[str], order: str, value:
     data = (minmax_scale(pairs, keys, value, name="_bq_xs", fit=xfit).join(yfit, on=keys)
             .withColumn("_bq_ys", (F.col("_bq_y") - F.col("y_min")) / F.col("y_range"))
             .withColumn("_bq_x", array_to_vector(F.array("_bq_xs"))))
+    data = materialize(data)  # the GLM solver iterates over its input
     glm = GeneralizedLinearRegression(family="binomial", link="logit", fitIntercept=False, maxIter=max_iter,
                                       featuresCol="_bq_x", labelCol="_bq_ys")
     model = glm.fit(data)

@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barquet.session import num_partitions, work_dir
+from barquet.session import materialize, num_partitions
 
 _POS_BITS = 33
 
@@ -41,8 +41,7 @@ def with_dense_index(df: DataFrame, order_cols: Sequence[str | Column], name: st
     """
     n = partitions or num_partitions(df.sparkSession)
     order = _cols(order_cols)
-    work_dir(df.sparkSession)  # makes sure a checkpoint directory is set
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).checkpoint(eager=True)
+    ranged = materialize(df.repartitionByRange(n, *order).sortWithinPartitions(*order))
     mid = F.monotonically_increasing_id()
     tagged = ranged.withColumn("_bq_mid", mid)
     pid = F.shiftright(F.col("_bq_mid"), _POS_BITS)

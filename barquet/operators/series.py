@@ -49,8 +49,11 @@ def with_shifts(df: DataFrame, key: str | Sequence[str], idx: str, value: str,
         copies.append(F.struct((blk - 1).alias("b"), F.lit(True).alias("halo"),
                                (off < F.lit(max_lead)).alias("keep")))
     exploded = df.withColumn("_bq_c", F.explode(F.filter(F.array(*copies), lambda s: s["keep"])))
+    # Explicit exchange on (key, block): an input already hash-partitioned on
+    # the key alone would satisfy the window's distribution and keep a hot
+    # series in one task.
     exploded = exploded.withColumn("_bq_blk", F.col("_bq_c.b")).withColumn("_bq_halo", F.col("_bq_c.halo")) \
-                       .drop("_bq_c")
+                       .drop("_bq_c").repartition(*keys, "_bq_blk")
     w = Window.partitionBy(*keys, "_bq_blk").orderBy(F.col(idx))
     new = [F.lag(value, k).over(w).alias(lag_name.format(value=value, k=k)) for k in lags]
     new += [F.lead(value, k).over(w).alias(lead_name.format(value=value, k=k)) for k in leads]

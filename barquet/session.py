@@ -65,3 +65,21 @@ def work_dir(spark: SparkSession, *parts: str) -> str:
 def num_partitions(spark: SparkSession) -> int:
     """The session's shuffle partition count (used for explicit range splits)."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def materialize(df):
+    """Write ``df`` once to the shared checkpoint folder and return a DataFrame over that copy.
+
+    Used where a reduced table is read several times (solver passes,
+    several aggregates over the same lags) or must not be recomputed (a
+    sampled range split). The copy survives executor loss and cuts the
+    lineage. The input is persisted for the duration of the write so the
+    checkpoint job does not recompute it, then released.
+    """
+    from pyspark import StorageLevel
+    work_dir(df.sparkSession)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return held.checkpoint(eager=True)
+    finally:
+        held.unpersist()
