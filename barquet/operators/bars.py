@@ -103,13 +103,14 @@ def last_by_time(value: str, time_col: str = "Time", tiebreak: str | None = None
 
 
 def daily_ohlcv(bars: DataFrame, open_col: str = "StartPrice", close_col: str = "EndPrice",
-                tiebreak: str | None = None) -> DataFrame:
+                tiebreak: str | None = None, extra_keys: Sequence[str] = ()) -> DataFrame:
     """One row per (ISIN, Date): open, close, low, high, volume (A1).
 
     ``close_col="StartPrice"`` gives the early variant whose close is the
-    last start price of the day.
+    last start price of the day. ``extra_keys`` are grouped on as well (a
+    column determined by the day, such as a watermarked event time).
     """
-    return with_order_key(bars, tiebreak=tiebreak).groupBy(*KEYS).agg(
+    return with_order_key(bars, tiebreak=tiebreak).groupBy(*KEYS, *extra_keys).agg(
         first_by_key(open_col).alias("opening_price_eur"),
         last_by_key(close_col).alias("closing_price_eur"),
         F.min("MinPrice").alias("minimum_price_eur"),

@@ -33,14 +33,19 @@ def _cols(cols: Sequence[str | Column]) -> list[Column]:
 
 
 def with_dense_index(df: DataFrame, order_cols: Sequence[str | Column], name: str = "index",
-                     partitions: int | None = None, first: bool = True) -> DataFrame:
+                     partitions: int | None = None, first: bool = True,
+                     partition_cols: Sequence[str] = ()) -> DataFrame:
     """Add ``name`` = 0..n-1 in ``order_cols`` order.
 
     The order should be unique (ties get an arbitrary but consistent order).
-    The result comes out range-partitioned and sorted on ``order_cols``.
+    With ``partition_cols`` the index restarts at 0 for every key: the global
+    index over (keys, order) minus each key's smallest index, taken from a
+    one-row-per-key aggregate, so a key spanning many partitions is still
+    numbered by many tasks.
     """
     n = partitions or num_partitions(df.sparkSession)
-    order = _cols(order_cols)
+    keys = list(partition_cols)
+    order = _cols(keys) + _cols(order_cols)
     ranged = materialize(df.repartitionByRange(n, *order).sortWithinPartitions(*order))
     mid = F.monotonically_increasing_id()
     tagged = ranged.withColumn("_bq_mid", mid)
@@ -55,6 +60,9 @@ def with_dense_index(df: DataFrame, order_cols: Sequence[str | Column], name: st
            .join(F.broadcast(offsets), on="_bq_pid", how="left")
            .withColumn(name, (F.col("_bq_off") + pos).cast("bigint"))
            .drop("_bq_pid", "_bq_off", "_bq_mid"))
+    if keys:
+        base = out.groupBy(*keys).agg(F.min(name).alias("_bq_base"))
+        out = out.join(base, on=keys).withColumn(name, F.col(name) - F.col("_bq_base")).drop("_bq_base")
     cols = [c for c in out.columns if c != name]
     ordered = [name] + cols if first else cols + [name]
     return out.select(*[F.col(f"`{c}`") for c in ordered])

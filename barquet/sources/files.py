@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from barquet.sources.schemas import BAR_SCHEMA
+from barquet.operators.ordering import with_dense_index
+from barquet.sources.schemas import BAR_SCHEMA, CLOSE_FILE_SCHEMA
 
 _DAY = re.compile(r"^\d{4}-\d{2}-\d{2}$")
 _TS_DIR = re.compile(r"report_ts=([^/]+)")
@@ -134,6 +135,51 @@ def read_csv_by_name(spark: SparkSession, paths: Sequence[str] | str, schema: St
     return data.select(*out)
 
 
+def list_files(spark: SparkSession, paths: Sequence[str] | str) -> list[str]:
+    """Data files under the given paths, sorted (hidden and marker files excluded)."""
+    return sorted(spark.read.format("text").load(list(paths) if not isinstance(paths, str) else paths).inputFiles())
+
+
+def sample_header(spark: SparkSession, paths: Sequence[str] | str, position: int = 0) -> list[str]:
+    """Column names of the file at ``position`` of the sorted listing."""
+    files = list_files(spark, paths)
+    if not files:
+        raise FileNotFoundError(f"no files under {paths}")
+    return spark.read.option("header", True).csv(files[position]).columns
+
+
+def check_header(spark: SparkSession, paths: Sequence[str] | str, schema: StructType = BAR_SCHEMA,
+                 position: int = 0) -> list[str]:
+    """Sample one file's header and fail if a declared column is missing from it."""
+    cols = sample_header(spark, paths, position)
+    missing = [f.name for f in schema.fields if f.name not in cols]
+    if missing:
+        raise ValueError(f"columns {missing} missing from the header {cols}")
+    return cols
+
+
+def read_close_series(spark: SparkSession, paths: Sequence[str] | str, value: str = "Close",
+                      series_col: str = "series_id") -> DataFrame:
+    """One-column close files as ``(series_id, idx, Close)``.
+
+    ``series_id`` is the file name without extension; ``idx`` is the row's
+    position in its file, made explicit at ingest: file splits are ordered by
+    their offset and rows inside a split by ``monotonically_increasing_id``,
+    then numbered per file by the distributed dense index. A UTF-8 byte
+    order mark before the header is dropped by the CSV reader.
+    """
+    schema = StructType([StructField(value, CLOSE_FILE_SCHEMA.fields[0].dataType)]) \
+        if value != "Close" else CLOSE_FILE_SCHEMA
+    raw = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
+           .csv(list(paths) if not isinstance(paths, str) else paths)
+           .select(F.regexp_extract(F.url_decode(F.col("_metadata.file_name")), r"^(.*?)(\.[^.]*)?$", 1)
+                   .alias(series_col),
+                   F.col("_metadata.file_block_start").alias("_bq_start"),
+                   F.monotonically_increasing_id().alias("_bq_pos"), value))
+    indexed = with_dense_index(raw, ["_bq_start", "_bq_pos"], name="idx", partition_cols=[series_col])
+    return indexed.select(series_col, F.col("idx").cast("int").alias("idx"), value)
+
+
 def extract(spark: SparkSession, base: str, arg_date: str, lookback_days: int = 1,
             schema: StructType = BAR_SCHEMA, by_name: bool = True) -> DataFrame:
     """Bars of every day from ``arg_date - lookback_days`` on (D3).

@@ -70,3 +70,30 @@ def test_dated_tree_round_trip_and_latest_report(spark):
     assert list_reports(spark, f"{root}/reports").count() == 2
     plan = latest_report(spark, f"{root}/reports")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "20230328_000509" in plan
+
+
+def test_close_series_file_order_and_bom(spark):
+    base = tempfile.mkdtemp(prefix="bq-close-")
+    vals_a = [11.6, 12.0, 11.9, 13.25, 12.5]
+    with open(f"{base}/Some Stock.csv", "w", encoding="utf-8-sig") as f:
+        f.write("Close\n" + "\n".join(str(v) for v in vals_a) + "\n")
+    with open(f"{base}/Other.csv", "w", encoding="utf-8-sig") as f:
+        f.write("Close\n3.0\nNA\n1.0\n")
+    from barquet.sources.files import read_close_series, sample_header
+    rows = read_close_series(spark, base).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r.series_id, {})[r.idx] = r.Close
+    assert got["Some Stock"] == dict(enumerate(vals_a))
+    assert got["Other"] == {0: 3.0, 1: None, 2: 1.0}
+    assert sample_header(spark, base) == ["Close"]
+
+
+def test_dense_index_per_key(spark):
+    from barquet.operators.ordering import with_dense_index
+    df = spark.range(0, 500).selectExpr("id % 3 as k", "id")
+    out = with_dense_index(df, ["id"], name="i", partition_cols=["k"], partitions=7).collect()
+    for k in range(3):
+        ids = sorted((r.i, r.id) for r in out if r.k == k)
+        assert [i for i, _ in ids] == list(range(len(ids)))
+        assert [x for _, x in ids] == sorted(x for _, x in ids)
