@@ -67,8 +67,8 @@ def linregress(df: DataFrame, y: str, x: str, by: str | Sequence[str] | None = N
                p_value: bool = True) -> DataFrame:
     """slope, intercept, r, stderr (of the slope), intercept_stderr, n and the two-sided p value.
 
-    The p value tests slope = 0 with Student's t on n - 2 degrees of
-    freedom; it is computed on the one-row-per-group result by a vectorised
+    ``r`` is clamped to [-1, 1] against rounding. The p value tests slope = 0
+    with Student's t on n - 2 degrees of freedom; it is computed on the one-row-per-group result by a vectorised
     pandas function.
     """
     keys = _keys(by)
@@ -76,7 +76,8 @@ def linregress(df: DataFrame, y: str, x: str, by: str | Sequence[str] | None = N
     pair = xc.isNotNull() & yc.isNotNull()
     xs, ys = F.when(pair, xc), F.when(pair, yc)
     agg = [F.regr_slope(yc, xc).alias("slope"), F.regr_intercept(yc, xc).alias("intercept"),
-           F.corr(xs, ys).alias("r"), F.regr_count(yc, xc).cast("long").alias("n"),
+           F.least(F.greatest(F.corr(xs, ys), F.lit(-1.0)), F.lit(1.0)).alias("r"),
+           F.regr_count(yc, xc).cast("long").alias("n"),
            F.var_pop(xs).alias("_vx"), F.var_pop(ys).alias("_vy"), F.avg(xs).alias("_mx")]
     g = df.groupBy(*keys).agg(*agg) if keys else df.agg(*agg)
     dof = F.col("n") - 2

@@ -359,7 +359,8 @@ def d5_fit_open_close_range(spark: SparkSession, sf: str) -> DataFrame:
 
 _LINREG_SQL = _w("trades") + """, tw as (select * from trades where Date >= '{a}' and Date <= '{b}'),
   g as (select ISIN, regr_slope(EndPrice, StartPrice) as slope, regr_intercept(EndPrice, StartPrice) as intercept,
-    corr(StartPrice, EndPrice) as r, cast(regr_count(EndPrice, StartPrice) as bigint) as n,
+    least(greatest(corr(StartPrice, EndPrice), -1.0), 1.0) as r,
+    cast(regr_count(EndPrice, StartPrice) as bigint) as n,
     var_pop(StartPrice) as vx, var_pop(EndPrice) as vy, avg(StartPrice) as mx from tw group by ISIN),
   lr as (select ISIN, slope, intercept, r, sqrt((1 - r * r) * vy / (vx * (n - 2))) as stderr,
     sqrt((1 - r * r) * vy / (vx * (n - 2))) * sqrt(vx + mx * mx) as intercept_stderr, n from g)"""
