@@ -120,7 +120,7 @@ def daily_ohlcv(bars: DataFrame, open_col: str = "StartPrice", close_col: str =
 
 
 def morning_ohlcv(bars: DataFrame, lo: str = MORNING_OPEN, hi: str = MORNING_CLOSE,
-                  tiebreak: str | None = None) -> DataFrame:
+                  tiebreak: str | None = None, extra_keys: Sequence[str] = ()) -> DataFrame:
     """Morning aggregate (A2) in one pass.
 
     Open and close come from the whole day; low, high and volume only from
@@ -128,7 +128,7 @@ def morning_ohlcv(bars: DataFrame, lo: str = MORNING_OPEN, hi: str = MORNING_CLO
     window has no row.
     """
     inside = time_between_exclusive("Time", lo, hi)
-    return (with_order_key(bars, tiebreak=tiebreak).groupBy(*KEYS).agg(
+    return (with_order_key(bars, tiebreak=tiebreak).groupBy(*KEYS, *extra_keys).agg(
         first_by_key("StartPrice").alias("start_price"),
         last_by_key("EndPrice").alias("end_price"),
         F.min(F.when(inside, F.col("MinPrice"))).alias("minimum_price"),

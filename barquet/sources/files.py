@@ -5,9 +5,11 @@ Input layout: one directory per day named ``YYYY-MM-DD`` (not Hive
 per run under ``<base>/report_ts=<yyyyMMdd_HHmmss>/`` so the run stamp is a
 partition column and picking the latest report is a partition filter.
 
-Listing uses Spark's own file index (``DataFrame.inputFiles``), which works
-on any Hadoop-compatible store and lists in parallel for many paths; only
-file names reach the driver, never rows.
+Day and report selection lists only the first level of the tree (one
+Hadoop ``FileSystem.listStatus`` call, so the cost follows the number of
+days or reports, not files); the files inside the chosen directories are
+then listed by Spark's own file index when the read is planned. Only names
+reach the driver, never rows.
 """
 
 from __future__ import annotations
@@ -24,7 +26,6 @@ from barquet.operators.ordering import with_dense_index
 from barquet.sources.schemas import BAR_SCHEMA, CLOSE_FILE_SCHEMA
 
 _DAY = re.compile(r"^\d{4}-\d{2}-\d{2}$")
-_TS_DIR = re.compile(r"report_ts=([^/]+)")
 _PY_TS = "%Y%m%d_%H%M%S"  # the yyyyMMdd_HHmmss report stamp, in Python's notation
 
 
@@ -54,23 +55,35 @@ def write_dated_csv(bars: DataFrame, base: str, date_col: str = "Date") -> str:
     return base
 
 
+def _list_dirs(spark: SparkSession, base: str) -> list[str]:
+    """Names of the first-level directories under ``base`` (hidden ``_``/``.`` names skipped).
+
+    One listing call of the base directory: metadata only, and only as many
+    entries as there are days (or reports), not files.
+    """
+    fs, root = _hadoop_fs(spark, base)
+    if not fs.exists(root):
+        return []
+    names = []
+    for st in fs.listStatus(root):
+        name = st.getPath().getName()
+        if st.isDirectory() and not name.startswith(("_", ".")):
+            names.append(name)
+    return names
+
+
 def list_day_dirs(spark: SparkSession, base: str) -> list[tuple[dt.date, str]]:
     """Day directories under ``base`` with their dates, sorted by date.
 
     A first-level directory whose name is not a ``yyyy-MM-dd`` date raises,
     as the reference's key parsing does.
     """
-    files = spark.read.format("text").load(f"{base.rstrip('/')}/*").inputFiles()
-    days: dict[str, dt.date] = {}
-    root = base.rstrip("/").split("://", 1)[-1]
-    for f in files:
-        rel = f.split("://", 1)[-1]
-        rel = rel[rel.index(root) + len(root):].lstrip("/") if root in rel else rel
-        first = rel.split("/", 1)[0]
-        if not _DAY.match(first):
-            raise ValueError(f"object key does not start with a yyyy-MM-dd day: {rel!r}")
-        days[first] = dt.datetime.strptime(first, "%Y-%m-%d").date()
-    return sorted(((d, f"{base.rstrip('/')}/{name}") for name, d in days.items()), key=lambda t: t[0])
+    days = []
+    for name in _list_dirs(spark, base):
+        if not _DAY.match(name):
+            raise ValueError(f"object key does not start with a yyyy-MM-dd day: {name!r}")
+        days.append((dt.datetime.strptime(name, "%Y-%m-%d").date(), f"{base.rstrip('/')}/{name}"))
+    return sorted(days, key=lambda t: t[0])
 
 
 def day_paths_since(spark: SparkSession, base: str, cutoff: dt.date | str) -> list[str]:
@@ -100,7 +113,7 @@ def read_csv_strict(spark: SparkSession, paths: Sequence[str] | str, schema: Str
 
 
 def read_csv_by_name(spark: SparkSession, paths: Sequence[str] | str, schema: StructType = BAR_SCHEMA,
-                     max_columns: int = 64) -> DataFrame:
+                     max_columns: int = 32) -> DataFrame:
     """Read CSV files matching columns by header name, per file.
 
     One scan: every line is read as up to ``max_columns`` text cells with its
@@ -226,9 +239,8 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
 
 
 def report_stamps(spark: SparkSession, base: str) -> list[str]:
-    """Stamps of the stored reports, from the file listing."""
-    files = spark.read.parquet(base).inputFiles()
-    return sorted({m.group(1) for f in files for m in [_TS_DIR.search(f)] if m})
+    """Stamps of the stored reports, from one listing of the report folder."""
+    return sorted(n[len("report_ts="):] for n in _list_dirs(spark, base) if n.startswith("report_ts="))
 
 
 def list_reports(spark: SparkSession, base: str) -> DataFrame:

@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from barquet.functions.columns import pct_change, round_numeric_columns
-from barquet.operators.bars import daily_ohlcv, drop_missing
+from barquet.functions.columns import (EUR_TO_MXN, MORNING_CLOSE, MORNING_OPEN, convert_currency, pct_change,
+                                       round_numeric_columns, row_stddev)
+from barquet.operators.bars import daily_ohlcv, drop_missing, morning_ohlcv
 from barquet.plans.reports import CHANGE, previous_close
 from barquet.session import materialize
 from barquet.sources.schemas import BAR_SCHEMA
@@ -41,6 +42,8 @@ KEYS = ["ISIN", "Date"]
 # stays text (partition discovery would turn it into a date).
 DAILY_TABLE_DDL = ("ISIN string, opening_price_eur double, closing_price_eur double, minimum_price_eur double, "
                    "maximum_price_eur double, daily_traded_volume bigint, Date string")
+MORNING_TABLE_DDL = ("ISIN string, start_price double, end_price double, minimum_price double, "
+                     "maximum_price double, daily_traded_volume bigint, Date string")
 
 
 def _table_exists(spark: SparkSession, path: str) -> bool:
@@ -50,14 +53,14 @@ def _table_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p) and fs.exists(jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS"))
 
 
-def upsert_days(batch: DataFrame, table_path: str) -> None:
+def upsert_days(batch: DataFrame, table_path: str, ddl: str = DAILY_TABLE_DDL) -> None:
     """Replace the rows of ``batch``'s (ISIN, Date) keys in the day-partitioned table."""
     spark = batch.sparkSession
     dates = [r.Date for r in batch.select("Date").distinct().collect()]  # days touched: a short list
     if not dates:
         return
     if _table_exists(spark, table_path):
-        kept = (spark.read.schema(DAILY_TABLE_DDL).parquet(table_path).filter(F.col("Date").isin(dates))
+        kept = (spark.read.schema(ddl).parquet(table_path).filter(F.col("Date").isin(dates))
                 .join(batch.select(*KEYS), on=KEYS, how="left_anti"))
         merged = kept.unionByName(batch.select(*kept.columns))
         # the touched partitions are read and rewritten: write them from a copy
@@ -68,15 +71,9 @@ def upsert_days(batch: DataFrame, table_path: str) -> None:
      .partitionBy("Date").parquet(table_path))
 
 
-def start_daily_aggregation(spark: SparkSession, source_base: str, table_path: str, checkpoint_location: str,
-                            schema: StructType = BAR_SCHEMA, late_days: int | None = None,
-                            available_now: bool = True, processing_time: str | None = None) -> StreamingQuery:
-    """Start the incremental bars -> daily OHLCV job; returns the running query.
-
-    ``available_now`` processes everything present and stops (the scheduled
-    daily run); otherwise ``processing_time`` (e.g. ``"10 minutes"``) keeps
-    it running.
-    """
+def _start(spark: SparkSession, source_base: str, table_path: str, checkpoint_location: str, schema: StructType,
+           late_days: int | None, available_now: bool, processing_time: str | None, aggregate, ddl: str
+           ) -> StreamingQuery:
     bars = (spark.readStream.schema(schema).option("header", True).option("enforceSchema", False)
             .csv(os.path.join(source_base.rstrip("/"), "*")))
     bars = drop_missing(bars)
@@ -85,10 +82,10 @@ def start_daily_aggregation(spark: SparkSession, source_base: str, table_path: s
         # the event day is a grouping key, so the watermark can drop finished days from the state
         bars = bars.withColumn("_bq_day", F.to_timestamp("Date")).withWatermark("_bq_day", f"{late_days} days")
         extra = ["_bq_day"]
-    day = daily_ohlcv(bars, extra_keys=extra)
+    day = aggregate(bars, extra)
 
     def write(batch: DataFrame, epoch_id: int) -> None:  # noqa: ARG001 (idempotent per key)
-        upsert_days(batch.drop(*extra), table_path)
+        upsert_days(batch.drop(*extra), table_path, ddl)
 
     w = (day.writeStream.outputMode("update").foreachBatch(write)
          .option("checkpointLocation", checkpoint_location))
@@ -96,6 +93,32 @@ def start_daily_aggregation(spark: SparkSession, source_base: str, table_path: s
     return w.start()
 
 
+def start_daily_aggregation(spark: SparkSession, source_base: str, table_path: str, checkpoint_location: str,
+                            schema: StructType = BAR_SCHEMA, late_days: int | None = None,
+                            available_now: bool = True, processing_time: str | None = None) -> StreamingQuery:
+    """Start the incremental bars -> daily OHLCV job; returns the running query.
+
+    ``available_now`` processes everything present and stops (the scheduled
+    daily run); otherwise ``processing_time`` (e.g. ``"10 minutes"``) keeps
+    it running.
+    """
+    return _start(spark, source_base, table_path, checkpoint_location, schema, late_days, available_now,
+                  processing_time, lambda b, extra: daily_ohlcv(b, extra_keys=extra), DAILY_TABLE_DDL)
+
+
+def start_morning_aggregation(spark: SparkSession, source_base: str, table_path: str, checkpoint_location: str,
+                              lo: str = MORNING_OPEN, hi: str = MORNING_CLOSE, schema: StructType = BAR_SCHEMA,
+                              late_days: int | None = None, available_now: bool = True,
+                              processing_time: str | None = None) -> StreamingQuery:
+    """Start the incremental bars -> morning aggregate job (whole-day open/close, window low/high/volume).
+
+    A (security, day) appears once it has a bar inside the window; its
+    conditional aggregates only grow, so an emitted row is never withdrawn.
+    """
+    return _start(spark, source_base, table_path, checkpoint_location, schema, late_days, available_now,
+                  processing_time, lambda b, extra: morning_ohlcv(b, lo, hi, extra_keys=extra), MORNING_TABLE_DDL)
+
+
 def report_from_daily_table(spark: SparkSession, table_path: str, arg_date: str | None = None,
                             decimals: int = 2) -> DataFrame:
     """Daily report columns from the incremental table (no ``index``; D1's light part)."""
@@ -108,3 +131,11 @@ def report_from_daily_table(spark: SparkSession, table_path: str, arg_date: str
     if arg_date is not None:
         rep = rep.filter(F.col("Date") >= F.lit(arg_date))
     return rep.orderBy("ISIN", "Date")
+
+
+def report_from_morning_table(spark: SparkSession, table_path: str, rate: float = EUR_TO_MXN) -> DataFrame:
+    """Morning report columns from the incremental morning table (D2's light part)."""
+    m = spark.read.schema(MORNING_TABLE_DDL).parquet(table_path)
+    return m.select("ISIN", "Date", "start_price", "end_price", "minimum_price", "maximum_price",
+                    "daily_traded_volume", convert_currency("end_price", rate).alias("end_price_mx"),
+                    row_stddev("start_price", "end_price").alias("standard_deviation"))

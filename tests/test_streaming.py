@@ -3,8 +3,9 @@
 import os
 import tempfile
 
-from barquet.plans.reports import daily_report
-from barquet.streaming.incremental import report_from_daily_table, start_daily_aggregation
+from barquet.plans.reports import daily_report, morning_report
+from barquet.streaming.incremental import (report_from_daily_table, report_from_morning_table,
+                                            start_daily_aggregation, start_morning_aggregation)
 
 HDR = "ISIN,Mnemonic,Date,Time,StartPrice,MaxPrice,MinPrice,EndPrice,TradedVolume\n"
 
@@ -50,3 +51,20 @@ def test_watermarked_run(spark):
     q.awaitTermination()
     rows = report_from_daily_table(spark, table).collect()
     assert [(r.Date, r.closing_price_eur) for r in rows] == [("2024-01-01", 10.5), ("2024-01-05", 11.5)]
+
+
+def test_incremental_morning_matches_batch(spark):
+    root = tempfile.mkdtemp(prefix="bq-stream-m-")
+    src, table, ckpt = f"{root}/src", f"{root}/morning", f"{root}/ckpt"
+    _write(f"{src}/2024-01-01/a.csv", ["A,X,2024-01-01,07:59,10,11,9,10.5,5\n", "A,X,2024-01-01,13:00,10,11,9,9.5,5\n"])
+    start_morning_aggregation(spark, src, table, ckpt).awaitTermination()
+    assert not os.path.exists(table) or report_from_morning_table(spark, table).count() == 0
+    _write(f"{src}/2024-01-01/b.csv", ["A,X,2024-01-01,09:00,10,12,8,11,3\n"])
+    _write(f"{src}/2024-01-02/a.csv", ["B,Y,2024-01-02,10:00,20,21,19,20,1\n"])
+    start_morning_aggregation(spark, src, table, ckpt).awaitTermination()
+    got = sorted(tuple(r) for r in report_from_morning_table(spark, table).collect())
+    bars = spark.read.option("header", True).schema(
+        "ISIN string, Mnemonic string, Date string, Time string, StartPrice double, MaxPrice double, "
+        "MinPrice double, EndPrice double, TradedVolume bigint").csv(f"{src}/*")
+    want = sorted(tuple(r) for r in morning_report(bars).collect())
+    assert got == want and len(got) == 2
