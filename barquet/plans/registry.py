@@ -554,7 +554,8 @@ def s6_s8_latest_report(spark: SparkSession, sf: str) -> DataFrame:
     return latest_report(spark, base)
 
 
-@register("s9_list_reports")
+@register("s9_list_reports",
+          "select * from (values ('20240105_180000'), ('20240110_180000')) as t(report_ts)")
 def s9_list_reports(spark: SparkSession, sf: str) -> DataFrame:
     """Stamps of the stored reports (two runs of the daily report)."""
     from barquet.session import work_dir

@@ -22,17 +22,44 @@ DEFAULT_CONF = {
 }
 
 
+PARTITION_BYTES = 256 * 1024 * 1024
+
+
+def sizing_conf(input_bytes: int, partition_bytes: int = PARTITION_BYTES) -> dict[str, str]:
+    """Partition settings for a job reading ``input_bytes``.
+
+    Scan splits and shuffle partitions target ``partition_bytes`` each, so a
+    task's share fits in executor memory with room for the aggregation and
+    sort buffers; AQE then merges small shuffle partitions toward the same
+    size and splits skewed ones. For 100 TB of bars that is ~400,000 scan
+    tasks and as many initial shuffle partitions; the map-side combine of the
+    daily aggregate shrinks the shuffled bytes by orders of magnitude, and
+    AQE coalesces accordingly.
+    """
+    n = max(8, -(-int(input_bytes) // partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.shuffle.partitions": str(n),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(n),
+    }
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
-              app_name: str = "barquet", extra: dict | None = None) -> SparkSession:
+              app_name: str = "barquet", extra: dict | None = None,
+              input_bytes: int | None = None) -> SparkSession:
     """Build (or reuse) a session with barquet's defaults.
 
-    On a cluster leave ``master`` unset and size ``shuffle_partitions`` to the
-    data (roughly input bytes / 128 MiB); locally pass ``local[N]``.
+    On a cluster leave ``master`` unset and pass ``input_bytes`` (see
+    :func:`sizing_conf`); locally pass ``local[N]`` and a small
+    ``shuffle_partitions``.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
+    if input_bytes:
+        conf.update(sizing_conf(input_bytes))
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})

@@ -78,3 +78,10 @@ def test_group_count_skips_missing_keys(spark):
     assert group_count(df, ["ISIN", "Date"]).collect()[0].n_groups == 2
     r = explore(df).collect()[0]
     assert (r.n_rows, r.n_columns, r.n_securities, r.n_groups) == (5, 2, 3, 2)
+
+
+def test_sizing_conf():
+    from barquet.session import sizing_conf
+    c = sizing_conf(100 * 1024 ** 4)
+    assert int(c["spark.sql.shuffle.partitions"]) == 409600
+    assert sizing_conf(1)["spark.sql.shuffle.partitions"] == "8"
