@@ -150,7 +150,8 @@ def read_csv_by_name(spark: SparkSession, paths: Sequence[str] | str, schema: St
 
 def list_files(spark: SparkSession, paths: Sequence[str] | str) -> list[str]:
     """Data files under the given paths, sorted (hidden and marker files excluded)."""
-    return sorted(spark.read.format("text").load(list(paths) if not isinstance(paths, str) else paths).inputFiles())
+    reader = spark.read.format("text").option("recursiveFileLookup", True)
+    return sorted(reader.load(list(paths) if not isinstance(paths, str) else paths).inputFiles())
 
 
 def sample_header(spark: SparkSession, paths: Sequence[str] | str, position: int = 0) -> list[str]:

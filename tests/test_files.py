@@ -97,3 +97,12 @@ def test_dense_index_per_key(spark):
         ids = sorted((r.i, r.id) for r in out if r.k == k)
         assert [i for i, _ in ids] == list(range(len(ids)))
         assert [x for _, x in ids] == sorted(x for _, x in ids)
+
+
+def test_check_header_and_day_paths(spark):
+    from barquet.sources.files import check_header, day_paths_for
+    base = tempfile.mkdtemp(prefix="bq-chk-")
+    _write(f"{base}/2024-01-01/a.csv", "Time,ISIN\n09:00,A\n")
+    with pytest.raises(ValueError):
+        check_header(spark, base)
+    assert day_paths_for("s3a://b/", ["2024-01-01", "2024-01-02"]) == ["s3a://b/2024-01-01", "s3a://b/2024-01-02"]

@@ -85,3 +85,30 @@ def test_sizing_conf():
     c = sizing_conf(100 * 1024 ** 4)
     assert int(c["spark.sql.shuffle.partitions"]) == 409600
     assert sizing_conf(1)["spark.sql.shuffle.partitions"] == "8"
+
+
+def test_parse_and_dates(spark):
+    import datetime as dt
+
+    import pytest
+    from barquet.sources.files import report_stamp
+    df = spark.createDataFrame([("2024-02-29", "12", "1.5")], "d string, i string, f string")
+    r = df.select(C.to_date("d").alias("d"), C.parse_int("i").alias("i"), C.parse_float("f").alias("f"),
+                  C.report_stamp(F.lit("2023-02-17 23:24:55").cast("timestamp")).alias("s")).collect()[0]
+    assert (r.d, r.i, r.f, r.s) == (dt.date(2024, 2, 29), 12, 1.5, "20230217_232455")
+    assert report_stamp(dt.datetime(2023, 3, 28, 0, 5, 9)) == "20230328_000509"
+    bad = spark.createDataFrame([("x1",)], "i string").select(C.parse_int("i"))
+    with pytest.raises(Exception):
+        bad.collect()
+
+
+def test_head_latest_and_counts(spark):
+    from barquet.operators.bars import global_max, row_count, select_columns
+    from barquet.operators.ordering import head, latest_value
+    df = spark.createDataFrame([(i % 4, f"r{i}") for i in range(20)], "k int, s string")
+    assert [r.k for r in head(df, ["k", "s"], 3).collect()] == [0, 0, 0]
+    assert sorted(r.s for r in latest_value(df, "k").collect()) == sorted(f"r{i}" for i in range(3, 20, 4))
+    rc = row_count(df).collect()[0]
+    assert (rc.n_rows, rc.n_columns) == (20, 2)
+    assert global_max(df, "k").collect()[0].max_k == 3
+    assert select_columns(df, ["s"]).columns == ["s"]
