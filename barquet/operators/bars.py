@@ -159,10 +159,15 @@ def row_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_columns", F.lit(len(df.columns)))
 
 
-def distinct_with_missing(c: str) -> Column:
-    """Aggregate: distinct values, a missing value counted as one more (A5)."""
+def distinct_with_missing(c: str, approximate: bool = False, rsd: float = 0.01) -> Column:
+    """Aggregate: distinct values, a missing value counted as one more (A5).
+
+    ``approximate=True`` uses a HyperLogLog++ sketch (relative error ``rsd``):
+    a fixed-size buffer per task instead of a distinct-value exchange.
+    """
     col = F.col(c)
-    return (F.count_distinct(col) + F.coalesce(F.max(col.isNull().cast("int")), F.lit(0))).cast("bigint")
+    distinct = F.approx_count_distinct(col, rsd) if approximate else F.count_distinct(col)
+    return (distinct + F.coalesce(F.max(col.isNull().cast("int")), F.lit(0))).cast("bigint")
 
 
 def group_count(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -174,17 +179,24 @@ def group_count(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.agg(F.count_distinct(*[F.col(k) for k in keys]).alias("n_groups"))
 
 
-def explore(bars: DataFrame, key: str = "ISIN", group_keys: Sequence[str] = ("ISIN", "Date")) -> DataFrame:
+def explore(bars: DataFrame, key: str = "ISIN", group_keys: Sequence[str] = ("ISIN", "Date"),
+            approximate: bool = False) -> DataFrame:
     """Row count, column count, distinct securities (missing counted) and groups.
 
     One aggregate: Spark plans the two distinct counts as an expand plus a
     two-level aggregate with map-side combine, so a hot security is
     deduplicated in every scan task before anything is shuffled.
     """
+    if approximate:
+        full = F.when(F.greatest(*[F.col(k).isNull() for k in group_keys]) == F.lit(False),
+                      F.struct(*[F.col(k) for k in group_keys]))
+        groups = F.approx_count_distinct(full)
+    else:
+        groups = F.count_distinct(*[F.col(k) for k in group_keys])
     return bars.agg(
         F.count(F.lit(1)).alias("n_rows"),
-        distinct_with_missing(key).alias("n_securities"),
-        F.count_distinct(*[F.col(k) for k in group_keys]).alias("n_groups"),
+        distinct_with_missing(key, approximate).alias("n_securities"),
+        groups.alias("n_groups"),
     ).select("n_rows", F.lit(len(bars.columns)).alias("n_columns"), "n_securities", "n_groups")
 
 

@@ -112,3 +112,14 @@ def test_head_latest_and_counts(spark):
     assert (rc.n_rows, rc.n_columns) == (20, 2)
     assert global_max(df, "k").collect()[0].max_k == 3
     assert select_columns(df, ["s"]).columns == ["s"]
+
+
+def test_explore_approximate_and_clustered_report(spark):
+    from barquet.plans.reports import daily_report
+    from barquet.sources import fixtures as fx
+    t = fx.trades_dirty(spark, "/root/testdata/sf0.001")
+    exact, approx = explore(t).collect()[0], explore(t, approximate=True).collect()[0]
+    assert exact.n_rows == approx.n_rows and abs(exact.n_groups - approx.n_groups) <= 0.05 * exact.n_groups
+    a = sorted(tuple(r) for r in daily_report(t, arg_date="2024-01-10").collect())
+    b = sorted(tuple(r) for r in daily_report(t, arg_date="2024-01-10", cluster_by_security=True).collect())
+    assert a == b
