@@ -135,3 +135,26 @@ def test_one_class_share_property(spark, nu):
     df = spark.createDataFrame([("s", i, float(v)) for i, v in enumerate(vals)], "k string, idx int, Close double")
     scored = one_class_flags(df, "k", "Close", nu=nu).collect()
     assert sum(r.is_anomaly for r in scored) / 400 <= nu + 1e-9
+
+
+def _decision(values, a, rho, gamma, x):
+    return (a[None, :] * np.exp(-gamma * (x[:, None] - values[None, :]) ** 2)).sum(axis=1) - rho
+
+
+def test_one_class_kkt_and_grouping():
+    rng = np.random.default_rng(5)
+    rows = np.round(50 + np.cumsum(rng.normal(0, 0.3, size=300)), 1)
+    gamma = 1.0 / rows.var()
+    nu = 0.1
+    vals, counts = np.unique(rows, return_counts=True)
+    a, rho = solve_one_class_dual(vals, counts.astype(float), nu, gamma, tol=1e-6)
+    g = _decision(vals, a, 0.0, gamma, vals)
+    free = (a > 1e-9) & (a < counts - 1e-9)
+    assert np.all(np.abs(g[free] - rho) < 1e-4)
+    assert np.all(g[a <= 1e-9] >= rho - 1e-4) and np.all(g[a >= counts - 1e-9] <= rho + 1e-4)
+    # one variable per row (duplicates not merged): same decision function
+    a1, rho1 = solve_one_class_dual(rows, np.ones(len(rows)), nu, gamma, tol=1e-6)
+    grid = np.linspace(rows.min() - 1, rows.max() + 1, 200)
+    d_grouped = _decision(vals, a, rho, gamma, grid)
+    d_rows = _decision(rows, a1, rho1, gamma, grid)
+    assert np.max(np.abs(d_grouped - d_rows)) < 1e-3
