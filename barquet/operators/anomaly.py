@@ -13,8 +13,9 @@ Plan per series key:
    an unbounded group. This is an approximation and every output row of such
    a series carries ``approximate = true``.
 3. ``applyInPandas`` per key solves the dual
-   ``min a'Ka/2, 0 <= a_v <= count_v, sum a = nu * n`` by SMO with the
-   maximal-violating-pair rule (stopping gap ``tol``), and returns the support
+   ``min a'Ka/2, 0 <= a_v <= count_v, sum a = nu * n`` by SMO (first index
+   by maximal violation, second by the largest objective decrease; stopping
+   gap ``tol``), and returns the support
    values, their weights and the offset ``rho``.
 4. Scoring joins the model back to the rows and evaluates
    ``sum_v a_v exp(-gamma (x - v)^2) - rho`` with ``zip_with``/``aggregate``
@@ -67,14 +68,17 @@ def solve_one_class_dual(values: np.ndarray, counts: np.ndarray, nu: float, gamm
         can_inc = a < ub - eps_a
         if not can_dec.any() or not can_inc.any():
             break
-        gi = np.where(can_dec, g, -np.inf)
-        gj = np.where(can_inc, g, np.inf)
-        i, j = int(np.argmax(gi)), int(np.argmin(gj))
-        gap = gi[i] - gj[j]
-        if gap < tol:
+        gi_all = np.where(can_dec, g, -np.inf)
+        i = int(np.argmax(gi_all))
+        gmin = np.min(np.where(can_inc, g, np.inf))
+        if gi_all[i] - gmin < tol:
             break
-        quad = max(k[i, i] + k[j, j] - 2.0 * k[i, j], 1e-12)
-        t = min(gap / quad, a[i], ub[j] - a[j])
+        # second-order choice of j: the largest decrease of the objective
+        diff = g[i] - g
+        quad = np.maximum(2.0 - 2.0 * k[i], 1e-12)
+        gain = np.where(can_inc & (diff > 0), diff * diff / quad, -np.inf)
+        j = int(np.argmax(gain))
+        t = min(diff[j] / quad[j], a[i], ub[j] - a[j])
         if t <= 0:
             break
         a[i] -= t
