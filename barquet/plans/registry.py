@@ -5,8 +5,9 @@ its work grows with the tables. ``ORACLES`` holds, per query name, DuckDB
 SQL computing the same rows from the same tables (fixture views inlined as
 CTEs); a query with no SQL form has no entry there.
 
-Model outputs that are sums of floating products are rounded to 6 decimals
-on both sides, so that summation order cannot flip a comparison.
+Model outputs that are sums of floating products are rounded half to even on
+both sides (coefficients to 6 decimals, prices to 2), so that summation order
+cannot flip a comparison.
 """
 
 from __future__ import annotations
