@@ -106,3 +106,12 @@ def test_check_header_and_day_paths(spark):
     with pytest.raises(ValueError):
         check_header(spark, base)
     assert day_paths_for("s3a://b/", ["2024-01-01", "2024-01-02"]) == ["s3a://b/2024-01-01", "s3a://b/2024-01-02"]
+
+
+def test_by_name_read_with_bom_header(spark):
+    base = tempfile.mkdtemp(prefix="bq-bom-")
+    os.makedirs(f"{base}/2024-01-01")
+    with open(f"{base}/2024-01-01/a.csv", "w", encoding="utf-8-sig") as f:
+        f.write("ISIN,Date,Time,EndPrice\nA,2024-01-01,09:00,1.5\n")
+    r = read_csv_by_name(spark, [f"{base}/2024-01-01"]).collect()[0]
+    assert (r.ISIN, r.Time, r.EndPrice) == ("A", "09:00", 1.5)
