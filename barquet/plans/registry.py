@@ -576,3 +576,28 @@ def s10_csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     m = reports.morning_report(fx.trades(spark, sf))
     path = write_report_csv(m, work_dir(spark, "csv"))
     return spark.read.schema(m.schema).option("header", True).option("enforceSchema", False).csv(path)
+
+
+# --- streaming ---------------------------------------------------------------
+
+@register("st_incremental_daily_report", _daily_sql("trades", index=False, arg_date=None))
+def st_incremental_daily_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Dated CSV tree -> incremental daily aggregation (file stream, available-now) -> report."""
+    from barquet.session import work_dir
+    from barquet.streaming.incremental import report_from_daily_table, start_daily_aggregation
+    src = _landing(spark, sf)
+    table, ckpt = work_dir(spark, "daily_table"), work_dir(spark, "stream_ckpt")
+    # a file stream has one declared schema: the landing files' header
+    start_daily_aggregation(spark, src, table, ckpt, schema=fx.trades(spark, sf).schema).awaitTermination()
+    return report_from_daily_table(spark, table)
+
+
+@register("st_incremental_morning_report", _morning_sql("trades") + " select * from morning")
+def st_incremental_morning_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Dated CSV tree -> incremental morning aggregation -> morning report."""
+    from barquet.session import work_dir
+    from barquet.streaming.incremental import report_from_morning_table, start_morning_aggregation
+    src = _landing(spark, sf)
+    table, ckpt = work_dir(spark, "morning_table"), work_dir(spark, "stream_ckpt")
+    start_morning_aggregation(spark, src, table, ckpt, schema=fx.trades(spark, sf).schema).awaitTermination()
+    return report_from_morning_table(spark, table)

@@ -18,6 +18,12 @@ aggregation over the dated CSV tree:
 
 The light part, previous close, change and rounding, is a batch job over
 that small table (:func:`report_from_daily_table`).
+
+A file stream reads every file with one declared schema; the header of each
+file is checked against it (``enforceSchema=false``), so a file with other
+columns fails the batch instead of yielding shifted values. Trees with
+mixed headers go through the batch reader
+(:func:`barquet.sources.files.read_csv_by_name`).
 """
 
 from __future__ import annotations
