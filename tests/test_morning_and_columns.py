@@ -123,3 +123,18 @@ def test_explore_approximate_and_clustered_report(spark):
     a = sorted(tuple(r) for r in daily_report(t, arg_date="2024-01-10").collect())
     b = sorted(tuple(r) for r in daily_report(t, arg_date="2024-01-10", cluster_by_security=True).collect())
     assert a == b
+
+
+def test_half_even_matches_numpy_property(spark):
+    import numpy as np
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=5, deadline=None)
+    @given(st.lists(st.floats(min_value=-1e9, max_value=1e9, allow_nan=False), min_size=1, max_size=200))
+    def check(xs):
+        df = spark.createDataFrame([(float(x),) for x in xs], "x double")
+        got = [r.r for r in df.select(C.round_half_even("x", 2).alias("r")).collect()]
+        assert got == [float(v) for v in np.round(np.array(xs, dtype=float), 2)]
+
+    check()
