@@ -154,6 +154,9 @@ def one_class_score(series: DataFrame, model: DataFrame, key: str | Sequence[str
 
 def one_class_flags(series: DataFrame, key: str | Sequence[str], value: str, nu: float,
                     max_distinct: int = DEFAULT_MAX_DISTINCT, tol: float = 1e-3) -> DataFrame:
-    """Fit and score in one call: every row with ``score``, ``is_anomaly`` and ``approximate``."""
+    """Fit and score in one call: every row with ``score``, ``is_anomaly`` and ``approximate``.
+
+    ``series`` is read twice (the fit's aggregates, the scoring join).
+    """
     model = one_class_fit(series, key, value, nu, max_distinct, tol)
     return one_class_score(series, model, key, value, tol)

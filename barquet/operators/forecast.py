@@ -126,7 +126,9 @@ def arma11_fit(series: DataFrame, key: str | Sequence[str], idx: str, value: str
     innovation in closed form ``e_n = sum (-theta)^(n-t) u_t`` with
     ``u_t = y_t - c - phi y_(t-1)``. Returns per key: mean, c, phi, theta,
     last centred value, last innovation, last position, n, and ``ok``
-    (``|phi| < 1``, ``|theta| < 1``, ``n >= min_n``).
+    (``|phi| < 1``, ``|theta| < 1``, ``n >= min_n``). ``series`` is read
+    twice (statistics, lags); the lag table is written once and read by the
+    three stages.
     """
     keys = _keys(key)
     p = ar_order

@@ -71,18 +71,30 @@ def lag_forecast(series: DataFrame, key: str | Sequence[str], idx: str, value: s
     forecast ``horizon`` steps per key by feeding each prediction back.
 
     Returns ``(forecast, errors)``: ``forecast`` has key, step, idx,
-    forecast; ``errors`` has key, split, rmse, mse.
+    forecast; ``errors`` has key, split, rmse, mse. ``series`` is read three
+    times (statistics, windows, last values): pass a materialized DataFrame
+    when it is expensive to produce (:func:`barquet.plans.analytics.report_lag_forecast` does).
     """
     keys = _keys(key)
+    # one pass for every per-key number the job needs (length, last position,
+    # scaling bounds), written once: it is read four times below
+    x = F.col(value)
+    stats = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max(idx).alias("_last"),
+                                      F.min(x).alias("_min_all"), F.max(x).alias("_max_all"))
     if fit_on == "train":
-        n = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        cut = series.join(n, on=keys).filter(F.col(idx) < F.floor(F.col("_n") * F.lit(frac)))
-        fit = minmax_fit(cut, keys, value)
+        cut = series.join(stats.select(*keys, "n"), on=keys) \
+                    .filter(F.col(idx) < F.floor(F.col("n") * F.lit(frac)))
+        bounds = cut.groupBy(*keys).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+        stats = stats.join(bounds, on=keys)
     else:
-        fit = minmax_fit(series, keys, value)
+        stats = stats.withColumn("_lo", F.col("_min_all")).withColumn("_hi", F.col("_max_all"))
+    stats = materialize(stats.select(
+        *keys, "n", "_last", F.col("_lo").alias("scale_min"),
+        F.coalesce(F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)), F.lit(1.0)).alias("scale_range")))
+    fit = stats.select(*keys, "scale_min", "scale_range")
     scaled = minmax_scale(series, keys, value, name="_bq_v", fit=fit)
     windows = lag_windows(scaled, keys, idx, "_bq_v", time_step=time_step, frac=frac,
-                          features="_bq_f", target="_bq_t")
+                          features="_bq_f", target="_bq_t", lengths=stats.select(*keys, "n"))
     # The solver makes several passes over its input: write the windows once
     # (reliable checkpoint in the shared folder) instead of recomputing the
     # scans, aggregates and windows behind them on every pass.
@@ -95,8 +107,7 @@ def lag_forecast(series: DataFrame, key: str | Sequence[str], idx: str, value: s
     errors = errors_by(pred, "actual", "predicted", [*keys, "split"])
 
     # the last time_step scaled values of each key, oldest first (a bounded group of time_step rows)
-    n_all = series.groupBy(*keys).agg(F.max(idx).alias("_last"))
-    tail = scaled.join(n_all, on=keys).filter(F.col(idx) > F.col("_last") - time_step)
+    tail = scaled.join(stats.select(*keys, "_last"), on=keys).filter(F.col(idx) > F.col("_last") - time_step)
     state = tail.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct(F.col(idx).alias("i"), F.col("_bq_v").alias("v")))),
                     lambda s: s["v"]).alias("_bq_w"),
@@ -125,7 +136,8 @@ def sigmoid_unit(series: DataFrame, key: str | Sequence[str], order: str, value:
     the last ``shift`` rows of each key, in price units.
     """
     keys = _keys(key)
-    pairs = lead_pairs(series, keys, order, value, shift, name="_bq_y")
+    # the pairs feed two scalers and the training set: write them once
+    pairs = materialize(lead_pairs(series.select(*keys, order, value), keys, order, value, shift, name="_bq_y"))
     xfit = minmax_fit(pairs, keys, value)
     yfit = minmax_fit(pairs, keys, "_bq_y") \
         .withColumnRenamed("scale_min", "y_min").withColumnRenamed("scale_range", "y_range")

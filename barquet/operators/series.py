@@ -66,14 +66,16 @@ def series_length(df: DataFrame, key: str | Sequence[str], name: str = "n") -> D
 
 
 def chrono_split(df: DataFrame, key: str | Sequence[str], idx: str, frac: float = 0.8,
-                 name: str = "split") -> DataFrame:
+                 name: str = "split", lengths: DataFrame | None = None) -> DataFrame:
     """Label rows ``train`` (first ``int(frac * n)``) and ``test`` per key.
 
     Also adds ``split_start`` (first position of the row's part) and
-    ``split_len`` (rows in the part).
+    ``split_len`` (rows in the part). ``lengths`` (key columns and ``n``)
+    can be passed when already computed, saving a scan of ``df``.
     """
     keys = _keys(key)
-    cut = series_length(df, keys).select(*keys, "n", F.floor(F.col("n") * F.lit(frac)).cast("long").alias("_bq_cut"))
+    lengths = lengths if lengths is not None else series_length(df, keys)
+    cut = lengths.select(*keys, "n", F.floor(F.col("n") * F.lit(frac)).cast("long").alias("_bq_cut"))
     j = df.join(cut, on=keys, how="inner")
     train = F.col(idx) < F.col("_bq_cut")
     return (j.withColumn(name, F.when(train, F.lit("train")).otherwise(F.lit("test")))
@@ -84,7 +86,7 @@ def chrono_split(df: DataFrame, key: str | Sequence[str], idx: str, frac: float
 
 def lag_windows(df: DataFrame, key: str | Sequence[str], idx: str, value: str, time_step: int = 10,
                 frac: float | None = 0.8, block: int = DEFAULT_BLOCK, features: str = "features",
-                target: str = "target") -> DataFrame:
+                target: str = "target", lengths: DataFrame | None = None) -> DataFrame:
     """Lag windows (W6): ``time_step`` consecutive values as features, the next as target.
 
     Windows are built inside each chronological part (W7) when ``frac`` is
@@ -95,11 +97,11 @@ def lag_windows(df: DataFrame, key: str | Sequence[str], idx: str, value: str, t
     keys = _keys(key)
     lags = list(range(1, time_step + 1))
     if frac is None:
-        n = series_length(df, keys)
+        n = (lengths if lengths is not None else series_length(df, keys)).select(*keys, "n")
         base = df.join(n, on=keys).withColumn("split", F.lit("all")) \
                  .withColumn("split_start", F.lit(0).cast("long")).withColumn("split_len", F.col("n")).drop("n")
     else:
-        base = chrono_split(df, keys, idx, frac)
+        base = chrono_split(df, keys, idx, frac, lengths=lengths)
     shifted = with_shifts(base, keys, idx, value, lags=lags, block=block, lag_name="_bq_l{k}")
     rel = F.col(idx) - F.col("split_start")
     keep = (rel >= F.lit(time_step)) & (rel <= F.col("split_len") - 2)

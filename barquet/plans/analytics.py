@@ -10,6 +10,7 @@ from barquet.operators.anomaly import DEFAULT_MAX_DISTINCT, one_class_flags
 from barquet.operators.charts import actual_and_forecast, anomaly_points, forecast_only
 from barquet.operators.forecast import arma11_forecast
 from barquet.operators.mlmodels import lag_forecast, series_positions
+from barquet.session import materialize
 
 
 def analyze_series(series: DataFrame, days: int, nu: float, key: str | Sequence[str] = "series_id",
@@ -25,6 +26,10 @@ def analyze_series(series: DataFrame, days: int, nu: float, key: str | Sequence[
     """
     if days < 0:
         raise ValueError("days must be >= 0")
+    keys = [key] if isinstance(key, str) else list(key)
+    # the forecast, the anomaly model and the chart each read the series:
+    # write its three columns once instead of recomputing whatever produced it
+    series = materialize(series.select(*keys, idx, value))
     fc = arma11_forecast(series, key, idx, value, days)
     scored = one_class_flags(series, key, value, nu, max_distinct)
     return {
@@ -39,5 +44,6 @@ def report_lag_forecast(report: DataFrame, time_step: int = 10, horizon: int = 7
                         order: str = "Date", value: str = "end_price", kind: str = "linear",
                         fit_on: str = "all"):
     """Lag-window forecast of each security's close from a report (D7): (forecast, errors)."""
-    series = series_positions(report.select(key, order, value).na.drop(), key, order)
+    # the report is read several times by the forecaster: write the narrow series once
+    series = materialize(series_positions(report.select(key, order, value).na.drop(), key, order))
     return lag_forecast(series, key, "idx", value, time_step, horizon, kind=kind, fit_on=fit_on)
