@@ -61,3 +61,17 @@ def test_lead_pairs_and_tails(spark):
     t1 = sorted((r.k, r.idx) for r in series_tail(df, "k", "idx", 2).collect())
     t2 = sorted((r.k, r.idx) for r in last_k_per_key(df, ["k"], "idx", 2).collect())
     assert t1 == t2 == [("a", 8), ("a", 9), ("b", 1), ("b", 2)]
+
+
+def test_one_long_series_is_split_across_tasks(spark):
+    n, block = 200_000, 16_384
+    # at this size AQE would rightly merge everything into one partition; switch that off to see the split
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    df = spark.range(0, n).selectExpr("'hot' as k", "cast(id as int) as idx", "cast(id as double) * 2 as v")
+    out = with_shifts(df, "k", "idx", "v", lags=[1, 5], block=block).withColumn("pid", F.spark_partition_id())
+    stats = out.agg(F.countDistinct("pid").alias("tasks"), F.count(F.lit(1)).alias("rows"),
+                    F.sum(F.when(F.col("v_lag1") == F.col("v") - 2, 1).otherwise(0)).alias("ok1"),
+                    F.sum(F.when(F.col("v_lag5") == F.col("v") - 10, 1).otherwise(0)).alias("ok5")).collect()[0]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert stats.rows == n and stats.ok1 == n - 1 and stats.ok5 == n - 5
+    assert stats.tasks >= 4  # 13 blocks of one series spread over several shuffle partitions
