@@ -34,18 +34,26 @@ def select_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def drop_missing(df: DataFrame, subset: Sequence[str] | None | object = _ALL) -> DataFrame:
-    """Drop rows with a missing value.
+    """Drop rows with a missing value (NULL, or NaN in a floating column).
 
     ``subset`` defaults to the bar columns the reports use (the notebook
     behaviour, after projection). ``subset=None`` checks every column of
     ``df`` (the function/class behaviour, before any projection); note that
-    this reads every column of the source.
+    this reads every column of the source. Written as plain ``IS NOT NULL``
+    predicates so that Catalyst can push them into the scan (and through
+    aggregates onto grouping keys).
     """
     if subset is _ALL:
         subset = [c for c in BAR_COLUMNS if c in df.columns]
-    if subset is None:
-        return df.na.drop("any")
-    return df.na.drop("any", subset=list(subset))
+    cols = df.columns if subset is None else list(subset)
+    types = dict(df.dtypes)
+    cond = F.lit(True)
+    for c in cols:
+        col = F.col(f"`{c}`")
+        cond = cond & col.isNotNull()
+        if types.get(c) in ("double", "float"):
+            cond = cond & ~F.isnan(col)
+    return df.filter(cond)
 
 
 _TIEBREAK_BITS = 46

@@ -43,3 +43,11 @@ def test_lags_shuffle_on_key_and_block(spark):
 def test_last_k_limits_before_the_window(spark):
     p = _plan(last_k_per_key(fx.closes(spark, SF), ["series_id"], "idx", 10))
     assert "WindowGroupLimit" in p
+
+
+def test_missing_key_filter_reaches_the_scan(spark):
+    from barquet.operators.bars import drop_missing
+    bars = spark.read.parquet(f"{SF}/events.parquet").selectExpr(
+        "event_type as ISIN", "cast(ts as string) as Date", "value as EndPrice")
+    p = _plan(drop_missing(bars, ["ISIN", "EndPrice"]))
+    assert "IsNotNull(event_type)" in p and "IsNotNull(value)" in p
