@@ -154,19 +154,21 @@ def student_t_two_sided_p(t: Column, dof: Column) -> Column:
 
 
 def predict_days_ahead(bars: DataFrame, model: DataFrame, start_date: str, periods: int = 3,
-                       by: str | Sequence[str] = "ISIN", x: str = "StartPrice", time_col: str = "Time",
-                       name: str = "predicted_EndPrice") -> DataFrame:
-    """For each key and each of ``periods`` dates from ``start_date``: the day's first
-    ``x`` by time, scored with the key's model; NULL where the day has no data (M1c).
+                       by: str | Sequence[str] | None = "ISIN", x: str = "StartPrice", time_col: str = "Time",
+                       name: str = "predicted_EndPrice", tiebreak: str | None = None) -> DataFrame:
+    """For each key (or once, with ``by=None``) and each of ``periods`` dates from
+    ``start_date``: the day's first ``x`` by time (then ``tiebreak``), scored
+    with the model; NULL where the day has no data (M1c).
     """
     keys = _keys(by)
     d0 = F.to_date(F.lit(start_date))
-    days = model.select(*keys).distinct() \
-        .select(*keys, F.explode(F.sequence(d0, F.date_add(d0, periods - 1))).alias("_d")) \
+    base = model.select(*keys).distinct() if keys else model.select(F.lit(1).alias("_bq_one"))
+    days = base.select(*keys, F.explode(F.sequence(d0, F.date_add(d0, periods - 1))).alias("_d")) \
         .select(*keys, F.date_format("_d", "yyyy-MM-dd").alias("Date"))
     firsts = bars.filter(F.col(x).isNotNull()) \
         .filter(F.col("Date").between(F.date_format(d0, "yyyy-MM-dd"),
                                       F.date_format(F.date_add(d0, periods - 1), "yyyy-MM-dd"))) \
-        .groupBy(*keys, "Date").agg(F.min_by(x, F.col(time_col)).alias(f"first_{x}"))
+        .groupBy(*keys, "Date").agg(F.min_by(x, F.struct(time_col, tiebreak) if tiebreak else F.col(time_col))
+                                    .alias(f"first_{x}"))
     j = days.join(firsts, on=keys + ["Date"], how="left")
-    return ols_predict(j, model, f"first_{x}", by=keys, name=name)
+    return ols_predict(j, model, f"first_{x}", by=keys or None, name=name)

@@ -368,6 +368,10 @@ _LINREG_SQL = _w("trades") + """, tw as (select * from trades where Date >= '{a}
 
 _LR_DIG = {"slope": 6, "intercept": 4, "r": 6, "stderr": 6, "intercept_stderr": 4}
 
+_LINREG_GLOBAL_SQL = _w("trades") + """, tw as (select * from trades where Date >= '{a}' and Date <= '{b}'),
+  lr as (select regr_slope(EndPrice, StartPrice) as slope, regr_intercept(EndPrice, StartPrice) as intercept
+    from tw)"""
+
 
 @register("m1b_linregress", _LINREG_SQL.format(a="2024-01-08", b="2024-01-10") + " select ISIN, "
           + ", ".join(f"{_re(c, d)} as {c}" for c, d in _LR_DIG.items()) + ", n from lr")
@@ -601,3 +605,22 @@ def st_incremental_morning_report(spark: SparkSession, sf: str) -> DataFrame:
     table, ckpt = work_dir(spark, "morning_table"), work_dir(spark, "stream_ckpt")
     start_morning_aggregation(spark, src, table, ckpt, schema=fx.trades(spark, sf).schema).awaitTermination()
     return report_from_morning_table(spark, table)
+
+
+@register("m1c_next_days_forecast_global", _LINREG_GLOBAL_SQL.format(a="2024-01-29", b="2024-01-31") + """,
+  days as (select strftime(cast(unnest(generate_series(date '2024-01-29', date '2024-01-31',
+    interval 1 day)) as date), '%Y-%m-%d') as Date),
+  firsts as (select Date, arg_min(StartPrice, row(Time, ISIN)) as first_StartPrice from trades
+    where StartPrice is not null and Date >= '2024-01-29' and Date <= '2024-01-31' group by Date)
+  select d.Date, f.first_StartPrice,
+    """ + _re("lr.slope * f.first_StartPrice + lr.intercept", 6) + """ as predicted_EndPrice
+  from days d left join firsts f on d.Date = f.Date, lr""")
+def m1c_next_days_forecast_global(spark: SparkSession, sf: str) -> DataFrame:
+    """The sketch's shape: one regression over every bar of the window, scored on each day's first bar."""
+    from pyspark.sql import functions as F
+    from barquet.operators.regression import linregress, predict_days_ahead
+    t = fx.trades(spark, sf)
+    model = linregress(t.filter(F.col("Date").between("2024-01-29", "2024-01-31")), "EndPrice", "StartPrice",
+                       by=None, p_value=False)
+    out = predict_days_ahead(t, model, "2024-01-29", 3, by=None, tiebreak="ISIN")
+    return _round(out.select("Date", "first_StartPrice", "predicted_EndPrice"), {"predicted_EndPrice": 6})

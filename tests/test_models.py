@@ -158,3 +158,18 @@ def test_one_class_kkt_and_grouping():
     d_grouped = _decision(vals, a, rho, gamma, grid)
     d_rows = _decision(rows, a1, rho1, gamma, grid)
     assert np.max(np.abs(d_grouped - d_rows)) < 1e-3
+
+
+def test_predict_days_ahead_global_and_missing_day(spark):
+    from barquet.operators.regression import predict_days_ahead
+    bars = spark.createDataFrame(
+        [("A", "2022-12-29", "09:00", 10.0, 11.0), ("A", "2022-12-29", "08:00", 9.0, 9.5),
+         ("B", "2022-12-30", "10:00", 20.0, 21.0), ("B", "2022-12-30", "11:00", 21.0, 22.0)],
+        "ISIN string, Date string, Time string, StartPrice double, EndPrice double")
+    model = linregress(bars, "EndPrice", "StartPrice", by=None, p_value=False)
+    rows = sorted(predict_days_ahead(bars, model, "2022-12-29", 3, by=None).collect(), key=lambda r: r.Date)
+    assert [r.Date for r in rows] == ["2022-12-29", "2022-12-30", "2022-12-31"]
+    assert rows[0].first_StartPrice == 9.0 and rows[1].first_StartPrice == 20.0
+    assert rows[2].first_StartPrice is None and rows[2].predicted_EndPrice is None
+    m = model.collect()[0]
+    assert math.isclose(rows[0].predicted_EndPrice, m.slope * 9.0 + m.intercept)
