@@ -173,3 +173,31 @@ def test_predict_days_ahead_global_and_missing_day(spark):
     assert rows[2].first_StartPrice is None and rows[2].predicted_EndPrice is None
     m = model.collect()[0]
     assert math.isclose(rows[0].predicted_EndPrice, m.slope * 9.0 + m.intercept)
+
+
+def _hannan_rissanen(y, p=10):
+    yc = y - y.mean()
+    n = len(yc)
+    # long AR(p) on rows with p lags
+    z = np.column_stack([np.ones(n - p)] + [yc[p - k:n - k] for k in range(1, p + 1)])
+    a = np.linalg.lstsq(z, yc[p:], rcond=None)[0]
+    resid = np.full(n, np.nan)
+    resid[p:] = yc[p:] - z @ a
+    # regress y_t on 1, y_(t-1), e_(t-1) for t >= p + 1
+    t = np.arange(p + 1, n)
+    z2 = np.column_stack([np.ones(len(t)), yc[t - 1], resid[t - 1]])
+    c, phi, theta = np.linalg.lstsq(z2, yc[t], rcond=None)[0]
+    u = yc[1:] - c - phi * yc[:-1]
+    w = (-theta) ** (n - 1 - np.arange(1, n))
+    return y.mean(), c, phi, theta, float(np.sum(w * u))
+
+
+def test_arma11_fit_equals_direct_two_stage(spark):
+    y = _arma(3000, 0.6, -0.3, 20.0, 9)
+    df = spark.createDataFrame([("s", i, float(v)) for i, v in enumerate(y)], "k string, idx int, v double")
+    fit = arma11_fit(df, "k", "idx", "v", block=700).collect()[0]
+    mean, c, phi, theta, e_n = _hannan_rissanen(y)
+    assert math.isclose(fit["mean"], mean, rel_tol=1e-12)
+    assert math.isclose(fit.phi, phi, rel_tol=1e-8) and math.isclose(fit.theta, theta, rel_tol=1e-8)
+    assert math.isclose(fit.c, c, rel_tol=1e-6, abs_tol=1e-9)
+    assert math.isclose(fit.last_innovation, e_n, rel_tol=1e-7, abs_tol=1e-9)
