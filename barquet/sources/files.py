@@ -113,45 +113,72 @@ def read_csv_strict(spark: SparkSession, paths: Sequence[str] | str, schema: Str
 
 
 def read_csv_by_name(spark: SparkSession, paths: Sequence[str] | str, schema: StructType = BAR_SCHEMA,
-                     max_columns: int = 32) -> DataFrame:
+                     max_columns: int = 32, broadcast_files: int = 100_000) -> DataFrame:
     """Read CSV files matching columns by header name, per file.
 
-    One scan: every line is read as up to ``max_columns`` text cells with its
-    file path; header lines (at least two cells equal to names of
-    ``schema``) give each file's column positions; data lines take each
-    target column from its position in their own file. Columns a file lacks
-    are NULL, extra columns are ignored, and text that does not convert to
-    the target type is NULL. The per-file header table has one row per
-    file; its join is left to AQE.
+    Every line is read as up to ``max_columns`` text cells with its file
+    path; header lines (at least two cells equal to names of ``schema``) give
+    each file's column positions; data lines take each target column from its
+    position in their own file. Columns a file lacks are NULL, extra columns
+    are ignored, and text that does not convert to the target type is NULL.
+
+    The per-file header table has one row per file, a size the driver knows
+    from the listing. Up to ``broadcast_files`` files it is broadcast to the
+    scan (no shuffle of rows). Beyond that, files are grouped by header layout
+    (there are a handful of distinct layouts) and each group is read with its
+    own positions in one scan, then the groups are unioned by name: no join
+    and no shuffle of rows either way.
 
     Cost: the files are scanned twice (header lines, then data lines), since
-    a row can only be mapped once its file's header is known and the
-    alternative, shuffling raw rows by file, costs more than a second read.
-    When every file is known to carry the declared header,
-    :func:`read_csv_strict` reads them in one scan.
+    a row can only be mapped once its file's header is known. When every
+    file is known to carry the declared header, :func:`read_csv_strict` reads
+    them in one scan.
     """
+    path_list = list(paths) if not isinstance(paths, str) else [paths]
     cells = [f"_c{i}" for i in range(max_columns)]
     raw_schema = StructType([StructField(c, StringType()) for c in cells])
-    raw = (spark.read.schema(raw_schema).option("header", False).option("mode", "PERMISSIVE")
-           .csv(list(paths) if not isinstance(paths, str) else paths)
-           .withColumn("_bq_file", F.col("_metadata.file_path")))
+
+    def scan(src: list[str]) -> DataFrame:
+        return (spark.read.schema(raw_schema).option("header", False).option("mode", "PERMISSIVE").csv(src)
+                .withColumn("_bq_file", F.col("_metadata.file_path")))
+
+    raw = scan(path_list)
     names = [f.name for f in schema.fields]
     lowered = [n.lower() for n in names]
     hits = sum((F.when(F.lower(F.trim(F.col(c))).isin(lowered), F.lit(1)).otherwise(F.lit(0)) for c in cells),
                F.lit(0))
     is_header = hits >= F.lit(min(2, len(names)))
+    pos_cols = [f"_bq_pos{k}" for k in range(len(names))]
     headers = (raw.filter(is_header).groupBy("_bq_file")
                .agg(*[F.first(F.coalesce(*[F.when(F.lower(F.trim(F.col(c))) == n.lower(), F.lit(i))
-                                          for i, c in enumerate(cells)])).alias(f"_bq_pos{k}")
+                                          for i, c in enumerate(cells)])).alias(pos_cols[k])
                       for k, n in enumerate(names)]))
-    data = raw.filter(~is_header).join(headers, on="_bq_file", how="inner")
-    arr = F.array(*[F.col(c) for c in cells])
-    out = []
-    for k, f in enumerate(schema.fields):
-        txt = F.when(F.col(f"_bq_pos{k}").isNotNull(), F.element_at(arr, F.col(f"_bq_pos{k}") + 1))
-        val = txt if isinstance(f.dataType, StringType) else txt.try_cast(f.dataType)
-        out.append(val.alias(f.name))
-    return data.select(*out)
+
+    def project(rows: DataFrame, pos: dict[str, object]) -> DataFrame:
+        arr = F.array(*[F.col(c) for c in cells])
+        out = []
+        for k, f in enumerate(schema.fields):
+            p = pos[pos_cols[k]]
+            p_col = F.col(p) if isinstance(p, str) else F.lit(p)
+            txt = F.when(p_col.isNotNull(), F.element_at(arr, p_col + 1))
+            val = txt if isinstance(f.dataType, StringType) else txt.try_cast(f.dataType)
+            out.append(val.alias(f.name))
+        return rows.select(*out)
+
+    n_files = len(raw.inputFiles())
+    if n_files <= broadcast_files:
+        # bounded by the file count checked above
+        data = raw.filter(~is_header).join(F.broadcast(headers), on="_bq_file", how="inner")
+        return project(data, {c: c for c in pos_cols})
+    layouts = headers.groupBy(*pos_cols).agg(F.collect_list("_bq_file").alias("files")).collect()
+    parts = [project(scan(list(lay["files"])).filter(~is_header), {c: lay[c] for c in pos_cols})
+             for lay in layouts]
+    if not parts:
+        return project(raw.filter(F.lit(False)), {c: None for c in pos_cols})
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def list_files(spark: SparkSession, paths: Sequence[str] | str) -> list[str]:

@@ -115,3 +115,14 @@ def test_by_name_read_with_bom_header(spark):
         f.write("ISIN,Date,Time,EndPrice\nA,2024-01-01,09:00,1.5\n")
     r = read_csv_by_name(spark, [f"{base}/2024-01-01"]).collect()[0]
     assert (r.ISIN, r.Time, r.EndPrice) == ("A", "09:00", 1.5)
+
+
+def test_by_name_grouped_layouts_equal_broadcast_path(spark):
+    base = tempfile.mkdtemp(prefix="bq-lay-")
+    _write(f"{base}/2024-01-01/a.csv", HDR + "A,X,2024-01-01,09:00,1,2,0.5,1.5,10\n")
+    _write(f"{base}/2024-01-01/b.csv", "Time,ISIN,Date,EndPrice\n10:00,B,2024-01-01,NA\n11:00,B,2024-01-01,7.5\n")
+    _write(f"{base}/2024-01-02/c.csv", "Time,ISIN,Date,EndPrice\n10:30,C,2024-01-02,3.25\n")
+    src = [f"{base}/2024-01-01", f"{base}/2024-01-02"]
+    a = sorted(tuple(r) for r in read_csv_by_name(spark, src).collect())
+    b = sorted(tuple(r) for r in read_csv_by_name(spark, src, broadcast_files=0).collect())
+    assert a == b and len(a) == 4
