@@ -2,7 +2,7 @@
 
 A keyless ``row_number()`` window pulls every row into one task. The dense
 index here is the distributed form: range-partition on the order columns
-into a fixed number of partitions, take each row's position inside its
+(AQE sizes the split unless a count is given), take each row's position inside its
 partition from ``monotonically_increasing_id`` (partition id in the upper
 bits, position in the lower 33), count rows per partition, and add the
 running count of the earlier partitions. The per-partition table has one
@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barquet.session import materialize, num_partitions
+from barquet.session import materialize
 
 _POS_BITS = 33
 
@@ -43,10 +43,13 @@ def with_dense_index(df: DataFrame, order_cols: Sequence[str | Column], name: st
     one-row-per-key aggregate, so a key spanning many partitions is still
     numbered by many tasks.
     """
-    n = partitions or num_partitions(df.sparkSession)
     keys = list(partition_cols)
     order = _cols(keys) + _cols(order_cols)
-    ranged = materialize(df.repartitionByRange(n, *order).sortWithinPartitions(*order))
+    # Without an explicit count AQE sizes the split to the data (adjacent
+    # ranges are merged, which keeps the order); the split is written before
+    # partition ids are read, so they cannot change afterwards.
+    split = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    ranged = materialize(split.sortWithinPartitions(*order))
     mid = F.monotonically_increasing_id()
     tagged = ranged.withColumn("_bq_mid", mid)
     pid = F.shiftright(F.col("_bq_mid"), _POS_BITS)

@@ -65,3 +65,10 @@ def test_dense_index_many_partitions(spark):
     df = spark.range(0, 1000).selectExpr("(id * 7919) % 1000 as k")
     out = with_dense_index(df, ["k"], partitions=13).collect()
     assert sorted((r["index"], r.k) for r in out) == [(i, i) for i in range(1000)]
+
+
+def test_dense_index_with_aqe_sized_split(spark):
+    from barquet.operators.ordering import with_dense_index
+    df = spark.range(0, 5000, numPartitions=7).selectExpr("(id * 7919) % 5000 as k")
+    out = with_dense_index(df, ["k"]).collect()
+    assert sorted((r["index"], r.k) for r in out) == [(i, i) for i in range(5000)]
