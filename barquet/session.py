@@ -19,6 +19,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # checkpoint copies written by ``materialize`` are deleted once nothing
+    # references them (matters for long-running incremental jobs)
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
