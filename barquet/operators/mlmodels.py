@@ -132,8 +132,9 @@ def sigmoid_unit(series: DataFrame, key: str | Sequence[str], order: str, value:
 
     Fitted as a logistic-link GLM with no intercept (the same functional form
     as the reference's hand-written unit; fractional labels in [0, 1] are
-    accepted). Returns ``(model_row, predictions)`` where predictions are for
-    the last ``shift`` rows of each key, in price units.
+    accepted). Returns ``(model, predictions)``: the fitted MLlib model (its
+    single coefficient is the unit's weight) and, for the last ``shift`` rows
+    of each key, the predicted price ``shift`` rows later.
     """
     keys = _keys(key)
     # the pairs feed two scalers and the training set: write them once

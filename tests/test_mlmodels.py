@@ -80,3 +80,12 @@ def test_analyze_series_outputs(spark):
     scored = out["scored"].collect()
     assert len(scored) == sum(n.values())
     assert out["anomalies"].count() == sum(1 for r in scored if r.is_anomaly)
+
+
+def test_gbt_variants(spark):
+    m = morning_report(fx.trades_wide(spark, "/root/testdata/sf0.01"))
+    _, summary, pred = multi_feature_regression(m, "end_price", ["start_price", "minimum_price"], kind="gbt")
+    s = summary.collect()[0]
+    assert s.mse >= 0 and math.isclose(s.rmse ** 2, s.mse)
+    fc, err = lag_forecast(_walk(spark, 80), "k", "idx", "v", time_step=5, horizon=2, kind="gbt")
+    assert fc.count() == 4 and err.count() == 4
