@@ -201,3 +201,18 @@ def test_arma11_fit_equals_direct_two_stage(spark):
     assert math.isclose(fit.phi, phi, rel_tol=1e-8) and math.isclose(fit.theta, theta, rel_tol=1e-8)
     assert math.isclose(fit.c, c, rel_tol=1e-6, abs_tol=1e-9)
     assert math.isclose(fit.last_innovation, e_n, rel_tol=1e-7, abs_tol=1e-9)
+
+
+def test_p_value_matches_mllib_normal_solver(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=60)
+    y = 0.3 * x + rng.normal(size=60)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
+    ours = linregress(df, "y", "x").collect()[0]
+    data = VectorAssembler(inputCols=["x"], outputCol="f").transform(df)
+    model = LinearRegression(featuresCol="f", labelCol="y", solver="normal").fit(data)
+    assert math.isclose(model.coefficients[0], ours.slope, rel_tol=1e-9)
+    assert math.isclose(model.summary.pValues[0], ours.p_value, rel_tol=1e-6)
+    assert math.isclose(model.summary.coefficientStandardErrors[0], ours.stderr, rel_tol=1e-6)
