@@ -22,5 +22,22 @@ def run_morning(spark: SparkSession, source_base: str, report_base: str, arg_dat
                 run_ts: dt.datetime | str | None = None, lookback_days: int = 1) -> tuple[str, DataFrame]:
     """Morning report of the extracted days; returns (path written, latest report)."""
     bars = extract(spark, source_base, arg_date, lookback_days)
-    path = write_report(morning_report(bars), report_base, run_ts)
+    path = write_report(morning_report(bars, sort=True), report_base, run_ts)
     return path, latest_report(spark, report_base)
+
+
+def run_morning_with_model(spark: SparkSession, source_base: str, report_base: str, arg_date: str,
+                           run_ts: dt.datetime | str | None = None, lookback_days: int = 1
+                           ) -> tuple[str, DataFrame, DataFrame]:
+    """The class-based job: extract, morning report, OLS of close on open for the
+    run date minus one day (P8, M1), store the report.
+
+    Returns (path written, the report read back, the one-row model).
+    """
+    from barquet.plans.models import fit_open_close
+    bars = extract(spark, source_base, arg_date, lookback_days)
+    report = morning_report(bars, sort=True)
+    day = (dt.datetime.strptime(arg_date, "%Y-%m-%d").date() - dt.timedelta(days=1)).isoformat()
+    path = write_report(report, report_base, run_ts)
+    stored = latest_report(spark, report_base)
+    return path, stored, fit_open_close(stored, day)

@@ -104,17 +104,17 @@ morning as (select w.ISIN, w.Date, start_price, end_price, minimum_price, maximu
 
 @register("d2_morning_report", _morning_sql("trades") + " select * from morning")
 def d2_morning_report(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.morning_report(fx.trades(spark, sf))
+    return reports.morning_report(fx.trades(spark, sf), sort=True)
 
 
 @register("d2_morning_report_wide", _morning_sql("trades_wide") + " select * from morning")
 def d2_morning_report_wide(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.morning_report(fx.trades_wide(spark, sf))
+    return reports.morning_report(fx.trades_wide(spark, sf), sort=True)
 
 
 @register("d2_morning_report_dirty", _morning_sql("trades_dirty") + " select * from morning")
 def d2_morning_report_dirty(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.morning_report(fx.trades_dirty(spark, sf))
+    return reports.morning_report(fx.trades_dirty(spark, sf), sort=True)
 
 
 @register("a3_max_end_price", _morning_sql("trades") + " select max(end_price) as max_end_price from morning")

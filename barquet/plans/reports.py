@@ -72,17 +72,22 @@ def daily_report(bars: DataFrame, arg_date: str | None = None, close_col: str =
 
 def morning_report(bars: DataFrame, lo: str = MORNING_OPEN, hi: str = MORNING_CLOSE,
                    rate: float = EUR_TO_MXN, subset: Sequence[str] | None | object = _ALL,
-                   tiebreak: str | None = None) -> DataFrame:
+                   tiebreak: str | None = None, sort: bool = False) -> DataFrame:
     """Morning report per (ISIN, Date).
 
     Open/close of the whole day, low/high/volume of the bars strictly
     between ``lo`` and ``hi``, the close converted at ``rate``, and the
-    sample standard deviation of (open, close). One aggregate, one shuffle.
+    sample standard deviation of (open, close). One aggregate, one shuffle
+    With ``sort`` the rows come in (ISIN, Date) order, as the reference's
+    grouping produces them; it costs a range shuffle of the (small) report,
+    which Spark keeps even below order-sensitive aggregates, so it is off
+    unless the report itself is the output.
     """
     clean = drop_missing(bars, subset)
     m = morning_ohlcv(clean, lo, hi, tiebreak)
-    return m.select(
+    out = m.select(
         "ISIN", "Date", "start_price", "end_price", "minimum_price", "maximum_price",
         "daily_traded_volume",
         convert_currency("end_price", rate).alias("end_price_mx"),
         row_stddev("start_price", "end_price").alias("standard_deviation"))
+    return out.orderBy("ISIN", "Date") if sort else out

@@ -126,3 +126,19 @@ def test_by_name_grouped_layouts_equal_broadcast_path(spark):
     a = sorted(tuple(r) for r in read_csv_by_name(spark, src).collect())
     b = sorted(tuple(r) for r in read_csv_by_name(spark, src, broadcast_files=0).collect())
     assert a == b and len(a) == 4
+
+
+def test_run_morning_with_model(spark):
+    from barquet.plans.etl import run_morning_with_model
+    root = tempfile.mkdtemp(prefix="bq-rmm-")
+    lines = []
+    for i, isin in enumerate(["A", "B", "C"]):
+        for d in ("2022-12-30", "2022-12-31"):
+            lines.append(f"{isin},X,{d},09:00,{10 + i},{12 + i},{9 + i},{11 + 2 * i},5\n")
+    _write(f"{root}/src/2022-12-30/a.csv", HDR + "".join(l for l in lines if "12-30" in l))
+    _write(f"{root}/src/2022-12-31/a.csv", HDR + "".join(l for l in lines if "12-31" in l))
+    path, stored, model = run_morning_with_model(spark, f"{root}/src", f"{root}/rep", "2022-12-31",
+                                                 run_ts="20230328_000509")
+    assert path.endswith("report_ts=20230328_000509") and stored.count() == 6
+    m = model.collect()[0]
+    assert (m.n, round(m.slope, 9), round(m.intercept, 9), round(m.r2, 9)) == (3, 2.0, -9.0, 1.0)
