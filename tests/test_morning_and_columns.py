@@ -138,3 +138,12 @@ def test_half_even_matches_numpy_property(spark):
         assert got == [float(v) for v in np.round(np.array(xs, dtype=float), 2)]
 
     check()
+
+
+def test_drop_missing_subset_and_nan(spark):
+    from barquet.operators.bars import drop_missing
+    df = spark.createDataFrame([("A", 1.0, None), ("B", float("nan"), "x"), (None, 2.0, "y"), ("C", 3.0, "z")],
+                               "ISIN string, EndPrice double, extra string")
+    assert sorted(r.ISIN for r in drop_missing(df).collect()) == ["A", "C"]          # bar columns only
+    assert sorted(r.ISIN for r in drop_missing(df, None).collect()) == ["C"]         # every column
+    assert sorted(r.ISIN or "-" for r in drop_missing(df, ["extra"]).collect()) == ["-", "B", "C"]
