@@ -216,3 +216,14 @@ def test_p_value_matches_mllib_normal_solver(spark):
     assert math.isclose(model.coefficients[0], ours.slope, rel_tol=1e-9)
     assert math.isclose(model.summary.pValues[0], ours.p_value, rel_tol=1e-6)
     assert math.isclose(model.summary.coefficientStandardErrors[0], ours.stderr, rel_tol=1e-6)
+
+
+def test_one_class_binned_close_to_exact(spark):
+    rng = np.random.default_rng(8)
+    vals = rng.normal(50, 4, size=1200)
+    df = spark.createDataFrame([("s", i, float(v)) for i, v in enumerate(vals)], "k string, idx int, Close double")
+    exact = {r.idx: r for r in one_class_flags(df, "k", "Close", nu=0.05, max_distinct=None).collect()}
+    binned = {r.idx: r for r in one_class_flags(df, "k", "Close", nu=0.05, max_distinct=300).collect()}
+    assert not any(r.approximate for r in exact.values()) and all(r.approximate for r in binned.values())
+    agree = sum(exact[i].is_anomaly == binned[i].is_anomaly for i in exact) / len(exact)
+    assert agree >= 0.99
