@@ -65,7 +65,12 @@ def daily_report(bars: DataFrame, arg_date: str | None = None, close_col: str =
         rep = with_dense_index(rep, ["ISIN", "Date"], name="index")
     if arg_date is not None:
         rep = rep.filter(F.col("Date") >= F.lit(arg_date))
-    if sort:
+    if sort and with_index:
+        # already range-partitioned on (ISIN, Date) and sorted inside each
+        # partition by the index step (filter and broadcast join keep that),
+        # so partition order is key order: no second range shuffle
+        rep = rep.sortWithinPartitions("ISIN", "Date")
+    elif sort:
         rep = rep.orderBy("ISIN", "Date")
     return rep
 

@@ -72,3 +72,14 @@ def test_dense_index_with_aqe_sized_split(spark):
     df = spark.range(0, 5000, numPartitions=7).selectExpr("(id * 7919) % 5000 as k")
     out = with_dense_index(df, ["k"]).collect()
     assert sorted((r["index"], r.k) for r in out) == [(i, i) for i in range(5000)]
+
+
+def test_indexed_report_comes_out_in_key_order(spark):
+    from barquet.sources import fixtures as fx
+    rep = daily_report(fx.trades_wide(spark, "/root/testdata/sf0.01"), arg_date="2024-01-10")
+    rows = rep.collect()
+    keys = [(r.ISIN, r.Date) for r in rows]
+    assert keys == sorted(keys) and len(rows) > 1000
+    idx = [r["index"] for r in rows]
+    assert idx == sorted(idx)
+    assert "rangepartitioning" not in rep._jdf.queryExecution().executedPlan().toString()
