@@ -245,7 +245,8 @@ def _round(df: DataFrame, digits: dict[str, int]) -> DataFrame:
 
 
 def _re(x: str, d: int) -> str:
-    return f"round_even(({x}) * {10 ** d}.0, 0) / {10 ** d}.0"
+    scale = repr(float(10.0 ** d))
+    return f"round_even(({x}) * {scale}, 0) / {scale}"
 
 
 @register("w5_lead7_pairs", _morning_sql("trades") + """ select ISIN, Date, end_price,
@@ -430,7 +431,7 @@ def m6b_ar1_forecast(spark: SparkSession, sf: str) -> DataFrame:
   p as (select l.series_id, case when idx < cut then 'train' else 'test' end as split,
     (Close - (c + phi * y1)) as d from l join f on l.series_id = f.series_id join n on l.series_id = n.series_id
     where y1 is not null)
-  select series_id, split, """ + _re("sqrt(avg(d * d))", 2) + " as rmse, " + _re("avg(d * d)", 0)
+  select series_id, split, """ + _re("sqrt(avg(d * d))", 2) + " as rmse, " + _re("avg(d * d)", -2)
           + """ as mse from p group by series_id, split""")
 def a7_a8_ar1_errors(spark: SparkSession, sf: str) -> DataFrame:
     from barquet.operators.forecast import ar1_fitted
@@ -438,7 +439,7 @@ def a7_a8_ar1_errors(spark: SparkSession, sf: str) -> DataFrame:
     from barquet.operators.series import chrono_split
     fitted = ar1_fitted(fx.closes(spark, sf), "series_id", "idx", "Close")
     parts = chrono_split(fitted, "series_id", "idx", 0.8)
-    return _round(errors_by(parts, "Close", "prediction", ["series_id", "split"]), {"rmse": 2, "mse": 0})
+    return _round(errors_by(parts, "Close", "prediction", ["series_id", "split"]), {"rmse": 2, "mse": -2})
 
 
 @register("m8_actual_and_forecast", _w("closes") + _AR1 + """, s as (select f.*, unnest(generate_series(1, 7))
