@@ -83,3 +83,16 @@ def test_indexed_report_comes_out_in_key_order(spark):
     idx = [r["index"] for r in rows]
     assert idx == sorted(idx)
     assert "rangepartitioning" not in rep._jdf.queryExecution().executedPlan().toString()
+
+
+def test_empty_inputs(spark):
+    from barquet.operators.forecast import arma11_forecast
+    from barquet.operators.ordering import with_dense_index
+    from barquet.plans.reports import morning_report
+    empty = spark.createDataFrame([], "ISIN string, Date string, Time string, StartPrice double, MaxPrice double, "
+                                      "MinPrice double, EndPrice double, TradedVolume bigint")
+    assert daily_report(empty, arg_date="2024-01-01").count() == 0
+    assert morning_report(empty).count() == 0
+    assert with_dense_index(spark.range(0).toDF("k"), ["k"]).count() == 0
+    s = spark.createDataFrame([], "k string, idx int, v double")
+    assert arma11_forecast(s, "k", "idx", "v", days=3).count() == 0
