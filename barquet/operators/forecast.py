@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from barquet.operators.series import DEFAULT_BLOCK, with_shifts
+from barquet.operators.series import DEFAULT_BLOCK, discounted_cumsum, with_shifts
 from barquet.session import materialize
 
 
@@ -116,8 +116,50 @@ def solve_normal_equations(sums: DataFrame, keys: Sequence[str], dim: int, prefi
     return sums.mapInPandas(solve, schema)
 
 
+def arma11_css_refine(lagged: DataFrame, params: DataFrame, keys: Sequence[str], idx: str, iterations: int,
+                      max_root: float = 0.999) -> DataFrame:
+    """Gauss-Newton steps on the conditional sum of squares of ARMA(1,1).
+
+    ``lagged`` has the centred value ``_bq_y`` and its lag ``_bq_y1``;
+    ``params`` has ``c, phi, theta`` per key (the two-stage estimate as a
+    start). The residuals ``e_t = u_t - theta e_(t-1)`` with
+    ``u_t = y_t - c - phi y_(t-1)`` and their derivatives in ``phi`` and
+    ``theta`` are linear recurrences in ``r = -theta``, computed by
+    :func:`barquet.operators.series.discounted_cumsum` (blocked, no per-series
+    task); the derivative in ``c`` is ``-(1 - r^t) / (1 - r)``. Each step
+    aggregates ``J'J`` and ``J'e`` per key and solves the 3x3 system. A step
+    that would leave ``|phi| < 1`` or ``|theta| < max_root`` is not taken.
+    """
+    keys = list(keys)
+    rows = lagged.select(*keys, idx, "_bq_y", "_bq_y1")
+    for _ in range(iterations):
+        p = rows.join(params.select(*keys, "c", "phi", "theta"), on=keys).withColumn("_bq_r", -F.col("theta"))
+        has = F.col("_bq_y1").isNotNull()
+        p = (p.withColumn("_bq_u", F.when(has, F.col("_bq_y") - F.col("c") - F.col("phi") * F.col("_bq_y1")))
+              .withColumn("_bq_xb", F.when(has, -F.col("_bq_y1"))))
+        eb = discounted_cumsum(p, keys, idx, ["_bq_u", "_bq_xb"], "_bq_r", ["_bq_e", "_bq_db"])
+        e1 = with_shifts(eb, keys, idx, "_bq_e", lags=[1], lag_name="_bq_e1").withColumn("_bq_xg", -F.col("_bq_e1"))
+        full = discounted_cumsum(e1, keys, idx, ["_bq_xg"], "_bq_r", ["_bq_dg"])
+        r, t = F.col("_bq_r"), F.col(idx).cast("double")
+        d_c = -(F.lit(1.0) - F.pow(r, t)) / (F.lit(1.0) - r)
+        jac = [d_c, F.col("_bq_db"), F.col("_bq_dg")]
+        sums = full.filter(F.col(idx) >= 1).groupBy(*keys).agg(*_sym_sums(jac, -F.col("_bq_e"), "gn"))
+        step = solve_normal_equations(sums, keys, 3, "gn", ["_d_c", "_d_phi", "_d_theta"])
+        cand = params.join(step, on=keys, how="left")
+        nphi, ntheta = F.col("phi") + F.col("_d_phi"), F.col("theta") + F.col("_d_theta")
+        take = (F.abs(nphi) < 1) & (F.abs(ntheta) < max_root) & ~F.isnan(nphi) & ~F.isnan(ntheta) \
+            & ~F.isnan(F.col("_d_c"))
+        take = F.coalesce(take, F.lit(False))
+        params = materialize(cand.select(
+            *keys,
+            F.when(take, F.col("c") + F.col("_d_c")).otherwise(F.col("c")).alias("c"),
+            F.when(take, nphi).otherwise(F.col("phi")).alias("phi"),
+            F.when(take, ntheta).otherwise(F.col("theta")).alias("theta")))
+    return params
+
+
 def arma11_fit(series: DataFrame, key: str | Sequence[str], idx: str, value: str, ar_order: int = 10,
-               block: int = DEFAULT_BLOCK, min_n: int = 31) -> DataFrame:
+               block: int = DEFAULT_BLOCK, min_n: int = 31, css_iterations: int = 0) -> DataFrame:
     """ARMA(1,1) with constant per key by two-stage regression.
 
     (1) long AR(``ar_order``) by least squares on the centred series,
@@ -128,7 +170,9 @@ def arma11_fit(series: DataFrame, key: str | Sequence[str], idx: str, value: str
     last centred value, last innovation, last position, n, and ``ok``
     (``|phi| < 1``, ``|theta| < 1``, ``n >= min_n``). ``series`` is read
     twice (statistics, lags); the lag table is written once and read by the
-    three stages.
+    three stages. ``css_iterations`` > 0 refines the two-stage estimate by
+    that many Gauss-Newton steps on the conditional sum of squares
+    (:func:`arma11_css_refine`), which moves it toward the likelihood fit.
     """
     keys = _keys(key)
     p = ar_order
@@ -155,6 +199,9 @@ def arma11_fit(series: DataFrame, key: str | Sequence[str], idx: str, value: str
     z2 = [F.lit(1.0), lag[0], F.col("_bq_e1")]
     s2 = with_e.groupBy(*keys).agg(*_sym_sums(z2, y, "s2"))
     arma = solve_normal_equations(s2, keys, 3, "s2", ["c", "phi", "theta"])
+    if css_iterations > 0:
+        arma = arma11_css_refine(lagged.withColumn("_bq_y1", lag[0]), materialize(arma), keys, idx,
+                                 css_iterations)
 
     # stage 3: last innovation
     fit = stats.join(arma, on=keys)
@@ -168,10 +215,10 @@ def arma11_fit(series: DataFrame, key: str | Sequence[str], idx: str, value: str
 
 
 def arma11_forecast(series: DataFrame, key: str | Sequence[str], idx: str, value: str, days: int,
-                    ar_order: int = 10, block: int = DEFAULT_BLOCK) -> DataFrame:
+                    ar_order: int = 10, block: int = DEFAULT_BLOCK, css_iterations: int = 0) -> DataFrame:
     """``days + 1`` forecasts per key after the last position (M6); NULL when the fit fails its guards."""
     keys = _keys(key)
-    fit = arma11_fit(series, keys, idx, value, ar_order, block)
+    fit = arma11_fit(series, keys, idx, value, ar_order, block, css_iterations=css_iterations)
     c, phi, theta = F.col("c"), F.col("phi"), F.col("theta")
     f1 = c + phi * F.col("last_centred") + theta * F.col("last_innovation")
     mu = c / (F.lit(1.0) - phi)

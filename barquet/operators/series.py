@@ -154,3 +154,47 @@ def series_tail(df: DataFrame, key: str | Sequence[str], idx: str, k: int) -> Da
     keys = _keys(key)
     n = series_length(df, keys)
     return df.join(n, on=keys).filter(F.col(idx) >= F.col("n") - k).drop("n")
+
+
+def discounted_cumsum(df: DataFrame, key: str | Sequence[str], idx: str, xs: Sequence[str], r: str,
+                      names: Sequence[str], digits: int = 20) -> DataFrame:
+    """``z_t = sum_{s<=t} r^(t-s) x_s`` per key, i.e. ``z_t = x_t + r z_(t-1)``, for each column of ``xs``.
+
+    ``r`` is a column constant within a key, with ``|r| < 1``; ``idx`` is
+    dense; a NULL ``x`` counts as 0. The recurrence is sequential, but it
+    splits: rows are cut into blocks of ``B`` positions with ``|r|^B <
+    10^-digits``; inside a block a running sum of ``r^-(t - t0) x_t`` gives the
+    block-local value (``|r|^-B`` stays below ``10^digits``, so nothing
+    overflows), and the previous block's last local value carries in with
+    ``r^(t - t0 + 1)``. Older blocks would contribute less than ``10^-digits``
+    of that, below double precision, so the result equals the sequential
+    recurrence. One task handles one block, never a whole series; block ends
+    meet their successors through an equi-join on ``(key, block)``.
+    ``|r| < 1e-15`` is treated as 0 (``z = x``).
+    """
+    keys = _keys(key)
+    rr = F.col(r)
+    small = F.abs(rr) < F.lit(1e-15)
+    blen = F.when(small, F.lit(1)).otherwise(
+        F.greatest(F.lit(2), F.ceil(F.lit(float(digits)) / -F.log10(F.abs(rr))))).cast("long")
+    t = F.col(idx).cast("long")
+    base = (df.withColumn("_bq_B", blen)
+            .withColumn("_bq_blk", F.floor(t / F.col("_bq_B")))
+            .withColumn("_bq_k", (t - F.col("_bq_blk") * F.col("_bq_B")).cast("double"))
+            .repartition(*keys, "_bq_blk"))
+    w = Window.partitionBy(*keys, "_bq_blk").orderBy(F.col(idx)).rowsBetween(Window.unboundedPreceding, 0)
+    inv = F.when(small, F.lit(0.0)).otherwise(F.pow(rr, -F.col("_bq_k")))
+    fwd = F.when(small, F.lit(0.0)).otherwise(F.pow(rr, F.col("_bq_k")))
+    local = base
+    for x, n in zip(xs, names):
+        cum = F.sum(inv * F.coalesce(F.col(x), F.lit(0.0))).over(w)
+        local = local.withColumn(f"_bq_loc_{n}", F.when(small, F.coalesce(F.col(x), F.lit(0.0))).otherwise(fwd * cum))
+    ends = local.groupBy(*keys, "_bq_blk").agg(
+        *[F.max_by(f"_bq_loc_{n}", F.col(idx)).alias(f"_bq_end_{n}") for n in names]) \
+        .withColumn("_bq_blk", F.col("_bq_blk") + 1)
+    out = local.join(ends, on=[*keys, "_bq_blk"], how="left")
+    carry = F.when(small, F.lit(0.0)).otherwise(F.pow(rr, F.col("_bq_k") + 1))
+    for n in names:
+        out = out.withColumn(n, F.col(f"_bq_loc_{n}") + carry * F.coalesce(F.col(f"_bq_end_{n}"), F.lit(0.0)))
+    drop = ["_bq_B", "_bq_blk", "_bq_k"] + [f"_bq_loc_{n}" for n in names] + [f"_bq_end_{n}" for n in names]
+    return out.drop(*drop)

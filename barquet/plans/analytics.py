@@ -15,11 +15,14 @@ from barquet.session import materialize
 
 def analyze_series(series: DataFrame, days: int, nu: float, key: str | Sequence[str] = "series_id",
                    idx: str = "idx", value: str = "Close",
-                   max_distinct: int = DEFAULT_MAX_DISTINCT) -> dict[str, DataFrame]:
+                   max_distinct: int | None = DEFAULT_MAX_DISTINCT,
+                   css_iterations: int = 0) -> dict[str, DataFrame]:
     """The web form's job for every series at once.
 
     ``days``: forecast horizon (``days + 1`` ARMA(1,1) steps are returned);
-    ``nu``: the one-class model's bound on the anomaly share. Returns
+    ``nu``: the one-class model's bound on the anomaly share;
+    ``css_iterations``: Gauss-Newton steps refining the ARMA fit toward the
+    conditional least-squares optimum (0 keeps the two-stage estimate). Returns
     ``forecast`` (labelled forecast rows), ``chart`` (actual then forecast
     on one position axis), ``scored`` (every row with score and flag) and
     ``anomalies`` (positions and prices of flagged rows).
@@ -30,7 +33,7 @@ def analyze_series(series: DataFrame, days: int, nu: float, key: str | Sequence[
     # the forecast, the anomaly model and the chart each read the series:
     # write its three columns once instead of recomputing whatever produced it
     series = materialize(series.select(*keys, idx, value))
-    fc = arma11_forecast(series, key, idx, value, days)
+    fc = arma11_forecast(series, key, idx, value, days, css_iterations=css_iterations)
     scored = one_class_flags(series, key, value, nu, max_distinct)
     return {
         "forecast": forecast_only(fc, key, idx),

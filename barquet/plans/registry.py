@@ -465,6 +465,13 @@ def m6_arma11_forecast(spark: SparkSession, sf: str) -> DataFrame:
     return arma11_forecast(fx.closes_smooth(spark, sf), "series_id", "idx", "Close", days=7)
 
 
+@register("m6_arma11_forecast_css")
+def m6_arma11_forecast_css(spark: SparkSession, sf: str) -> DataFrame:
+    """ARMA(1,1) forecasts (days = 7) after 5 conditional-sum-of-squares Gauss-Newton steps."""
+    from barquet.operators.forecast import arma11_forecast
+    return arma11_forecast(fx.closes_smooth(spark, sf), "series_id", "idx", "Close", days=7, css_iterations=5)
+
+
 @register("m7_one_class_flags")
 def m7_one_class_flags(spark: SparkSession, sf: str) -> DataFrame:
     """Every close with its one-class score and anomaly flag (nu = 0.05)."""

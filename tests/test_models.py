@@ -227,3 +227,37 @@ def test_one_class_binned_close_to_exact(spark):
     assert not any(r.approximate for r in exact.values()) and all(r.approximate for r in binned.values())
     agree = sum(exact[i].is_anomaly == binned[i].is_anomaly for i in exact) / len(exact)
     assert agree >= 0.99
+
+
+def _css_gauss_newton(y, c, phi, theta, iters):
+    yc = y - y.mean()
+    n = len(yc)
+    for _ in range(iters):
+        e, a, b, g = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
+        for t in range(1, n):
+            e[t] = yc[t] - c - phi * yc[t - 1] - theta * e[t - 1]
+            a[t] = -1 - theta * a[t - 1]
+            b[t] = -yc[t - 1] - theta * b[t - 1]
+            g[t] = -e[t - 1] - theta * g[t - 1]
+        jac = np.column_stack([a[1:], b[1:], g[1:]])
+        step = np.linalg.lstsq(jac.T @ jac, -jac.T @ e[1:], rcond=None)[0]
+        c, phi, theta = c + step[0], phi + step[1], theta + step[2]
+    return c, phi, theta
+
+
+def test_arma11_css_refinement_equals_sequential(spark):
+    y = _arma(2500, 0.7, 0.45, 30.0, 13)
+    df = spark.createDataFrame([("s", i, float(v)) for i, v in enumerate(y)], "k string, idx int, v double")
+    hr = arma11_fit(df, "k", "idx", "v").collect()[0]
+    ref = arma11_fit(df, "k", "idx", "v", css_iterations=3).collect()[0]
+    c, phi, theta = _css_gauss_newton(y, hr.c, hr.phi, hr.theta, 3)
+    assert math.isclose(ref.phi, phi, rel_tol=1e-7) and math.isclose(ref.theta, theta, rel_tol=1e-7)
+    assert math.isclose(ref.c, c, rel_tol=1e-5, abs_tol=1e-8)
+    # the refined fit has a smaller conditional sum of squares than the two-stage start
+    def sse(c, phi, theta):
+        yc = y - y.mean()
+        e = np.zeros(len(yc))
+        for t in range(1, len(yc)):
+            e[t] = yc[t] - c - phi * yc[t - 1] - theta * e[t - 1]
+        return float(np.sum(e ** 2))
+    assert sse(ref.c, ref.phi, ref.theta) <= sse(hr.c, hr.phi, hr.theta)

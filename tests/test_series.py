@@ -75,3 +75,24 @@ def test_one_long_series_is_split_across_tasks(spark):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert stats.rows == n and stats.ok1 == n - 1 and stats.ok5 == n - 5
     assert stats.tasks >= 4  # 13 blocks of one series spread over several shuffle partitions
+
+
+def test_discounted_cumsum_equals_recurrence(spark):
+    import numpy as np
+    from barquet.operators.series import discounted_cumsum
+    rng = np.random.default_rng(3)
+    rows, want = [], {}
+    for k, (n, r) in {"a": (500, -0.7), "b": (300, 0.95), "c": (50, 0.0), "d": (200, 1e-4)}.items():
+        x = rng.normal(size=n)
+        x[5] = np.nan if k == "a" else x[5]
+        z, prev = np.zeros(n), 0.0
+        for t in range(n):
+            prev = (0.0 if np.isnan(x[t]) else x[t]) + r * prev
+            z[t] = prev
+        want[k] = z
+        rows += [(k, t, None if np.isnan(v) else float(v), r) for t, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "k string, idx int, x double, r double")
+    got = discounted_cumsum(df, "k", "idx", ["x"], "r", ["z"]).collect()
+    for row in got:
+        assert abs(row.z - want[row.k][row.idx]) <= 1e-9 * (1 + abs(want[row.k][row.idx]))
+    assert len(got) == 1050
