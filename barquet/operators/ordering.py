@@ -12,8 +12,9 @@ not by the data.
 The range split is sampled, and two evaluations of it could draw different
 bounds; the split rows are therefore written once with ``checkpoint()``
 (to the session's ``spark.checkpoint.dir``) and both the counts and the
-positions read that copy. It is the reduced table (one row per order key
-of a report), it survives executor loss, and it cuts the lineage.
+positions read that copy. In the reports that copy is the reduced table
+(one row per security and day); it survives executor loss and cuts the
+lineage.
 """
 
 from __future__ import annotations
