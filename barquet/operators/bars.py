@@ -74,10 +74,6 @@ def time_order_key(time_col: str = "Time", tiebreak: str | None = None) -> Colum
     return key + F.col(tiebreak).cast("long") if tiebreak else key
 
 
-def _order_key(time_col: str, tiebreak: str | None) -> Column:
-    return time_order_key(time_col, tiebreak)
-
-
 _ORD = "_bq_ord"
 
 
@@ -98,18 +94,6 @@ def last_by_key(value: str, key: str = _ORD) -> Column:
     return F.max_by(v, F.when(v.isNotNull(), F.col(key)))
 
 
-def first_by_time(value: str, time_col: str = "Time", tiebreak: str | None = None) -> Column:
-    """Aggregate: the first non-missing ``value`` of the group in time order."""
-    v = F.col(value)
-    return F.min_by(v, F.when(v.isNotNull(), _order_key(time_col, tiebreak)))
-
-
-def last_by_time(value: str, time_col: str = "Time", tiebreak: str | None = None) -> Column:
-    """Aggregate: the last non-missing ``value`` of the group in time order."""
-    v = F.col(value)
-    return F.max_by(v, F.when(v.isNotNull(), _order_key(time_col, tiebreak)))
-
-
 def daily_ohlcv(bars: DataFrame, open_col: str = "StartPrice", close_col: str = "EndPrice",
                 tiebreak: str | None = None, extra_keys: Sequence[str] = ()) -> DataFrame:
     """One row per (ISIN, Date): open, close, low, high, volume (A1).

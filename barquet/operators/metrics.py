@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barquet.functions.columns import squared_error
+
 
 def errors_by(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
     """RMSE and MSE of prediction ``p`` against ``y`` per group (rows with either missing skipped)."""
-    d = F.col(y) - F.col(p)
-    sq = F.when(d.isNotNull(), d * d)
+    sq = squared_error(y, p)
     agg = [F.sqrt(F.avg(sq)).alias("rmse"), F.avg(sq).alias("mse")]
     return df.groupBy(*by).agg(*agg) if by else df.agg(*agg)

@@ -92,11 +92,6 @@ def work_dir(spark: SparkSession, *parts: str) -> str:
     return os.path.join(base, "barquet", *parts, uuid.uuid4().hex)
 
 
-def num_partitions(spark: SparkSession) -> int:
-    """The session's shuffle partition count (used for explicit range splits)."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def materialize(df):
     """Write ``df`` once to the shared checkpoint folder and return a DataFrame over that copy.
 

@@ -142,3 +142,15 @@ def test_run_morning_with_model(spark):
     assert path.endswith("report_ts=20230328_000509") and stored.count() == 6
     m = model.collect()[0]
     assert (m.n, round(m.slope, 9), round(m.intercept, 9), round(m.r2, 9)) == (3, 2.0, -9.0, 1.0)
+
+
+def test_run_morning_and_read_report(spark):
+    from barquet.plans.etl import run_morning
+    from barquet.sources.files import read_report
+    root = tempfile.mkdtemp(prefix="bq-rm-")
+    _write(f"{root}/src/2024-01-02/a.csv", HDR + "A,X,2024-01-02,09:00,1,2,0.5,1.5,10\nA,X,2024-01-02,13:00,2,3,1,2.5,4\n")
+    path, latest = run_morning(spark, f"{root}/src", f"{root}/rep", "2024-01-02", run_ts="20240102_120000")
+    r = latest.collect()[0]
+    assert (r.start_price, r.end_price, r.daily_traded_volume) == (1.0, 2.5, 10)
+    back = read_report(spark, path).collect()[0]
+    assert back.end_price_mx == 2.5 * 19.08
