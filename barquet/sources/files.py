@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from barquet.operators.ordering import with_dense_index
+from barquet.session import materialize
 from barquet.sources.schemas import BAR_SCHEMA, CLOSE_FILE_SCHEMA
 
 _DAY = re.compile(r"^\d{4}-\d{2}-\d{2}$")
@@ -112,47 +113,116 @@ def read_csv_strict(spark: SparkSession, paths: Sequence[str] | str, schema: Str
             .option("mode", "PERMISSIVE").csv(list(paths) if not isinstance(paths, str) else paths))
 
 
+def _path_key(c: F.Column) -> F.Column:
+    """Comparable form of a file URI (``file:/x`` and ``file:///x`` name the same file)."""
+    return F.regexp_replace(c, r"^file:/+", "file:///")
+
+
+def _decoded(uri: str) -> str:
+    """A listed (URL-encoded) file URI as a path string Spark's readers accept."""
+    from urllib.parse import unquote
+    return unquote(uri)
+
+
+def _header_positions(line: str, lowered: list[str], min_hits: int) -> list[int | None] | None:
+    """Column position of every target name in one header line (None if it is not a header)."""
+    cells = [c.strip().strip('"').strip().lower() for c in line.lstrip("\ufeff").split(",")]
+    pos = [cells.index(n) if n in cells else None for n in lowered]
+    return pos if sum(p is not None for p in pos) >= min_hits else None
+
+
+def _first_line_headers(spark: SparkSession, files: list[str], lowered: list[str], min_hits: int) -> DataFrame:
+    """Per-file column positions read from each file's first line on the executors.
+
+    One small read per file (the first 64 KiB, decompressed by extension),
+    spread over tasks; nothing of the data is scanned. Files that cannot be
+    opened this way (a scheme the Arrow file systems do not know) raise, and
+    the caller falls back to finding header lines in a scan.
+    """
+    from pyspark.sql.types import IntegerType
+
+    pos_fields = [StructField(f"_bq_pos{k}", IntegerType()) for k in range(len(lowered))]
+    schema = StructType([StructField("_bq_key", StringType())] + pos_fields)
+
+    def heads(batches):
+        import pandas as pd
+        import pyarrow.fs as pafs
+        for pdf in batches:
+            rows = []
+            for uri in pdf["_bq_uri"]:
+                fs, path = pafs.FileSystem.from_uri(uri)
+                with fs.open_input_stream(path, compression="detect") as stream:
+                    chunk = stream.read(65536)
+                line = chunk.split(b"\n", 1)[0].decode("utf-8", errors="replace").rstrip("\r")
+                pos = _header_positions(line, lowered, min_hits)
+                if pos is not None:
+                    rows.append([uri] + pos)
+            yield pd.DataFrame(rows, columns=[f.name for f in schema.fields])
+
+    listing = spark.createDataFrame([(f,) for f in files], "_bq_uri string")
+    listing = listing.repartition(max(1, min(len(files), spark.sparkContext.defaultParallelism * 4)))
+    out = listing.mapInPandas(heads, schema).withColumn("_bq_key", _path_key(F.col("_bq_key")))
+    return materialize(out)
+
+
 def read_csv_by_name(spark: SparkSession, paths: Sequence[str] | str, schema: StructType = BAR_SCHEMA,
-                     max_columns: int = 32, broadcast_files: int = 100_000) -> DataFrame:
+                     max_columns: int = 32, broadcast_files: int = 100_000,
+                     header_source: str = "first_line") -> DataFrame:
     """Read CSV files matching columns by header name, per file.
 
-    Every line is read as up to ``max_columns`` text cells with its file
-    path; header lines (at least two cells equal to names of ``schema``) give
-    each file's column positions; data lines take each target column from its
-    position in their own file. Columns a file lacks are NULL, extra columns
-    are ignored, and text that does not convert to the target type is NULL.
-
-    The per-file header table has one row per file, a size the driver knows
-    from the listing. Up to ``broadcast_files`` files it is broadcast to the
-    scan (no shuffle of rows). Beyond that, files are grouped by header layout
-    (there are a handful of distinct layouts) and each group is read with its
-    own positions in one scan, then the groups are unioned by name: no join
-    and no shuffle of rows either way.
-
-    Cost: the files are scanned twice (header lines, then data lines), since
-    a row can only be mapped once its file's header is known. When every
-    file is known to carry the declared header, :func:`read_csv_strict` reads
-    them in one scan.
+    Each file's header gives its column positions; every data line takes each
+    target column from its position in its own file. Columns a file lacks are
+    NULL, extra columns are ignored, text that does not convert to the target
+    type is NULL, and a file whose first line is not a header (fewer than two
+    names of ``schema``) contributes no rows.
+
+    Headers (``header_source="first_line"``): executors read the first line of
+    every listed file, a few KiB each, so the data itself is scanned once.
+    Where that is not possible, or with ``header_source="scan"``, header
+    lines are found in a scan of the files (every line read as up to
+    ``max_columns`` cells), which reads the data twice.
+
+    Data: one positional scan with ``header=true`` (Spark skips each file's
+    first line). The per-file position table has one row per file, a size the
+    driver knows from the listing: up to ``broadcast_files`` files it is
+    broadcast to the scan; beyond that, files are grouped by header layout (a
+    handful of distinct layouts) and each group is read with constant
+    positions, then the groups are unioned by name. Rows are never shuffled.
+    When every file is known to carry the declared header,
+    :func:`read_csv_strict` does the same in one scan without the header step.
     """
     path_list = list(paths) if not isinstance(paths, str) else [paths]
     cells = [f"_c{i}" for i in range(max_columns)]
     raw_schema = StructType([StructField(c, StringType()) for c in cells])
-
-    def scan(src: list[str]) -> DataFrame:
-        return (spark.read.schema(raw_schema).option("header", False).option("mode", "PERMISSIVE").csv(src)
-                .withColumn("_bq_file", F.col("_metadata.file_path")))
-
-    raw = scan(path_list)
     names = [f.name for f in schema.fields]
     lowered = [n.lower() for n in names]
-    hits = sum((F.when(F.lower(F.trim(F.col(c))).isin(lowered), F.lit(1)).otherwise(F.lit(0)) for c in cells),
-               F.lit(0))
-    is_header = hits >= F.lit(min(2, len(names)))
+    min_hits = min(2, len(names))
     pos_cols = [f"_bq_pos{k}" for k in range(len(names))]
-    headers = (raw.filter(is_header).groupBy("_bq_file")
-               .agg(*[F.first(F.coalesce(*[F.when(F.lower(F.trim(F.col(c))) == n.lower(), F.lit(i))
-                                          for i, c in enumerate(cells)])).alias(pos_cols[k])
-                      for k, n in enumerate(names)]))
+
+    def scan(src: list[str], header: bool) -> DataFrame:
+        return (spark.read.schema(raw_schema).option("header", header).option("mode", "PERMISSIVE").csv(src)
+                .withColumn("_bq_key", _path_key(F.col("_metadata.file_path"))))
+
+    files = spark.read.format("text").load(path_list).inputFiles()
+    headers = None
+    from_scan = False
+    if header_source == "first_line" and files:
+        try:
+            headers = _first_line_headers(spark, files, lowered, min_hits)
+            data = scan(path_list, header=True)
+        except Exception:  # noqa: BLE001 - an unsupported file system: find the header lines in a scan
+            headers = None
+    if headers is None:
+        from_scan = True
+        raw = scan(path_list, header=False)
+        hits = sum((F.when(F.lower(F.trim(F.col(c))).isin(lowered), F.lit(1)).otherwise(F.lit(0)) for c in cells),
+                   F.lit(0))
+        is_header = hits >= F.lit(min_hits)
+        headers = (raw.filter(is_header).groupBy("_bq_key")
+                   .agg(*[F.first(F.coalesce(*[F.when(F.lower(F.trim(F.col(c))) == n, F.lit(i))
+                                              for i, c in enumerate(cells)])).alias(pos_cols[k])
+                          for k, n in enumerate(lowered)]))
+        data = raw.filter(~is_header)
 
     def project(rows: DataFrame, pos: dict[str, object]) -> DataFrame:
         arr = F.array(*[F.col(c) for c in cells])
@@ -165,16 +235,20 @@ def read_csv_by_name(spark: SparkSession, paths: Sequence[str] | str, schema: St
             out.append(val.alias(f.name))
         return rows.select(*out)
 
-    n_files = len(raw.inputFiles())
-    if n_files <= broadcast_files:
+    if len(files) <= broadcast_files:
         # bounded by the file count checked above
-        data = raw.filter(~is_header).join(F.broadcast(headers), on="_bq_file", how="inner")
-        return project(data, {c: c for c in pos_cols})
-    layouts = headers.groupBy(*pos_cols).agg(F.collect_list("_bq_file").alias("files")).collect()
-    parts = [project(scan(list(lay["files"])).filter(~is_header), {c: lay[c] for c in pos_cols})
-             for lay in layouts]
+        joined = data.join(F.broadcast(headers), on="_bq_key", how="inner")
+        return project(joined, {c: c for c in pos_cols})
+    layouts = headers.groupBy(*pos_cols).agg(F.collect_list("_bq_key").alias("files")).collect()
+    parts = []
+    for lay in layouts:
+        part = scan([_decoded(f) for f in lay["files"]], header=not from_scan)
+        if from_scan:
+            part = part.filter(~(sum((F.when(F.lower(F.trim(F.col(c))).isin(lowered), F.lit(1)).otherwise(F.lit(0))
+                                      for c in cells), F.lit(0)) >= F.lit(min_hits)))
+        parts.append(project(part, {c: lay[c] for c in pos_cols}))
     if not parts:
-        return project(raw.filter(F.lit(False)), {c: None for c in pos_cols})
+        return project(data.filter(F.lit(False)), {c: None for c in pos_cols})
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -234,8 +308,8 @@ def extract(spark: SparkSession, base: str, arg_date: str, lookback_days: int =
     The lookback day feeds the previous close of the first reported day; a
     lookback of one calendar day misses it after a weekend, hence the
     argument. Raises when no day qualifies. ``by_name=False`` switches to the
-    single-scan strict reader for trees whose files all carry ``schema``'s
-    header.
+    strict reader (no header step) for trees whose files all carry
+    ``schema``'s header.
     """
     run = dt.datetime.strptime(arg_date, "%Y-%m-%d").date()
     cutoff = run - dt.timedelta(days=lookback_days)

@@ -154,3 +154,29 @@ def test_run_morning_and_read_report(spark):
     assert (r.start_price, r.end_price, r.daily_traded_volume) == (1.0, 2.5, 10)
     back = read_report(spark, path).collect()[0]
     assert back.end_price_mx == 2.5 * 19.08
+
+
+@pytest.mark.parametrize("source", ["first_line", "scan"])
+@pytest.mark.parametrize("bound", [100_000, 0])
+def test_by_name_paths_agree_with_spaces(spark, source, bound):
+    base = tempfile.mkdtemp(prefix="bq sp ")
+    _write(f"{base}/2024-01-01/a file.csv", HDR + "A,X,2024-01-01,09:00,1,2,0.5,1.5,10\n")
+    _write(f"{base}/2024-01-01/b.csv", "Time,ISIN,Date,EndPrice\n10:00,B,2024-01-01,NA\n11:00,B,2024-01-01,7.5\n")
+    _write(f"{base}/2024-01-02/c.csv", "Time,ISIN,Date,EndPrice\n10:30,C,2024-01-02,3.25\n")
+    _write(f"{base}/2024-01-02/junk.csv", "no header here\n1,2,3\n")
+    got = sorted(tuple(r) for r in read_csv_by_name(spark, [f"{base}/2024-01-01", f"{base}/2024-01-02"],
+                                                     broadcast_files=bound, header_source=source).collect())
+    assert [(r[0], r[3], r[7]) for r in got] == [("A", "09:00", 1.5), ("B", "10:00", None), ("B", "11:00", 7.5),
+                                                 ("C", "10:30", 3.25)]
+
+
+def test_first_line_headers_read_without_scanning(spark):
+    from barquet.sources.files import _first_line_headers
+    base = tempfile.mkdtemp(prefix="bq-fl-")
+    _write(f"{base}/2024-01-01/b.csv", "Time,ISIN,Date,EndPrice\n10:00,B,2024-01-01,1\n")
+    files = spark.read.format("text").load(f"{base}/2024-01-01").inputFiles()
+    lowered = [f.name.lower() for f in BAR_SCHEMA.fields]
+    rows = _first_line_headers(spark, files, lowered, 2).collect()
+    assert len(rows) == 1 and rows[0]._bq_key.startswith("file:///")
+    pos = {f.name: rows[0][f"_bq_pos{k}"] for k, f in enumerate(BAR_SCHEMA.fields)}
+    assert (pos["Time"], pos["ISIN"], pos["Date"], pos["EndPrice"], pos["Mnemonic"]) == (0, 1, 2, 3, None)
