@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from barquet.operators.anomaly import DEFAULT_MAX_DISTINCT, one_class_flags
+from barquet.operators.anomaly import DEFAULT_MAX_DISTINCT, one_class_fit, one_class_score
 from barquet.operators.charts import actual_and_forecast, anomaly_points, forecast_only
 from barquet.operators.forecast import arma11_forecast
 from barquet.operators.mlmodels import lag_forecast, series_positions
@@ -35,8 +35,11 @@ def analyze_series(series: DataFrame, days: int, nu: float, key: str | Sequence[
     # the forecast, the anomaly model and the chart each read the series:
     # write its three columns once instead of recomputing whatever produced it
     series = materialize(series.select(*keys, idx, value))
-    fc = arma11_forecast(series, key, idx, value, days, css_iterations=css_iterations)
-    scored = one_class_flags(series, key, value, nu, max_distinct)
+    # the forecast and the one-class model each feed two outputs; both are
+    # small (days + 1 rows, one row per series): write them once
+    fc = materialize(arma11_forecast(series, key, idx, value, days, css_iterations=css_iterations))
+    model = materialize(one_class_fit(series, key, value, nu, max_distinct))
+    scored = one_class_score(series, model, key, value)
     return {
         "forecast": forecast_only(fc, key, idx),
         "chart": actual_and_forecast(series, fc, key, idx, value),
