@@ -96,3 +96,14 @@ def test_empty_inputs(spark):
     assert with_dense_index(spark.range(0).toDF("k"), ["k"]).count() == 0
     s = spark.createDataFrame([], "k string, idx int, v double")
     assert arma11_forecast(s, "k", "idx", "v", days=3).count() == 0
+
+
+def test_time_key_seconds_and_bad_times(spark):
+    df = spark.createDataFrame(
+        [("A", "2024-01-01", "09:00:30", 2.0, 2.0, 2.0, 2.0, 1), ("A", "2024-01-01", "09:00:05", 1.0, 1.0, 1.0, 1.0, 1),
+         ("A", "2024-01-01", "xx", 9.0, 9.0, 0.1, 9.0, 1), ("A", "2024-01-01", "10:00", 3.0, 3.0, 3.0, 3.0, 1)],
+        "ISIN string, Date string, Time string, StartPrice double, MaxPrice double, MinPrice double, "
+        "EndPrice double, TradedVolume bigint")
+    r = daily_ohlcv(df).collect()[0]
+    assert (r.opening_price_eur, r.closing_price_eur) == (1.0, 3.0)
+    assert (r.minimum_price_eur, r.maximum_price_eur, r.daily_traded_volume) == (0.1, 9.0, 4)
