@@ -68,16 +68,19 @@ select * from r {where}"""
 
 @register("d1_daily_report", _daily_sql("trades"))
 def d1_daily_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily report of the run date and later on the five-security bars, with the row index."""
     return reports.daily_report(fx.trades(spark, sf), arg_date=RUN_DATE)
 
 
 @register("d1_daily_report_wide", _daily_sql("trades_wide"))
 def d1_daily_report_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily report over many securities with few bars each."""
     return reports.daily_report(fx.trades_wide(spark, sf), arg_date=RUN_DATE)
 
 
 @register("d1_daily_report_dirty", _daily_sql("trades_dirty"))
 def d1_daily_report_dirty(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily report on bars with missing keys and closes: those rows are dropped first."""
     return reports.daily_report(fx.trades_dirty(spark, sf), arg_date=RUN_DATE)
 
 
@@ -104,21 +107,25 @@ morning as (select w.ISIN, w.Date, start_price, end_price, minimum_price, maximu
 
 @register("d2_morning_report", _morning_sql("trades") + " select * from morning")
 def d2_morning_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Morning report in key order."""
     return reports.morning_report(fx.trades(spark, sf), sort=True)
 
 
 @register("d2_morning_report_wide", _morning_sql("trades_wide") + " select * from morning")
 def d2_morning_report_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """Morning report over many securities; days without a morning bar vanish."""
     return reports.morning_report(fx.trades_wide(spark, sf), sort=True)
 
 
 @register("d2_morning_report_dirty", _morning_sql("trades_dirty") + " select * from morning")
 def d2_morning_report_dirty(spark: SparkSession, sf: str) -> DataFrame:
+    """Morning report on bars with missing values."""
     return reports.morning_report(fx.trades_dirty(spark, sf), sort=True)
 
 
 @register("a3_max_end_price", _morning_sql("trades") + " select max(end_price) as max_end_price from morning")
 def a3_max_end_price(spark: SparkSession, sf: str) -> DataFrame:
+    """Largest morning close (A3)."""
     from barquet.operators.bars import global_max
     return global_max(reports.morning_report(fx.trades(spark, sf)), "end_price", "max_end_price")
 
@@ -132,12 +139,14 @@ _EXPLORE_SQL = """ select count(*) as n_rows, 8 as n_columns,
 
 @register("d8_explore", _w("trades") + _EXPLORE_SQL.format(v="trades"))
 def d8_explore(spark: SparkSession, sf: str) -> DataFrame:
+    """Row, column, security and group counts of the bars."""
     from barquet.operators.bars import explore
     return explore(fx.trades(spark, sf))
 
 
 @register("d8_explore_dirty", _w("trades_dirty") + _EXPLORE_SQL.format(v="trades_dirty"))
 def d8_explore_dirty(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts with missing keys: a missing ISIN is one more distinct value, but no group."""
     from barquet.operators.bars import explore
     return explore(fx.trades_dirty(spark, sf))
 
@@ -149,6 +158,7 @@ def d8_explore_dirty(spark: SparkSession, sf: str) -> DataFrame:
     rows between unbounded preceding and unbounded following) as closing_price
   from trades""")
 def w1_w2_attach_open_close(spark: SparkSession, sf: str) -> DataFrame:
+    """Every bar with its day's first open and last close."""
     from barquet.operators.bars import attach_open_close
     return attach_open_close(fx.trades(spark, sf))
 
@@ -157,6 +167,7 @@ def w1_w2_attach_open_close(spark: SparkSession, sf: str) -> DataFrame:
   lag(arg_max(EndPrice, Time)) over (partition by ISIN order by Date) as prev_closing_price
   from trades group by ISIN, Date""")
 def w3_prev_close(spark: SparkSession, sf: str) -> DataFrame:
+    """Each day's close with the security's previous close."""
     from barquet.operators.bars import daily_ohlcv
     day = daily_ohlcv(fx.trades(spark, sf)).select("ISIN", "Date", "closing_price_eur")
     return reports.previous_close(day)
@@ -165,30 +176,35 @@ def w3_prev_close(spark: SparkSession, sf: str) -> DataFrame:
 @register("p1_p2_clean_bars", _w("trades_dirty") + f""" select ISIN, Date, Time, EndPrice from trades_dirty
   where {_NOT_NULL_BARS}""")
 def p1_p2_clean_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """Projection and missing-value cleaning of the dirty bars."""
     from barquet.operators.bars import drop_missing, select_columns
     return select_columns(drop_missing(fx.trades_dirty(spark, sf)), ["ISIN", "Date", "Time", "EndPrice"])
 
 
 @register("p3_key_equals", _w("trades") + " select * from trades where ISIN = 'click'")
 def p3_key_equals(spark: SparkSession, sf: str) -> DataFrame:
+    """Bars of one security."""
     from pyspark.sql import functions as F
     return fx.trades(spark, sf).filter(F.col("ISIN") == "click")
 
 
 @register("p4_key_in_list", _w("trades") + " select * from trades where ISIN in ('click', 'view', 'error')")
 def p4_key_in_list(spark: SparkSession, sf: str) -> DataFrame:
+    """Bars of a list of securities."""
     from pyspark.sql import functions as F
     return fx.trades(spark, sf).filter(F.col("ISIN").isin("click", "view", "error"))
 
 
 @register("p5_morning_bars", _w("trades") + " select * from trades where Time > '08:00' and Time < '12:00'")
 def p5_morning_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """Bars strictly between 08:00 and 12:00 (P5)."""
     from barquet.functions.columns import time_between_exclusive
     return fx.trades(spark, sf).filter(time_between_exclusive("Time"))
 
 
 @register("p6_after_open", _w("trades") + " select * from trades where Time > '08:00'")
 def p6_after_open(spark: SparkSession, sf: str) -> DataFrame:
+    """Bars after 08:00."""
     from barquet.functions.columns import time_after
     return fx.trades(spark, sf).filter(time_after("Time"))
 
@@ -196,6 +212,7 @@ def p6_after_open(spark: SparkSession, sf: str) -> DataFrame:
 @register("p8_report_of_previous_day", _morning_sql("trades")
           + f" select * from morning where Date = strftime(date '{RUN_DATE}' - interval 1 day, '%Y-%m-%d')")
 def p8_report_of_previous_day(spark: SparkSession, sf: str) -> DataFrame:
+    """Morning report rows of the run date minus one day."""
     from pyspark.sql import functions as F
     from barquet.functions.columns import previous_day
     day = F.date_format(previous_day(F.lit(RUN_DATE)), "yyyy-MM-dd")
@@ -205,6 +222,7 @@ def p8_report_of_previous_day(spark: SparkSession, sf: str) -> DataFrame:
 @register("p9_report_date_range", _morning_sql("trades")
           + " select * from morning where Date >= '2024-01-05' and Date <= '2024-01-12'")
 def p9_report_date_range(spark: SparkSession, sf: str) -> DataFrame:
+    """Morning report rows in a closed date range."""
     from pyspark.sql import functions as F
     return reports.morning_report(fx.trades(spark, sf)).filter(F.col("Date").between("2024-01-05", "2024-01-12"))
 
@@ -225,12 +243,14 @@ def f6_next_days(spark: SparkSession, sf: str) -> DataFrame:
 @register("f7_price_labels", _morning_sql("trades")
           + " select ISIN, Date, printf('%.2f', round_even(end_price * 100, 0) / 100) as label from morning")
 def f7_price_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Two-decimal labels of the morning closes."""
     from barquet.functions.columns import two_decimal_label
     return reports.morning_report(fx.trades(spark, sf)).select("ISIN", "Date", two_decimal_label("end_price").alias("label"))
 
 
 @register("o4_first_ten_bars", _w("trades") + " select * from trades order by ISIN, Date, Time limit 10")
 def o4_first_ten_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """First ten bars in key order."""
     from barquet.operators.ordering import head
     return head(fx.trades(spark, sf), ["ISIN", "Date", "Time"], 10)
 
@@ -252,6 +272,7 @@ def _re(x: str, d: int) -> str:
 @register("w5_lead7_pairs", _morning_sql("trades") + """ select ISIN, Date, end_price,
   lead(end_price, 7) over (partition by ISIN order by Date) as target from morning qualify target is not null""")
 def w5_lead7_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Each morning close with the close seven report rows later."""
     from barquet.operators.series import lead_pairs
     m = reports.morning_report(fx.trades(spark, sf)).select("ISIN", "Date", "end_price")
     return lead_pairs(m, "ISIN", "Date", "end_price", 7)
@@ -264,6 +285,7 @@ def w5_lead7_pairs(spark: SparkSession, sf: str) -> DataFrame:
     case when idx < cut then cut else n - cut end as split_len
   from closes c join n on c.series_id = n.series_id""")
 def w7_chrono_split(spark: SparkSession, sf: str) -> DataFrame:
+    """80/20 chronological split of each close series."""
     from barquet.operators.series import chrono_split
     return chrono_split(fx.closes(spark, sf), "series_id", "idx", 0.8)
 
@@ -277,6 +299,7 @@ _SCALED = """, mm as (select series_id, min(Close) as scale_min,
 @register("m2_minmax_scale", _w("closes") + _SCALED + """ select series_id, idx, Close, v as Close_scaled,
   v * scale_range + scale_min as Close_restored from sc""")
 def m2_minmax_scale(spark: SparkSession, sf: str) -> DataFrame:
+    """Per-series min-max scaling and its inverse (M2)."""
     from barquet.operators.series import minmax_inverse, minmax_scale
     s = minmax_scale(fx.closes(spark, sf), "series_id", "Close", name="Close_scaled")
     return s.select("series_id", "idx", "Close", "Close_scaled", minmax_inverse("Close_scaled").alias("Close_restored"))
@@ -295,6 +318,7 @@ _LAGS = ", ".join(f"lag(v, {k}) over w as f{10 - k}" for k in range(10, 0, -1))
   select series_id, idx, split, {", ".join(f"f{i}" for i in range(10))}, v as target from l
   where idx - st >= 10 and idx - st <= len - 2""")
 def w6_lag_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten-step lag windows inside each chronological part of the scaled series."""
     from pyspark.sql import functions as F
     from barquet.operators.series import lag_windows, minmax_scale
     s = minmax_scale(fx.closes(spark, sf), "series_id", "Close", name="v")
@@ -305,6 +329,7 @@ def w6_lag_windows(spark: SparkSession, sf: str) -> DataFrame:
 @register("w8_last_ten", _w("closes") + """ select series_id, idx, Close from closes
   qualify row_number() over (partition by series_id order by idx desc) <= 10""")
 def w8_last_ten(spark: SparkSession, sf: str) -> DataFrame:
+    """Last ten positions of each series."""
     from barquet.operators.ordering import last_k_per_key
     return last_k_per_key(fx.closes(spark, sf), ["series_id"], "idx", 10)
 
@@ -326,6 +351,7 @@ _M6 = {"slope": 6, "intercept": 6, "r2": 6}
 
 @register("m1_open_close_ols", _morning_sql("trades_wide") + _ols_sql("morning", "Date"))
 def m1_open_close_ols(spark: SparkSession, sf: str) -> DataFrame:
+    """OLS of morning close on open across securities, one model per day (M1)."""
     from barquet.operators.regression import ols_fit
     m = reports.morning_report(fx.trades_wide(spark, sf))
     return _round(ols_fit(m, "end_price", "start_price", by="Date"), _M6)
@@ -338,6 +364,7 @@ def m1_open_close_ols(spark: SparkSession, sf: str) -> DataFrame:
   select m.ISIN, m.Date, m.start_price, m.end_price, """ + _re("s * m.start_price + i", 6) + """ as prediction
   from morning m join f on m.Date = f.Date""")
 def m1_fitted_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Fitted closes from each day's model (M1)."""
     from barquet.operators.regression import ols_fit, ols_predict
     m = reports.morning_report(fx.trades_wide(spark, sf)).select("ISIN", "Date", "start_price", "end_price")
     fit = ols_fit(m, "end_price", "start_price", by="Date")
@@ -347,6 +374,7 @@ def m1_fitted_values(spark: SparkSession, sf: str) -> DataFrame:
 @register("d5_fit_open_close_day", _morning_sql("trades_wide")
           + ", one as (select * from morning where Date = '2024-01-09')" + _ols_sql("one", None))
 def d5_fit_open_close_day(spark: SparkSession, sf: str) -> DataFrame:
+    """One-day open-to-close regression."""
     from barquet.plans.models import fit_open_close
     return _round(fit_open_close(reports.morning_report(fx.trades_wide(spark, sf)), "2024-01-09"), _M6)
 
@@ -355,6 +383,7 @@ def d5_fit_open_close_day(spark: SparkSession, sf: str) -> DataFrame:
           + ", rng as (select * from morning where Date >= '2024-01-08' and Date <= '2024-01-10')"
           + _ols_sql("rng", None))
 def d5_fit_open_close_range(spark: SparkSession, sf: str) -> DataFrame:
+    """Open-to-close regression over a date range."""
     from barquet.plans.models import fit_open_close
     return _round(fit_open_close(reports.morning_report(fx.trades_wide(spark, sf)), "2024-01-08", "2024-01-10"), _M6)
 
@@ -377,6 +406,7 @@ _LINREG_GLOBAL_SQL = _w("trades") + """, tw as (select * from trades where Date
 @register("m1b_linregress", _LINREG_SQL.format(a="2024-01-08", b="2024-01-10") + " select ISIN, "
           + ", ".join(f"{_re(c, d)} as {c}" for c, d in _LR_DIG.items()) + ", n from lr")
 def m1b_linregress(spark: SparkSession, sf: str) -> DataFrame:
+    """Slope, intercept, r and standard errors of close on open per security."""
     from pyspark.sql import functions as F
     from barquet.operators.regression import linregress
     t = fx.trades(spark, sf).filter(F.col("Date").between("2024-01-08", "2024-01-10"))
@@ -401,6 +431,7 @@ def m1b_p_value(spark: SparkSession, sf: str) -> DataFrame:
     """ + _re("lr.slope * f.first_StartPrice + lr.intercept", 6) + """ as predicted_EndPrice
   from days d left join firsts f on d.ISIN = f.ISIN and d.Date = f.Date join lr on d.ISIN = lr.ISIN""")
 def m1c_next_days_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    """Per security, three dates scored from each day's first open; no data gives NULL."""
     from pyspark.sql import functions as F
     from barquet.operators.regression import linregress, predict_days_ahead
     t = fx.trades(spark, sf)
@@ -422,6 +453,7 @@ _AR1 = """, l as (select series_id, idx, Close, lag(Close) over (partition by se
     case when abs(phi) < 1 then """ + _re("c / (1 - phi) + pow(phi, step) * (yn - c / (1 - phi))", 2)
           + """ end as forecast from s""")
 def m6b_ar1_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    """100-step AR(1) forecasts per close series."""
     from barquet.operators.forecast import ar1_forecast
     return _round(ar1_forecast(fx.closes(spark, sf), "series_id", "idx", "Close", steps=100), {"forecast": 2})
 
@@ -434,6 +466,7 @@ def m6b_ar1_forecast(spark: SparkSession, sf: str) -> DataFrame:
   select series_id, split, """ + _re("sqrt(avg(d * d))", 2) + " as rmse, " + _re("avg(d * d)", -2)
           + """ as mse from p group by series_id, split""")
 def a7_a8_ar1_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """RMSE and MSE of one-step AR(1) predictions per series and part."""
     from barquet.operators.forecast import ar1_fitted
     from barquet.operators.metrics import errors_by
     from barquet.operators.series import chrono_split
@@ -451,6 +484,7 @@ def a7_a8_ar1_errors(spark: SparkSession, sf: str) -> DataFrame:
     union all select * from fc)
   select series_id, idx, kind, value, printf('%.2f', """ + _re("value", 2) + """) as label from u""")
 def m8_actual_and_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    """Actual closes followed by AR(1) forecasts with labels."""
     from barquet.operators.charts import actual_and_forecast
     from barquet.operators.forecast import ar1_forecast
     c = fx.closes(spark, sf)
@@ -481,12 +515,14 @@ def m7_one_class_flags(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("d6_analyze_series_chart")
 def d6_analyze_series_chart(spark: SparkSession, sf: str) -> DataFrame:
+    """Actual closes followed by the ARMA(1,1) forecast of the series job."""
     from barquet.plans.analytics import analyze_series
     return analyze_series(fx.closes_smooth(spark, sf), days=5, nu=0.05)["chart"]
 
 
 @register("d6_analyze_series_anomalies")
 def d6_analyze_series_anomalies(spark: SparkSession, sf: str) -> DataFrame:
+    """Positions and prices the series job flags."""
     from barquet.plans.analytics import analyze_series
     return analyze_series(fx.closes_smooth(spark, sf), days=5, nu=0.05)["anomalies"]
 
