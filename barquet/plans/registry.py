@@ -668,3 +668,75 @@ def m1c_next_days_forecast_global(spark: SparkSession, sf: str) -> DataFrame:
                        by=None, p_value=False)
     out = predict_days_ahead(t, model, "2024-01-29", 3, by=None, tiebreak="ISIN")
     return _round(out.select("Date", "first_StartPrice", "predicted_EndPrice"), {"predicted_EndPrice": 6})
+
+
+# --- option variants ------------------------------------------------------------
+
+@register("d1_daily_report_clustered", _daily_sql("trades"))
+def d1_daily_report_clustered(spark: SparkSession, sf: str) -> DataFrame:
+    """The daily report with the single-exchange option (bars clustered by security first)."""
+    return reports.daily_report(fx.trades(spark, sf), arg_date=RUN_DATE, cluster_by_security=True)
+
+
+@register("m2_minmax_scale_train_fit", _w("closes") + """, n as (select series_id,
+  cast(floor(count(*) * 0.8) as bigint) as cut from closes group by series_id),
+  mm as (select c.series_id, min(Close) as scale_min, coalesce(nullif(max(Close) - min(Close), 0), 1.0) as scale_range
+    from closes c join n on c.series_id = n.series_id where c.idx < n.cut group by c.series_id)
+  select c.series_id, c.idx, c.Close, (c.Close - scale_min) / scale_range as Close_scaled
+  from closes c join mm on c.series_id = mm.series_id""")
+def m2_minmax_scale_train_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """Min-max scaling fitted on the training part only (no test rows in the bounds) (M2)."""
+    from pyspark.sql import functions as F
+    from barquet.operators.series import chrono_split, minmax_scale
+    c = fx.closes(spark, sf)
+    parts = chrono_split(c, "series_id", "idx", 0.8)
+    s = minmax_scale(parts, "series_id", "Close", name="Close_scaled", where=F.col("split") == "train")
+    return s.select("series_id", "idx", "Close", "Close_scaled")
+
+
+@register("w8_series_tail", _w("closes") + """ select series_id, idx, Close from closes
+  qualify row_number() over (partition by series_id order by idx desc) <= 10""")
+def w8_series_tail(spark: SparkSession, sf: str) -> DataFrame:
+    """Last ten positions of each dense series from its length, without a sort."""
+    from barquet.operators.series import series_tail
+    return series_tail(fx.closes(spark, sf), "series_id", "idx", 10).select("series_id", "idx", "Close")
+
+
+@register("s3_read_strict", _w("trades") + " select * from trades")
+def s3_read_strict(spark: SparkSession, sf: str) -> DataFrame:
+    """The dated CSV tree read in one scan with the declared header (enforceSchema off) (S3)."""
+    from barquet.sources.files import day_paths_since, read_csv_strict
+    base = _landing(spark, sf)
+    return read_csv_strict(spark, day_paths_since(spark, base, "1970-01-01"), fx.trades(spark, sf).schema)
+
+
+@register("m1b_linregress_global", _w("trades") + """, tw as (select * from trades
+  where Date >= '2024-01-08' and Date <= '2024-01-10'),
+  g as (select regr_slope(EndPrice, StartPrice) as slope, regr_intercept(EndPrice, StartPrice) as intercept,
+    least(greatest(corr(StartPrice, EndPrice), -1.0), 1.0) as r,
+    cast(regr_count(EndPrice, StartPrice) as bigint) as n, var_pop(StartPrice) as vx, var_pop(EndPrice) as vy,
+    avg(StartPrice) as mx from tw),
+  lr as (select slope, intercept, r, sqrt((1 - r * r) * vy / (vx * (n - 2))) as stderr,
+    sqrt((1 - r * r) * vy / (vx * (n - 2))) * sqrt(vx + mx * mx) as intercept_stderr, n from g)
+  select """ + ", ".join(f"{_re(c, d)} as {c}" for c, d in _LR_DIG.items()) + ", n from lr")
+def m1b_linregress_global(spark: SparkSession, sf: str) -> DataFrame:
+    """One regression over every bar of a date window, as the sketch has it."""
+    from pyspark.sql import functions as F
+    from barquet.operators.regression import linregress
+    t = fx.trades(spark, sf).filter(F.col("Date").between("2024-01-08", "2024-01-10"))
+    return _round(linregress(t, "EndPrice", "StartPrice", by=None, p_value=False), _LR_DIG)
+
+
+@register("w6_lag_windows_whole_series", _w("closes") + _SCALED + f""", n as (select series_id, count(*) as n
+  from closes group by series_id),
+  l as (select sc.series_id, idx, n, v, {_LAGS} from sc join n on sc.series_id = n.series_id
+    window w as (partition by sc.series_id order by idx))
+  select series_id, idx, {", ".join(f"f{i}" for i in range(10))}, v as target from l
+  where idx >= 10 and idx <= n - 2""")
+def w6_lag_windows_whole_series(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten-step lag windows over each whole scaled series (no split)."""
+    from pyspark.sql import functions as F
+    from barquet.operators.series import lag_windows, minmax_scale
+    s = minmax_scale(fx.closes(spark, sf), "series_id", "Close", name="v")
+    w = lag_windows(s, "series_id", "idx", "v", time_step=10, frac=None)
+    return w.select("series_id", "idx", *[F.col("features")[i].alias(f"f{i}") for i in range(10)], "target")
