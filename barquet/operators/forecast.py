@@ -97,21 +97,24 @@ def solve_normal_equations(sums: DataFrame, keys: Sequence[str], dim: int, prefi
 
     def solve(batches):
         for pdf in batches:
-            rows = []
-            for _, r in pdf.iterrows():
-                a = np.empty((dim, dim))
-                b = np.empty(dim)
-                ok = True
-                for i in range(dim):
-                    b[i] = r[f"{prefix}_xy_{i}"]
-                    for j in range(i, dim):
-                        v = r[f"{prefix}_xx_{i}_{j}"]
-                        a[i, j] = a[j, i] = v
-                if not (np.all(np.isfinite(a)) and np.all(np.isfinite(b))):
-                    ok = False
-                coef = np.linalg.lstsq(a, b, rcond=None)[0] if ok else np.full(dim, np.nan)
-                rows.append([r[k] for k in keys] + [float(c) for c in coef])
-            yield pd.DataFrame(rows, columns=keys + list(out_names))
+            m = len(pdf)
+            a = np.empty((m, dim, dim))
+            b = np.empty((m, dim))
+            for i in range(dim):
+                b[:, i] = pdf[f"{prefix}_xy_{i}"].to_numpy(dtype=float, na_value=np.nan)
+                for j in range(i, dim):
+                    v = pdf[f"{prefix}_xx_{i}_{j}"].to_numpy(dtype=float, na_value=np.nan)
+                    a[:, i, j] = v
+                    a[:, j, i] = v
+            ok = np.isfinite(a).all(axis=(1, 2)) & np.isfinite(b).all(axis=1)
+            coef = np.full((m, dim), np.nan)
+            if ok.any():
+                # batched pseudo-inverse: the minimum-norm least-squares answer, also for singular systems
+                coef[ok] = np.einsum("kij,kj->ki", np.linalg.pinv(a[ok]), b[ok])
+            out = pdf[keys].reset_index(drop=True).copy()
+            for i, n in enumerate(out_names):
+                out[n] = coef[:, i]
+            yield out
 
     return sums.mapInPandas(solve, schema)
 
