@@ -60,21 +60,30 @@ def _table_exists(spark: SparkSession, path: str) -> bool:
 
 
 def upsert_days(batch: DataFrame, table_path: str, ddl: str = DAILY_TABLE_DDL) -> None:
-    """Replace the rows of ``batch``'s (ISIN, Date) keys in the day-partitioned table."""
+    """Replace the rows of ``batch``'s (ISIN, Date) keys in the day-partitioned table.
+
+    The micro-batch is used several times (touched days, anti-join, union),
+    so it is persisted for the call instead of re-running the batch's plan.
+    """
+    from pyspark import StorageLevel
     spark = batch.sparkSession
-    dates = [r.Date for r in batch.select("Date").distinct().collect()]  # days touched: a short list
-    if not dates:
-        return
-    if _table_exists(spark, table_path):
-        kept = (spark.read.schema(ddl).parquet(table_path).filter(F.col("Date").isin(dates))
-                .join(batch.select(*KEYS), on=KEYS, how="left_anti"))
-        merged = kept.unionByName(batch.select(*kept.columns))
-        # the touched partitions are read and rewritten: write them from a copy
-        merged = materialize(merged)
-    else:
-        merged = batch
-    (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("Date").parquet(table_path))
+    batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        dates = [r.Date for r in batch.select("Date").distinct().collect()]  # days touched: a short list
+        if not dates:
+            return
+        if _table_exists(spark, table_path):
+            kept = (spark.read.schema(ddl).parquet(table_path).filter(F.col("Date").isin(dates))
+                    .join(batch.select(*KEYS), on=KEYS, how="left_anti"))
+            merged = kept.unionByName(batch.select(*kept.columns))
+            # the touched partitions are read and rewritten: write them from a copy
+            merged = materialize(merged)
+        else:
+            merged = batch
+        (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("Date").parquet(table_path))
+    finally:
+        batch.unpersist()
 
 
 def _start(spark: SparkSession, source_base: str, table_path: str, checkpoint_location: str, schema: StructType,
