@@ -180,3 +180,18 @@ def test_first_line_headers_read_without_scanning(spark):
     assert len(rows) == 1 and rows[0]._bq_key.startswith("file:///")
     pos = {f.name: rows[0][f"_bq_pos{k}"] for k, f in enumerate(BAR_SCHEMA.fields)}
     assert (pos["Time"], pos["ISIN"], pos["Date"], pos["EndPrice"], pos["Mnemonic"]) == (0, 1, 2, 3, None)
+
+
+def test_command_line_daily_and_series(spark, capsys):
+    from barquet.__main__ import main
+    root = tempfile.mkdtemp(prefix="bq-cli-")
+    for d in ("2022-12-30", "2022-12-31"):
+        _write(f"{root}/src/{d}/a.csv", HDR + f"A,X,{d},09:00,10,11,9,10.5,5\n")
+    assert main(["daily", "--source", f"{root}/src", "--reports", f"{root}/rep", "--date", "2022-12-31",
+                 "--run-ts", "20230101_000000"]) == 0
+    assert "report_ts=20230101_000000" in capsys.readouterr().out
+    os.makedirs(f"{root}/closes")
+    with open(f"{root}/closes/S.csv", "w") as f:
+        f.write("Close\n" + "\n".join(str(50 + (i % 7) * 0.3 + (i % 3) * 0.1) for i in range(80)) + "\n")
+    assert main(["series", "--closes", f"{root}/closes", "--out", f"{root}/out", "--days", "2", "--nu", "0.1"]) == 0
+    assert spark.read.parquet(f"{root}/out/forecast").count() == 3
