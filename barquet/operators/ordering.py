@@ -50,7 +50,23 @@ def with_dense_index(df: DataFrame, order_cols: Sequence[str | Column], name: st
     # ranges are merged, which keeps the order); the split is written before
     # partition ids are read, so they cannot change afterwards.
     split = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
-    ranged = materialize(split.sortWithinPartitions(*order))
+    out = index_ordered_partitions(materialize(split.sortWithinPartitions(*order)), name)
+    if keys:
+        base = out.groupBy(*keys).agg(F.min(name).alias("_bq_base"))
+        out = out.join(base, on=keys).withColumn(name, F.col(name) - F.col("_bq_base")).drop("_bq_base")
+    cols = [c for c in out.columns if c != name]
+    ordered = [name] + cols if first else cols + [name]
+    return out.select(*[F.col(f"`{c}`") for c in ordered])
+
+
+def index_ordered_partitions(ranged: DataFrame, name: str = "index") -> DataFrame:
+    """Number the rows of a materialized DataFrame whose partitions are already in order.
+
+    ``ranged`` must come from :func:`barquet.session.materialize` of a range
+    split sorted within partitions (partition i holds keys before partition
+    i + 1), so partition ids and positions are fixed. Adds ``name`` =
+    running count of earlier partitions + position inside the partition.
+    """
     mid = F.monotonically_increasing_id()
     tagged = ranged.withColumn("_bq_mid", mid)
     pid = F.shiftright(F.col("_bq_mid"), _POS_BITS)
@@ -60,16 +76,10 @@ def with_dense_index(df: DataFrame, order_cols: Sequence[str | Column], name: st
         "_bq_pid",
         F.coalesce(F.sum("_bq_n").over(Window.orderBy("_bq_pid").rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("_bq_off"))
-    out = (tagged.withColumn("_bq_pid", pid)
-           .join(F.broadcast(offsets), on="_bq_pid", how="left")
-           .withColumn(name, (F.col("_bq_off") + pos).cast("bigint"))
-           .drop("_bq_pid", "_bq_off", "_bq_mid"))
-    if keys:
-        base = out.groupBy(*keys).agg(F.min(name).alias("_bq_base"))
-        out = out.join(base, on=keys).withColumn(name, F.col(name) - F.col("_bq_base")).drop("_bq_base")
-    cols = [c for c in out.columns if c != name]
-    ordered = [name] + cols if first else cols + [name]
-    return out.select(*[F.col(f"`{c}`") for c in ordered])
+    return (tagged.withColumn("_bq_pid", pid)
+            .join(F.broadcast(offsets), on="_bq_pid", how="left")
+            .withColumn(name, (F.col("_bq_off") + pos).cast("bigint"))
+            .drop("_bq_pid", "_bq_off", "_bq_mid"))
 
 
 def head(df: DataFrame, order_cols: Sequence[str | Column], k: int = 10) -> DataFrame:

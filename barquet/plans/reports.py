@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from barquet.functions.columns import (EUR_TO_MXN, MORNING_CLOSE, MORNING_OPEN, convert_currency,
                                        pct_change, round_numeric_columns, row_stddev)
 from barquet.operators.bars import _ALL, daily_ohlcv, drop_missing, morning_ohlcv
-from barquet.operators.ordering import with_dense_index
+from barquet.operators.ordering import index_ordered_partitions
+from barquet.session import materialize
 
 CHANGE = "change_prev_closing_%"
 
@@ -57,12 +58,19 @@ def daily_report(bars: DataFrame, arg_date: str | None = None, close_col: str =
     if cluster_by_security:
         clean = clean.repartition("ISIN")
     day = daily_ohlcv(clean, close_col=close_col, tiebreak=tiebreak)
+    if with_index:
+        # One exchange for both the lag window and the index: a range split on
+        # ISIN keeps each security (one row per day) in one partition, which
+        # the window needs, and sorted by (ISIN, Date) inside partitions it is
+        # already in index order.
+        day = day.repartitionByRange("ISIN").sortWithinPartitions("ISIN", "Date")
     withprev = previous_close(day)
     rep = withprev.withColumn(CHANGE, pct_change("closing_price_eur", "prev_closing_price")) \
                   .drop("prev_closing_price")
     rep = round_numeric_columns(rep, decimals)
     if with_index:
-        rep = with_dense_index(rep, ["ISIN", "Date"], name="index")
+        rep = index_ordered_partitions(materialize(rep), "index")
+        rep = rep.select("index", *[F.col(f"`{c}`") for c in rep.columns if c != "index"])
     if arg_date is not None:
         rep = rep.filter(F.col("Date") >= F.lit(arg_date))
     if sort and with_index:
