@@ -195,3 +195,14 @@ def test_command_line_daily_and_series(spark, capsys):
         f.write("Close\n" + "\n".join(str(50 + (i % 7) * 0.3 + (i % 3) * 0.1) for i in range(80)) + "\n")
     assert main(["series", "--closes", f"{root}/closes", "--out", f"{root}/out", "--days", "2", "--nu", "0.1"]) == 0
     assert spark.read.parquet(f"{root}/out/forecast").count() == 3
+
+
+def test_by_name_read_of_gzip_files(spark):
+    import gzip
+    base = tempfile.mkdtemp(prefix="bq-gz-")
+    os.makedirs(f"{base}/2024-01-01")
+    with gzip.open(f"{base}/2024-01-01/a.csv.gz", "wt") as f:
+        f.write("Time,ISIN,Date,EndPrice\n10:00,G,2024-01-01,2.5\n")
+    for source in ("first_line", "scan"):
+        rows = read_csv_by_name(spark, [f"{base}/2024-01-01"], header_source=source).collect()
+        assert [(r.ISIN, r.Time, r.EndPrice) for r in rows] == [("G", "10:00", 2.5)]
