@@ -326,13 +326,23 @@ def report_stamp(run_ts: dt.datetime | None = None) -> str:
     return (run_ts or dt.datetime.now()).strftime(_PY_TS)
 
 
-def write_report(report: DataFrame, base: str, run_ts: dt.datetime | str | None = None) -> str:
-    """Write a report as Parquet under ``base/report_ts=<stamp>`` (S6); returns the path.
-
-    Never overwrites: a second run with the same stamp fails.
+def write_report(report: DataFrame, base: str, run_ts: dt.datetime | str | None = None,
+                 layout: str = "partition", prefix: str = "daily_report_") -> str:
+    """Write a report as Parquet (S6); returns the path.
+
+    ``layout="partition"`` (default) writes ``base/report_ts=<stamp>``, so the
+    stamp is a partition column and the latest report is a partition filter.
+    ``layout="named"`` writes ``base/<prefix><stamp>.parquet``, one dataset per
+    run named like the object keys of a bucket. Never overwrites: a second run
+    with the same stamp fails.
     """
     stamp = run_ts if isinstance(run_ts, str) else report_stamp(run_ts)
-    path = f"{base.rstrip('/')}/report_ts={stamp}"
+    if layout == "partition":
+        path = f"{base.rstrip('/')}/report_ts={stamp}"
+    elif layout == "named":
+        path = f"{base.rstrip('/')}/{prefix}{stamp}.parquet"
+    else:
+        raise ValueError(f"unknown layout {layout!r}")
     report.write.mode("errorifexists").parquet(path)
     return path
 
@@ -348,9 +358,14 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def report_stamps(spark: SparkSession, base: str) -> list[str]:
+def report_stamps(spark: SparkSession, base: str, layout: str = "partition",
+                  prefix: str = "daily_report_") -> list[str]:
     """Stamps of the stored reports, from one listing of the report folder."""
-    return sorted(n[len("report_ts="):] for n in _list_dirs(spark, base) if n.startswith("report_ts="))
+    names = _list_dirs(spark, base)
+    if layout == "named":
+        pat = re.compile("^" + re.escape(prefix) + r"(\d{8}_\d{6})\.parquet$")
+        return sorted(m.group(1) for n in names for m in [pat.match(n)] if m)
+    return sorted(n[len("report_ts="):] for n in names if n.startswith("report_ts="))
 
 
 def list_reports(spark: SparkSession, base: str) -> DataFrame:
@@ -358,15 +373,20 @@ def list_reports(spark: SparkSession, base: str) -> DataFrame:
     return spark.read.parquet(base).select("report_ts").distinct()
 
 
-def latest_report(spark: SparkSession, base: str, keep_stamp: bool = False) -> DataFrame:
+def latest_report(spark: SparkSession, base: str, keep_stamp: bool = False, layout: str = "partition",
+                  prefix: str = "daily_report_") -> DataFrame:
     """The report with the greatest stamp.
 
-    Stamps sort as text in time order. The stamp is taken from the listing
-    and applied as a literal filter on the partition column, so only that
-    report's files are scanned (``PartitionFilters`` in the plan).
+    Stamps sort as text in time order. With the partition layout the stamp
+    is applied as a literal filter on the partition column, so only that
+    report's files are scanned (``PartitionFilters`` in the plan); with the
+    named layout the newest dataset is read directly.
     """
-    stamps = report_stamps(spark, base)
+    stamps = report_stamps(spark, base, layout, prefix)
     if not stamps:
         raise FileNotFoundError(f"no reports under {base}")
+    if layout == "named":
+        df = spark.read.parquet(f"{base.rstrip('/')}/{prefix}{stamps[-1]}.parquet")
+        return df.withColumn("report_ts", F.lit(stamps[-1])) if keep_stamp else df
     df = spark.read.parquet(base).filter(F.col("report_ts") == F.lit(stamps[-1]))
     return df if keep_stamp else df.drop("report_ts")

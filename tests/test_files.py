@@ -206,3 +206,18 @@ def test_by_name_read_of_gzip_files(spark):
     for source in ("first_line", "scan"):
         rows = read_csv_by_name(spark, [f"{base}/2024-01-01"], header_source=source).collect()
         assert [(r.ISIN, r.Time, r.EndPrice) for r in rows] == [("G", "10:00", 2.5)]
+
+
+def test_named_report_layout(spark):
+    from barquet.sources.files import latest_report, report_stamps, write_report
+    root = tempfile.mkdtemp(prefix="bq-named-")
+    a = spark.createDataFrame([("A", 1.0)], "ISIN string, v double")
+    b = spark.createDataFrame([("B", 2.0)], "ISIN string, v double")
+    p1 = write_report(a, root, "20230217_232455", layout="named", prefix="xr_")
+    write_report(b, root, "20230328_000509", layout="named", prefix="xr_")
+    assert p1.endswith("/xr_20230217_232455.parquet")
+    assert report_stamps(spark, root, layout="named", prefix="xr_") == ["20230217_232455", "20230328_000509"]
+    got = latest_report(spark, root, keep_stamp=True, layout="named", prefix="xr_").collect()
+    assert [(r.ISIN, r.report_ts) for r in got] == [("B", "20230328_000509")]
+    with pytest.raises(Exception):
+        write_report(b, root, "20230328_000509", layout="named", prefix="xr_")
