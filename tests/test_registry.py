@@ -59,3 +59,20 @@ def test_query_matches_oracle(spark, con, name):
 def test_query_without_oracle_runs(spark, name):
     df = E.queries()[name](spark, SF)
     assert df.count() >= 0 and len(df.columns) > 0
+
+
+@pytest.mark.parametrize("name", ["d1_daily_report", "w6_lag_windows", "m1_fitted_values", "s1_s3_extract_dated_csv"])
+def test_correct_without_aqe_or_auto_broadcast(spark, con, name):
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.shuffle.partitions": "37"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = E.queries()[name](spark, SF)
+        rows = [tuple(r) for r in df.collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    cur = con.execute(E.oracle_sql()[name])
+    assert _canon(df.columns, rows) == _canon([d[0] for d in cur.description], cur.fetchall())
