@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from barquet.operators.bars import time_order_key
+
 
 def _keys(by: str | Sequence[str] | None) -> list[str]:
     if by is None:
@@ -165,10 +167,18 @@ def predict_days_ahead(bars: DataFrame, model: DataFrame, start_date: str, perio
     base = model.select(*keys).distinct() if keys else model.select(F.lit(1).alias("_bq_one"))
     days = base.select(*keys, F.explode(F.sequence(d0, F.date_add(d0, periods - 1))).alias("_d")) \
         .select(*keys, F.date_format("_d", "yyyy-MM-dd").alias("Date"))
-    firsts = bars.filter(F.col(x).isNotNull()) \
+    in_days = bars.filter(F.col(x).isNotNull()) \
         .filter(F.col("Date").between(F.date_format(d0, "yyyy-MM-dd"),
                                       F.date_format(F.date_add(d0, periods - 1), "yyyy-MM-dd"))) \
-        .groupBy(*keys, "Date").agg(F.min_by(x, F.struct(time_col, tiebreak) if tiebreak else F.col(time_col))
-                                    .alias(f"first_{x}"))
+        .withColumn("_bq_ord", time_order_key(time_col))
+    # first by time with the long key (a hash aggregate over the bars); a text
+    # tiebreak is applied afterwards, on one row per (day, tiebreak value)
+    if tiebreak:
+        per = in_days.groupBy(*keys, "Date", tiebreak).agg(
+            F.min("_bq_ord").alias("_bq_o"), F.min_by(x, F.col("_bq_ord")).alias("_bq_x"))
+        firsts = per.groupBy(*keys, "Date").agg(
+            F.min_by("_bq_x", F.struct("_bq_o", tiebreak)).alias(f"first_{x}"))
+    else:
+        firsts = in_days.groupBy(*keys, "Date").agg(F.min_by(x, F.col("_bq_ord")).alias(f"first_{x}"))
     j = days.join(firsts, on=keys + ["Date"], how="left")
     return ols_predict(j, model, f"first_{x}", by=keys or None, name=name)

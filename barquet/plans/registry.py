@@ -235,7 +235,8 @@ def f6_next_days(spark: SparkSession, sf: str) -> DataFrame:
     """Three consecutive dates from each security's first trading day."""
     from pyspark.sql import functions as F
     from barquet.functions.columns import date_sequence
-    first = fx.trades(spark, sf).groupBy("ISIN").agg(F.min("Date").alias("d0"))
+    # min of a parsed date (fixed-width buffer, hash aggregate) rather than of the text
+    first = fx.trades(spark, sf).groupBy("ISIN").agg(F.min(F.to_date("Date")).alias("d0"))
     days = first.select("ISIN", F.explode(date_sequence("d0", 3)).alias("d"))
     return days.select("ISIN", F.date_format("d", "yyyy-MM-dd").alias("Date"))
 
