@@ -2,9 +2,10 @@
 
 Plan per series key:
 
-1. ``var_pop`` of the values gives the kernel width ``gamma = 1 / var``
-   (one feature), and ``groupBy(key, value).count()`` collapses repeated
-   values. Duplicates of a value have identical kernel rows, so they can
+1. ``groupBy(key, value).count()`` collapses repeated values (the only scan
+   of the series for the fit); the population variance of the values, which
+   gives the kernel width ``gamma = 1 / var`` (one feature), is computed from
+   that table. Duplicates of a value have identical kernel rows, so they can
    share one dual variable whose upper bound is their count: the same
    optimisation problem, now sized by distinct values instead of rows.
    Both steps are aggregates with map-side combine.
@@ -111,11 +112,11 @@ def one_class_fit(series: DataFrame, key: str | Sequence[str], value: str, nu: f
     keys = _keys(key)
     x = F.col(value).cast("double")
     clean = series.filter(x.isNotNull() & ~F.isnan(x))
-    stats = clean.groupBy(*keys).agg(F.var_pop(x).alias("_var"), F.min(x).alias("_lo"), F.max(x).alias("_hi"),
-                                     F.count(F.lit(1)).alias("_n"))
+    # one scan of the series: everything else comes from the distinct-value table
     counts = clean.groupBy(*keys, x.alias("_v")).agg(F.count(F.lit(1)).alias("_w"))
-    nd = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nd"))
-    info = stats.join(nd, on=keys)
+    info = counts.groupBy(*keys).agg(
+        F.sum("_w").alias("_n"), (F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias("_mean"),
+        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_nd"))
     j = counts.join(info, on=keys)
     if max_distinct is None:
         approx = F.lit(False)
@@ -125,9 +126,11 @@ def one_class_fit(series: DataFrame, key: str | Sequence[str], value: str, nu: f
         width = (F.col("_hi") - F.col("_lo")) / F.lit(float(max_distinct))
         b = F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(max_distinct - 1))
         snapped = F.when(approx, F.col("_lo") + (b + F.lit(0.5)) * width).otherwise(F.col("_v"))
+    dev = F.col("_v") - F.col("_mean")
+    # population variance of the raw values = sum of these parts / n (summed in the solver)
     reduced = (j.groupBy(*keys, snapped.alias("_v"))
-               .agg(F.sum("_w").alias("_w"), F.first("_var").alias("_var"), F.first("_n").alias("_n"),
-                    F.first(approx).alias("approximate")))
+               .agg(F.sum("_w").alias("_w"), F.sum(F.col("_w") * dev * dev).alias("_ss"),
+                    F.first("_n").alias("_n"), F.first(approx).alias("approximate")))
     key_fields = [f for f in series.schema.fields if f.name in keys]
     schema = StructType(key_fields + [
         StructField("gamma", DoubleType()), StructField("rho", DoubleType()),
@@ -136,7 +139,7 @@ def one_class_fit(series: DataFrame, key: str | Sequence[str], value: str, nu: f
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_v")
-        var = float(pdf["_var"].iloc[0])
+        var = float(pdf["_ss"].sum()) / float(pdf["_n"].iloc[0])
         gamma = 1.0 / var if var > 0 else 1.0
         a, rho = solve_one_class_dual(pdf["_v"].to_numpy(), pdf["_w"].to_numpy(), nu, gamma, tol)
         sv = a > 1e-12

@@ -261,3 +261,12 @@ def test_arma11_css_refinement_equals_sequential(spark):
             e[t] = yc[t] - c - phi * yc[t - 1] - theta * e[t - 1]
         return float(np.sum(e ** 2))
     assert sse(ref.c, ref.phi, ref.theta) <= sse(hr.c, hr.phi, hr.theta)
+
+
+def test_one_class_gamma_is_inverse_population_variance(spark):
+    rng = np.random.default_rng(21)
+    vals = np.round(rng.normal(300000, 900, size=700), 2)
+    df = spark.createDataFrame([("s", i, float(v)) for i, v in enumerate(vals)], "k string, idx int, Close double")
+    for md in (None, 100):
+        m = one_class_fit(df, "k", "Close", nu=0.05, max_distinct=md).collect()[0]
+        assert math.isclose(m.gamma, 1.0 / vals.var(), rel_tol=1e-9)
