@@ -175,21 +175,29 @@ def explore(bars: DataFrame, key: str = "ISIN", group_keys: Sequence[str] = ("IS
             approximate: bool = False) -> DataFrame:
     """Row count, column count, distinct securities (missing counted) and groups.
 
-    One aggregate: Spark plans the two distinct counts as an expand plus a
-    two-level aggregate with map-side combine, so a hot security is
-    deduplicated in every scan task before anything is shuffled.
+    Exact form: one grouped count by the security and group keys (a hash
+    aggregate with map-side combine, so a hot security is reduced in every
+    scan task), then every figure from that table of distinct combinations.
+    ``approximate=True`` uses HyperLogLog++ sketches in a single aggregate.
     """
+    keys = list(dict.fromkeys([key, *group_keys]))
     if approximate:
         full = F.when(F.greatest(*[F.col(k).isNull() for k in group_keys]) == F.lit(False),
                       F.struct(*[F.col(k) for k in group_keys]))
-        groups = F.approx_count_distinct(full)
+        out = bars.agg(F.count(F.lit(1)).alias("n_rows"),
+                       distinct_with_missing(key, True).alias("n_securities"),
+                       F.approx_count_distinct(full).alias("n_groups"))
     else:
-        groups = F.count_distinct(*[F.col(k) for k in group_keys])
-    return bars.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        distinct_with_missing(key, approximate).alias("n_securities"),
-        groups.alias("n_groups"),
-    ).select("n_rows", F.lit(len(bars.columns)).alias("n_columns"), "n_securities", "n_groups")
+        combos = bars.groupBy(*keys).agg(F.count(F.lit(1)).alias("_bq_c"))
+        all_keys = F.greatest(*[F.col(k).isNull() for k in group_keys]) == F.lit(False)
+        groups = (F.sum(F.when(all_keys, F.lit(1)).otherwise(F.lit(0))) if set(group_keys) == set(keys)
+                  else F.count_distinct(*[F.col(k) for k in group_keys]))
+        out = combos.agg(F.sum("_bq_c").cast("bigint").alias("n_rows"),
+                         distinct_with_missing(key).alias("n_securities"),
+                         groups.cast("bigint").alias("n_groups"))
+    return out.select(F.coalesce("n_rows", F.lit(0)).cast("bigint").alias("n_rows"),
+                      F.lit(len(bars.columns)).alias("n_columns"), "n_securities",
+                      F.coalesce("n_groups", F.lit(0)).cast("bigint").alias("n_groups"))
 
 
 def global_max(df: DataFrame, c: str, name: str | None = None) -> DataFrame:
