@@ -12,9 +12,13 @@ Paths may be any Hadoop-compatible URI. The session comes from
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
-from barquet.session import get_spark
+if __package__ in (None, ""):  # run as a script path (as spark-submit does): make the package importable
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+from barquet.session import get_spark  # noqa: E402
 
 
 def _parser() -> argparse.ArgumentParser:
