@@ -151,6 +151,13 @@ def d8_explore_dirty(spark: SparkSession, sf: str) -> DataFrame:
     return explore(fx.trades_dirty(spark, sf))
 
 
+@register("d8_explore_approx")
+def d8_explore_approx(spark: SparkSession, sf: str) -> DataFrame:
+    """Exploration counts with HyperLogLog++ sketches for the distinct figures (A5, A6 at scale)."""
+    from barquet.operators.bars import explore
+    return explore(fx.trades_dirty(spark, sf), approximate=True)
+
+
 @register("w1_w2_attach_open_close", _w("trades") + """ select *,
   first_value(StartPrice) over (partition by ISIN, Date order by Time
     rows between unbounded preceding and unbounded following) as opening_price,
