@@ -51,3 +51,18 @@ def test_missing_key_filter_reaches_the_scan(spark):
         "event_type as ISIN", "cast(ts as string) as Date", "value as EndPrice")
     p = _plan(drop_missing(bars, ["ISIN", "EndPrice"]))
     assert "IsNotNull(event_type)" in p and "IsNotNull(value)" in p
+
+
+def test_exploration_counts_have_no_row_expansion(spark):
+    from barquet.operators.bars import explore
+    p = _plan(explore(fx.trades_dirty(spark, SF)))
+    assert "Expand" not in p and "SortAggregate" not in p
+
+
+def test_daily_window_reuses_the_index_split(spark):
+    from barquet.operators.bars import daily_ohlcv, drop_missing
+    from barquet.plans.reports import previous_close
+    day = daily_ohlcv(drop_missing(fx.trades(spark, SF))).repartitionByRange("ISIN").sortWithinPartitions("ISIN", "Date")
+    p = _plan(previous_close(day))
+    assert "rangepartitioning(ISIN" in p
+    assert not any("hashpartitioning(ISIN#" in ln and "Date" not in ln for ln in p.split("\n"))
