@@ -11,6 +11,9 @@ from barquet.sources.fixtures import TABLES
 
 SF = "/root/testdata/sf0.001"
 
+_DUCK = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN",
+         "date": "DATE"}
+
 
 def _norm(v):
     if isinstance(v, float):
@@ -50,8 +53,10 @@ def test_query_matches_oracle(spark, con, name):
     rows = [tuple(r) for r in df.collect()]
     cur = con.execute(E.oracle_sql()[name])
     ocols = [d[0] for d in cur.description]
+    otypes = {d[0]: str(d[1]) for d in cur.description}
     orows = cur.fetchall()
     assert sorted(df.columns) == sorted(ocols)
+    assert {c: _DUCK.get(t, t) for c, t in df.dtypes} == otypes
     assert _canon(df.columns, rows) == _canon(ocols, orows)
 
 
