@@ -1 +1 @@
-"""Incremental (file-stream) form of the dated daily run."""
+"""Incremental (Structured Streaming) form of the dated daily and morning runs (``incremental``)."""
