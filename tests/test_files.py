@@ -221,3 +221,19 @@ def test_named_report_layout(spark):
     assert [(r.ISIN, r.report_ts) for r in got] == [("B", "20230328_000509")]
     with pytest.raises(Exception):
         write_report(b, root, "20230328_000509", layout="named", prefix="xr_")
+
+
+def test_command_line_morning_and_stream(spark, capsys):
+    from barquet.__main__ import main
+    root = tempfile.mkdtemp(prefix="bq-cli2-")
+    for i, d in enumerate(("2022-12-30", "2022-12-31")):
+        _write(f"{root}/src/{d}/a.csv", HDR + f"A,X,{d},09:00,{10 + i},12,9,{11 + i},5\n"
+               + f"B,Y,{d},09:30,{20 + i},22,19,{23 + i},2\n")
+    assert main(["morning", "--source", f"{root}/src", "--reports", f"{root}/rep", "--date", "2022-12-31",
+                 "--run-ts", "20230101_000000"]) == 0
+    out = capsys.readouterr().out
+    assert "report_ts=20230101_000000" in out and "slope" in out
+    assert main(["stream-daily", "--source", f"{root}/src", "--table", f"{root}/daily",
+                 "--checkpoint", f"{root}/ckpt"]) == 0
+    from barquet.streaming.incremental import report_from_daily_table
+    assert report_from_daily_table(spark, f"{root}/daily").count() == 4
