@@ -137,8 +137,10 @@ def sigmoid_unit(series: DataFrame, key: str | Sequence[str], order: str, value:
     of each key, the predicted price ``shift`` rows later.
     """
     keys = _keys(key)
-    # the pairs feed two scalers and the training set: write them once
-    pairs = materialize(lead_pairs(series.select(*keys, order, value), keys, order, value, shift, name="_bq_y"))
+    # the input feeds the pairs and the last rows, the pairs feed two scalers
+    # and the training set: write each once
+    series = materialize(series.select(*keys, order, value))
+    pairs = materialize(lead_pairs(series, keys, order, value, shift, name="_bq_y"))
     xfit = minmax_fit(pairs, keys, value)
     yfit = minmax_fit(pairs, keys, "_bq_y") \
         .withColumnRenamed("scale_min", "y_min").withColumnRenamed("scale_range", "y_range")
