@@ -68,3 +68,18 @@ def test_incremental_morning_matches_batch(spark):
         "MinPrice double, EndPrice double, TradedVolume bigint").csv(f"{src}/*")
     want = sorted(tuple(r) for r in morning_report(bars).collect())
     assert got == want and len(got) == 2
+
+
+def test_watermark_drops_bars_older_than_the_allowed_lateness(spark):
+    root = tempfile.mkdtemp(prefix="bq-stream-late-")
+    src, table, ckpt = f"{root}/src", f"{root}/daily", f"{root}/ckpt"
+    _write(f"{src}/2024-01-01/a.csv", ["A,X,2024-01-01,09:00,10,11,9,10.5,5\n"])
+    _write(f"{src}/2024-01-05/a.csv", ["A,X,2024-01-05,09:00,11,12,10,11.5,5\n"])
+    start_daily_aggregation(spark, src, table, ckpt, late_days=1).awaitTermination()
+    # a bar for 2024-01-01 arrives after the watermark (2024-01-04) has passed it, and one within lateness
+    _write(f"{src}/2024-01-01/late.csv", ["A,X,2024-01-01,17:00,99,99,99,99,1\n"])
+    _write(f"{src}/2024-01-05/late.csv", ["A,X,2024-01-05,17:00,12,13,12,12.5,1\n"])
+    start_daily_aggregation(spark, src, table, ckpt, late_days=1).awaitTermination()
+    rows = {r.Date: r for r in report_from_daily_table(spark, table).collect()}
+    assert rows["2024-01-01"].closing_price_eur == 10.5 and rows["2024-01-01"].daily_traded_volume == 5
+    assert rows["2024-01-05"].closing_price_eur == 12.5 and rows["2024-01-05"].daily_traded_volume == 6
