@@ -91,3 +91,29 @@ def test_morning_report_matches_pandas(spark, seed, n):
     assert list(got.columns) == list(want.columns) and len(got) == len(want)
     for (_, a), (_, b) in zip(got.iterrows(), want.iterrows()):
         assert all(_close(a[c], b[c]) if c not in ("ISIN", "Date") else a[c] == b[c] for c in want.columns)
+
+
+def _windows_numpy(values: np.ndarray, time_step: int, frac: float):
+    """Windows inside each chronological part; a part of m values gives m - time_step - 1 windows."""
+    cut = int(len(values) * frac)
+    out = []
+    for name, part, start in (("train", values[:cut], 0), ("test", values[cut:], cut)):
+        for i in range(len(part) - time_step - 1):
+            out.append((name, start + i + time_step, tuple(part[i:i + time_step]), part[i + time_step]))
+    return out
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.integers(0, 10_000), st.lists(st.integers(5, 90), min_size=1, max_size=3), st.integers(2, 6))
+def test_lag_windows_match_numpy(spark, seed, lengths, time_step):
+    from barquet.operators.series import lag_windows
+    rng = np.random.default_rng(seed)
+    rows, want = [], []
+    for j, n in enumerate(lengths):
+        v = np.round(rng.normal(10, 3, n), 3)
+        rows += [(f"s{j}", i, float(x)) for i, x in enumerate(v)]
+        want += [(f"s{j}", split, idx, feats, tgt) for split, idx, feats, tgt in _windows_numpy(v, time_step, 0.8)]
+    df = spark.createDataFrame(rows, "k string, idx int, v double")
+    got = [(r.k, r.split, r.idx, tuple(r.features), r.target)
+           for r in lag_windows(df, "k", "idx", "v", time_step=time_step, frac=0.8, block=16).collect()]
+    assert sorted(got) == sorted((k, s, i, tuple(float(x) for x in f), float(t)) for k, s, i, f, t in want)
