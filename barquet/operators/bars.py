@@ -162,36 +162,49 @@ def distinct_with_missing(c: str, approximate: bool = False, rsd: float = 0.01)
     return (distinct + F.coalesce(F.max(col.isNull().cast("int")), F.lit(0))).cast("bigint")
 
 
-def group_count(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Number of groups, rows with a missing key left out (A6), as one row.
-
-    ``count(DISTINCT k1, k2, ...)`` skips a row when any key is NULL, which
-    is exactly the grouping rule wanted here.
+def group_count(df: DataFrame, keys: Sequence[str], with_missing: bool = False) -> DataFrame:
+    """Number of groups (A6), as one row.
+
+    Default: rows with a missing key are left out, as a grouped aggregation
+    leaves them out (``count(DISTINCT k1, k2, ...)`` skips a row when any key
+    is NULL). ``with_missing=True`` counts every distinct key combination,
+    missing values included, which is what pandas' ``len(df.groupby(keys))``
+    returns (it counts the ``groups`` mapping, NaN keys included, although the
+    aggregation drops them).
     """
+    if with_missing:
+        return df.groupBy(*keys).agg(F.lit(1).alias("_bq")).agg(F.count(F.lit(1)).alias("n_groups"))
     return df.agg(F.count_distinct(*[F.col(k) for k in keys]).alias("n_groups"))
 
 
 def explore(bars: DataFrame, key: str = "ISIN", group_keys: Sequence[str] = ("ISIN", "Date"),
-            approximate: bool = False) -> DataFrame:
+            approximate: bool = False, groups_with_missing: bool = False) -> DataFrame:
     """Row count, column count, distinct securities (missing counted) and groups.
 
     Exact form: one grouped count by the security and group keys (a hash
     aggregate with map-side combine, so a hot security is reduced in every
     scan task), then every figure from that table of distinct combinations.
     ``approximate=True`` uses HyperLogLog++ sketches in a single aggregate.
+    ``groups_with_missing`` as in :func:`group_count`.
     """
     keys = list(dict.fromkeys([key, *group_keys]))
     if approximate:
-        full = F.when(F.greatest(*[F.col(k).isNull() for k in group_keys]) == F.lit(False),
-                      F.struct(*[F.col(k) for k in group_keys]))
+        full = F.struct(*[F.col(k) for k in group_keys])
+        if not groups_with_missing:
+            full = F.when(F.greatest(*[F.col(k).isNull() for k in group_keys]) == F.lit(False), full)
         out = bars.agg(F.count(F.lit(1)).alias("n_rows"),
                        distinct_with_missing(key, True).alias("n_securities"),
                        F.approx_count_distinct(full).alias("n_groups"))
     else:
         combos = bars.groupBy(*keys).agg(F.count(F.lit(1)).alias("_bq_c"))
         all_keys = F.greatest(*[F.col(k).isNull() for k in group_keys]) == F.lit(False)
-        groups = (F.sum(F.when(all_keys, F.lit(1)).otherwise(F.lit(0))) if set(group_keys) == set(keys)
-                  else F.count_distinct(*[F.col(k) for k in group_keys]))
+        if set(group_keys) == set(keys):
+            groups = F.count(F.lit(1)) if groups_with_missing else \
+                F.sum(F.when(all_keys, F.lit(1)).otherwise(F.lit(0)))
+        elif groups_with_missing:
+            groups = F.count_distinct(F.struct(*[F.col(k) for k in group_keys]))
+        else:
+            groups = F.count_distinct(*[F.col(k) for k in group_keys])
         out = combos.agg(F.sum("_bq_c").cast("bigint").alias("n_rows"),
                          distinct_with_missing(key).alias("n_securities"),
                          groups.cast("bigint").alias("n_groups"))

@@ -151,6 +151,16 @@ def d8_explore_dirty(spark: SparkSession, sf: str) -> DataFrame:
     return explore(fx.trades_dirty(spark, sf))
 
 
+@register("d8_explore_groups_with_missing", _w("trades_dirty") + """ select count(*) as n_rows, 8 as n_columns,
+  cast(count(distinct ISIN) + coalesce(max(cast(ISIN is null as int)), 0) as bigint) as n_securities,
+  (select count(*) from (select distinct ISIN, Date from trades_dirty)) as n_groups
+  from trades_dirty""")
+def d8_explore_groups_with_missing(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts with key combinations that have a missing value counted as groups, as pandas' len(groupby) does."""
+    from barquet.operators.bars import explore
+    return explore(fx.trades_dirty(spark, sf), groups_with_missing=True)
+
+
 @register("d8_explore_approx")
 def d8_explore_approx(spark: SparkSession, sf: str) -> DataFrame:
     """Exploration counts with HyperLogLog++ sketches for the distinct figures (A5, A6 at scale)."""

@@ -117,3 +117,21 @@ def test_lag_windows_match_numpy(spark, seed, lengths, time_step):
     got = [(r.k, r.split, r.idx, tuple(r.features), r.target)
            for r in lag_windows(df, "k", "idx", "v", time_step=time_step, frac=0.8, block=16).collect()]
     assert sorted(got) == sorted((k, s, i, tuple(float(x) for x in f), float(t)) for k, s, i, f, t in want)
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.integers(0, 10_000), st.integers(20, 300))
+def test_exploration_counts_match_pandas(spark, seed, n):
+    from barquet.operators.bars import explore
+    bars = _bars(seed, n)
+    rng = np.random.default_rng(seed + 1)
+    bars.loc[rng.random(len(bars)) < 0.15, "ISIN"] = None
+    bars.loc[rng.random(len(bars)) < 0.1, "Date"] = None
+    sdf = spark.createDataFrame(bars, DDL)
+    r = explore(sdf).collect()[0]
+    assert r.n_rows == len(bars) and r.n_columns == bars.shape[1]
+    assert r.n_securities == len(bars["ISIN"].unique())
+    # the groups an aggregation produces (missing keys dropped) ...
+    assert r.n_groups == bars.groupby(["ISIN", "Date"]).ngroups
+    # ... and pandas' len() of the grouping, which counts combinations with missing keys too
+    assert explore(sdf, groups_with_missing=True).collect()[0].n_groups == len(bars.groupby(["ISIN", "Date"]))
