@@ -24,7 +24,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from barquet.operators.ordering import with_dense_index
 from barquet.session import materialize
-from barquet.sources.schemas import BAR_SCHEMA, CLOSE_FILE_SCHEMA
+from barquet.sources.schemas import BAR_SCHEMA, CLOSE_FILE_SCHEMA, PANDAS_NA_VALUES
 
 _DAY = re.compile(r"^\d{4}-\d{2}-\d{2}$")
 _PY_TS = "%Y%m%d_%H%M%S"  # the yyyyMMdd_HHmmss report stamp, in Python's notation
@@ -101,16 +101,29 @@ def day_paths_for(base: str, days: Sequence[str]) -> list[str]:
 
 # --- CSV reads -----------------------------------------------------------------
 
-def read_csv_strict(spark: SparkSession, paths: Sequence[str] | str, schema: StructType = BAR_SCHEMA) -> DataFrame:
+def missing_tokens_to_null(df: DataFrame, na_values: Sequence[str] | None = PANDAS_NA_VALUES) -> DataFrame:
+    """Text columns holding a missing-value token become NULL (numbers that fail to parse already are)."""
+    if not na_values:
+        return df
+    tokens = [t for t in na_values if t != ""]
+    return df.select(*[F.when(F.col(f"`{f.name}`").isin(tokens), F.lit(None)).otherwise(F.col(f"`{f.name}`"))
+                       .alias(f.name) if isinstance(f.dataType, StringType) else F.col(f"`{f.name}`")
+                       for f in df.schema.fields])
+
+
+def read_csv_strict(spark: SparkSession, paths: Sequence[str] | str, schema: StructType = BAR_SCHEMA,
+                    na_values: Sequence[str] | None = PANDAS_NA_VALUES) -> DataFrame:
     """Read CSV files whose header must equal ``schema`` (S3 fast path).
 
     Spark matches a declared schema to columns by position; with
     ``enforceSchema=false`` a file whose header differs raises instead of
     yielding shifted values. A field that does not parse (``NA`` in a number
-    column) reads as NULL.
+    column) reads as NULL, and so does a text field holding one of
+    ``na_values`` (by default the tokens pandas reads as missing).
     """
-    return (spark.read.schema(schema).option("header", True).option("enforceSchema", False)
-            .option("mode", "PERMISSIVE").csv(list(paths) if not isinstance(paths, str) else paths))
+    df = (spark.read.schema(schema).option("header", True).option("enforceSchema", False)
+          .option("mode", "PERMISSIVE").csv(list(paths) if not isinstance(paths, str) else paths))
+    return missing_tokens_to_null(df, na_values)
 
 
 def _path_key(c: F.Column) -> F.Column:
@@ -167,14 +180,16 @@ def _first_line_headers(spark: SparkSession, files: list[str], lowered: list[str
 
 def read_csv_by_name(spark: SparkSession, paths: Sequence[str] | str, schema: StructType = BAR_SCHEMA,
                      max_columns: int = 32, broadcast_files: int = 100_000,
-                     header_source: str = "first_line") -> DataFrame:
+                     header_source: str = "first_line",
+                     na_values: Sequence[str] | None = PANDAS_NA_VALUES) -> DataFrame:
     """Read CSV files matching columns by header name, per file.
 
     Each file's header gives its column positions; every data line takes each
     target column from its position in its own file. Columns a file lacks are
     NULL, extra columns are ignored, text that does not convert to the target
-    type is NULL, and a file whose first line is not a header (fewer than two
-    names of ``schema``) contributes no rows.
+    type is NULL, so is a field holding one of ``na_values`` (by default the
+    tokens pandas reads as missing), and a file whose first line is not a
+    header (fewer than two names of ``schema``) contributes no rows.
 
     Headers (``header_source="first_line"``): executors read the first line of
     every listed file, a few KiB each, so the data itself is scanned once.
@@ -224,6 +239,8 @@ def read_csv_by_name(spark: SparkSession, paths: Sequence[str] | str, schema: St
                           for k, n in enumerate(lowered)]))
         data = raw.filter(~is_header)
 
+    tokens = [t for t in (na_values or ()) if t != ""]
+
     def project(rows: DataFrame, pos: dict[str, object]) -> DataFrame:
         arr = F.array(*[F.col(c) for c in cells])
         out = []
@@ -231,6 +248,8 @@ def read_csv_by_name(spark: SparkSession, paths: Sequence[str] | str, schema: St
             p = pos[pos_cols[k]]
             p_col = F.col(p) if isinstance(p, str) else F.lit(p)
             txt = F.when(p_col.isNotNull(), F.element_at(arr, p_col + 1))
+            if tokens:
+                txt = F.when(txt.isin(tokens), F.lit(None)).otherwise(txt)
             val = txt if isinstance(f.dataType, StringType) else txt.try_cast(f.dataType)
             out.append(val.alias(f.name))
         return rows.select(*out)

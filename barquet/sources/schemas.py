@@ -39,3 +39,9 @@ SERIES_SCHEMA = StructType([
 ])
 
 CLOSE_FILE_SCHEMA = StructType([StructField("Close", DoubleType())])
+
+# The text pandas' CSV reader takes as a missing value by
+# default (pandas 2.x), in every column. The readers map it to NULL so that a
+# later drop of missing rows removes the same rows.
+PANDAS_NA_VALUES = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+                    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")

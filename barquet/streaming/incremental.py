@@ -40,6 +40,7 @@ from barquet.functions.columns import (EUR_TO_MXN, MORNING_CLOSE, MORNING_OPEN,
 from barquet.operators.bars import daily_ohlcv, drop_missing, morning_ohlcv
 from barquet.plans.reports import CHANGE, previous_close
 from barquet.session import materialize
+from barquet.sources.files import missing_tokens_to_null
 from barquet.sources.schemas import BAR_SCHEMA
 
 KEYS = ["ISIN", "Date"]
@@ -91,7 +92,7 @@ def _start(spark: SparkSession, source_base: str, table_path: str, checkpoint_lo
            ) -> StreamingQuery:
     bars = (spark.readStream.schema(schema).option("header", True).option("enforceSchema", False)
             .csv(os.path.join(source_base.rstrip("/"), "*")))
-    bars = drop_missing(bars)
+    bars = drop_missing(missing_tokens_to_null(bars))
     extra: list[str] = []
     if late_days is not None:
         # the event day is a grouping key, so the watermark can drop finished days from the state

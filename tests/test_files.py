@@ -237,3 +237,23 @@ def test_command_line_morning_and_stream(spark, capsys):
                  "--checkpoint", f"{root}/ckpt"]) == 0
     from barquet.streaming.incremental import report_from_daily_table
     assert report_from_daily_table(spark, f"{root}/daily").count() == 4
+
+
+def test_missing_tokens_like_pandas(spark):
+    import pandas as pd
+    base = tempfile.mkdtemp(prefix="bq-na-")
+    text = ("ISIN,Date,Time,StartPrice,MaxPrice,MinPrice,EndPrice,TradedVolume\n"
+            "NA,2024-01-01,09:00,1,2,0.5,1.5,10\nA,2024-01-01,null,1,2,0.5,1.5,10\n"
+            "B,2024-01-01,09:05,1,2,0.5,N/A,10\nC,2024-01-01,09:07,1,2,0.5,1.5,10\n")
+    _write(f"{base}/2024-01-01/a.csv", text)
+    from barquet.operators.bars import drop_missing
+    want = pd.read_csv(f"{base}/2024-01-01/a.csv").dropna()
+    for reader in (lambda: read_csv_by_name(spark, [f"{base}/2024-01-01"]),
+                   lambda: read_csv_strict(spark, [f"{base}/2024-01-01"], _schema8())):
+        got = drop_missing(reader()).select("ISIN").collect()
+        assert [r.ISIN for r in got] == list(want["ISIN"]) == ["C"]
+
+
+def _schema8():
+    from pyspark.sql.types import StructType
+    return StructType([f for f in BAR_SCHEMA.fields if f.name != "Mnemonic"])
