@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -86,6 +87,8 @@ def work_dir(spark: SparkSession, *parts: str) -> str:
     if not base:
         base = sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="barquet-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(base)
@@ -108,3 +111,25 @@ def materialize(df):
         return held.checkpoint(eager=True)
     finally:
         held.unpersist()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per context, as a zip of its sources.
+
+    Python workers import the functions they run by name; a session started
+    outside the repository has no other way to find them. The archive is
+    served by the driver itself, so no shared folder is needed.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_barquet_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="barquet-src-")), "barquet_src.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    sc.addPyFile(target)
+    sc._barquet_shipped = True
