@@ -1,0 +1,34 @@
+"""DuckDB SQL for the queries of this subpackage that SQL can express (the others are tested against brute force)."""
+
+from __future__ import annotations
+
+MIXING = r"""
+WITH sized AS (
+  SELECT doc_id, text, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+weighted AS (
+  SELECT *, CAST([3, 1, 2][1 + (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3] AS DOUBLE) AS weight, 2.0::DOUBLE * source_size AS bound
+  FROM totals),
+prefix AS (
+  SELECT *, 1.5::DOUBLE * CAST(sum(source_size) OVER () AS DOUBLE)
+      - coalesce(sum(bound) OVER (ORDER BY bound / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS rest,
+    sum(weight) OVER (ORDER BY bound / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest_weight
+  FROM weighted),
+level AS (
+  SELECT arg_min(rest, bound / weight) AS rest, arg_min(rest_weight, bound / weight) AS rest_weight
+  FROM prefix WHERE bound * rest_weight > rest * weight),
+targets AS (
+  SELECT p.source, p.source_size,
+    CASE WHEN p.bound * p.rest_weight <= p.rest * p.weight THEN p.bound ELSE least(p.bound, p.weight * l.rest / l.rest_weight) END AS target
+  FROM prefix p CROSS JOIN level l),
+rated AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM targets),
+drawn AS (
+  SELECT s.doc_id, s.size, r.source_size, r.target, r.rate,
+    CAST(CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(s.doc_id AS VARCHAR), md5(coalesce(s.text, '')))), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u
+  FROM sized s JOIN rated r ON s.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, size, source_size, target,
+  CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM drawn
+"""
+
+ORACLES = {"op6_source_mixing": MIXING}
