@@ -32,73 +32,113 @@ from barquet.llm.common import in_arrow, partitions, pick, settle, tokenizer_pat
 CAPACITY, END_ID = 1024, 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Tokens of this many distinct chunks are remembered in a worker before it starts anew.
-CHUNK_CACHE = 400_000
-#: Characters given to the tokenizer at once.
-ENCODE_CHARS = 200_000
+CHUNK_CACHE = 600_000
+
+
+class _Numbers(dict):
+    """Numbers new keys in order and remembers which are new."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        self.new.append(key)
+        return n
 
 
 class ChunkTokenizer:
     """Byte-level BPE ids of a text from remembered ids of its space-separated chunks.
 
-    The vocabulary's splitting pattern always starts a new token at a single
-    space between two other characters that are not white space, so such
-    chunks can be encoded apart. A text with other white space next to a
-    space is encoded whole.
+    The vocabulary is read from a ``tokenizers`` file; its merges are in order
+    of id, so the ids serve as merge ranks. The splitting pattern always
+    starts a new token at a single space between two characters that are not
+    white space, so such chunks can be encoded apart. A text with other white
+    space next to a space is encoded whole. Strings of special tokens are
+    ordinary text.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        self.known: dict[str, bytes | None] = {}
-
-    def _encode(self, chunks: list[str]):
-        at = 0
-        while at < len(chunks):
-            end, chars = at, 0
-            while end < len(chunks) and (end == at or chars + len(chunks[end]) <= ENCODE_CHARS):
-                chars += len(chunks[end])
-                end += 1
-            for e in self.tok.encode_batch_fast(chunks[at:end], add_special_tokens=False):
-                yield np.array(e.ids, "<u4").tobytes()
-            at = end
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
+        import json
+
+        import public_tokenizers
+        import tiktoken
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        special = {t["content"] for t in spec["added_tokens"] if t["special"]}
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
+        of = {chr(b): b for b in printable}
+        of |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in printable)}
+        ranks = {bytes(of[c] for c in k): i for k, i in spec["model"]["vocab"].items() if k not in special}
+        self.encoding = tiktoken.Encoding("chunks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.bytes_of = np.zeros(max(ranks.values()) + 1, np.int64)
+        for k, i in ranks.items():
+            self.bytes_of[i] = len(k)
+        self.reset()
+
+    def reset(self) -> None:
+        self.known = _Numbers()
+        self.ids, self.start, self.count, self.loose = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+
+    def _learn(self) -> None:
+        """Encode all new chunks in one call; a chunk's first token starts where its bytes start."""
+        new, self.known.new = self.known.new, []
+        if not new:
+            return
+        loose = np.zeros(len(new), bool)
+        ids, counts = [np.zeros(0, "<u4")] * len(new), np.zeros(len(new), np.int64)
+        joined = []
+        for i, w in enumerate(new):
+            if w[:1] == "\0":  # first of its text: no space before it
+                loose[i] = w[-1:].isspace()
+                ids[i] = self.encode(w[1:])
+                counts[i] = len(ids[i])
+            elif not w or w[0].isspace() or w[-1].isspace():
+                loose[i] = True
+            else:
+                joined.append(i)
+        sizes = np.array([len(new[i].encode()) + 1 for i in joined], np.int64)
+        flat = self.encode("".join([" " + new[i] for i in joined]))
+        ends = np.searchsorted(np.cumsum(self.bytes_of[flat]), np.cumsum(sizes)) + 1
+        starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+        counts[joined] = ends - starts
+        first = np.zeros(len(new), np.int64)
+        base = len(self.ids)
+        first[joined] = base + starts
+        own = np.ones(len(new), bool)
+        own[joined] = False
+        at = base + len(flat)
+        own = np.flatnonzero(own)
+        first[own] = at + np.concatenate([[0], np.cumsum(counts[own])])[:len(own)]
+        self.ids = np.concatenate([self.ids, flat, *[ids[i] for i in own]])
+        self.start, self.count, self.loose = np.concatenate([self.start, first]), np.concatenate([self.count, counts]), np.concatenate([self.loose, loose])
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > CHUNK_CACHE:
-            self.known.clear()
-        known = self.known
-        split = [t.split(" ") for t in texts]
-        for words in split:  # each chunk with the space before it; the first has none
-            words[1:] = [" " + w for w in words[1:]]
-        new = [w for w in {w for words in split for w in words} if w not in known]
-        plain = [w for w in new if not self._loose(w)]
-        for w in new:
-            known[w] = None
-        for w, ids in zip(plain, self._encode(plain)):
-            known[w] = ids
+            self.reset()
+        number, rows = self.known.__getitem__, []
+        for t in texts:
+            if "\0" in t:
+                rows.append(None)
+                continue
+            words = t.split(" ")
+            words[0] = "\0" + words[0]
+            rows.append(np.fromiter(map(number, words), np.int64, len(words)))
+        self._learn()
         out = []
-        for words in split:
-            ids = [known[w] for w in words]
-            out.append(self._by_segments(words) if None in ids else b"".join(ids))
+        for t, row in zip(texts, rows):
+            if row is None or self.loose[row].any():
+                out.append(self.encode(t))
+                continue
+            n = self.count[row]
+            ends = np.cumsum(n)
+            out.append(self.ids[np.repeat(self.start[row] - ends + n, n) + np.arange(ends[-1])])
         return out
 
-    @staticmethod
-    def _loose(chunk: str) -> bool:
-        """Whether other white space meets a space at either end of the chunk."""
-        return bool(chunk) and (chunk == " " or chunk[-1].isspace() or (chunk[0] == " " and chunk[1].isspace()))
-
-    def _by_segments(self, words: list[str]) -> bytes:
-        """Encode a text with loose chunks: they are joined to their neighbours, whose splitting depends on them."""
-        segments, open_end = [], True
-        for w in words:
-            starts_loose = w == " " or (w[:1] == " " and w[1:2].isspace())
-            if open_end or starts_loose:
-                segments[-1:] = ["".join(segments[-1:]) + w]
-            else:
-                segments.append(w)
-            open_end = w == " " or w[-1:].isspace()
-        return b"".join(self._encode(segments))
-
 
 _TOKENIZERS: dict[str, ChunkTokenizer] = {}
 
@@ -122,7 +162,7 @@ def groups_of(texts: list, most: int = 4_000_000):
 
 
 def _tokenise(path: str, capacity: int, end_id: int, with_ids: bool):
-    tail = np.array([end_id], "<u4").tobytes()
+    tail = np.array([end_id], "<u4")
 
     def run(batches):
         tok = chunk_tokenizer(path)
@@ -132,8 +172,8 @@ def _tokenise(path: str, capacity: int, end_id: int, with_ids: bool):
             for a, b in groups_of(texts):
                 rows = defaultdict(list)
                 for key, ids in zip(keys[a:b], tok(texts[a:b])):
-                    ids += tail
-                    n = len(ids) // 4
+                    n = len(ids) + 1
+                    ids = np.concatenate([ids, tail])
                     first = (n - 1) % capacity + 1
                     cuts = [0, *range(first, n + 1, capacity)]
                     for i, (s, e) in enumerate(zip(cuts, cuts[1:])):
@@ -141,9 +181,9 @@ def _tokenise(path: str, capacity: int, end_id: int, with_ids: bool):
                         rows["piece"].append(i)
                         rows["start"].append(s)
                         rows["length"].append(e - s)
-                        rows["ids_crc32"].append(zlib.crc32(ids[4 * s:4 * e]))
+                        rows["ids_crc32"].append(zlib.crc32(ids[s:e]))
                         if with_ids:
-                            rows["ids"].append(np.frombuffer(ids[4 * s:4 * e], "<u4").tolist())
+                            rows["ids"].append(ids[s:e].tolist())
                 kinds = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
                 kinds += [("ids", pa.list_(pa.int32()))] * with_ids
                 yield pa.RecordBatch.from_arrays([pa.array(rows[n], t) for n, t in kinds], [n for n, _ in kinds])
