@@ -100,12 +100,12 @@ class RangeHash:
 
     _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, code: np.ndarray = BYTE_CODE):
         n = len(data)
         up, down = self._table(n + 1)
         self.up = up
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(BYTE_CODE[data] * down[:n], out=self.sums[1:])
+        np.cumsum(code[data] * down[:n], out=self.sums[1:])
 
     @classmethod
     def _table(cls, n: int):

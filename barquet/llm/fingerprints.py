@@ -29,11 +29,14 @@ LAST_ID = (1 << 63) - 1
 _PAIR = (1 << 32) + 1
 
 
-def _terms(text: Column) -> Column:
-    words = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ", -1)
-    return F.when(F.length(F.trim(F.regexp_replace(text, r"\s+", " "))) == 0, F.array().cast("array<string>")).otherwise(
-        F.transform(words, lambda w, i: F.when(i == 0, w).otherwise(
-            F.concat(F.element_at(words, F.greatest(i, F.lit(1)).cast("int")), F.lit(" "), w))))
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, r"\s+", -1), lambda w: w != "")
+
+
+def _terms(words: str) -> Column:
+    """Pairs of neighbours of an array column (a plain column: an expression would be computed again for each element)."""
+    w = F.col(words)
+    return F.transform(w, lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.get(w, i - 1), F.lit(" "), x)))
 
 
 def votes() -> list[Column]:
@@ -57,7 +60,8 @@ def _bits(part: str) -> Column:
 
 def fingerprints(texts: DataFrame, keys: list[str]) -> DataFrame:
     """``keys``, f0 and f1 (the fingerprint as two longs) for rows of ``keys`` and ``text``; equal keys are one text."""
-    terms = texts.select(*keys, F.explode_outer(_terms(F.col("text"))).alias("_t"))
+    held = texts.select(*keys, F.explode(F.array(_words(F.col("text")))).alias("_words"))
+    terms = held.select(*keys, F.explode_outer(_terms("_words")).alias("_t"))
     hashed = terms.select(*keys, F.when(F.col("_t").isNull(), F.lit(0)).otherwise(F.least(F.length("_t"), F.lit(MAX_WEIGHT))).cast("long").alias("_w"),
                           F.xxhash64("_t").alias("_h0"), F.xxhash64(F.lit(1), "_t").alias("_h1"))
     summed = hashed.groupBy(*keys).agg(F.sum("_w").alias("_total"), *votes())

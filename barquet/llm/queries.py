@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barquet.llm import chat, fingerprints, langid, mixing, packing, toxicity
+from barquet.llm import chat, fingerprints, langid, mixing, packing, repeats, toxicity
 from barquet.llm.common import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
@@ -45,4 +49,4 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(rows))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_fingerprints, op4_best_fit_packing, op5_language_id, op6_source_mixing, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_fingerprints, op4_best_fit_packing, op5_language_id, op6_source_mixing, op10_chat_formatting)}
