@@ -1,10 +1,10 @@
 """SimHash document fingerprints and the search for near fingerprints, in DataFrame functions alone.
 
-A text's terms are its pairs of neighbouring words (the first word alone is a
-term too); a term weighs as many votes as it has characters, 16 at most, so
+A text's terms are its pairs of neighbouring words, cut at spaces (the first
+word alone is a term too); a term weighs as many votes as it has characters, 16 at most, so
 that pairs of frequent short words count little. Each of the 128 bits of a
-term's hash votes for or against the same bit of the fingerprint; two bits'
-votes are summed in one long, 32 bits each.
+term's hash votes for or against the same bit of the fingerprint; several bits'
+votes are summed in one long.
 
 Documents are ordered by (doc_id, text hash); a null id comes last. Fully
 equal rows are one document. A null text is empty; a text without words has
@@ -26,46 +26,69 @@ BITS = 128
 MAX_WEIGHT = 16
 #: Stands for a null id in the order: after every other.
 LAST_ID = (1 << 63) - 1
-_PAIR = (1 << 32) + 1
+#: Terms a block: BLOCK * MAX_WEIGHT votes fit 15 bits (the highest field has the sign).
+BLOCK = 2000
+#: The lowest bit of each of four 16-bit fields, and the 16-bit values in two 32-bit fields.
+_FOUR = 1 + (1 << 16) + (1 << 32) + (1 << 48)
+_TWO_FIELDS = 0xFFFF + (0xFFFF << 32)
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(text, r"\s+", -1), lambda w: w != "")
+    return F.split(text, " ", -1)
 
 
-def _terms(words: str) -> Column:
-    """Pairs of neighbours of an array column (a plain column: an expression would be computed again for each element)."""
-    w = F.col(words)
-    return F.transform(w, lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.get(w, i - 1), F.lit(" "), x)))
+def _terms(words: str, start: Column) -> Column:
+    """Pairs of neighbours of an array column from word ``start`` on, with the number of the block that they are counted in.
 
+    ``words`` must be a plain column: an expression would be computed again
+    for each element.
+    """
+    w = F.col(words)
+    count = F.size(w) - start
+    at = F.when(count > 0, F.sequence(start, F.size(w) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.struct(
+        F.when(i == 0, F.get(w, i)).otherwise(F.concat(F.get(w, i - 1), F.lit(" "), F.get(w, i))).alias("t"),
+        F.floor(i / BLOCK).cast("int").alias("b")))
 
-def votes() -> list[Column]:
-    """64 sums: the i-th of each hash holds the votes for its bits i and i + 32, 32 bits each."""
-    return [F.sum(F.shiftrightunsigned(F.col(part), i).bitwiseAND(F.lit(_PAIR)) * F.col("_w")).alias(f"{part}_{i}")
-            for part in ("_h0", "_h1") for i in range(32)]
 
+def _bits(part: str, total: str) -> Column:
+    """The signed majority of each bit as one long; the i-th sum holds bits i and i + 32, 32 bits each."""
+    sums = F.array(*[F.col(f"{part}_{i}") for i in range(32)])
+    ones = F.concat(F.transform(sums, lambda s: s.bitwiseAND(F.lit((1 << 32) - 1))), F.transform(sums, lambda s: F.shiftrightunsigned(s, 32)))
+    powers = F.array(*[F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)])
+    chosen = F.zip_with(ones, powers, lambda n, bit: F.when(n * 2 > F.col(total), bit).otherwise(F.lit(0).cast("long")))
+    return F.aggregate(chosen, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
 
-def _bits(part: str) -> Column:
-    """The signed majority of each bit as one long."""
-    out = F.lit(0).cast("long")
-    for i in range(32):
-        s = F.col(f"{part}_{i}")
-        low = s.bitwiseAND(F.lit((1 << 32) - 1))
-        high = F.shiftrightunsigned(s, 32)
-        for bit, ones in ((i, low), (i + 32, high)):
-            one = -(1 << 63) if bit == 63 else 1 << bit
-            out = out.bitwiseOR(F.when(ones * 2 > F.col("_total"), F.lit(one).cast("long")).otherwise(F.lit(0).cast("long")))
-    return out
 
+def fingerprints(texts: DataFrame, keys: list[str], sides: list[str]) -> DataFrame:
+    """Fingerprints of one or more texts (string columns ``sides``) of each row of ``keys``: two longs for each side.
 
-def fingerprints(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys``, f0 and f1 (the fingerprint as two longs) for rows of ``keys`` and ``text``; equal keys are one text."""
-    held = texts.select(*keys, F.explode(F.array(_words(F.col("text")))).alias("_words"))
-    terms = held.select(*keys, F.explode_outer(_terms("_words")).alias("_t"))
-    hashed = terms.select(*keys, F.when(F.col("_t").isNull(), F.lit(0)).otherwise(F.least(F.length("_t"), F.lit(MAX_WEIGHT))).cast("long").alias("_w"),
-                          F.xxhash64("_t").alias("_h0"), F.xxhash64(F.lit(1), "_t").alias("_h1"))
-    summed = hashed.groupBy(*keys).agg(F.sum("_w").alias("_total"), *votes())
-    return summed.select(*keys, _bits("_h0").alias("f0"), _bits("_h1").alias("f1"))
+    ``common`` (long) counts leading words that all sides share; their votes
+    are counted once. Votes are summed four bits to a long over blocks of
+    terms too short to overflow a field, then two bits to a long over blocks.
+    Returns ``keys`` and, for side i, fi_0 and fi_1.
+    """
+    first, rest = sides[0], sides[1:]
+    own = [F.struct(F.lit(i).alias("side"), F.col("common").cast("int").alias("start"), _words(F.col(c)).alias("words")) for i, c in enumerate(sides)]
+    shared = F.struct(F.lit(-1).alias("side"), F.lit(0).alias("start"), F.slice(_words(F.col(first)), F.lit(1), F.greatest(F.col("common"), F.lit(0)).cast("int")).alias("words"))
+    held = texts.select(*keys, F.inline(F.array(*([shared] if rest else []), *own)))
+    terms = held.select(*keys, "side", F.inline(_terms("words", F.col("start"))))
+    hashed = terms.select(*keys, "side", "b", F.least(F.length("t"), F.lit(MAX_WEIGHT)).cast("long").alias("_w"),
+                          F.xxhash64("t").alias("_h0"), F.xxhash64(F.lit(1), "t").alias("_h1"))
+    sums = [F.sum(F.shiftrightunsigned(F.col(p), i).bitwiseAND(F.lit(_FOUR)) * F.col("_w")).alias(f"{p}_{i}") for p in ("_h0", "_h1") for i in range(16)]
+    blocks = hashed.groupBy(*keys, "side", "b").agg(F.sum("_w").alias("_total"), *sums)
+    # field i of a block's long: bits i, i + 16, i + 32, i + 48
+    wide = [F.shiftrightunsigned(F.col(f"{p}_{i % 16}"), 16 * (i // 16)).bitwiseAND(F.lit(_TWO_FIELDS)).alias(f"{p}_{i}") for p in ("_h0", "_h1") for i in range(32)]
+    spread = blocks.select(*keys, "side", "_total", *wide)
+    whole = []
+    for k in range(len(sides)):
+        counts = F.col("side").isin(-1, k)
+        whole.append(F.sum(F.when(counts, F.col("_total"))).alias(f"s{k}_total"))
+        whole += [F.sum(F.when(counts, F.col(f"{p}_{i}"))).alias(f"s{k}{p}_{i}") for p in ("_h0", "_h1") for i in range(32)]
+    summed = spread.groupBy(*keys).agg(*whole)
+    prints = summed.select(*keys, *[F.coalesce(_bits(f"s{k}_h{h}", f"s{k}_total"), F.lit(0).cast("long")).alias(f"f{k}_{h}") for k in range(len(sides)) for h in (0, 1)])
+    # a text always has a word (the empty one, which has no vote), so only rows without any term are left out: there are none
+    return prints
 
 
 def as_text(f0: Column, f1: Column) -> Column:
@@ -128,13 +151,12 @@ def edited_documents(docs: DataFrame) -> DataFrame:
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, n_chars, edited_sha256, the two fingerprints and their likenesses (module docstring)."""
     e = edited_documents(docs)
-    both = e.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).select(
-        "kid", "th", F.struct("doc_id", "next_kid", "next_th", "n_chars", "edited_sha256").alias("info"),
-        F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("text")),
-                          F.struct(F.lit(1).alias("side"), F.col("edited").alias("text")))).alias("s"))
-    prints = fingerprints(both.select("kid", "th", "info", F.col("s.side").alias("side"), F.col("s.text").alias("text")), ["kid", "th", "info", "side"])
-    side = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c)))
-    rows = prints.groupBy("kid", "th", "info").agg(side(0, "f0").alias("f0"), side(0, "f1").alias("f1"), side(1, "f0").alias("e0"), side(1, "f1").alias("e1"))
+    kept = F.col("n_chars") - F.floor(F.col("n_chars") / 4)
+    # words before the last one of the kept text are the same in both texts
+    sides = e.select("kid", "th", F.struct("doc_id", "next_kid", "next_th", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")).alias("info"),
+                     "text", "edited", (F.size(_words(F.substring("text", F.lit(1), kept.cast("int")))) - 1).alias("common"))
+    prints = fingerprints(sides, ["kid", "th", "info"], ["text", "edited"])
+    rows = prints.select("kid", "th", "info", F.col("f0_0").alias("f0"), F.col("f0_1").alias("f1"), F.col("f1_0").alias("e0"), F.col("f1_1").alias("e1"))
     rows = settle(rows, "fingerprints")
     after = rows.select(F.col("kid").alias("next_kid"), F.col("th").alias("next_th"), F.col("f0").alias("n0"), F.col("f1").alias("n1"))
     out = rows.select("*", "info.*").join(after, ["next_kid", "next_th"], "left")
