@@ -27,7 +27,7 @@ from barquet.llm.packing import groups_of
 PER_LANG = 1500
 BUCKETS = 1 << 16
 SWITCH = 8.0
-WORD_CACHE = 300_000
+WORD_CACHE = 250_000
 UND = "und"
 #: Unicode blocks that name a script, first and last code point.
 SCRIPTS = [("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("armenian", 0x530, 0x58F), ("hebrew", 0x590, 0x5FF),

@@ -32,7 +32,7 @@ from barquet.llm.common import in_arrow, partitions, pick, settle, tokenizer_pat
 CAPACITY, END_ID = 1024, 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Tokens of this many distinct chunks are remembered in a worker before it starts anew.
-CHUNK_CACHE = 600_000
+CHUNK_CACHE = 250_000
 
 
 class _Numbers(dict):
@@ -149,7 +149,7 @@ def chunk_tokenizer(path: str) -> ChunkTokenizer:
     return _TOKENIZERS[path]
 
 
-def groups_of(texts: list, most: int = 4_000_000):
+def groups_of(texts: list, most: int = 2_000_000):
     """Slices of the list with about ``most`` characters each (a longer text is alone)."""
     at = 0
     while at < len(texts):

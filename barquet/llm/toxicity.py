@@ -38,7 +38,7 @@ TRAIN_DOCS, TRAIN_CHARS = 3000, 60_000
 FRAGMENTS, NEAR_MISSES = 48, 24
 SUBSEQUENCE, DECAY, MIN_SHARED = 4, 0.7, 0.7
 THRESHOLD = 0.3
-WORD_CACHE = 500_000
+WORD_CACHE = 250_000
 WINDOW = 64
 _MARKS = bytes(b for b in range(33, 128) if not chr(b).isalnum())
 #: Digits and signs that stand for letters.
