@@ -34,7 +34,7 @@ from barquet.llm.common import crc_bucket, in_arrow, pick
 from barquet.llm.packing import groups_of
 
 #: Labelled documents learned from at most, and the longest of them in characters.
-TRAIN_DOCS, TRAIN_CHARS = 3000, 60_000
+TRAIN_DOCS, TRAIN_CHARS = 2000, 60_000
 FRAGMENTS, NEAR_MISSES = 48, 24
 SUBSEQUENCE, DECAY, MIN_SHARED = 4, 0.7, 0.7
 THRESHOLD = 0.3
@@ -185,17 +185,24 @@ def choose_fragments(docs: list[tuple[int, set]], most: int = FRAGMENTS) -> list
     root for a family of forms.
     """
     groups = copy_groups([words for _, words in docs])
-    seen: dict[str, list] = defaultdict(lambda: [set(), set()])
+    words_of = {1: defaultdict(set), 0: defaultdict(set)}
     for group, (label, words) in zip(groups, docs):
-        for w in words:
-            x = f"^{w}$"
-            for k in range(4, min(len(x), 9) + 1):
-                seen[x[:k]][label].add(group)
-    toxic, clean = ({g for g, (l, _) in zip(groups, docs) if l == y} for y in (1, 0))
-    base = max(0.01, len(toxic) / max(1, len(toxic) + len(clean)))
-    counts = {x: (len(t - c), len(c)) for x, (c, t) in seen.items() if len(t) + len(c) >= 3}
-    least = max(3, int(np.ceil(np.log(max(10, len(counts)) / 0.2) / np.log(1 / base))))
-    good = {x: t for x, (t, c) in counts.items() if t >= least and t >= 10 * c}
+        words_of[label][group] |= words
+    for group in words_of[1]:
+        words_of[0].pop(group, None)
+
+    def beginnings(words: set) -> set:
+        return {f"^{w}$"[:k] for w in words for k in range(4, min(len(w) + 2, 9) + 1)}
+
+    toxic, clean = Counter(), Counter()
+    for words in words_of[1].values():
+        toxic.update(beginnings(words))
+    toxic = Counter({x: n for x, n in toxic.items() if n >= 3})
+    for words in words_of[0].values():
+        clean.update(beginnings(words) & toxic.keys())
+    base = max(0.01, len(words_of[1]) / max(1, len(words_of[1]) + len(words_of[0])))
+    least = max(3, int(np.ceil(np.log(max(10, 4 * len(toxic)) / 0.2) / np.log(1 / base))))
+    good = {x: n for x, n in toxic.items() if n >= least and n >= 10 * clean[x]}
     longer = defaultdict(list)
     for x in good:
         longer[x[:-1]].append(x)
@@ -235,8 +242,9 @@ class ToxicityModel:
     def fit(self, docs: list[tuple[int, list[bytes]]]) -> "ToxicityModel":
         if len({l for l, _ in docs}) < 2:
             return self
-        sets = [(l, {w.decode("utf-8", "replace") for w in ws}) for l, ws in docs]
-        fragments = choose_fragments(sets)
+        text = {w: w.decode("utf-8", "replace") for _, ws in docs for w in ws}
+        fragments = choose_fragments([(l, {text[w] for w in ws}) for l, ws in docs])
+        del text
         if not fragments:
             return self
         # the clean pieces nearest to the fragments become landmarks too
@@ -362,11 +370,12 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> T
 
     def run(batches):
         for batch in batches:
-            words = [sorted(set(pieces_of(t or ""))) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic").cast(pa.int32()), pa.array(words, pa.list_(pa.binary()))], ["doc_id", "toxic", "pieces"])
-    rows = in_arrow(texts.select("doc_id", "text", "toxic"), run, "doc_id long, toxic int, pieces array<binary>").collect()
-    rows.sort(key=lambda r: (r[0], [bytes(w) for w in r[2]]))
-    return ToxicityModel().fit([(int(r[1] > 0), [bytes(w) for w in r[2]]) for r in rows])
+            words = [b" ".join(sorted(set(pieces_of(t or "")))) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic").cast(pa.int32()), pa.array(words, pa.binary())], ["doc_id", "toxic", "pieces"])
+    rows = in_arrow(texts.select("doc_id", "text", "toxic"), run, "doc_id long, toxic int, pieces binary").collect()
+    rows = sorted((r[0], int(r[1] > 0), bytes(r[2])) for r in rows)
+    one: dict[bytes, bytes] = {}  # equal pieces are one object
+    return ToxicityModel().fit([(label, [one.setdefault(w, w) for w in pieces.split()]) for _, label, pieces in rows])
 
 
 def score(docs: DataFrame, model: ToxicityModel, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
