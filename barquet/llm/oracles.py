@@ -31,4 +31,18 @@ SELECT doc_id, size, source_size, target,
 FROM drawn
 """
 
-ORACLES = {"op6_source_mixing": MIXING}
+LINES = r"""
+WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+numbered AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM split),
+wide AS (SELECT doc_id, i, l[i] AS a, l[i + 1] AS b, l[i + 2] AS c FROM numbered WHERE i + 2 <= len(l)),
+ranked AS (SELECT doc_id, i, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, i) AS k FROM wide),
+gone AS (SELECT DISTINCT doc_id, i + j AS i FROM ranked, (SELECT unnest([0, 1, 2]) AS j) WHERE k > 1),
+kept AS (
+  SELECT n.doc_id, string_agg(n.l[n.i], chr(10) ORDER BY n.i) AS text, count(*) AS n
+  FROM numbered n ANTI JOIN gone g ON n.doc_id = g.doc_id AND n.i = g.i GROUP BY n.doc_id)
+SELECT s.doc_id, CAST(coalesce(len(s.l), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(s.l), 0) - coalesce(k.n, 0) AS BIGINT) AS n_removed,
+  CASE WHEN s.text IS NOT NULL THEN sha256(coalesce(k.text, '')) END AS kept_sha256
+FROM split s LEFT JOIN kept k ON s.doc_id = k.doc_id
+"""
+
+ORACLES = {"op6_source_mixing": MIXING, "op8_line_dedup": LINES}
