@@ -25,3 +25,33 @@ def removed_bytes(docs: list[tuple[int | None, str | None]], threshold: int = 50
         spans = sum(1 for k in range(len(t)) if gone[k] and (k == 0 or not gone[k - 1]))
         out.append((len(t), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
     return out
+
+
+def components_of(docs: list[tuple[int | None, str | None]], width: int, num: int, den: int):
+    """Per document (set size, least id reachable over links) by comparing all pairs."""
+    import re
+    sets = []
+    for _, t in docs:
+        w = [x.translate(LOWER) for x in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+        sets.append(frozenset(zip(*[w[i:] for i in range(width)])) if len(w) >= width else frozenset([tuple(w)] if w else []))
+    top = list(range(len(docs)))
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            y = sets[j]
+            both = len(x & y)
+            if x and y and den * both >= num * (len(x) + len(y) - both):
+                top[find(i)] = find(j)
+    order = lambda i: (1 << 63) - 1 if i is None else i
+    least: dict = {}
+    for i, (d, _) in enumerate(docs):
+        least[find(i)] = min(least.get(find(i), 1 << 64), order(d))
+    return [(len(s), None if least[find(i)] == (1 << 63) - 1 else least[find(i)]) for i, s in enumerate(sets)]
+
+
+LOWER = {c: c + 32 for c in range(65, 91)}
