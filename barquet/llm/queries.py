@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barquet.llm import chat, fingerprints, jaccard, langid, lines, mixing, packing, repeats, toxicity
-from barquet.llm.common import table
+from barquet.llm import chat, fingerprints, jaccard, langid, lines, mixing, mtree, packing, repeats, toxicity
+from barquet.llm.common import settle, table
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,11 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (plan["size"] * plan["copies"]).cast("long").alias("taken"))
 
 
+def op7_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = settle(mtree.integer_vectors(table(spark, sf_dir, "embeddings")), "vectors")
+    return mtree.top_k(points, points.filter(F.col("vec_id") % mtree.EVERY == 0))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_counts(table(spark, sf_dir, "documents"))
 
@@ -57,4 +62,4 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(rows))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_fingerprints, op4_best_fit_packing, op5_language_id, op6_source_mixing, op8_line_dedup, op9_jaccard_join, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_fingerprints, op4_best_fit_packing, op5_language_id, op6_source_mixing, op7_mtree_topk, op8_line_dedup, op9_jaccard_join, op10_chat_formatting)}
