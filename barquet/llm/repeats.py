@@ -10,12 +10,18 @@ bytes. Suffixes are ordered no deeper than that, most significant digit first:
 2. Within a digit, occurrences whose whole reach (every window around the
    minimizer) is equal need no further ordering: all but those of the
    smallest id are repeats, whole. A digit with one distinct reach is done.
-3. Windows of the few other digits are sorted by their bytes, eight at a
+3. The second digit lengthens the first by half of what a window has more,
+   to the left and to the right: a window holds one of the two, so an
+   occurrence goes on only if another document shares either.
+4. Windows of the few that are left are sorted by their bytes, eight at a
    time, most significant digit first, dropping groups of one after each
    pass; groups that are still together after the last pass are exactly the
    repeated windows. First windows of each task's groups meet by 128-bit
    digests of all their bytes.
 
+Equal occurrences of a task are combined before each exchange, so a passage
+that a third of all documents share costs a record a task.
+
 Defined cases: a null text is empty; texts under ``THRESHOLD`` bytes have no
 window; a null id counts as larger than every id; rows with one id are no
 earlier than each other; a document's own repeats stay. Equality of reaches
@@ -30,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from barquet.llm.common import BYTE_CODE, RangeHash, in_arrow, mix64, pick
+from barquet.llm.common import BYTE_CODE, RangeHash, in_arrow, mix64, pick, texts_of
 from barquet.llm.firsts import (CELLS, FOUND, KEYED, KEYS, SPANS, Rows, buckets, cells, home, joined, merged, names_of, read_cells, reduce_firsts, runs,
                                 with_bucket)
 from barquet.session import ship_package
@@ -41,6 +47,8 @@ CHUNK = 1 << 18  # windows handled at once: arrays of this length stay in cache
 DIGITS = (np.uint32, np.uint8, np.uint32, np.uint16, np.int64, np.uint32, np.uint32)
 #: kid, tag, position, what (a reach that is a repeat, or one whose windows are to be sorted).
 REACHES = (np.int64, np.uint32, np.int64, np.uint8)
+#: Second digit, kid, tag, position.
+SECOND = (np.uint64, np.int64, np.uint32, np.uint32)
 COVERED, PROBE = 0, 1
 #: Cell kind of reaches.
 REACHED = 2
@@ -114,8 +122,6 @@ def classes(digit, reach, kid):
 
 def _scan(n: int, threshold: int, digit: int):
     """First digits of a task's texts, combined; reaches already known to be repeats or to need sorting go home at once."""
-    from barquet.llm.common import texts_of
-
     def run(batches):
         for batch in batches:
             kid, tag = names_of(batch)
@@ -188,59 +194,104 @@ def _second_code() -> np.ndarray:
     return mix64(BYTE_CODE + np.uint64(0x5851F42D4C957F2D))
 
 
-def _windows(n: int, threshold: int, digit: int):
-    """Sort the windows around undecided reaches: a task's own repeats are found by bytes, its first windows go out by digest."""
-    from barquet.llm.common import texts_of
-    code = _second_code()
+def _placed(docs: pa.Table, found: pa.Table, kind: int = REACHED):
+    """The rows, bytes and offsets of the documents, and the found positions with the rows they are in."""
+    batch = docs.combine_chunks().to_batches()[0]
+    rows = Rows(batch)
+    data, offsets = texts_of(batch, "text")
+    kid, tag, pos, what = read_cells(found, kind, REACHES)
+    return rows, data, offsets, rows.find(kid, tag), pos, what
+
+
+def range_hashes(data, offsets, row, start, end, code=BYTE_CODE) -> np.ndarray:
+    """Hashes of byte ranges of documents; ``row`` need not be sorted."""
+    out = np.zeros(len(row), np.uint64)
+    order = np.argsort(row, kind="stable")
+    cuts = np.searchsorted(row[order], np.arange(len(offsets)))
+    for i in np.flatnonzero(np.diff(cuts)):
+        own = order[cuts[i]:cuts[i + 1]]
+        out[own] = RangeHash(data[offsets[i]:offsets[i + 1]], code)(start[own], end[own])
+    return out
+
+
+def _lengthen(n: int, threshold: int, digit: int):
+    """Whole repeats become spans; for undecided reaches, their two second digits go out."""
+    more = -(-(threshold - digit) // 2)
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
-        kid, tag, pos, what = read_cells(found, REACHED, REACHES)
-        if not len(kid) or not docs.num_rows:
+        if not docs.num_rows or REACHED not in found.column("kind").to_pylist():
             return joined([], found)
-        batch = docs.combine_chunks().to_batches()[0]
-        rows = Rows(batch)
-        data, offsets = texts_of(batch, "text")
-        row = rows.find(kid, tag)
+        rows, data, offsets, row, pos, what = _placed(docs, found)
+        size = offsets[row + 1] - offsets[row]
+        cover = what == COVERED
+        r, s, e = merged(row[cover], np.maximum(pos - (threshold - digit), 0)[cover], np.minimum(pos + threshold, size)[cover])
+        out = list(cells(FOUND, home(rows.kid[r], n), rows.kid[r], rows.tag[r], s, e))
+        keys = []
+        for side, (a, b) in enumerate(((pos - more, pos + digit), (pos, pos + digit + more))):
+            ok = np.flatnonzero(~cover & (a >= 0) & (b <= size))
+            keys.append((range_hashes(data, offsets, row[ok], a[ok], b[ok]) ^ np.uint64(side), row[ok], pos[ok]))
+        key, r, p = (np.concatenate(x) for x in zip(*keys))
+        key, k, t = mix64(key), rows.kid[r], rows.tag[r]
+        order, _, mixed, group = classes(key, k.astype(np.uint64), k)
+        alive = order[mixed]
+        alive = alive[np.lexsort((p[alive], r[alive]))]
+        out += cells(REACHED, home(k[alive], n), k[alive], t[alive], p[alive], np.full(len(alive), PROBE, np.uint8))
+        lone = np.sort(order[~mixed])
+        several = order[np.unique(group[mixed])] if mixed.any() else np.zeros(0, np.int64)
+        send = np.concatenate([lone, several])
+        k = k[send]
+        k[len(lone):] = -1 << 63  # other than every document
+        out += cells(KEYS, (key[send] % np.uint64(n)).astype(np.int64), key[send], k, t[send], p[send].astype(np.uint32))
+        return joined(out, found, FOUND)
+    return run
+
+
+def _by_key(n: int):
+    """Occurrences whose second digit another document has, too."""
+    def run(table: pa.Table) -> pa.Table:
+        key, kid, tag, pos = read_cells(table, KEYS, SECOND)
+        order, _, mixed, _ = classes(key, kid.astype(np.uint64), kid)
+        own = order[mixed & (kid[order] != -1 << 63)]
+        own = own[np.lexsort((pos[own], tag[own], kid[own]))]
+        out = list(cells(REACHED, home(kid[own], n), kid[own], tag[own], pos[own].astype(np.int64), np.full(len(own), PROBE, np.uint8)))
+        return joined(out, table, FOUND, REACHED)
+    return run
+
+
+def _windows(n: int, threshold: int, digit: int):
+    """Sort the windows around what is left: a task's own repeats are found by bytes, its first windows go out by digest."""
+    code = mix64(BYTE_CODE + np.uint64(0x5851F42D4C957F2D))
+
+    def run(docs: pa.Table, found: pa.Table) -> pa.Table:
+        if not docs.num_rows or REACHED not in found.column("kind").to_pylist():
+            return joined([], found, FOUND)
+        rows, data, offsets, row, pos, _ = _placed(docs, found)
         left = np.maximum(pos - (threshold - digit), 0)
         right = np.minimum(pos + threshold, offsets[row + 1] - offsets[row])
-        cover = what == COVERED
-        spans = [(row[cover], left[cover], right[cover])]
+        reach = right - left - threshold + 1  # windows of each reach
+        at = np.repeat(left + offsets[row] - np.cumsum(reach) + reach, reach) + np.arange(reach.sum())
+        at = np.unique(at)
+        r = np.searchsorted(offsets, at, "right") - 1
+        s = at - offsets[r]
+        group = equal_windows(data, at, threshold)
+        # of a group of equal windows, those with the smallest id are firsts
+        k = rows.kid[r]
+        order = np.lexsort((k, group))
+        first = runs(group[order])
+        repeat = np.zeros(len(r), bool)
+        repeat[order] = (k[order] > k[order][first]) & (group[order] >= 0)
         out = []
-        probe = ~cover
-        if probe.any():
-            reach = right[probe] - left[probe] - threshold + 1  # windows of each reach
-            r = np.repeat(row[probe], reach)
-            s = np.repeat(left[probe] - np.cumsum(reach) + reach, reach) + np.arange(reach.sum())
-            at = np.unique(s + offsets[r])
-            r = np.searchsorted(offsets, at, "right") - 1
-            s = at - offsets[r]
-            group = equal_windows(data, at, threshold)
-            alone = group < 0
-            # of a group of equal windows, those with the smallest id are firsts
-            k = rows.kid[r]
-            order = np.lexsort((k, group))
-            first = runs(group[order])
-            repeat = np.zeros(len(r), bool)
-            repeat[order] = (k[order] > k[order][first]) & ~alone[order]
-            spans.append((r[repeat], s[repeat], s[repeat] + threshold))
-            f = np.flatnonzero(~repeat)
-            h1, h2 = np.zeros(len(f), np.uint64), np.zeros(len(f), np.uint64)
-            cuts = np.searchsorted(r[f], np.arange(len(offsets)))
-            for i in np.flatnonzero(np.diff(cuts)):
-                a, b = cuts[i], cuts[i + 1]
-                part = data[offsets[i]:offsets[i + 1]]
-                for h, own in ((h1, RangeHash(part)), (h2, RangeHash(part, code))):
-                    h[a:b] = own(s[f[a:b]], s[f[a:b]] + threshold)
-            out += cells(KEYS, (h1 % np.uint64(n)).astype(np.int64), h1, h2, rows.kid[r[f]], rows.tag[r[f]], s[f])
-        row, start, end = merged(*(np.concatenate(x) for x in zip(*spans)))
+        row, start, end = merged(r[repeat], s[repeat], s[repeat] + threshold)
         out += cells(FOUND, home(rows.kid[row], n), rows.kid[row], rows.tag[row], start, end)
-        return joined(out, found)
+        f = np.flatnonzero(~repeat)
+        h1 = range_hashes(data, offsets, r[f], s[f], s[f] + threshold)
+        h2 = range_hashes(data, offsets, r[f], s[f], s[f] + threshold, code)
+        out += cells(KEYS, (h1 % np.uint64(n)).astype(np.int64), h1, h2, rows.kid[r[f]], rows.tag[r[f]], s[f])
+        return joined(out, found, FOUND)
     return run
 
 
 def _cut(texts: bool):
-    from barquet.llm.common import texts_of
-
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()),
                             *([("kept", pa.binary()), ("spans", pa.list_(pa.list_(pa.int64())))] if texts else [])])
@@ -278,7 +329,9 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIG
     own = with_bucket(pick(docs, "doc_id", "text"), n)
     digits = in_arrow(own.select("doc_id", "text"), _scan(n, threshold, digit), CELLS)
     reaches = digits.groupBy("bucket").applyInArrow(_by_digit(n), CELLS)
-    windows = own.groupBy("bucket").cogroup(reaches.groupBy("bucket")).applyInArrow(_windows(n, threshold, digit), CELLS)
+    longer = own.groupBy("bucket").cogroup(reaches.groupBy("bucket")).applyInArrow(_lengthen(n, threshold, digit), CELLS)
+    alive = longer.groupBy("bucket").applyInArrow(_by_key(n), CELLS)
+    windows = own.groupBy("bucket").cogroup(alive.groupBy("bucket")).applyInArrow(_windows(n, threshold, digit), CELLS)
     spans = reduce_firsts(windows, n, threshold, within=False)
     kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary, spans array<array<bigint>>" if texts else "")
     return own.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(_cut(texts), kind)
