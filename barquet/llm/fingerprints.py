@@ -101,7 +101,7 @@ def likeness(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
 
 
 def next_documents(keys: DataFrame) -> DataFrame:
-    """For distinct rows (kid, th, n): the next row's kid and th in ascending order, the last followed by the first.
+    """For distinct rows (kid, th, n, doc_id): the next row's kid and th in ascending order, the last followed by the first.
 
     Rows are range-partitioned and numbered by partition once (written, as
     range bounds are sampled); within a partition a window finds the next
@@ -118,7 +118,7 @@ def next_documents(keys: DataFrame) -> DataFrame:
     after = firsts.select("pid", F.coalesce(F.lead("own").over(order), wrap).alias("after"))
     out = attach(ranged.withColumn("nxt", following), after, "pid")
     nxt = F.coalesce("nxt", "after")
-    return out.select("kid", "th", "n", nxt["kid"].alias("next_kid"), nxt["th"].alias("next_th"))
+    return out.select("kid", "th", "n", "doc_id", nxt["kid"].alias("next_kid"), nxt["th"].alias("next_th"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -135,17 +135,19 @@ def edited_documents(docs: DataFrame) -> DataFrame:
     characters) and sends that prefix back.
     """
     rows = keyed(docs)
-    links = settle(next_documents(rows.select("kid", "th", F.length("text").cast("long").alias("n")).distinct()), "next")
-    asked = links.select(F.col("next_kid").alias("kid"), F.col("next_th").alias("th"),
+    links = settle(next_documents(rows.select("kid", "th", F.length("text").cast("long").alias("n"), "doc_id").distinct()), "next")
+    asked = links.select(F.col("next_kid").alias("kid"), F.col("next_th").alias("th"), F.col("doc_id").alias("to_id"),
                          F.col("kid").alias("to_kid"), F.col("th").alias("to_th"), F.floor(F.col("n") / 4).cast("int").alias("k"))
-    sent = (rows.join(asked, ["kid", "th"], "left").filter(F.col("to_kid").isNotNull())
-            .select(F.col("to_kid").alias("kid"), F.col("to_th").alias("th"), F.substring("text", F.lit(1), F.col("k")).alias("tail"),
-                    F.col("kid").alias("next_kid"), F.col("th").alias("next_th")))
-    own = rows.join(sent, ["kid", "th"], "left")
+    # both joins read kid, th and text alone, so that they share one exchange of the texts
+    texts = rows.select("kid", "th", "text")
+    sent = (texts.join(asked, ["kid", "th"])
+            .select(F.col("to_kid").alias("kid"), F.col("to_th").alias("th"), F.col("to_id").alias("doc_id"),
+                    F.substring("text", F.lit(1), F.col("k")).alias("tail"), F.col("kid").alias("next_kid"), F.col("th").alias("next_th")))
+    own = texts.join(sent, ["kid", "th"])
     n = F.length("text")
     kept = n - F.floor(n / 4).cast("int")
     return own.select("kid", "th", "doc_id", "next_kid", "next_th", "text", n.cast("long").alias("n_chars"),
-                      F.concat(F.substring("text", F.lit(1), kept), F.coalesce("tail", F.lit(""))).alias("edited"))
+                      F.concat(F.substring("text", F.lit(1), kept), "tail").alias("edited"))
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
