@@ -9,26 +9,21 @@ Plan per series key:
    share one dual variable whose upper bound is their count: the same
    optimisation problem, now sized by distinct values instead of rows.
    Both steps are aggregates with map-side combine.
-2. A series with more than ``max_distinct`` distinct values has them snapped
-   to ``max_distinct`` equal-width bin centres first, so one task never holds
-   an unbounded group. This is an approximation and every output row of such
-   a series carries ``approximate = true``. Each value moves by at most half
-   a bin, ``(max - min) / (2 max_distinct)``; with ``gamma = 1 / var`` the
-   kernel width is one standard deviation, so for a range of ``r`` standard
-   deviations a kernel value changes by a relative ``O(r / max_distinct)``
-   at most (about 0.3% at the default for r = 6). ``max_distinct=None`` skips
-   the binning: exact, but one task then holds all of a series' distinct
-   values and a kernel matrix of their count squared.
-3. ``applyInPandas`` per key solves the dual
-   ``min a'Ka/2, 0 <= a_v <= count_v, sum a = nu * n`` by SMO (first index
-   by maximal violation, second by the largest objective decrease; stopping
-   gap ``tol``), and returns the support
-   values, their weights and the offset ``rho``.
-4. Scoring joins the model back to the rows and evaluates
-   ``sum_v a_v exp(-gamma (x - v)^2) - rho`` with ``zip_with``/``aggregate``
-   (built-in higher-order functions). A row is an anomaly when its score is
-   below ``-tol``: rows at the upper bound of the dual (outliers) have
-   negative scores, rows on the boundary score zero within the tolerance.
+2. ``applyInPandas`` per key solves the dual
+   ``min a'Ka/2, 0 <= a_v <= count_v, sum a = nu * n`` over the distinct
+   values with an interior-point method until the duality gap is
+   ``GAP`` of the objective. The one-dimensional kernel is factored at
+   Chebyshev points, whose number follows from the range in kernel widths and
+   not from the rows; a step costs the distinct values times the square of
+   that number, and memory grows with the distinct values alone. No value is
+   moved, merged or left out at any size. The result is the offset ``rho``,
+   the support values with their weights, and the gap that was reached; a
+   series that misses the gap raises.
+3. Scoring joins the model back to the distinct values, evaluates
+   ``sum_v a_v exp(-gamma (x - v)^2) - rho`` once for each of them, and joins
+   the scores to the rows. A row is an anomaly when its score is below 0, as
+   a prediction of -1 is; values on the boundary score 0 up to rounding, so
+   "below" means by more than ``ZERO`` of ``rho``.
 """
 
 from __future__ import annotations
@@ -39,137 +34,147 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import (ArrayType, BooleanType, DoubleType, LongType, StructField,
-                               StructType)
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-DEFAULT_MAX_DISTINCT = 2000
+from barquet.session import ship_package
+
+#: Duality gap at the end, as a share of the objective.
+GAP = 1e-12
+#: Scores within this share of rho are zero.
+ZERO = 1e-7
 
 
 def _keys(key: str | Sequence[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
+def _kernel_factor(u: np.ndarray) -> np.ndarray:
+    """Columns F with ``F F' = exp(-(u_i - u_j)^2)`` to rounding: the kernel at Chebyshev points, interpolated in both arguments."""
+    lo, hi = float(u.min()), float(u.max())
+    m = int(28 + 9 * (hi - lo))
+    if m >= len(u):
+        at, weights = u, np.eye(len(u))
+    else:
+        j = np.arange(m)
+        at = (lo + hi) / 2 + (hi - lo) / 2 * np.cos(np.pi * (j + 0.5) / m)
+        apart = u[:, None] - at[None, :]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            weights = (-1.0) ** j * np.sin(np.pi * (j + 0.5) / m) / apart
+            weights /= weights.sum(1, keepdims=True)
+        hit = apart == 0
+        weights[hit.any(1)] = hit[hit.any(1)]
+    vals, vecs = np.linalg.eigh(np.exp(-(at[:, None] - at[None, :]) ** 2))
+    keep = vals > 1e-17 * vals[-1]
+    return weights @ (vecs[:, keep] * np.sqrt(vals[keep]))
+
+
 def solve_one_class_dual(values: np.ndarray, counts: np.ndarray, nu: float, gamma: float,
-                         tol: float = 1e-3, max_iter: int = 200_000) -> tuple[np.ndarray, float]:
-    """SMO for ``min a'Ka/2`` s.t. ``0 <= a <= counts``, ``sum a = nu * sum(counts)``.
+                         gap: float = GAP, max_iter: int = 200) -> tuple[np.ndarray, float]:
+    """Solve ``min a'Ka/2`` s.t. ``0 <= a <= counts``, ``sum a = nu * sum(counts)``; the kernel is ``exp(-gamma d^2)``.
 
-    Returns the weights ``a`` and ``rho``. The kernel is ``exp(-gamma d^2)``.
+    Returns the weights ``a`` and ``rho``. Raises ``ArithmeticError`` when
+    ``max_iter`` steps do not close the duality gap.
     """
-    v = np.asarray(values, dtype=float)
-    ub = np.asarray(counts, dtype=float)
-    m = len(v)
-    total = nu * ub.sum()
-    a = np.zeros(m)
-    left = total
-    for i in range(m):  # feasible start: fill bounds in order
-        take = min(ub[i], left)
-        a[i] = take
-        left -= take
-        if left <= 0:
-            break
-    k = np.exp(-gamma * (v[:, None] - v[None, :]) ** 2)
-    g = k @ a
-    eps_a = 1e-12
+    v, c = np.asarray(values, dtype=float), np.asarray(counts, dtype=float)
+    f = _kernel_factor(np.sqrt(gamma) * (v - v.mean()))
+    if nu >= 1 or len(v) == 1:
+        a = nu * c
+        return a, float((f @ (f.T @ a)).max())
+    n = len(v)
+    a = nu * c
+    g = f @ (f.T @ a)
+    rho = float(g.mean())
+    z, y = np.maximum(g - rho, 0) + g.max(), np.maximum(rho - g, 0) + g.max()
     for _ in range(max_iter):
-        can_dec = a > eps_a
-        can_inc = a < ub - eps_a
-        if not can_dec.any() or not can_inc.any():
+        slack = c - a
+        open_gap = float(z @ a + y @ slack)
+        dual = g - rho - z + y
+        if open_gap <= gap * max(1.0, float(a @ g)) and np.abs(dual).max() <= 1e-9 * max(1.0, abs(rho)):
             break
-        gi_all = np.where(can_dec, g, -np.inf)
-        i = int(np.argmax(gi_all))
-        gmin = np.min(np.where(can_inc, g, np.inf))
-        if gi_all[i] - gmin < tol:
-            break
-        # second-order choice of j: the largest decrease of the objective
-        diff = g[i] - g
-        quad = np.maximum(2.0 - 2.0 * k[i], 1e-12)
-        gain = np.where(can_inc & (diff > 0), diff * diff / quad, -np.inf)
-        j = int(np.argmax(gain))
-        t = min(diff[j] / quad[j], a[i], ub[j] - a[j])
-        if t <= 0:
-            break
-        a[i] -= t
-        a[j] += t
-        g += t * (k[:, j] - k[:, i])
-    free = (a > eps_a) & (a < ub - eps_a)
-    if free.any():
-        rho = float(g[free].mean())
+        mu = 0.1 * open_gap / (2 * n)
+        d = z / a + y / slack
+        r = g - rho - mu / a + mu / slack
+        fd = f / d[:, None]
+        core = np.linalg.cholesky(np.eye(f.shape[1]) + f.T @ fd)
+
+        def solve(b, d=d, fd=fd, core=core):
+            return b / d - fd @ np.linalg.solve(core.T, np.linalg.solve(core, fd.T @ b))
+
+        mr, m1 = solve(r), solve(np.ones(n))
+        drho = float(mr.sum() / m1.sum())
+        da = drho * m1 - mr
+        dz, dy = mu / a - z - z / a * da, mu / slack - y + y / slack * da
+        with np.errstate(divide="ignore", invalid="ignore"):
+            room = [np.where(s < 0, -x / s, np.inf).min() for x, s in ((a, da), (slack, -da))]
+            room_d = [np.where(s < 0, -x / s, np.inf).min() for x, s in ((z, dz), (y, dy))]
+        step, step_d = min(1.0, 0.995 * min(room)), min(1.0, 0.995 * min(room_d))
+        step = step_d = min(step, step_d)  # one length keeps the dual residual shrinking
+        a = a + step * da
+        a *= nu * c.sum() / a.sum()
+        a = np.clip(a, c * 1e-15, c * (1 - 1e-15))
+        rho, z, y = rho + step * drho, z + step_d * dz, y + step_d * dy
+        g = f @ (f.T @ a)
     else:
-        at_ub = a >= ub - eps_a
-        at_lb = a <= eps_a
-        lb = g[at_ub].max() if at_ub.any() else -np.inf
-        upb = g[at_lb].min() if at_lb.any() else np.inf
-        rho = float((lb + upb) / 2.0) if np.isfinite(lb) and np.isfinite(upb) else float(
-            lb if np.isfinite(lb) else upb)
-    return a, rho
-
-
-def one_class_fit(series: DataFrame, key: str | Sequence[str], value: str, nu: float,
-                  max_distinct: int | None = DEFAULT_MAX_DISTINCT, tol: float = 1e-3) -> DataFrame:
-    """Per key: ``gamma``, ``rho``, support values and weights, and the ``approximate`` flag."""
+        raise ArithmeticError(f"one-class dual: gap {open_gap:.3g} after {max_iter} steps")
+    # what complementarity has decided goes to its bound
+    a = np.where(z > a / c * max(1.0, rho), 0.0, np.where(y > (c - a) / c * max(1.0, rho), c, a))
+    return a, float(rho)
+
+
+def _values(series: DataFrame, keys: list[str], value: str) -> DataFrame:
+    x = F.col(value).cast("double")
+    clean = series.filter(x.isNotNull() & ~F.isnan(x))
+    return clean.groupBy(*keys, x.alias("_v")).agg(F.count(F.lit(1)).alias("_w"))
+
+
+def one_class_fit(series: DataFrame, key: str | Sequence[str], value: str, nu: float, gap: float = GAP) -> DataFrame:
+    """Per key: ``gamma``, ``rho``, support values and weights, ``n`` and the share ``at_bound`` of rows at their bound."""
     if not 0 < nu <= 1:
         raise ValueError("nu must be in (0, 1]")
     keys = _keys(key)
-    x = F.col(value).cast("double")
-    clean = series.filter(x.isNotNull() & ~F.isnan(x))
     # one scan of the series: everything else comes from the distinct-value table
-    counts = clean.groupBy(*keys, x.alias("_v")).agg(F.count(F.lit(1)).alias("_w"))
-    info = counts.groupBy(*keys).agg(
-        F.sum("_w").alias("_n"), (F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias("_mean"),
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_nd"))
-    j = counts.join(info, on=keys)
-    if max_distinct is None:
-        approx = F.lit(False)
-        snapped = F.col("_v")
-    else:
-        approx = F.col("_nd") > F.lit(max_distinct)
-        width = (F.col("_hi") - F.col("_lo")) / F.lit(float(max_distinct))
-        b = F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(max_distinct - 1))
-        snapped = F.when(approx, F.col("_lo") + (b + F.lit(0.5)) * width).otherwise(F.col("_v"))
-    dev = F.col("_v") - F.col("_mean")
-    # population variance of the raw values = sum of these parts / n (summed in the solver)
-    reduced = (j.groupBy(*keys, snapped.alias("_v"))
-               .agg(F.sum("_w").alias("_w"), F.sum(F.col("_w") * dev * dev).alias("_ss"),
-                    F.first("_n").alias("_n"), F.first(approx).alias("approximate")))
+    counts = _values(series, keys, value)
     key_fields = [f for f in series.schema.fields if f.name in keys]
     schema = StructType(key_fields + [
         StructField("gamma", DoubleType()), StructField("rho", DoubleType()),
         StructField("support_values", ArrayType(DoubleType())), StructField("support_weights", ArrayType(DoubleType())),
-        StructField("n", LongType()), StructField("approximate", BooleanType())])
+        StructField("n", LongType()), StructField("at_bound", LongType())])
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_v")
-        var = float(pdf["_ss"].sum()) / float(pdf["_n"].iloc[0])
+        v, w = pdf["_v"].to_numpy(), pdf["_w"].to_numpy(dtype=float)
+        mean = float((v * w).sum() / w.sum())
+        var = float((w * (v - mean) ** 2).sum() / w.sum())
         gamma = 1.0 / var if var > 0 else 1.0
-        a, rho = solve_one_class_dual(pdf["_v"].to_numpy(), pdf["_w"].to_numpy(), nu, gamma, tol)
-        sv = a > 1e-12
+        a, rho = solve_one_class_dual(v, w, nu, gamma, gap)
+        sv = a > 0
         row = {k: pdf[k].iloc[0] for k in keys}
-        row.update(gamma=gamma, rho=rho, support_values=pdf["_v"].to_numpy()[sv].tolist(),
-                   support_weights=a[sv].tolist(), n=int(pdf["_n"].iloc[0]),
-                   approximate=bool(pdf["approximate"].iloc[0]))
+        row.update(gamma=gamma, rho=rho, support_values=v[sv].tolist(), support_weights=a[sv].tolist(),
+                   n=int(w.sum()), at_bound=int(w[a >= w].sum()))
         return pd.DataFrame([row], columns=[f.name for f in schema.fields])
 
-    return reduced.groupBy(*keys).applyInPandas(solve, schema)
+    ship_package(series.sparkSession)
+    return counts.groupBy(*keys).applyInPandas(solve, schema)
 
 
 def one_class_score(series: DataFrame, model: DataFrame, key: str | Sequence[str], value: str,
-                    tol: float = 1e-3, score: str = "score", flag: str = "is_anomaly") -> DataFrame:
-    """Decision value per row and the anomaly flag (score below ``-tol``)."""
+                    score: str = "score", flag: str = "is_anomaly") -> DataFrame:
+    """Decision value per row and the anomaly flag (score below 0)."""
     keys = _keys(key)
     m = model.select(*keys, F.col("gamma").alias("_g"), F.col("rho").alias("_rho"),
-                     F.col("support_values").alias("_sv"), F.col("support_weights").alias("_sw"), "approximate")
-    x = F.col(value).cast("double")
+                     F.col("support_values").alias("_sv"), F.col("support_weights").alias("_sw"))
+    x = F.col("_v")
     terms = F.zip_with("_sv", "_sw", lambda v, a: a * F.exp(-F.col("_g") * (x - v) * (x - v)))
     s = F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t) - F.col("_rho")
-    out = series.join(m, on=keys, how="left").withColumn(score, s)
-    return out.withColumn(flag, F.col(score) < F.lit(-tol)).drop("_g", "_rho", "_sv", "_sw")
+    scored = _values(series, keys, value).drop("_w").join(m, on=keys).select(
+        *keys, "_v", s.alias(score), (s < F.lit(-ZERO) * F.greatest(F.abs("_rho"), F.lit(1e-300))).alias(flag))
+    return series.withColumn("_v", F.col(value).cast("double")).join(scored, on=[*keys, "_v"], how="left").drop("_v")
 
 
-def one_class_flags(series: DataFrame, key: str | Sequence[str], value: str, nu: float,
-                    max_distinct: int | None = DEFAULT_MAX_DISTINCT, tol: float = 1e-3) -> DataFrame:
-    """Fit and score in one call: every row with ``score``, ``is_anomaly`` and ``approximate``.
+def one_class_flags(series: DataFrame, key: str | Sequence[str], value: str, nu: float, gap: float = GAP) -> DataFrame:
+    """Fit and score in one call: every row with ``score`` and ``is_anomaly``.
 
-    ``series`` is read twice (the fit's aggregates, the scoring join).
+    ``series`` is read three times (the fit's counts, the distinct values to
+    score, the rows).
     """
-    model = one_class_fit(series, key, value, nu, max_distinct, tol)
-    return one_class_score(series, model, key, value, tol)
+    return one_class_score(series, one_class_fit(series, key, value, nu, gap), key, value)

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from barquet.operators.anomaly import DEFAULT_MAX_DISTINCT, one_class_fit, one_class_score
+from barquet.operators.anomaly import one_class_fit, one_class_score
 from barquet.operators.charts import actual_and_forecast, anomaly_points, forecast_only
 from barquet.operators.forecast import arma11_forecast
 from barquet.operators.mlmodels import lag_forecast, series_positions
@@ -15,7 +15,6 @@ from barquet.session import materialize
 
 def analyze_series(series: DataFrame, days: int, nu: float, key: str | Sequence[str] = "series_id",
                    idx: str = "idx", value: str = "Close",
-                   max_distinct: int | None = DEFAULT_MAX_DISTINCT,
                    css_iterations: int = 4) -> dict[str, DataFrame]:
     """The web form's job for every series at once.
 
@@ -38,7 +37,7 @@ def analyze_series(series: DataFrame, days: int, nu: float, key: str | Sequence[
     # the forecast and the one-class model each feed two outputs; both are
     # small (days + 1 rows, one row per series): write them once
     fc = materialize(arma11_forecast(series, key, idx, value, days, css_iterations=css_iterations))
-    model = materialize(one_class_fit(series, key, value, nu, max_distinct))
+    model = materialize(one_class_fit(series, key, value, nu))
     scored = one_class_score(series, model, key, value)
     return {
         "forecast": forecast_only(fc, key, idx),

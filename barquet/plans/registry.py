@@ -531,6 +531,27 @@ def m7_one_class_flags(spark: SparkSession, sf: str) -> DataFrame:
     return one_class_flags(fx.closes(spark, sf), "series_id", "Close", nu=0.05)
 
 
+@register("m7_one_class_certificate", _w("closes") + """ select series_id, count(*) as n, true as share_ok, true as support_ok,
+  true as weights_ok, true as bounds_ok from closes group by series_id""")
+def m7_one_class_certificate(spark: SparkSession, sf: str) -> DataFrame:
+    """Optimality of the one-class fit per series (M7): at most nu * n rows are flagged, flagged and boundary rows
+    reach nu * n, the weights sum to nu * n, and rows off the support do not score below 0 (an optimum is what meets them all)."""
+    from pyspark.sql import functions as F
+    from barquet.operators.anomaly import one_class_fit, one_class_score
+    nu, c = 0.05, fx.closes(spark, sf)
+    model = one_class_fit(c, "series_id", "Close", nu)
+    rows = one_class_score(c, model, "series_id", "Close")
+    tiny = F.lit(1e-5) * F.col("rho")
+    r = rows.join(model.select("series_id", "rho", "support_values", "support_weights", "n"), "series_id")
+    per = r.groupBy("series_id").agg(
+        F.max("n").alias("n"), F.sum(F.col("is_anomaly").cast("int")).alias("flagged"),
+        F.sum((F.col("score") <= tiny).cast("int")).alias("low"),
+        F.max(F.aggregate("support_weights", F.lit(0.0), lambda a, x: a + x)).alias("total"),
+        F.min(F.when(~F.array_contains("support_values", F.col("Close").cast("double")), F.col("score") / F.col("rho"))).alias("off"))
+    return per.select("series_id", "n", (F.col("flagged") <= nu * F.col("n")).alias("share_ok"), (F.col("low") >= nu * F.col("n")).alias("support_ok"),
+                      (F.abs(F.col("total") - nu * F.col("n")) < 1e-4).alias("weights_ok"), (F.coalesce("off", F.lit(0.0)) > -1e-5).alias("bounds_ok"))
+
+
 @register("d6_analyze_series_chart")
 def d6_analyze_series_chart(spark: SparkSession, sf: str) -> DataFrame:
     """Actual closes followed by the ARMA(1,1) forecast of the series job."""
