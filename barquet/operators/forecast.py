@@ -130,10 +130,14 @@ def arma11_css_refine(lagged: DataFrame, params: DataFrame, keys: Sequence[str],
     ``theta`` are linear recurrences in ``r = -theta``, computed by
     :func:`barquet.operators.series.discounted_cumsum` (blocked, no per-series
     task); the derivative in ``c`` is ``-(1 - r^t) / (1 - r)``. Each step
-    aggregates ``J'J`` and ``J'e`` per key and solves the 3x3 system. A step
-    that would leave ``|phi| < 1`` or ``|theta| < max_root`` is not taken.
+    aggregates ``J'J`` and ``J'e`` per key and solves the 3x3 system. The
+    start is set back inside ``max_root``, and of a step that would leave it
+    the largest halving that stays inside is taken. Steps stop early once no
+    estimate moves by more than 1e-9.
     """
     keys = list(keys)
+    limit = lambda c: F.greatest(F.least(F.col(c), F.lit(max_root)), F.lit(-max_root)).alias(c)
+    params = params.select(*keys, "c", limit("phi"), limit("theta"))
     rows = lagged.select(*keys, idx, "_bq_y", "_bq_y1")
     for _ in range(iterations):
         p = rows.join(params.select(*keys, "c", "phi", "theta"), on=keys).withColumn("_bq_r", -F.col("theta"))
@@ -149,77 +153,106 @@ def arma11_css_refine(lagged: DataFrame, params: DataFrame, keys: Sequence[str],
         sums = full.filter(F.col(idx) >= 1).groupBy(*keys).agg(*_sym_sums(jac, -F.col("_bq_e"), "gn"))
         step = solve_normal_equations(sums, keys, 3, "gn", ["_d_c", "_d_phi", "_d_theta"])
         cand = params.join(step, on=keys, how="left")
-        nphi, ntheta = F.col("phi") + F.col("_d_phi"), F.col("theta") + F.col("_d_theta")
-        take = (F.abs(nphi) < 1) & (F.abs(ntheta) < max_root) & ~F.isnan(nphi) & ~F.isnan(ntheta) \
-            & ~F.isnan(F.col("_d_c"))
-        take = F.coalesce(take, F.lit(False))
-        params = materialize(cand.select(
-            *keys,
-            F.when(take, F.col("c") + F.col("_d_c")).otherwise(F.col("c")).alias("c"),
-            F.when(take, nphi).otherwise(F.col("phi")).alias("phi"),
-            F.when(take, ntheta).otherwise(F.col("theta")).alias("theta")))
+        good = F.coalesce(~F.isnan("_d_phi") & ~F.isnan("_d_theta") & ~F.isnan("_d_c"), F.lit(False))
+        fits = lambda x: (F.abs(F.col("phi") + x * F.col("_d_phi")) <= max_root) & (F.abs(F.col("theta") + x * F.col("_d_theta")) <= max_root)
+        part = F.lit(0.0)
+        for halving in range(30, -1, -1):
+            part = F.when(fits(F.lit(0.5 ** halving)), F.lit(0.5 ** halving)).otherwise(part)
+        step = F.when(good, part).otherwise(F.lit(0.0))
+        params = materialize(cand.withColumn("_step", step).select(
+            *keys, *[(F.col(n) + F.when(F.col("_step") > 0, F.col("_step") * F.col(f"_d_{n}")).otherwise(F.lit(0.0))).alias(n) for n in ("c", "phi", "theta")],
+            F.when(F.col("_step") > 0, F.greatest(F.abs("_d_phi"), F.abs("_d_theta"))).otherwise(F.lit(0.0)).alias("_moved")))
+        if not params.filter(F.col("_moved") > 1e-9).limit(1).count():
+            break
+        params = params.drop("_moved")
+    params = params.drop("_moved")
     return params
 
 
+def _two_stage(batches, keys: list[str], p: int, names: list[str]):
+    """Both regressions of every key from its moment matrix of (1, y, lag 1 .. lag p + 1)."""
+    d = p + 3
+    for pdf in batches:
+        out = pdf[keys].reset_index(drop=True).copy()
+        coef = np.full((len(pdf), 3), np.nan)
+        m = np.empty((len(pdf), d, d))
+        for i in range(d):
+            for j in range(i, d):
+                m[:, i, j] = m[:, j, i] = pdf[f"m_{i}_{j}"].to_numpy(dtype=float, na_value=np.nan)
+        for k in np.flatnonzero(np.isfinite(m).all(axis=(1, 2))):
+            own = m[k]
+            x1 = [0, *range(2, p + 2)]
+            a = np.linalg.pinv(own[np.ix_(x1, x1)]) @ own[x1, 1]
+            z = np.zeros((3, d))  # 1, lag 1, residual of the long regression one step back
+            z[0, 0] = z[1, 2] = z[2, 2] = 1.0
+            z[2, 0] -= a[0]
+            z[2, 3:3 + p] -= a[1:]
+            coef[k] = np.linalg.pinv(z @ own @ z.T) @ (z @ own[:, 1])
+        for i, n in enumerate(names):
+            out[n] = coef[:, i]
+        yield out
+
+
 def arma11_fit(series: DataFrame, key: str | Sequence[str], idx: str, value: str, ar_order: int = 10,
-               block: int = DEFAULT_BLOCK, min_n: int = 31, css_iterations: int = 0) -> DataFrame:
+               block: int = DEFAULT_BLOCK, css_iterations: int = 0, max_root: float = 0.999) -> DataFrame:
     """ARMA(1,1) with constant per key by two-stage regression.
 
-    (1) long AR(``ar_order``) by least squares on the centred series,
-    (2) its residuals stand in for the innovations, (3) regress
-    ``y_t`` on ``1, y_(t-1), e_(t-1)`` for ``c, phi, theta``, (4) the last
-    innovation in closed form ``e_n = sum (-theta)^(n-t) u_t`` with
-    ``u_t = y_t - c - phi y_(t-1)``. Returns per key: mean, c, phi, theta,
-    last centred value, last innovation, last position, n, and ``ok``
-    (``|phi| < 1``, ``|theta| < 1``, ``n >= min_n``). ``series`` is read
-    twice (statistics, lags); the lag table is written once and read by the
-    three stages. ``css_iterations`` > 0 refines the two-stage estimate by
-    that many Gauss-Newton steps on the conditional sum of squares
+    (1) long AR by least squares on the centred series, (2) its residuals
+    stand in for the innovations, (3) regress ``y_t`` on ``1, y_(t-1),
+    e_(t-1)`` for ``c, phi, theta``, (4) the last innovation in closed form
+    ``e_n = sum (-theta)^(n-t) u_t`` with ``u_t = y_t - c - phi y_(t-1)``.
+    A residual is linear in the lags, so both regressions come from one
+    aggregate, the moment matrix of (1, y, lags) per key; no lag table is
+    written. All its entries use the same rows: those whose value and lags
+    are all there, so a missing value takes out the rows that it touches.
+
+    The long order is ``ar_order``, less in a series of fewer than
+    ``3 * ar_order + 4`` rows. Returns per key: mean, c, phi, theta, last
+    centred value, last innovation, last position, n, and ``ok``: false where
+    an estimate was at or beyond the unit root and was set back to
+    ``max_root``. A series too short for a regression (under six rows) has
+    NULL estimates. ``css_iterations`` > 0 refines the estimate by that many
+    Gauss-Newton steps on the conditional sum of squares
     (:func:`arma11_css_refine`), which moves it toward the likelihood fit.
     """
     keys = _keys(key)
     p = ar_order
     stats = series.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"),
                                       F.max(idx).cast("long").alias("last_idx"))
-    centred = series.join(stats.select(*keys, "mean"), on=keys).withColumn("_bq_y", F.col(value) - F.col("mean"))
-    # the lag table feeds three aggregates: write it once
-    lagged = materialize(with_shifts(centred, keys, idx, "_bq_y", lags=list(range(1, p + 2)), block=block,
-                                     lag_name="_bq_y{k}"))
-    stats = materialize(stats)
-    y = F.col("_bq_y")
-    lag = [F.col(f"_bq_y{k}") for k in range(1, p + 2)]
-
-    # stage 1: long autoregression
-    z1 = [F.lit(1.0)] + lag[:p]
-    s1 = lagged.filter(lag[p - 1].isNotNull()).groupBy(*keys).agg(*_sym_sums(z1, y, "s1"))
-    a_names = [f"a{k}" for k in range(p + 1)]
-    ar = solve_normal_equations(s1, keys, p + 1, "s1", a_names)
-
-    # stage 2: regress on the lagged value and the lagged long-AR residual
-    a = [F.col(n) for n in a_names]
-    e_prev = lag[0] - a[0] - sum((a[k] * lag[k] for k in range(1, p + 1)), F.lit(0.0))
-    with_e = lagged.join(ar, on=keys).filter(lag[p].isNotNull()).withColumn("_bq_e1", e_prev)
-    z2 = [F.lit(1.0), lag[0], F.col("_bq_e1")]
-    s2 = with_e.groupBy(*keys).agg(*_sym_sums(z2, y, "s2"))
-    arma = solve_normal_equations(s2, keys, 3, "s2", ["c", "phi", "theta"])
+    order = F.least(F.lit(p), F.greatest(F.lit(1), F.floor((F.col("n") - 4) / 3))).cast("int")
+    centred = series.join(stats.select(*keys, "mean", F.col("n").alias("_bq_n"), order.alias("_bq_p")), on=keys).withColumn("_bq_y", F.col(value) - F.col("mean"))
+    rows = with_shifts(centred.select(*keys, idx, "_bq_n", "_bq_p", "_bq_y"), keys, idx, "_bq_y", lags=list(range(1, p + 2)), block=block, lag_name="_bq_y{k}")
+    used = [F.lit(k) <= F.col("_bq_p") + 1 for k in range(1, p + 2)]
+    whole = F.col("_bq_y").isNotNull()
+    for k, u in enumerate(used, 1):
+        whole = whole & (~u | F.col(f"_bq_y{k}").isNotNull())
+    z = [F.lit(1.0), F.col("_bq_y"), *[F.when(u, F.col(f"_bq_y{k}")).otherwise(F.lit(0.0)) for k, u in enumerate(used, 1)]]
+    zs = rows.filter(whole & (F.col("_bq_n") >= 6)).select(*keys, *[c.alias(f"z{i}") for i, c in enumerate(z)])
+    moments = zs.groupBy(*keys).agg(*[F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"m_{i}_{j}") for i in range(p + 3) for j in range(i, p + 3)])
+    names = ["c", "phi", "theta"]
+    schema = StructType([f for f in moments.schema.fields if f.name in keys] + [StructField(n, DoubleType()) for n in names])
+    raw = moments.mapInPandas(lambda batches: _two_stage(batches, keys, p, names), schema)
+    inside = [F.greatest(F.least(F.col(n), F.lit(max_root)), F.lit(-max_root)) for n in ("phi", "theta")]
+    arma = raw.select(*keys, "c", inside[0].alias("phi"), inside[1].alias("theta"),
+                      ((F.abs("phi") < max_root) & (F.abs("theta") < max_root)).alias("ok"))
+    one = with_shifts(centred.select(*keys, idx, "_bq_y"), keys, idx, "_bq_y", lags=[1], block=block, lag_name="_bq_y{k}")
     if css_iterations > 0:
-        arma = arma11_css_refine(lagged.withColumn("_bq_y1", lag[0]), materialize(arma), keys, idx,
-                                 css_iterations)
+        one, start = materialize(one), materialize(arma)
+        arma = arma11_css_refine(one, start, keys, idx, css_iterations, max_root).join(start.select(*keys, "ok"), on=keys)
 
-    # stage 3: last innovation
-    fit = stats.join(arma, on=keys)
-    u = y - F.col("c") - F.col("phi") * lag[0]
+    # the last innovation
+    fit = stats.join(arma, on=keys, how="left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+    u = F.col("_bq_y") - F.col("c") - F.col("phi") * F.col("_bq_y1")
     weight = F.pow(-F.col("theta"), (F.col("last_idx") - F.col(idx)).cast("double"))
-    tail = (lagged.filter(lag[0].isNotNull()).join(fit.select(*keys, "c", "phi", "theta", "last_idx"), on=keys)
-            .groupBy(*keys).agg(F.sum(weight * u).alias("last_innovation"),
-                                F.max_by(y, F.col(idx)).alias("last_centred")))
-    ok = (F.abs(F.col("phi")) < 1) & (F.abs(F.col("theta")) < 1) & (F.col("n") >= min_n)
-    return fit.join(tail, on=keys).withColumn("ok", F.coalesce(ok, F.lit(False)))
+    tail = (one.join(fit.select(*keys, "c", "phi", "theta", "last_idx"), on=keys)
+            .groupBy(*keys).agg(F.coalesce(F.sum(weight * u), F.lit(0.0)).alias("last_innovation"),
+                                F.max_by(F.col("_bq_y"), F.when(F.col("_bq_y").isNotNull(), F.col(idx))).alias("last_centred")))
+    return fit.join(tail, on=keys)
 
 
 def arma11_forecast(series: DataFrame, key: str | Sequence[str], idx: str, value: str, days: int,
                     ar_order: int = 10, block: int = DEFAULT_BLOCK, css_iterations: int = 0) -> DataFrame:
-    """``days + 1`` forecasts per key after the last position (M6); NULL when the fit fails its guards."""
+    """``days + 1`` forecasts per key after the last position (M6); NULL only where the series is too short for the fit."""
     keys = _keys(key)
     fit = arma11_fit(series, keys, idx, value, ar_order, block, css_iterations=css_iterations)
     c, phi, theta = F.col("c"), F.col("phi"), F.col("theta")
@@ -227,8 +260,8 @@ def arma11_forecast(series: DataFrame, key: str | Sequence[str], idx: str, value
     mu = c / (F.lit(1.0) - phi)
     h = F.col("step")
     fc = F.col("mean") + mu + F.pow(phi, (h - 1).cast("double")) * (f1 - mu)
-    return (fit.select(*keys, "mean", "c", "phi", "theta", "last_centred", "last_innovation", "last_idx", "ok",
+    return (fit.select(*keys, "mean", "c", "phi", "theta", "last_centred", "last_innovation", "last_idx",
                        F.explode(F.sequence(F.lit(1), F.lit(days + 1))).alias("step"))
             .withColumn("step", F.col("step").cast("long"))
             .select(*keys, "step", (F.col("last_idx") + h).alias(idx),
-                    F.when(F.col("ok"), fc).alias("forecast")))
+                    fc.alias("forecast")))

@@ -15,6 +15,7 @@ reach the driver, never rows.
 from __future__ import annotations
 
 import datetime as dt
+import os
 import re
 from collections.abc import Sequence
 
@@ -23,7 +24,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from barquet.operators.ordering import with_dense_index
-from barquet.session import materialize
 from barquet.sources.schemas import BAR_SCHEMA, CLOSE_FILE_SCHEMA, PANDAS_NA_VALUES
 
 _DAY = re.compile(r"^\d{4}-\d{2}-\d{2}$")
@@ -126,148 +126,96 @@ def read_csv_strict(spark: SparkSession, paths: Sequence[str] | str, schema: Str
     return missing_tokens_to_null(df, na_values)
 
 
-def _path_key(c: F.Column) -> F.Column:
-    """Comparable form of a file URI (``file:/x`` and ``file:///x`` name the same file)."""
-    return F.regexp_replace(c, r"^file:/+", "file:///")
-
-
 def _decoded(uri: str) -> str:
     """A listed (URL-encoded) file URI as a path string Spark's readers accept."""
     from urllib.parse import unquote
     return unquote(uri)
 
 
-def _header_positions(line: str, lowered: list[str], min_hits: int) -> list[int | None] | None:
-    """Column position of every target name in one header line (None if it is not a header)."""
-    cells = [c.strip().strip('"').strip().lower() for c in line.lstrip("\ufeff").split(",")]
-    pos = [cells.index(n) if n in cells else None for n in lowered]
-    return pos if sum(p is not None for p in pos) >= min_hits else None
+#: Layouts (distinct header lines) are few; more than this many is taken as a sign of files that are not tables.
+MAX_LAYOUTS = 10_000
 
 
-def _first_line_headers(spark: SparkSession, files: list[str], lowered: list[str], min_hits: int) -> DataFrame:
-    """Per-file column positions read from each file's first line on the executors.
+def _header_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """First line of every file: (path, header), whatever the file system and the length of the line.
 
-    One small read per file (the first 64 KiB, decompressed by extension),
-    spread over tasks; nothing of the data is scanned. Files that cannot be
-    opened this way (a scheme the Arrow file systems do not know) raise, and
-    the caller falls back to finding header lines in a scan.
+    Files are read line by line by Spark's own text source; a file's first
+    line is the first of its split at offset 0, so only those splits' first
+    rows are kept and nothing is shuffled but a row a file.
     """
-    from pyspark.sql.types import IntegerType
-
-    pos_fields = [StructField(f"_bq_pos{k}", IntegerType()) for k in range(len(lowered))]
-    schema = StructType([StructField("_bq_key", StringType())] + pos_fields)
-
-    def heads(batches):
-        import pandas as pd
-        import pyarrow.fs as pafs
-        for pdf in batches:
-            rows = []
-            for uri in pdf["_bq_uri"]:
-                fs, path = pafs.FileSystem.from_uri(uri)
-                with fs.open_input_stream(path, compression="detect") as stream:
-                    chunk = stream.read(65536)
-                line = chunk.split(b"\n", 1)[0].decode("utf-8", errors="replace").rstrip("\r")
-                pos = _header_positions(line, lowered, min_hits)
-                if pos is not None:
-                    rows.append([uri] + pos)
-            yield pd.DataFrame(rows, columns=[f.name for f in schema.fields])
-
-    listing = spark.createDataFrame([(f,) for f in files], "_bq_uri string")
-    listing = listing.repartition(max(1, min(len(files), spark.sparkContext.defaultParallelism * 4)))
-    out = listing.mapInPandas(heads, schema).withColumn("_bq_key", _path_key(F.col("_bq_key")))
-    return materialize(out)
+    lines = (spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"), "value").filter("start = 0"))
+    return lines.groupBy("path").agg(F.min_by("value", "at").alias("header"))
+
+
+def _cells(header: str) -> list[str]:
+    import csv
+    row = next(csv.reader([header.lstrip("\ufeff").rstrip("\r")]), [])
+    return [c.strip() for c in row]
 
 
 def read_csv_by_name(spark: SparkSession, paths: Sequence[str] | str, schema: StructType = BAR_SCHEMA,
-                     max_columns: int = 32, broadcast_files: int = 100_000,
-                     header_source: str = "first_line",
-                     na_values: Sequence[str] | None = PANDAS_NA_VALUES) -> DataFrame:
+                     na_values: Sequence[str] | None = PANDAS_NA_VALUES, required: Sequence[str] | None = None,
+                     position_cols: bool = False, every_column: bool = False) -> DataFrame:
     """Read CSV files matching columns by header name, per file.
 
-    Each file's header gives its column positions; every data line takes each
-    target column from its position in its own file. Columns a file lacks are
-    NULL, extra columns are ignored, text that does not convert to the target
-    type is NULL, so is a field holding one of ``na_values`` (by default the
-    tokens pandas reads as missing), and a file whose first line is not a
-    header (fewer than two names of ``schema``) contributes no rows.
-
-    Headers (``header_source="first_line"``): executors read the first line of
-    every listed file, a few KiB each, so the data itself is scanned once.
-    Where that is not possible, or with ``header_source="scan"``, header
-    lines are found in a scan of the files (every line read as up to
-    ``max_columns`` cells), which reads the data twice.
-
-    Data: one positional scan with ``header=true`` (Spark skips each file's
-    first line). The per-file position table has one row per file, a size the
-    driver knows from the listing: up to ``broadcast_files`` files it is
-    broadcast to the scan; beyond that, files are grouped by header layout (a
-    handful of distinct layouts) and each group is read with constant
-    positions, then the groups are unioned by name. Rows are never shuffled.
-    When every file is known to carry the declared header,
-    :func:`read_csv_strict` does the same in one scan without the header step.
+    Files are grouped by their header line; each group is read by Spark's CSV
+    source with exactly that header's columns, however many, and the groups
+    are put together by name. Columns a file lacks are NULL, extra columns
+    are ignored, text that does not convert to the target type is NULL, and
+    so is a field holding one of ``na_values`` (by default the tokens pandas
+    reads as missing). A file whose header has none of the names, or lacks
+    one of ``required``, raises and is named: no file is left out silently.
+
+    ``every_column`` drops the rows with a missing value in any column that
+    their own file has (P2 over the whole source) before the columns are
+    chosen. ``position_cols`` adds the file's path, the split's offset and the
+    row's number in it. The header step reads one row a file; the data is
+    scanned once. When every file is known to carry the declared header,
+    :func:`read_csv_strict` does the same without the header step.
     """
     path_list = list(paths) if not isinstance(paths, str) else [paths]
-    cells = [f"_c{i}" for i in range(max_columns)]
-    raw_schema = StructType([StructField(c, StringType()) for c in cells])
     names = [f.name for f in schema.fields]
-    lowered = [n.lower() for n in names]
-    min_hits = min(2, len(names))
-    pos_cols = [f"_bq_pos{k}" for k in range(len(names))]
-
-    def scan(src: list[str], header: bool) -> DataFrame:
-        return (spark.read.schema(raw_schema).option("header", header).option("mode", "PERMISSIVE").csv(src)
-                .withColumn("_bq_key", _path_key(F.col("_metadata.file_path"))))
-
-    files = spark.read.format("text").load(path_list).inputFiles()
-    headers = None
-    from_scan = False
-    if header_source == "first_line" and files:
-        try:
-            headers = _first_line_headers(spark, files, lowered, min_hits)
-            data = scan(path_list, header=True)
-        except Exception:  # noqa: BLE001 - an unsupported file system: find the header lines in a scan
-            headers = None
-    if headers is None:
-        from_scan = True
-        raw = scan(path_list, header=False)
-        hits = sum((F.when(F.lower(F.trim(F.col(c))).isin(lowered), F.lit(1)).otherwise(F.lit(0)) for c in cells),
-                   F.lit(0))
-        is_header = hits >= F.lit(min_hits)
-        headers = (raw.filter(is_header).groupBy("_bq_key")
-                   .agg(*[F.first(F.coalesce(*[F.when(F.lower(F.trim(F.col(c))) == n, F.lit(i))
-                                              for i, c in enumerate(cells)])).alias(pos_cols[k])
-                          for k, n in enumerate(lowered)]))
-        data = raw.filter(~is_header)
-
     tokens = [t for t in (na_values or ()) if t != ""]
-
-    def project(rows: DataFrame, pos: dict[str, object]) -> DataFrame:
-        arr = F.array(*[F.col(c) for c in cells])
-        out = []
-        for k, f in enumerate(schema.fields):
-            p = pos[pos_cols[k]]
-            p_col = F.col(p) if isinstance(p, str) else F.lit(p)
-            txt = F.when(p_col.isNotNull(), F.element_at(arr, p_col + 1))
-            if tokens:
-                txt = F.when(txt.isin(tokens), F.lit(None)).otherwise(txt)
-            val = txt if isinstance(f.dataType, StringType) else txt.try_cast(f.dataType)
-            out.append(val.alias(f.name))
-        return rows.select(*out)
-
-    if len(files) <= broadcast_files:
-        # bounded by the file count checked above
-        joined = data.join(F.broadcast(headers), on="_bq_key", how="inner")
-        return project(joined, {c: c for c in pos_cols})
-    layouts = headers.groupBy(*pos_cols).agg(F.collect_list("_bq_key").alias("files")).collect()
+    headers = _header_lines(spark, path_list)
+    layouts = headers.groupBy("header").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("example")).limit(MAX_LAYOUTS + 1).collect()
+    if len(layouts) > MAX_LAYOUTS:
+        raise ValueError(f"more than {MAX_LAYOUTS} different header lines under {path_list[:3]}")
     parts = []
-    for lay in layouts:
-        part = scan([_decoded(f) for f in lay["files"]], header=not from_scan)
-        if from_scan:
-            part = part.filter(~(sum((F.when(F.lower(F.trim(F.col(c))).isin(lowered), F.lit(1)).otherwise(F.lit(0))
-                                      for c in cells), F.lit(0)) >= F.lit(min_hits)))
-        parts.append(project(part, {c: lay[c] for c in pos_cols}))
+    for lay in sorted(layouts, key=lambda r: r["header"]):
+        cells = _cells(lay["header"])
+        lowered = [c.lower() for c in cells]
+        at = {n: lowered.index(n.lower()) for n in names if n.lower() in lowered}
+        lacking = [n for n in (required or ()) if n not in at]
+        if not at or lacking:
+            raise ValueError(f"{lay['n']} file(s) such as {lay['example']}: " + (f"no column {lacking}" if lacking else f"header {cells[:8]} has none of {names}"))
+        raw_schema = StructType([StructField(f"_c{i}", StringType()) for i in range(len(cells))])
+        own = path_list
+        if len(layouts) > 1:  # the files of this layout: names only, as many as the listing that Spark holds anyway
+            own = [_decoded(r["path"]) for r in headers.filter(F.col("header") == lay["header"]).select("path").toLocalIterator()]
+        raw = spark.read.schema(raw_schema).option("header", True).option("mode", "PERMISSIVE").csv(own)
+        if position_cols:
+            raw = raw.select("*", F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("_bq_path"), F.col("_metadata.file_block_start").alias("_bq_start"),
+                             F.monotonically_increasing_id().alias("_bq_pos"))
+        text = {i: F.when(F.col(f"_c{i}").isin(tokens), F.lit(None)).otherwise(F.col(f"_c{i}")) if tokens else F.col(f"_c{i}") for i in range(len(cells))}
+        typed = {}
+        for f in schema.fields:
+            if f.name not in at:
+                typed[f.name] = F.lit(None).cast(f.dataType)
+            else:
+                typed[f.name] = text[at[f.name]] if isinstance(f.dataType, StringType) else text[at[f.name]].try_cast(f.dataType)
+        if every_column:
+            whole = F.lit(True)
+            for i in range(len(cells)):
+                whole = whole & text[i].isNotNull()
+            for n in at:
+                whole = whole & typed[n].isNotNull()
+            raw = raw.filter(whole)
+        extra = ["_bq_path", "_bq_start", "_bq_pos"] if position_cols else []
+        parts.append(raw.select(*extra, *[typed[n].alias(n) for n in names]))
     if not parts:
-        return project(data.filter(F.lit(False)), {c: None for c in pos_cols})
+        raise FileNotFoundError(f"no files under {path_list}")
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -300,42 +248,51 @@ def check_header(spark: SparkSession, paths: Sequence[str] | str, schema: Struct
 
 def read_close_series(spark: SparkSession, paths: Sequence[str] | str, value: str = "Close",
                       series_col: str = "series_id") -> DataFrame:
-    """One-column close files as ``(series_id, idx, Close)``.
-
-    ``series_id`` is the file name without extension; ``idx`` is the row's
-    position in its file, made explicit at ingest: file splits are ordered by
-    their offset and rows inside a split by ``monotonically_increasing_id``,
-    then numbered per file by the distributed dense index. A UTF-8 byte
-    order mark before the header is dropped by the CSV reader.
+    """The ``value`` column of CSV files as ``(series_id, idx, value)``, found by its header name.
+
+    One series a file. ``series_id`` is the file name without extension or,
+    where files of different folders share a name, the path from their common
+    folder on. ``idx`` is the row's position in its file, made explicit at
+    ingest: file splits are ordered by their offset and rows inside a split by
+    ``monotonically_increasing_id``, then numbered per file by the
+    distributed dense index. A file without the column raises.
     """
-    schema = StructType([StructField(value, CLOSE_FILE_SCHEMA.fields[0].dataType)]) \
-        if value != "Close" else CLOSE_FILE_SCHEMA
-    raw = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
-           .csv(list(paths) if not isinstance(paths, str) else paths)
-           .select(F.regexp_extract(F.url_decode(F.col("_metadata.file_name")), r"^(.*?)(\.[^.]*)?$", 1)
-                   .alias(series_col),
-                   F.col("_metadata.file_block_start").alias("_bq_start"),
-                   F.monotonically_increasing_id().alias("_bq_pos"), value))
-    indexed = with_dense_index(raw, ["_bq_start", "_bq_pos"], name="idx", partition_cols=[series_col])
-    return indexed.select(series_col, F.col("idx").cast("int").alias("idx"), value)
+    schema = StructType([StructField(value, CLOSE_FILE_SCHEMA.fields[0].dataType)])
+    path_list = list(paths) if not isinstance(paths, str) else [paths]
+    raw = read_csv_by_name(spark, path_list, schema, required=[value], position_cols=True)
+    files = sorted({_decoded(f) for f in spark.read.format("text").load(path_list).inputFiles()})
+    stems = [re.sub(r"\.[^./]*$", "", f) for f in files]
+    if len({x.rsplit("/", 1)[-1] for x in stems}) == len(stems):
+        name = F.regexp_extract("_bq_path", r"([^/]*?)(\.[^./]*)?$", 1)
+    else:
+        common = os.path.commonpath([x.rsplit("/", 1)[0] for x in stems])
+        # the listed form of the path: scheme and slashes before it may be written differently
+        tail = F.element_at(F.split("_bq_path", re.escape(re.sub(r"^file:/+", "/", common)) + "/", 2), -1)
+        name = F.regexp_replace(tail, r"\.[^./]*$", "")
+    named = raw.withColumn(series_col, name).drop("_bq_path")
+    indexed = with_dense_index(named, ["_bq_start", "_bq_pos"], name="idx", partition_cols=[series_col])
+    return indexed.select(series_col, F.col("idx").cast("long").alias("idx"), value)
 
 
 def extract(spark: SparkSession, base: str, arg_date: str, lookback_days: int = 1,
-            schema: StructType = BAR_SCHEMA, by_name: bool = True) -> DataFrame:
+            schema: StructType = BAR_SCHEMA, by_name: bool = True, every_column: bool = False) -> DataFrame:
     """Bars of every day from ``arg_date - lookback_days`` on (D3).
 
     The lookback day feeds the previous close of the first reported day; a
     lookback of one calendar day misses it after a weekend, hence the
     argument. Raises when no day qualifies. ``by_name=False`` switches to the
     strict reader (no header step) for trees whose files all carry
-    ``schema``'s header.
+    ``schema``'s header. ``every_column`` drops bars with a missing value in
+    any column of their file, used or not (P2 before the projection).
     """
+    if every_column and not by_name:
+        raise ValueError("every_column needs by_name")
     run = dt.datetime.strptime(arg_date, "%Y-%m-%d").date()
     cutoff = run - dt.timedelta(days=lookback_days)
     paths = day_paths_since(spark, base, cutoff)
     if not paths:
         raise FileNotFoundError(f"no day directories under {base} on or after {cutoff.isoformat()}")
-    return read_csv_by_name(spark, paths, schema) if by_name else read_csv_strict(spark, paths, schema)
+    return read_csv_by_name(spark, paths, schema, every_column=every_column) if by_name else read_csv_strict(spark, paths, schema)
 
 
 # --- reports -------------------------------------------------------------------
@@ -388,18 +345,16 @@ def report_stamps(spark: SparkSession, base: str, layout: str = "partition",
 
 
 def list_reports(spark: SparkSession, base: str) -> DataFrame:
-    """Distinct report stamps as a DataFrame (S9); only the partition column is read."""
-    return spark.read.parquet(base).select("report_ts").distinct()
+    """Distinct report stamps as a DataFrame (S9), from the listing: no file is opened."""
+    return spark.createDataFrame([(t,) for t in report_stamps(spark, base)], "report_ts string")
 
 
 def latest_report(spark: SparkSession, base: str, keep_stamp: bool = False, layout: str = "partition",
                   prefix: str = "daily_report_") -> DataFrame:
     """The report with the greatest stamp.
 
-    Stamps sort as text in time order. With the partition layout the stamp
-    is applied as a literal filter on the partition column, so only that
-    report's files are scanned (``PartitionFilters`` in the plan); with the
-    named layout the newest dataset is read directly.
+    Stamps sort as text in time order; the newest one's folder is read
+    directly, so no other report's files are listed.
     """
     stamps = report_stamps(spark, base, layout, prefix)
     if not stamps:
@@ -407,5 +362,5 @@ def latest_report(spark: SparkSession, base: str, keep_stamp: bool = False, layo
     if layout == "named":
         df = spark.read.parquet(f"{base.rstrip('/')}/{prefix}{stamps[-1]}.parquet")
         return df.withColumn("report_ts", F.lit(stamps[-1])) if keep_stamp else df
-    df = spark.read.parquet(base).filter(F.col("report_ts") == F.lit(stamps[-1]))
-    return df if keep_stamp else df.drop("report_ts")
+    df = spark.read.parquet(f"{base.rstrip('/')}/report_ts={stamps[-1]}")  # only that report's files are listed
+    return df.withColumn("report_ts", F.lit(stamps[-1])) if keep_stamp else df

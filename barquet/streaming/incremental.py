@@ -14,7 +14,9 @@ aggregation over the dated CSV tree:
   changed (ISIN, Date) to ``foreachBatch``, which replaces those rows in a
   Parquet table partitioned by ``Date`` (dynamic partition overwrite of the
   touched days only, so a replayed batch rewrites the same rows);
-* an optional watermark (``late_days``) bounds the state.
+* a watermark (``late_days``, 31 by default) bounds the state: bars older than
+  that many days behind the newest day seen are not added any more; ``None``
+  keeps every (ISIN, Date) in the state for good.
 
 The light part, previous close, change and rounding, is a batch job over
 that small table (:func:`report_from_daily_table`).
@@ -44,6 +46,8 @@ from barquet.sources.files import missing_tokens_to_null
 from barquet.sources.schemas import BAR_SCHEMA
 
 KEYS = ["ISIN", "Date"]
+#: Days behind the newest one for which late bars are still added, unless told otherwise.
+LATE_DAYS = 31
 
 # The incremental table; declared on read so the ``Date`` partition value
 # stays text (partition discovery would turn it into a date).
@@ -53,11 +57,12 @@ MORNING_TABLE_DDL = ("ISIN string, start_price double, end_price double, minimum
                      "maximum_price double, daily_traded_volume bigint, Date string")
 
 
-def _table_exists(spark: SparkSession, path: str) -> bool:
+def _days_present(spark: SparkSession, path: str, dates: list[str]) -> list[str]:
+    """Those of ``dates`` that the table has a partition directory for (success markers are not asked for)."""
     jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p) and fs.exists(jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS"))
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [d for d in dates if fs.exists(jvm.org.apache.hadoop.fs.Path(root, f"Date={d}"))]
 
 
 def upsert_days(batch: DataFrame, table_path: str, ddl: str = DAILY_TABLE_DDL) -> None:
@@ -73,8 +78,11 @@ def upsert_days(batch: DataFrame, table_path: str, ddl: str = DAILY_TABLE_DDL) -
         dates = [r.Date for r in batch.select("Date").distinct().collect()]  # days touched: a short list
         if not dates:
             return
-        if _table_exists(spark, table_path):
-            kept = (spark.read.schema(ddl).parquet(table_path).filter(F.col("Date").isin(dates))
+        present = _days_present(spark, table_path, dates)
+        if present:
+            # only the touched days' files are listed and read
+            kept = (spark.read.schema(ddl).option("basePath", table_path)
+                    .parquet(*[os.path.join(table_path, f"Date={d}") for d in present])
                     .join(batch.select(*KEYS), on=KEYS, how="left_anti"))
             merged = kept.unionByName(batch.select(*kept.columns))
             # the touched partitions are read and rewritten: write them from a copy
@@ -110,7 +118,7 @@ def _start(spark: SparkSession, source_base: str, table_path: str, checkpoint_lo
 
 
 def start_daily_aggregation(spark: SparkSession, source_base: str, table_path: str, checkpoint_location: str,
-                            schema: StructType = BAR_SCHEMA, late_days: int | None = None,
+                            schema: StructType = BAR_SCHEMA, late_days: int | None = LATE_DAYS,
                             available_now: bool = True, processing_time: str | None = None) -> StreamingQuery:
     """Start the incremental bars -> daily OHLCV job; returns the running query.
 
@@ -124,7 +132,7 @@ def start_daily_aggregation(spark: SparkSession, source_base: str, table_path: s
 
 def start_morning_aggregation(spark: SparkSession, source_base: str, table_path: str, checkpoint_location: str,
                               lo: str = MORNING_OPEN, hi: str = MORNING_CLOSE, schema: StructType = BAR_SCHEMA,
-                              late_days: int | None = None, available_now: bool = True,
+                              late_days: int | None = LATE_DAYS, available_now: bool = True,
                               processing_time: str | None = None) -> StreamingQuery:
     """Start the incremental bars -> morning aggregate job (whole-day open/close, window low/high/volume).
 

@@ -117,15 +117,14 @@ def test_by_name_read_with_bom_header(spark):
     assert (r.ISIN, r.Time, r.EndPrice) == ("A", "09:00", 1.5)
 
 
-def test_by_name_grouped_layouts_equal_broadcast_path(spark):
+def test_by_name_files_of_several_layouts(spark):
     base = tempfile.mkdtemp(prefix="bq-lay-")
     _write(f"{base}/2024-01-01/a.csv", HDR + "A,X,2024-01-01,09:00,1,2,0.5,1.5,10\n")
     _write(f"{base}/2024-01-01/b.csv", "Time,ISIN,Date,EndPrice\n10:00,B,2024-01-01,NA\n11:00,B,2024-01-01,7.5\n")
     _write(f"{base}/2024-01-02/c.csv", "Time,ISIN,Date,EndPrice\n10:30,C,2024-01-02,3.25\n")
     src = [f"{base}/2024-01-01", f"{base}/2024-01-02"]
-    a = sorted(tuple(r) for r in read_csv_by_name(spark, src).collect())
-    b = sorted(tuple(r) for r in read_csv_by_name(spark, src, broadcast_files=0).collect())
-    assert a == b and len(a) == 4
+    got = sorted((r.ISIN, r.Time, r.EndPrice) for r in read_csv_by_name(spark, src).collect())
+    assert got == [("A", "09:00", 1.5), ("B", "10:00", None), ("B", "11:00", 7.5), ("C", "10:30", 3.25)]
 
 
 def test_run_morning_with_model(spark):
@@ -156,30 +155,51 @@ def test_run_morning_and_read_report(spark):
     assert back.end_price_mx == 2.5 * 19.08
 
 
-@pytest.mark.parametrize("source", ["first_line", "scan"])
-@pytest.mark.parametrize("bound", [100_000, 0])
-def test_by_name_paths_agree_with_spaces(spark, source, bound):
+def test_by_name_paths_with_spaces_and_files_without_header(spark):
     base = tempfile.mkdtemp(prefix="bq sp ")
     _write(f"{base}/2024-01-01/a file.csv", HDR + "A,X,2024-01-01,09:00,1,2,0.5,1.5,10\n")
     _write(f"{base}/2024-01-01/b.csv", "Time,ISIN,Date,EndPrice\n10:00,B,2024-01-01,NA\n11:00,B,2024-01-01,7.5\n")
     _write(f"{base}/2024-01-02/c.csv", "Time,ISIN,Date,EndPrice\n10:30,C,2024-01-02,3.25\n")
+    src = [f"{base}/2024-01-01", f"{base}/2024-01-02"]
+    got = sorted((r.ISIN, r.Time, r.EndPrice) for r in read_csv_by_name(spark, src).collect())
+    assert got == [("A", "09:00", 1.5), ("B", "10:00", None), ("B", "11:00", 7.5), ("C", "10:30", 3.25)]
     _write(f"{base}/2024-01-02/junk.csv", "no header here\n1,2,3\n")
-    got = sorted(tuple(r) for r in read_csv_by_name(spark, [f"{base}/2024-01-01", f"{base}/2024-01-02"],
-                                                     broadcast_files=bound, header_source=source).collect())
-    assert [(r[0], r[3], r[7]) for r in got] == [("A", "09:00", 1.5), ("B", "10:00", None), ("B", "11:00", 7.5),
-                                                 ("C", "10:30", 3.25)]
+    with pytest.raises(ValueError, match="junk.csv"):
+        read_csv_by_name(spark, src)
+
+
+def test_wide_files_long_headers_and_cells_equal_to_names(spark):
+    base = tempfile.mkdtemp(prefix="bq-wide-")
+    extra = [f"a_rather_long_name_of_an_extra_column_{i}" for i in range(3000)]
+    assert len(",".join(extra)) > 65536
+    _write(f"{base}/2024-01-01/a.csv", ",".join([*extra, "ISIN", "Date", "Time", "EndPrice"]) + "\n" + "x," * 3000 + "A,2024-01-01,09:00,1.5\n")
+    _write(f"{base}/2024-01-01/b.csv", "ISIN,Date,Time,Mnemonic,EndPrice\nISIN,2024-01-01,Time,Date,2.5\n")
+    _write(f"{base}/2024-01-01/c.csv", "EndPrice,other\n3.5,9\n")
+    got = sorted((r.EndPrice, r.ISIN, r.Mnemonic) for r in read_csv_by_name(spark, [f"{base}/2024-01-01"]).collect())
+    assert got == [(1.5, "A", None), (2.5, "ISIN", "Date"), (3.5, None, None)]
 
 
-def test_first_line_headers_read_without_scanning(spark):
-    from barquet.sources.files import _first_line_headers
-    base = tempfile.mkdtemp(prefix="bq-fl-")
-    _write(f"{base}/2024-01-01/b.csv", "Time,ISIN,Date,EndPrice\n10:00,B,2024-01-01,1\n")
-    files = spark.read.format("text").load(f"{base}/2024-01-01").inputFiles()
-    lowered = [f.name.lower() for f in BAR_SCHEMA.fields]
-    rows = _first_line_headers(spark, files, lowered, 2).collect()
-    assert len(rows) == 1 and rows[0]._bq_key.startswith("file:///")
-    pos = {f.name: rows[0][f"_bq_pos{k}"] for k, f in enumerate(BAR_SCHEMA.fields)}
-    assert (pos["Time"], pos["ISIN"], pos["Date"], pos["EndPrice"], pos["Mnemonic"]) == (0, 1, 2, 3, None)
+def test_every_source_column_can_be_asked_for(spark):
+    from barquet.sources.files import extract
+    base = tempfile.mkdtemp(prefix="bq-every-")
+    _write(f"{base}/2024-01-02/a.csv", "ISIN,Date,Time,EndPrice,Unused\nA,2024-01-02,09:00,1,x\nB,2024-01-02,09:00,1,\nC,2024-01-02,09:00,NA,x\n")
+    _write(f"{base}/2024-01-02/b.csv", "ISIN,Date,Time,EndPrice\nD,2024-01-02,09:00,1\n")
+    assert sorted(r.ISIN for r in extract(spark, base, "2024-01-02", every_column=True).collect()) == ["A", "D"]
+    assert extract(spark, base, "2024-01-02").count() == 4
+
+
+def test_close_column_by_name_and_equal_file_names(spark):
+    from barquet.sources.files import read_close_series
+    base = tempfile.mkdtemp(prefix="bq-close-")
+    _write(f"{base}/x/A.csv", "Date,Close\n2024-01-01,1.5\n2024-01-02,2.5\n")
+    _write(f"{base}/y/A.csv", "Close,Volume\n7,1\n")
+    _write(f"{base}/y/B.csv", "Close\n9\n")
+    got = sorted(tuple(r) for r in read_close_series(spark, [f"{base}/x", f"{base}/y"]).collect())
+    assert got == [("x/A", 0, 1.5), ("x/A", 1, 2.5), ("y/A", 0, 7.0), ("y/B", 0, 9.0)]
+    assert sorted({r.series_id for r in read_close_series(spark, f"{base}/y").collect()}) == ["A", "B"]
+    _write(f"{base}/z/C.csv", "Date,Open\n2024-01-01,1\n")
+    with pytest.raises(ValueError, match="Close"):
+        read_close_series(spark, f"{base}/z")
 
 
 def test_command_line_daily_and_series(spark, capsys):
@@ -203,9 +223,8 @@ def test_by_name_read_of_gzip_files(spark):
     os.makedirs(f"{base}/2024-01-01")
     with gzip.open(f"{base}/2024-01-01/a.csv.gz", "wt") as f:
         f.write("Time,ISIN,Date,EndPrice\n10:00,G,2024-01-01,2.5\n")
-    for source in ("first_line", "scan"):
-        rows = read_csv_by_name(spark, [f"{base}/2024-01-01"], header_source=source).collect()
-        assert [(r.ISIN, r.Time, r.EndPrice) for r in rows] == [("G", "10:00", 2.5)]
+    rows = read_csv_by_name(spark, [f"{base}/2024-01-01"]).collect()
+    assert [(r.ISIN, r.Time, r.EndPrice) for r in rows] == [("G", "10:00", 2.5)]
 
 
 def test_named_report_layout(spark):

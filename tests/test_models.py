@@ -77,10 +77,27 @@ def test_arma11_recovers_parameters(spark):
     assert abs(fc[-1].forecast - mean) < abs(fc[0].forecast - mean) + 1e-9
 
 
-def test_arma_guard_short_series(spark):
-    df = spark.createDataFrame([("s", i, float(i % 3)) for i in range(20)], "k string, idx int, v double")
+def test_arma_short_series_and_missing_values(spark):
+    rows = [("s", i, float(i % 3)) for i in range(20)] + [("tiny", i, float(i)) for i in range(4)] + [("thirty", i, math.sin(i)) for i in range(30)]
+    y = _arma(400, 0.7, 0.4, 30.0, 3)
+    rows += [("whole", i, float(v)) for i, v in enumerate(y)] + [("holes", i, None if i in (50, 51, 200, 333) else float(v)) for i, v in enumerate(y)]
+    df = spark.createDataFrame(rows, "k string, idx int, v double")
     fc = arma11_forecast(df, "k", "idx", "v", days=2).collect()
-    assert len(fc) == 3 and all(r.forecast is None for r in fc)
+    assert all((r.forecast is None) == (r.k == "tiny") for r in fc) and len(fc) == 15
+    fit = {r.k: r for r in arma11_fit(df, "k", "idx", "v").collect()}
+    assert abs(fit["whole"].theta - fit["holes"].theta) < 0.03 and abs(fit["whole"].phi - fit["holes"].phi) < 0.03
+
+
+def test_css_from_a_start_beyond_the_unit_root(spark):
+    from barquet.operators.forecast import arma11_css_refine
+    from barquet.operators.series import with_shifts
+    y = _arma(400, 0.7, 0.4, 0.0, 5)
+    df = spark.createDataFrame([("s", i, float(v - y.mean())) for i, v in enumerate(y)], "k string, idx int, _bq_y double")
+    lagged = with_shifts(df, ["k"], "idx", "_bq_y", lags=[1], lag_name="_bq_y{k}")
+    for theta in (1.0, 1.2):
+        start = spark.createDataFrame([("s", 0.0, 0.5, theta)], "k string, c double, phi double, theta double")
+        r = arma11_css_refine(lagged, start, ["k"], "idx", 4).collect()[0]
+        assert abs(r.theta) <= 0.999 and abs(r.phi) <= 0.999 and r.theta < 0.999
 
 
 def test_ar1_forecast_formula(spark):
@@ -174,9 +191,9 @@ def test_predict_days_ahead_global_and_missing_day(spark):
 def _hannan_rissanen(y, p=10):
     yc = y - y.mean()
     n = len(yc)
-    # long AR(p) on rows with p lags
+    # long AR(p) on the rows of both regressions, those with p + 1 lags
     z = np.column_stack([np.ones(n - p)] + [yc[p - k:n - k] for k in range(1, p + 1)])
-    a = np.linalg.lstsq(z, yc[p:], rcond=None)[0]
+    a = np.linalg.lstsq(z[1:], yc[p + 1:], rcond=None)[0]
     resid = np.full(n, np.nan)
     resid[p:] = yc[p:] - z @ a
     # regress y_t on 1, y_(t-1), e_(t-1) for t >= p + 1

@@ -83,3 +83,19 @@ def test_watermark_drops_bars_older_than_the_allowed_lateness(spark):
     rows = {r.Date: r for r in report_from_daily_table(spark, table).collect()}
     assert rows["2024-01-01"].closing_price_eur == 10.5 and rows["2024-01-01"].daily_traded_volume == 5
     assert rows["2024-01-05"].closing_price_eur == 12.5 and rows["2024-01-05"].daily_traded_volume == 6
+
+
+def test_upsert_without_success_markers_keeps_other_securities(spark):
+    import tempfile
+
+    from barquet.streaming.incremental import DAILY_TABLE_DDL, upsert_days
+    path = tempfile.mkdtemp(prefix="bq-up-") + "/daily"
+    row = lambda isin, day, close: (isin, 1.0, close, 0.5, 2.0, 10, day)
+    spark._jsc.hadoopConfiguration().set("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+    try:
+        upsert_days(spark.createDataFrame([row("A", "2024-01-01", 1.0), row("B", "2024-01-01", 2.0), row("A", "2024-01-02", 5.0)], DAILY_TABLE_DDL), path)
+        upsert_days(spark.createDataFrame([row("A", "2024-01-01", 3.0)], DAILY_TABLE_DDL), path)
+    finally:
+        spark._jsc.hadoopConfiguration().unset("mapreduce.fileoutputcommitter.marksuccessfuljobs")
+    got = sorted((r.ISIN, r.Date, r.closing_price_eur) for r in spark.read.schema(DAILY_TABLE_DDL).parquet(path).collect())
+    assert got == [("A", "2024-01-01", 3.0), ("A", "2024-01-02", 5.0), ("B", "2024-01-01", 2.0)]
