@@ -63,7 +63,7 @@ def time_order_key(time_col: str = "Time", tiebreak: str | None = None) -> Colum
     """``HH:mm`` or ``HH:mm:ss`` text (plus an optional tiebreak) as one ``long`` sort key.
 
     Orders exactly as ``(Time, tiebreak)`` for valid times; the tiebreak must
-    be an integer in [0, 2^46). An unparsable time gives NULL (the row is
+    be an integer in [0, 2^46), or the query raises. An unparsable time gives NULL (the row is
     then not a first/last candidate).
     """
     parts = F.split(F.col(time_col), ":")
@@ -71,7 +71,11 @@ def time_order_key(time_col: str = "Time", tiebreak: str | None = None) -> Colum
             + F.try_element_at(parts, F.lit(2)).try_cast("long") * 60
             + F.coalesce(F.try_element_at(parts, F.lit(3)).try_cast("long"), F.lit(0)))
     key = F.shiftleft(secs, _TIEBREAK_BITS)
-    return key + F.col(tiebreak).cast("long") if tiebreak else key
+    if not tiebreak:
+        return key
+    t = F.col(tiebreak).cast("long")
+    return F.when(t.between(0, (1 << _TIEBREAK_BITS) - 1), key + t).when(
+        t.isNotNull(), F.raise_error(F.lit(f"{tiebreak} outside [0, 2^{_TIEBREAK_BITS})")).cast("long"))
 
 
 _ORD = "_bq_ord"

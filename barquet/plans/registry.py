@@ -233,7 +233,7 @@ def p8_report_of_previous_day(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import functions as F
     from barquet.functions.columns import previous_day
     day = F.date_format(previous_day(F.lit(RUN_DATE)), "yyyy-MM-dd")
-    return reports.morning_report(fx.trades(spark, sf)).filter(F.col("Date") == day)
+    return reports.morning_report(fx.trades(spark, sf, "2024-01-09", "2024-01-09")).filter(F.col("Date") == day)
 
 
 @register("p9_report_date_range", _morning_sql("trades")
@@ -241,7 +241,7 @@ def p8_report_of_previous_day(spark: SparkSession, sf: str) -> DataFrame:
 def p9_report_date_range(spark: SparkSession, sf: str) -> DataFrame:
     """Morning report rows in a closed date range."""
     from pyspark.sql import functions as F
-    return reports.morning_report(fx.trades(spark, sf)).filter(F.col("Date").between("2024-01-05", "2024-01-12"))
+    return reports.morning_report(fx.trades(spark, sf, "2024-01-05", "2024-01-12")).filter(F.col("Date").between("2024-01-05", "2024-01-12"))
 
 
 @register("f6_next_days", _w("trades") + """, f as (select ISIN, min(Date) as d0 from trades group by ISIN),
@@ -394,7 +394,7 @@ def m1_fitted_values(spark: SparkSession, sf: str) -> DataFrame:
 def d5_fit_open_close_day(spark: SparkSession, sf: str) -> DataFrame:
     """One-day open-to-close regression."""
     from barquet.plans.models import fit_open_close
-    return _round(fit_open_close(reports.morning_report(fx.trades_wide(spark, sf)), "2024-01-09"), _M6)
+    return _round(fit_open_close(reports.morning_report(fx.trades_wide(spark, sf, "2024-01-09", "2024-01-09")), "2024-01-09"), _M6)
 
 
 @register("d5_fit_open_close_range", _morning_sql("trades_wide")
@@ -403,7 +403,7 @@ def d5_fit_open_close_day(spark: SparkSession, sf: str) -> DataFrame:
 def d5_fit_open_close_range(spark: SparkSession, sf: str) -> DataFrame:
     """Open-to-close regression over a date range."""
     from barquet.plans.models import fit_open_close
-    return _round(fit_open_close(reports.morning_report(fx.trades_wide(spark, sf)), "2024-01-08", "2024-01-10"), _M6)
+    return _round(fit_open_close(reports.morning_report(fx.trades_wide(spark, sf, "2024-01-08", "2024-01-10")), "2024-01-08", "2024-01-10"), _M6)
 
 
 _LINREG_SQL = _w("trades") + """, tw as (select * from trades where Date >= '{a}' and Date <= '{b}'),
@@ -427,7 +427,7 @@ def m1b_linregress(spark: SparkSession, sf: str) -> DataFrame:
     """Slope, intercept, r and standard errors of close on open per security."""
     from pyspark.sql import functions as F
     from barquet.operators.regression import linregress
-    t = fx.trades(spark, sf).filter(F.col("Date").between("2024-01-08", "2024-01-10"))
+    t = fx.trades(spark, sf, "2024-01-08", "2024-01-10").filter(F.col("Date").between("2024-01-08", "2024-01-10"))
     return _round(linregress(t, "EndPrice", "StartPrice", by="ISIN", p_value=False), _LR_DIG)
 
 
@@ -436,7 +436,7 @@ def m1b_p_value(spark: SparkSession, sf: str) -> DataFrame:
     """Same fits with the two-sided p value of the slope (no SQL form for Student's t)."""
     from pyspark.sql import functions as F
     from barquet.operators.regression import linregress
-    t = fx.trades(spark, sf).filter(F.col("Date").between("2024-01-08", "2024-01-10"))
+    t = fx.trades(spark, sf, "2024-01-08", "2024-01-10").filter(F.col("Date").between("2024-01-08", "2024-01-10"))
     return linregress(t, "EndPrice", "StartPrice", by="ISIN", p_value=True)
 
 
@@ -452,7 +452,7 @@ def m1c_next_days_forecast(spark: SparkSession, sf: str) -> DataFrame:
     """Per security, three dates scored from each day's first open; no data gives NULL."""
     from pyspark.sql import functions as F
     from barquet.operators.regression import linregress, predict_days_ahead
-    t = fx.trades(spark, sf)
+    t = fx.trades(spark, sf, "2024-01-29", "2024-01-31")
     win = t.filter(F.col("Date").between("2024-01-29", "2024-01-31"))
     model = linregress(win, "EndPrice", "StartPrice", by="ISIN", p_value=False)
     out = predict_days_ahead(t, model, "2024-01-29", 3, by="ISIN")
@@ -702,7 +702,7 @@ def m1c_next_days_forecast_global(spark: SparkSession, sf: str) -> DataFrame:
     """The sketch's shape: one regression over every bar of the window, scored on each day's first bar."""
     from pyspark.sql import functions as F
     from barquet.operators.regression import linregress, predict_days_ahead
-    t = fx.trades(spark, sf)
+    t = fx.trades(spark, sf, "2024-01-29", "2024-01-31")
     model = linregress(t.filter(F.col("Date").between("2024-01-29", "2024-01-31")), "EndPrice", "StartPrice",
                        by=None, p_value=False)
     out = predict_days_ahead(t, model, "2024-01-29", 3, by=None, tiebreak="ISIN")
@@ -713,8 +713,8 @@ def m1c_next_days_forecast_global(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("d1_daily_report_clustered", _daily_sql("trades"))
 def d1_daily_report_clustered(spark: SparkSession, sf: str) -> DataFrame:
-    """The daily report with the single-exchange option (bars clustered by security first)."""
-    return reports.daily_report(fx.trades(spark, sf), arg_date=RUN_DATE, cluster_by_security=True)
+    """The daily report read per security: rows as the index step lays them out, without a final sort."""
+    return reports.daily_report(fx.trades(spark, sf), arg_date=RUN_DATE, sort=False)
 
 
 @register("m2_minmax_scale_train_fit", _w("closes") + """, n as (select series_id,
@@ -762,7 +762,7 @@ def m1b_linregress_global(spark: SparkSession, sf: str) -> DataFrame:
     """One regression over every bar of a date window, as the sketch has it."""
     from pyspark.sql import functions as F
     from barquet.operators.regression import linregress
-    t = fx.trades(spark, sf).filter(F.col("Date").between("2024-01-08", "2024-01-10"))
+    t = fx.trades(spark, sf, "2024-01-08", "2024-01-10").filter(F.col("Date").between("2024-01-08", "2024-01-10"))
     return _round(linregress(t, "EndPrice", "StartPrice", by=None, p_value=False), _LR_DIG)
 
 
@@ -779,3 +779,162 @@ def w6_lag_windows_whole_series(spark: SparkSession, sf: str) -> DataFrame:
     s = minmax_scale(fx.closes(spark, sf), "series_id", "Close", name="v")
     w = lag_windows(s, "series_id", "idx", "v", time_step=10, frac=None)
     return w.select("series_id", "idx", *[F.col("features")[i].alias(f"f{i}") for i in range(10)], "target")
+
+
+# --- operators not covered by the queries above -----------------------------------
+
+@register("u1_s3_mixed_headers", _w("trades") + " select * from trades")
+def u1_s3_mixed_headers(spark: SparkSession, sf: str) -> DataFrame:
+    """Files with reordered, extra and absent columns read into one table by header name."""
+    from pyspark.sql import functions as F
+    from barquet.session import work_dir
+    from barquet.sources.files import read_csv_by_name
+    base, t = work_dir(spark, "mixed"), fx.trades(spark, sf)
+    even = F.day(F.to_date("Date")) % 2 == 0
+    t.filter(even).select(*reversed(_BAR_SELECT)).write.option("header", True).csv(f"{base}/even")
+    t.filter(~even).select(F.lit("x").alias("Extra"), *_BAR_SELECT[2:], *_BAR_SELECT[:2]).write.option("header", True).csv(f"{base}/odd")
+    return read_csv_by_name(spark, [f"{base}/even", f"{base}/odd"]).select(*_BAR_SELECT)
+
+
+@register("p2_every_source_column", _w("trades") + " select * from trades where Time not like '%:13' and Time not like '%:17'")
+def p2_every_source_column(spark: SparkSession, sf: str) -> DataFrame:
+    """Bars without a missing value in any column of the file, also one that no job uses (P2 before the projection)."""
+    from pyspark.sql import functions as F
+    from barquet.session import work_dir
+    from barquet.sources.files import extract, write_dated_csv
+    t = fx.trades(spark, sf)
+    wide = t.withColumn("Currency", F.when(~F.col("Time").like("%:13"), F.lit("EUR"))) \
+            .withColumn("Note", F.when(F.col("Time").like("%:17"), F.lit("NA")).otherwise(F.lit("ok")))
+    base = write_dated_csv(wide, work_dir(spark, "landing"))
+    return extract(spark, base, "1970-01-02", every_column=True).select(*_BAR_SELECT)
+
+
+@register("s2_u2_named_days", _w("trades") + " select * from trades where Date in ('2024-01-03', '2024-01-05')")
+def s2_u2_named_days(spark: SparkSession, sf: str) -> DataFrame:
+    """Several days picked by name from the dated tree."""
+    from barquet.sources.files import day_paths_for, read_csv_strict
+    base = _landing(spark, sf)
+    return read_csv_strict(spark, day_paths_for(base, ["2024-01-03", "2024-01-05"]), fx.trades(spark, sf).schema)
+
+
+@register("s4_o6_sample_header", _w("trades") + " ".join(
+    f"{'union all' if i else ''} select {i} as position, '{c}' as name, count({c}) as n_values from trades"
+    for i, c in enumerate(_BAR_SELECT)))
+def s4_o6_sample_header(spark: SparkSession, sf: str) -> DataFrame:
+    """Columns named by the header of the second file of the sorted listing, with their filled cells over all files."""
+    from pyspark.sql import functions as F
+    from barquet.sources.files import check_header, day_paths_since, read_csv_by_name
+    paths = day_paths_since(spark, _landing(spark, sf), "1970-01-01")
+    names = check_header(spark, paths, fx.trades(spark, sf).schema, position=1)
+    rows = read_csv_by_name(spark, paths, fx.trades(spark, sf).schema)
+    one = rows.agg(*[F.count(c).alias(c) for c in names])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("name"), F.col(c).alias("n_values")) for i, c in enumerate(names)])))
+
+
+@register("s5_close_files", _w("closes") + " select series_id || '/close' as series_id, cast(idx as bigint) as idx, Close from closes")
+def s5_close_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Close series read by column name from files of equal names in several folders."""
+    from pyspark.sql import functions as F
+    from barquet.session import work_dir
+    from barquet.sources.files import _hadoop_fs, read_close_series
+    base, c = work_dir(spark, "closes"), fx.closes(spark, sf)
+    folders = [r[0] for r in c.select("series_id").distinct().collect()]  # one an order priority
+    for f in folders:
+        own = c.filter(F.col("series_id") == f).select(F.concat(F.lit("day "), "idx").alias("Date"), "Close", F.lit(1).alias("Volume"), "idx")
+        own.coalesce(1).sortWithinPartitions("idx").drop("idx").write.option("header", True).csv(f"{base}/{f}")
+        fs, root = _hadoop_fs(spark, f"{base}/{f}")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for st in fs.listStatus(root):
+            if st.getPath().getName().startswith("part-"):
+                fs.rename(st.getPath(), path(root, "close.csv"))
+    return read_close_series(spark, [f"{base}/{f}" for f in folders])
+
+
+@register("s7_read_report", _daily_sql("trades"))
+def s7_read_report(spark: SparkSession, sf: str) -> DataFrame:
+    """One stored report read back by its path."""
+    from barquet.session import work_dir
+    from barquet.sources.files import read_report, write_report
+    return read_report(spark, write_report(reports.daily_report(fx.trades(spark, sf), arg_date=RUN_DATE), work_dir(spark, "reports"), "20240110_180000"))
+
+
+@register("f3_f4_f5_text_parts", """select event_id, regexp_full_match(strftime(ts, '%H:%M'), '([01][0-9]|2[0-3]):[0-5][0-9]') as is_time,
+  regexp_full_match(event_type, '([01][0-9]|2[0-3]):[0-5][0-9]') as type_is_time, strftime(ts, '%Y%m%d_%H%M%S') as stamp,
+  strftime(ts, '%Y-%m-%d') as key_day from events""")
+def f3_f4_f5_text_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Time-of-day test, report stamp and first part of an object key for every event."""
+    from pyspark.sql import functions as F
+    from barquet.functions.columns import is_hhmm, key_first_part, report_stamp
+    e = fx.table(spark, sf, "events")
+    key = F.concat_ws("/", F.date_format("ts", "yyyy-MM-dd"), F.col("event_type"), F.lit("file.csv"))
+    return e.select("event_id", is_hhmm(F.date_format("ts", "HH:mm")).alias("is_time"), is_hhmm("event_type").alias("type_is_time"),
+                    report_stamp("ts").alias("stamp"), key_first_part(key).alias("key_day"))
+
+
+@register("f8_f10_unit_terms", _w("trades") + """ select ISIN, Date, Time, """ + _re("1.0 / (1.0 + exp(-(EndPrice / 100.0)))", 9) + """ as s,
+  """ + _re("(1.0 / (1.0 + exp(-(EndPrice / 100.0)))) * (1.0 - 1.0 / (1.0 + exp(-(EndPrice / 100.0))))", 9) + """ as ds,
+  cast(split_part(Time, ':', 1) as int) as hour, cast(split_part(Time, ':', 2) as double) as minute from trades""")
+def f8_f10_unit_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Logistic value and derivative of every close, and numbers parsed from the time's text."""
+    from pyspark.sql import functions as F
+    from barquet.functions.columns import parse_float, parse_int, sigmoid, sigmoid_derivative_from_output
+    t = fx.trades(spark, sf).withColumn("s", sigmoid(F.col("EndPrice") / 100.0))
+    out = t.select("ISIN", "Date", "Time", "s", sigmoid_derivative_from_output("s").alias("ds"),
+                   parse_int(F.split_part("Time", F.lit(":"), F.lit(1))).alias("hour"), parse_float(F.split_part("Time", F.lit(":"), F.lit(2))).alias("minute"))
+    return _round(out, {"s": 9, "ds": 9})
+
+
+@register("o1_tiebreak", """with e as (select event_type as ISIN, strftime(ts, '%Y-%m-%d') as Date, strftime(ts, '%H:00') as Time, value, event_id from events)
+  select ISIN, Date, arg_min(value, row(Time, event_id)) as opening_price_eur, arg_max(value, row(Time, event_id)) as closing_price_eur,
+  min(value) as minimum_price_eur, max(value) as maximum_price_eur, cast(count(*) as bigint) as daily_traded_volume from e group by ISIN, Date""")
+def o1_tiebreak(spark: SparkSession, sf: str) -> DataFrame:
+    """First and last of a day whose bars share their times, decided by an id."""
+    from pyspark.sql import functions as F
+    from barquet.operators.bars import daily_ohlcv
+    e = fx.table(spark, sf, "events")
+    bars = e.select(F.col("event_type").alias("ISIN"), F.date_format("ts", "yyyy-MM-dd").alias("Date"), F.date_format("ts", "HH:00").alias("Time"),
+                    *[F.col("value").alias(c) for c in ("StartPrice", "MaxPrice", "MinPrice", "EndPrice")], F.lit(1).alias("TradedVolume"), "event_id")
+    return daily_ohlcv(bars, tiebreak="event_id")
+
+
+def _partial_slope(rel: str, y: str, xs: list[str], last: str, tag: str) -> str:
+    """CTEs after which ``{tag}`` has the coefficient of ``last`` in the regression of ``y`` on ``xs`` and a constant:
+    everything is freed of the constant and of the other regressors one after the other."""
+    cols, others = [y, *xs], [x for x in xs if x != last]
+    out = [f"{tag}_0 as (select " + ", ".join(f"{c} - avg({c}) over () as {c}" for c in cols) + f" from {rel})"]
+    for i, x in enumerate(others):
+        out.append(f"{tag}_{i + 1} as (select " + ", ".join(f"{c} - {x} * sum({c} * {x}) over () / sum({x} * {x}) over () as {c}" if c not in others[:i + 1] else c for c in cols)
+                   + f" from {tag}_{i})")
+    out.append(f"{tag} as (select '{last}' as feature, sum({y} * {last}) / sum({last} * {last}) as coefficient from {tag}_{len(others)})")
+    return ",\n".join(out)
+
+
+_M3_X = ["start_price", "minimum_price", "maximum_price", "daily_traded_volume"]
+
+
+@register("m3_coefficients", _morning_sql("trades_wide") + ", d as (select end_price, start_price, minimum_price, maximum_price, "
+          "cast(daily_traded_volume as double) as daily_traded_volume from morning),\n"
+          + ",\n".join(_partial_slope("d", "end_price", _M3_X, x, f"c{i}") for i, x in enumerate(_M3_X))
+          + " select feature, " + _re("coefficient", 6) + " as coefficient from ("
+          + " union all ".join(f"select * from c{i}" for i in range(len(_M3_X))) + ")")
+def m3_coefficients(spark: SparkSession, sf: str) -> DataFrame:
+    """Coefficients of end_price on four columns of the morning report (M3)."""
+    from pyspark.sql import functions as F
+    from barquet.operators.mlmodels import multi_feature_regression
+    _, summary, _ = multi_feature_regression(reports.morning_report(fx.trades_wide(spark, sf)), "end_price", _M3_X)
+    rows = summary.select(F.posexplode("coefficients").alias("i", "coefficient"))
+    return _round(rows.select(F.array(*[F.lit(x) for x in _M3_X])[F.col("i")].alias("feature"), "coefficient"), {"coefficient": 6})
+
+
+@register("a5_a6_approx_within_bound", "select 1 as n_tables, true as rows_ok, true as securities_ok, true as groups_ok, count(*) as n_events from events")
+def a5_a6_approx_within_bound(spark: SparkSession, sf: str) -> DataFrame:
+    """Sketched counts of the wide bars against the exact ones: within five relative errors."""
+    from pyspark.sql import functions as F
+    from barquet.operators.bars import explore
+    t = fx.trades_wide(spark, sf)
+    a, e = explore(t, approximate=True), explore(t)
+    near = lambda c: (F.abs(F.col(f"a.{c}") - F.col(f"e.{c}")) <= 0.05 * F.col(f"e.{c}") + 1)
+    n = fx.table(spark, sf, "events").agg(F.count(F.lit(1)).alias("n_events"))
+    both = a.alias("a").join(e.alias("e"), F.col("a.n_rows") == F.col("e.n_rows"), "left")
+    return both.select(F.lit(1).alias("n_tables"), F.col("e.n_rows").isNotNull().alias("rows_ok"), near("n_securities").alias("securities_ok"),
+                       near("n_groups").alias("groups_ok")).join(n.hint("broadcast"))

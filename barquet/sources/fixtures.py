@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-# event ids stay below 2^37 in the driver's tables (100,000 x sf rows)
+# event ids stay below 2^37 in the driver's tables (100,000 x sf rows); checked in _bars
 _ID_BITS = 37
 
 
@@ -29,8 +29,10 @@ def _bars(events: DataFrame, isin: F.Column) -> DataFrame:
     # Orders as struct(ts, event_id) inside a minute: microseconds into the
     # minute (< 2^26) above the event id (< 2^37) in one long, so the
     # aggregation buffer is fixed-width and the aggregate is hash-based.
+    # A larger id would mix with the time: it raises.
     micros = F.unix_micros(F.col("ts").cast("timestamp")) % F.lit(60_000_000)
-    order = F.shiftleft(micros, _ID_BITS) + F.col("event_id")
+    order = F.when(F.col("event_id").between(0, (1 << _ID_BITS) - 1), F.shiftleft(micros, _ID_BITS) + F.col("event_id")) \
+        .otherwise(F.raise_error(F.lit("event_id outside [0, 2^37)")))
     return (events
             .groupBy(isin.alias("ISIN"),
                      F.date_format("ts", "yyyy-MM-dd").alias("Date"),
@@ -42,14 +44,25 @@ def _bars(events: DataFrame, isin: F.Column) -> DataFrame:
                  F.sum(F.lit(1) + F.col("event_id") % 500).cast("bigint").alias("TradedVolume")))
 
 
-def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Minute bars, one security per event type (5 securities, 30 days)."""
-    return _bars(table(spark, sf_dir, "events"), F.col("event_type"))
+def _events(spark: SparkSession, sf_dir: str, since: str | None, until: str | None) -> DataFrame:
+    """Events of a closed range of days; the bounds are on ``ts`` itself, so they reach the scan."""
+    e = table(spark, sf_dir, "events")
+    kind = e.schema["ts"].dataType
+    if since is not None:
+        e = e.filter(F.col("ts") >= F.lit(f"{since} 00:00:00").cast(kind))
+    if until is not None:
+        e = e.filter(F.col("ts") < F.date_add(F.lit(until).cast("date"), 1).cast(kind))
+    return e
 
 
-def trades_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Minute bars, one security per user (many securities, few bars each)."""
-    return _bars(table(spark, sf_dir, "events"), F.concat(F.lit("U"), F.col("user_id").cast("string")))
+def trades(spark: SparkSession, sf_dir: str, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Minute bars, one security per event type (5 securities, 30 days); ``since`` and ``until`` bound the days."""
+    return _bars(_events(spark, sf_dir, since, until), F.col("event_type"))
+
+
+def trades_wide(spark: SparkSession, sf_dir: str, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Minute bars, one security per user (many securities, few bars each); ``since`` and ``until`` bound the days."""
+    return _bars(_events(spark, sf_dir, since, until), F.concat(F.lit("U"), F.col("user_id").cast("string")))
 
 
 def trades_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
