@@ -254,8 +254,22 @@ def test_command_line_morning_and_stream(spark, capsys):
     assert "report_ts=20230101_000000" in out and "slope" in out
     assert main(["stream-daily", "--source", f"{root}/src", "--table", f"{root}/daily",
                  "--checkpoint", f"{root}/ckpt"]) == 0
-    from barquet.streaming.incremental import report_from_daily_table
+    from barquet.streaming.incremental import report_from_daily_table, report_from_morning_table
     assert report_from_daily_table(spark, f"{root}/daily").count() == 4
+    assert main(["stream-morning", "--source", f"{root}/src", "--table", f"{root}/morning",
+                 "--checkpoint", f"{root}/ckpt2", "--late-days", "-1"]) == 0
+    assert report_from_morning_table(spark, f"{root}/morning").count() == 4
+
+
+def test_command_line_models_on_the_stored_report(spark):
+    from barquet.__main__ import main
+    from barquet.plans.reports import morning_report
+    from barquet.sources import fixtures as fx
+    from barquet.sources.files import write_report
+    root = tempfile.mkdtemp(prefix="bq-models-")
+    path = write_report(morning_report(fx.trades(spark, "/root/testdata/sf0.001")), f"{root}/rep", "20240110_180000")
+    assert main(["models", "--report", path, "--csv", f"{root}/csv", "--out", f"{root}/out"]) == 0
+    assert spark.read.parquet(f"{root}/out/later").count() > 0 and spark.read.parquet(f"{root}/out/regression").count() == 1
 
 
 def test_missing_tokens_like_pandas(spark):

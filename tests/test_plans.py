@@ -66,3 +66,8 @@ def test_daily_window_reuses_the_index_split(spark):
     p = _plan(previous_close(day))
     assert "rangepartitioning(ISIN" in p
     assert not any("hashpartitioning(ISIN#" in ln and "Date" not in ln for ln in p.split("\n"))
+
+
+def test_day_bounds_reach_the_scan(spark):
+    p = _plan(morning_report(fx.trades(spark, SF, "2024-01-08", "2024-01-10")))
+    assert "GreaterThanOrEqual(ts," in p and "LessThan(ts," in p
