@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barquet.llm.common import pack, partitions, unpack_all
+from barquet.llm.common import pack, partitions, texts_of, unpack, unpack_all
 from barquet.session import ship_package
 
 LAST_ID = (1 << 63) - 1
 CELLS = "bucket int, kind int, cell binary"
 #: Record layouts.
-KEYED = (np.uint64, np.uint64, np.int64, np.uint32, np.int64)  # key, key, kid, tag, position
+KEYED = (np.uint64, np.uint32, np.int64, np.uint32, np.int64)  # key (96 bits), kid, tag, position
 SPANS = (np.int64, np.uint32, np.int64, np.int64)  # kid, tag, start, end
 #: Cell kinds.
 KEYS, FOUND = 0, 1
@@ -45,10 +45,17 @@ def with_bucket(docs: DataFrame, n: int) -> DataFrame:
     return docs.withColumn("bucket", F.pmod(F.coalesce("doc_id", F.lit(LAST_ID)), F.lit(n)).cast("int"))
 
 
-def names_of(batch, ids: str = "doc_id", text: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """(kid, tag) of every row."""
+def repeated_ids(docs: DataFrame) -> bool:
+    """Whether any id (or null) stands in two rows: only then do names need a tag besides the id."""
+    return bool(docs.groupBy("doc_id").count().filter("count > 1").limit(1).count())
+
+
+def names_of(batch, ids: str = "doc_id", text: str = "text", tags: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(kid, tag) of every row; without ``tags`` all tags are 0, which pack to nothing."""
     kid = batch.column(ids).fill_null(LAST_ID).to_numpy(zero_copy_only=False) if isinstance(batch, pa.RecordBatch) else \
         batch.column(ids).combine_chunks().fill_null(LAST_ID).to_numpy(zero_copy_only=False)
+    if not tags:
+        return kid.astype(np.int64), np.zeros(len(kid), np.uint32)
     tag = np.fromiter((zlib.crc32((t or "").encode("utf-8", "replace")) for t in batch.column(text).to_pylist()), np.uint32, len(kid))
     return kid.astype(np.int64), tag
 
@@ -136,8 +143,8 @@ def reduce_firsts(exchanged: DataFrame, n: int, length: int, within: bool) -> Da
 class Rows:
     """Rows of a document table by (kid, tag)."""
 
-    def __init__(self, table):
-        self.kid, self.tag = names_of(table)
+    def __init__(self, table=None, names=None):
+        self.kid, self.tag = names_of(table) if names is None else names
         self.first: dict = {}
         for i, name in enumerate(zip(self.kid.tolist(), self.tag.tolist())):
             self.first.setdefault(name, i)
@@ -155,3 +162,39 @@ class Rows:
     def representative(self) -> np.ndarray:
         """For each row, the row that results of its name are found under."""
         return self.find(self.kid, self.tag)
+
+
+def doc_cells(docs: DataFrame, n: int, tags: bool = True) -> DataFrame:
+    """Whole texts as packed cells by home bucket: (doc_id, text) rows move and wait compressed."""
+    def run(batches):
+        for batch in batches:
+            kid, tag = names_of(batch, tags=tags)
+            null = np.array([x is None for x in batch.column("doc_id").to_pylist()], np.uint8)
+            data, offsets = texts_of(batch, "text")
+            size, bucket = np.diff(offsets), home(kid, n)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]]) if len(order) else [0]
+            for a, b in zip(cuts, cuts[1:]):
+                own = order[a:b]
+                body = b"".join(data[offsets[i]:offsets[i + 1]].tobytes() for i in own)
+                head = pack(kid[own], tag[own], null[own], size[own])
+                cell = len(head).to_bytes(8, "little") + head + pa.Codec("zstd", 3).compress(body, asbytes=True)
+                yield pa.RecordBatch.from_arrays([pa.array([bucket[own[0]]], pa.int32()), pa.array([len(body)], pa.int64()), pa.array([cell], pa.large_binary()).cast(pa.binary())],
+                                                 ["bucket", "size", "cell"])
+    ship_package(docs.sparkSession)
+    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, size long, cell binary")
+
+
+class PackedRows(Rows):
+    """The documents of a bucket from their cells: names, bytes and offsets."""
+
+    def __init__(self, table: pa.Table):
+        heads, bodies = [], []
+        for cell, size in zip(table.column("cell").to_pylist(), table.column("size").to_pylist()):
+            h = int.from_bytes(cell[:8], "little")
+            heads.append(unpack(cell[8:8 + h], np.int64, np.uint32, np.uint8, np.int64))
+            bodies.append(pa.decompress(cell[8 + h:], decompressed_size=size, codec="zstd", asbytes=True))
+        kid, tag, self.null, sizes = (np.concatenate(x) for x in zip(*heads)) if heads else (np.zeros(0, t) for t in (np.int64, np.uint32, np.uint8, np.int64))
+        super().__init__(names=(kid, tag))
+        self.data = np.frombuffer(b"".join(bodies), np.uint8)
+        self.offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)

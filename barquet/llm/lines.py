@@ -1,6 +1,6 @@
 """Line dedup by overlapping windows of three lines.
 
-Every three consecutive lines of a text are hashed (128 bits); a window that
+Every three consecutive lines of a text are hashed (96 bits); a window that
 also stands earlier - in a document with a smaller id, or higher up in the
 same document - is a repeat, and the lines that repeats cover are removed.
 
@@ -72,7 +72,7 @@ def _scan(n: int, width: int):
             own = np.sort(order[is_later])
             yield from cells(FOUND, home(kid[doc[own]], n), kid[doc[own]], tag[doc[own]], number[own], number[own] + width)
             f = np.sort(order[~is_later])
-            yield from cells(KEYS, (h1[f] % np.uint64(n)).astype(np.int64), h1[f], h2[f], kid[doc[f]], tag[doc[f]], number[f])
+            yield from cells(KEYS, (h1[f] % np.uint64(n)).astype(np.int64), h1[f], h2[f].astype(np.uint32), kid[doc[f]], tag[doc[f]], number[f])
     return run
 
 

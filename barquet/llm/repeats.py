@@ -12,11 +12,12 @@ bytes. Suffixes are ordered no deeper than that, most significant digit first:
    smallest id are repeats, whole. A digit with one distinct reach is done.
 3. The second digit lengthens the first by half of what a window has more,
    to the left and to the right: a window holds one of the two, so an
-   occurrence goes on only if another document shares either.
+   occurrence goes on only if another document shares either, and only its
+   windows of that side.
 4. Windows of the few that are left are sorted by their bytes, eight at a
    time, most significant digit first, dropping groups of one after each
    pass; groups that are still together after the last pass are exactly the
-   repeated windows. First windows of each task's groups meet by 128-bit
+   repeated windows. First windows of each task's groups meet by 96-bit
    digests of all their bytes.
 
 Equal occurrences of a task are combined before each exchange, so a passage
@@ -25,7 +26,7 @@ that a third of all documents share costs a record a task.
 Defined cases: a null text is empty; texts under ``THRESHOLD`` bytes have no
 window; a null id counts as larger than every id; rows with one id are no
 earlier than each other; a document's own repeats stay. Equality of reaches
-and of groups across tasks is that of 88- and 128-bit hashes.
+and of groups across tasks is that of 88- and 96-bit hashes.
 """
 
 from __future__ import annotations
@@ -37,8 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from barquet.llm.common import BYTE_CODE, RangeHash, in_arrow, mix64, pick, texts_of
-from barquet.llm.firsts import (CELLS, FOUND, KEYED, KEYS, SPANS, Rows, buckets, cells, home, joined, merged, names_of, read_cells, reduce_firsts, runs,
-                                with_bucket)
+from barquet.llm.firsts import (CELLS, FOUND, KEYS, SPANS, PackedRows, buckets, cells, doc_cells, home, joined, merged, names_of, read_cells, reduce_firsts, repeated_ids,
+                                runs)
 from barquet.session import ship_package
 
 THRESHOLD, DIGIT = 50, 20
@@ -47,9 +48,11 @@ CHUNK = 1 << 18  # windows handled at once: arrays of this length stay in cache
 DIGITS = (np.uint32, np.uint8, np.uint32, np.uint16, np.int64, np.uint32, np.uint32)
 #: kid, tag, position, what (a reach that is a repeat, or one whose windows are to be sorted).
 REACHES = (np.int64, np.uint32, np.int64, np.uint8)
-#: Second digit, kid, tag, position.
-SECOND = (np.uint64, np.int64, np.uint32, np.uint32)
+#: Second digit, kid, tag, position, side.
+SECOND = (np.uint64, np.int64, np.uint32, np.uint32, np.uint8)
 COVERED, PROBE = 0, 1
+#: What another document shares: the digit lengthened to the left, to the right.
+LEFT, RIGHT = 1, 2
 #: Cell kind of reaches.
 REACHED = 2
 #: The reach of a record that only says that its digit has several reaches in a task.
@@ -120,11 +123,11 @@ def classes(digit, reach, kid):
     return order, repeat, mixed, group
 
 
-def _scan(n: int, threshold: int, digit: int):
+def _scan(n: int, threshold: int, digit: int, tags: bool):
     """First digits of a task's texts, combined; reaches already known to be repeats or to need sorting go home at once."""
     def run(batches):
         for batch in batches:
-            kid, tag = names_of(batch)
+            kid, tag = names_of(batch, tags=tags)
             data, offsets = texts_of(batch, "text")
             p, d, g, r = minimizers(data, offsets, threshold, digit)
             pos = p - offsets[d]
@@ -194,13 +197,11 @@ def _second_code() -> np.ndarray:
     return mix64(BYTE_CODE + np.uint64(0x5851F42D4C957F2D))
 
 
-def _placed(docs: pa.Table, found: pa.Table, kind: int = REACHED):
-    """The rows, bytes and offsets of the documents, and the found positions with the rows they are in."""
-    batch = docs.combine_chunks().to_batches()[0]
-    rows = Rows(batch)
-    data, offsets = texts_of(batch, "text")
-    kid, tag, pos, what = read_cells(found, kind, REACHES)
-    return rows, data, offsets, rows.find(kid, tag), pos, what
+def _placed(docs: pa.Table, found: pa.Table):
+    """The documents of a bucket, and the found positions with the rows they are in."""
+    rows = PackedRows(docs)
+    kid, tag, pos, what = read_cells(found, REACHED, REACHES)
+    return rows, rows.data, rows.offsets, rows.find(kid, tag), pos, what
 
 
 def range_hashes(data, offsets, row, start, end, code=BYTE_CODE) -> np.ndarray:
@@ -227,21 +228,21 @@ def _lengthen(n: int, threshold: int, digit: int):
         r, s, e = merged(row[cover], np.maximum(pos - (threshold - digit), 0)[cover], np.minimum(pos + threshold, size)[cover])
         out = list(cells(FOUND, home(rows.kid[r], n), rows.kid[r], rows.tag[r], s, e))
         keys = []
-        for side, (a, b) in enumerate(((pos - more, pos + digit), (pos, pos + digit + more))):
+        for side, (a, b) in ((LEFT, (pos - more, pos + digit)), (RIGHT, (pos, pos + digit + more))):
             ok = np.flatnonzero(~cover & (a >= 0) & (b <= size))
-            keys.append((range_hashes(data, offsets, row[ok], a[ok], b[ok]) ^ np.uint64(side), row[ok], pos[ok]))
-        key, r, p = (np.concatenate(x) for x in zip(*keys))
+            keys.append((range_hashes(data, offsets, row[ok], a[ok], b[ok]) ^ np.uint64(side), row[ok], pos[ok], np.full(len(ok), side, np.uint8)))
+        key, r, p, side = (np.concatenate(x) for x in zip(*keys))
         key, k, t = mix64(key), rows.kid[r], rows.tag[r]
         order, _, mixed, group = classes(key, k.astype(np.uint64), k)
         alive = order[mixed]
         alive = alive[np.lexsort((p[alive], r[alive]))]
-        out += cells(REACHED, home(k[alive], n), k[alive], t[alive], p[alive], np.full(len(alive), PROBE, np.uint8))
+        out += cells(REACHED, home(k[alive], n), k[alive], t[alive], p[alive], side[alive])
         lone = np.sort(order[~mixed])
         several = order[np.unique(group[mixed])] if mixed.any() else np.zeros(0, np.int64)
         send = np.concatenate([lone, several])
         k = k[send]
         k[len(lone):] = -1 << 63  # other than every document
-        out += cells(KEYS, (key[send] % np.uint64(n)).astype(np.int64), key[send], k, t[send], p[send].astype(np.uint32))
+        out += cells(KEYS, (key[send] % np.uint64(n)).astype(np.int64), key[send], k, t[send], p[send].astype(np.uint32), side[send])
         return joined(out, found, FOUND)
     return run
 
@@ -249,11 +250,11 @@ def _lengthen(n: int, threshold: int, digit: int):
 def _by_key(n: int):
     """Occurrences whose second digit another document has, too."""
     def run(table: pa.Table) -> pa.Table:
-        key, kid, tag, pos = read_cells(table, KEYS, SECOND)
+        key, kid, tag, pos, side = read_cells(table, KEYS, SECOND)
         order, _, mixed, _ = classes(key, kid.astype(np.uint64), kid)
         own = order[mixed & (kid[order] != -1 << 63)]
         own = own[np.lexsort((pos[own], tag[own], kid[own]))]
-        out = list(cells(REACHED, home(kid[own], n), kid[own], tag[own], pos[own].astype(np.int64), np.full(len(own), PROBE, np.uint8)))
+        out = list(cells(REACHED, home(kid[own], n), kid[own], tag[own], pos[own].astype(np.int64), side[own]))
         return joined(out, table, FOUND, REACHED)
     return run
 
@@ -265,11 +266,20 @@ def _windows(n: int, threshold: int, digit: int):
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         if not docs.num_rows or REACHED not in found.column("kind").to_pylist():
             return joined([], found, FOUND)
-        rows, data, offsets, row, pos, _ = _placed(docs, found)
-        left = np.maximum(pos - (threshold - digit), 0)
-        right = np.minimum(pos + threshold, offsets[row + 1] - offsets[row])
-        reach = right - left - threshold + 1  # windows of each reach
-        at = np.repeat(left + offsets[row] - np.cumsum(reach) + reach, reach) + np.arange(reach.sum())
+        rows, data, offsets, row, pos, what = _placed(docs, found)
+        # both sides of an occurrence together
+        order = np.lexsort((pos, row))
+        row, pos, what = row[order], pos[order], what[order]
+        first = np.flatnonzero(np.arange(len(row)) == runs(row, pos))
+        what = np.bitwise_or.reduceat(what, first)
+        row, pos = row[first], pos[first]
+        span, more = threshold - digit, -(-(threshold - digit) // 2)
+        starts = np.arange(-span, 1)  # of windows, from the position
+        holds = np.where(starts <= -more, LEFT, 0) | np.where(starts >= more - span, RIGHT, 0)
+        r, c = np.nonzero((holds[None, :] & ~what[:, None]) == 0)
+        s = pos[r] + starts[c]
+        ok = (s >= 0) & (s + threshold <= (offsets[row + 1] - offsets[row])[r])
+        at = (offsets[row][r] + s)[ok]
         at = np.unique(at)
         r = np.searchsorted(offsets, at, "right") - 1
         s = at - offsets[r]
@@ -286,7 +296,7 @@ def _windows(n: int, threshold: int, digit: int):
         f = np.flatnonzero(~repeat)
         h1 = range_hashes(data, offsets, r[f], s[f], s[f] + threshold)
         h2 = range_hashes(data, offsets, r[f], s[f], s[f] + threshold, code)
-        out += cells(KEYS, (h1 % np.uint64(n)).astype(np.int64), h1, h2, rows.kid[r[f]], rows.tag[r[f]], s[f])
+        out += cells(KEYS, (h1 % np.uint64(n)).astype(np.int64), h1, h2.astype(np.uint32), rows.kid[r[f]], rows.tag[r[f]], s[f])
         return joined(out, found, FOUND)
     return run
 
@@ -297,9 +307,8 @@ def _cut(texts: bool):
                             *([("kept", pa.binary()), ("spans", pa.list_(pa.list_(pa.int64())))] if texts else [])])
         if not docs.num_rows:
             return schema.empty_table()
-        batch = docs.combine_chunks().to_batches()[0]
-        rows = Rows(batch)
-        data, offsets = texts_of(batch, "text")
+        rows = PackedRows(docs)
+        data, offsets = rows.data, rows.offsets
         kid, tag, start, end = read_cells(found, FOUND, SPANS)
         row, start, end = merged(rows.find(kid, tag), start, end)
         cuts = np.searchsorted(row, np.arange(len(offsets)))
@@ -311,7 +320,7 @@ def _cut(texts: bool):
             kept = b"".join(text[x:y] for x, y in zip(edges[::2], edges[1::2]))
             out.append((len(text), len(text) - len(kept), int(b - a), hashlib.sha256(kept).hexdigest(), kept, list(map(list, zip(start[a:b].tolist(), end[a:b].tolist())))))
         columns = [list(x) for x in zip(*out)][:len(schema) - 1]
-        return pa.Table.from_arrays([batch.column("doc_id"), *[pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:])]], schema=schema)
+        return pa.Table.from_arrays([pa.array(rows.kid, mask=rows.null.astype(bool)), *[pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:])]], schema=schema)
     return run
 
 
@@ -326,8 +335,10 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIG
     spark = docs.sparkSession
     ship_package(spark)
     n = buckets(spark)
-    own = with_bucket(pick(docs, "doc_id", "text"), n)
-    digits = in_arrow(own.select("doc_id", "text"), _scan(n, threshold, digit), CELLS)
+    plain = pick(docs, "doc_id", "text")
+    tags = repeated_ids(plain)
+    own = doc_cells(plain, n, tags)  # one exchange serves the three reads below
+    digits = in_arrow(plain, _scan(n, threshold, digit, tags), CELLS)
     reaches = digits.groupBy("bucket").applyInArrow(_by_digit(n), CELLS)
     longer = own.groupBy("bucket").cogroup(reaches.groupBy("bucket")).applyInArrow(_lengthen(n, threshold, digit), CELLS)
     alive = longer.groupBy("bucket").applyInArrow(_by_key(n), CELLS)
