@@ -15,12 +15,14 @@ smaller language name; repeated rows are predicted alike.
 from __future__ import annotations
 
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barquet.llm.common import crc_bucket, in_arrow, pick
+from barquet.llm.common import crc_bucket, in_arrow, mix64, pick
 from barquet.llm.packing import groups_of
 
 #: Documents learned from, a language at most.
@@ -37,14 +39,14 @@ SCRIPTS = [("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400,
 _NOT_LETTERS = bytes(b for b in range(33, 128) if not chr(b).isalpha())
 
 
+@functools.cache
+def _script_of_letter(c: str) -> str | None:
+    return next((name for name, a, b in SCRIPTS if a <= ord(c) <= b), None) if c.isalpha() else None
+
+
 def script_of(word: str) -> str:
     """The script of the word's first letter that lies in a known range."""
-    for c in word:
-        o = ord(c)
-        for name, a, b in SCRIPTS:
-            if a <= o <= b and c.isalpha():
-                return name
-    return "other"
+    return next((x for x in map(_script_of_letter, word) if x), "other")
 
 
 def words_of(text: str) -> list[bytes]:
@@ -52,11 +54,23 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").translate(None, _NOT_LETTERS).split()
 
 
-def _grams(word: str) -> list[int]:
-    # crc32 gives the same bucket on every worker
-    from zlib import crc32
-    w = f"^{word}$"
-    return [crc32(w[i:i + n].encode()) % BUCKETS for n in (1, 2, 3, 4) for i in range(len(w) - n + 1)]
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(word index, bucket) of every character n-gram of one to four, boundaries marked, for all words at once."""
+    sizes = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
+    codes = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    word = np.repeat(np.arange(len(words)), sizes)
+    room = np.cumsum(sizes)[word] - np.arange(len(codes))  # characters from here to the word's end
+    out = []
+    h = np.zeros(len(codes), np.uint64)
+    for n in range(1, 5):
+        h = h * np.uint64(0x100000001B3) + np.concatenate([codes[n - 1:], np.zeros(min(n - 1, len(codes)), np.uint64)])
+        at = np.flatnonzero(room >= n)
+        out.append((word[at], (mix64(h[at] + np.uint64(n)) % np.uint64(BUCKETS)).astype(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _letters(word: str) -> int:
+    return len(word) if word.isalpha() else sum(map(str.isalpha, word))
 
 
 def _count(batches):
@@ -68,14 +82,14 @@ def _count(batches):
                 own[raw] = own.get(raw, 0) + 1
         rows = {}
         for lang, own in counts.items():
-            for raw, n in own.items():
-                word = raw.decode()
-                if not any(c.isalpha() for c in word):
-                    continue
-                key = (lang, "script:" + script_of(word), -1)
+            known = [(w, n) for w, n in ((raw.decode("utf-8", "replace"), n) for raw, n in own.items()) if _letters(w)]
+            for w, n in known:
+                key = (lang, "script:" + script_of(w), -1)
                 rows[key] = rows.get(key, 0) + n
-                for g in _grams(word):
-                    rows[lang, "", g] = rows.get((lang, "", g), 0) + n
+            word, bucket = grams([w for w, _ in known])
+            total = np.bincount(bucket, weights=np.array([n for _, n in known], float)[word], minlength=BUCKETS) if known else np.zeros(0)
+            for g in np.flatnonzero(total):
+                rows[lang, "", int(g)] = int(total[g])
         yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int32()))]
                                          + [pa.array(list(rows.values()), pa.int64())], ["lang", "script", "gram", "n"])
 
@@ -98,6 +112,10 @@ class LanguageModel:
         self.scripts = {k: v >= 0.001 * np.maximum(share, 1) for k, v in scripts.items()}
         logp = np.log((table + 0.5) / (table.sum(0) + 0.5 * BUCKETS)) if self.langs else table
         self.table = (logp - logp.mean(1, keepdims=True)).astype(np.float32) if self.langs else logp
+        # a script's languages; the last row, for scripts not learned, allows all
+        named = [k for k, v in self.scripts.items() if v.any()]
+        self.script_at = {k: i for i, k in enumerate(named)}
+        self.allowed = np.stack([self.scripts[k] for k in named] + [np.ones(len(self.langs), bool)]) if self.langs else np.ones((1, 0), bool)
         self.known: dict[bytes, int] = {}
         self.scores = np.zeros((1024, len(self.langs)), np.float32)
         self.letters = np.zeros(1024, np.int64)
@@ -108,18 +126,21 @@ class LanguageModel:
             size = max(need, 2 * len(self.letters))
             self.scores = np.concatenate([self.scores, np.zeros((size - len(self.scores), len(self.langs)), np.float32)])
             self.letters = np.concatenate([self.letters, np.zeros(size - len(self.letters), np.int64)])
-        for raw in new:
-            i = self.known[raw] = len(self.known)
-            word = raw.decode("utf-8", "replace")
-            n = self.letters[i] = sum(map(str.isalpha, word))
-            if not n:
-                continue
-            # weigh by letters: a word's n-grams overlap, so their sum is scaled down
-            row = self.table[_grams(word[:64] if len(word) > 64 else word)].sum(0) / 2.5
-            allowed = self.scripts.get(script_of(word))
-            if allowed is not None and allowed.any():
-                row = np.where(allowed, row, row.min() - 50.0)
-            self.scores[i] = row
+        first = len(self.known)
+        self.known.update(zip(new, range(first, need)))
+        words = [raw.decode("utf-8", "replace")[:64] for raw in new]
+        self.letters[first:need] = [_letters(raw.decode("utf-8", "replace")) for raw in new]
+        self.scores[first:need] = 0
+        for a in range(0, len(words), 20_000):
+            part = words[a:a + 20_000]
+            word, bucket = grams(part)
+            # a word's n-grams overlap, so their sum is scaled down
+            rows = np.stack([np.bincount(word, weights=self.table[bucket, k], minlength=len(part)) for k in range(len(self.langs))], 1) / 2.5
+            which = np.array([self.script_at.get(script_of(w), -1) for w in part])
+            allowed = self.allowed[which]
+            rows = np.where(allowed, rows, rows.min(1, keepdims=True) - 50.0)
+            self.scores[first + a:first + a + len(part)] = rows
+        self.scores[first:need][self.letters[first:need] == 0] = 0
 
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
         """Per text: (first word, end word, language index, letters) of each span, in order."""
@@ -128,7 +149,7 @@ class LanguageModel:
         split = [words_of(t) for t in texts]
         known = self.known
         self._learn([w for w in {w for ws in split for w in ws} if w not in known])
-        ids = [np.fromiter((known[w] for w in ws), np.int64, len(ws)) for ws in split]
+        ids = [np.fromiter(map(known.__getitem__, ws), np.int64, len(ws)) for ws in split]
         ids = [x[self.letters[x] > 0] for x in ids]
         paths = self._viterbi(ids)
         out = []

@@ -380,12 +380,12 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> T
 
 def score(docs: DataFrame, model: ToxicityModel, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``carry`` columns of every row, its score (0 to 1) and ``witness``, the piece that gave it (null: none near)."""
+    if "text" in carry:
+        raise ValueError("score() takes ids along; clean() keeps whole rows")
     model.known.clear()
     handle = docs.sparkSession.sparkContext.broadcast(model)  # landmarks and weights: a few hundred KB
     own = pick(docs, "text", *carry).withColumnRenamed("text", "_text")
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.select(*carry).schema) if "text" not in carry else None
-    if fields is None:
-        raise ValueError("score() takes ids along; join or use score_column() for whole rows")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.select(*carry).schema)
 
     def run(batches):
         m = handle.value

@@ -41,7 +41,7 @@ def test_spans_of_mixed_text(model):
 
 
 def test_scripts_narrow_the_candidates():
-    counts = [("en", "script:latin", -1, 100), ("ru", "script:cyrillic", -1, 100)] + [(l, "", g, 3) for l, w in (("en", "hello world"), ("ru", "привет мир")) for x in w.split() for g in langid._grams(x)]
+    counts = [("en", "script:latin", -1, 100), ("ru", "script:cyrillic", -1, 100)] + [(l, "", g, 3) for l, w in (("en", "hello world"), ("ru", "привет мир")) for g in langid.grams(w.split())[1].tolist()]
     m = langid.LanguageModel(counts)
     assert m.langs[m.spans(["слово"])[0][0][2]] == "ru"
     assert langid.script_of("漢字") == "han" and langid.script_of("123") == "other"
