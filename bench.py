@@ -33,7 +33,9 @@ HEADLINE = [
     "m2_minmax_scale",
     "m6b_ar1_forecast",
     "m6_arma11_forecast",
+    "m6_arma11_forecast_css",
     "m7_one_class_flags",
+    "d6_analyze_series_chart",
     "d7_lag_forecast",
 ]
 
