@@ -56,4 +56,19 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-ORACLES = {"op7_mtree_topk": TOP_K, "op6_source_mixing": MIXING, "op8_line_dedup": LINES}
+_ESCAPED = r"regexp_replace(replace({0}, '\', '\\'), '<(/turn|/role|turn|image|audio|document)>', '<\\\1>', 'g')"
+
+CHAT = r"""
+WITH given AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+form AS (SELECT *, '<turn>' || """ + _ESCAPED.format("role") + " || '</role>' || " + _ESCAPED.format("text") + r""" || '</turn>' || chr(10) AS formatted FROM given)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, formatted)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, formatted) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(formatted)) AS BIGINT) AS formatted_chars
+FROM form GROUP BY conv_id
+"""
+
+ORACLES = {"op10_chat_formatting": CHAT, "op7_mtree_topk": TOP_K, "op6_source_mixing": MIXING, "op8_line_dedup": LINES}

@@ -46,12 +46,12 @@ def test_ten_queries_are_registered():
     assert queries.QUERIES.keys() <= names.keys()
 
 
-@pytest.mark.parametrize("name", ["op6_source_mixing", "op7_mtree_topk", "op8_line_dedup"])
+@pytest.mark.parametrize("name", ["op6_source_mixing", "op7_mtree_topk", "op8_line_dedup", "op10_chat_formatting"])
 def test_oracles(spark, name):
     duckdb = pytest.importorskip("duckdb")
     from barquet.llm.oracles import ORACLES
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.execute(ORACLES[name]).df()
     got = queries.QUERIES[name](spark, SF).toPandas()[list(want.columns)]
