@@ -32,8 +32,8 @@ KEYS, FOUND = 0, 1
 
 
 def buckets(spark) -> int:
-    """Several buckets a partition, as hashing buckets to partitions is uneven."""
-    return 4 * partitions(spark)
+    """Two buckets a partition: hashing buckets to partitions is uneven, and tasks send a cell to every bucket."""
+    return 2 * partitions(spark)
 
 
 def home(kid: np.ndarray, n: int) -> np.ndarray:
@@ -60,6 +60,20 @@ def names_of(batch, ids: str = "doc_id", text: str = "text", tags: bool = True)
     return kid.astype(np.int64), tag
 
 
+#: Bytes of text combined at once: bounds a task's memory whatever the batch.
+SLICE = 16 << 20
+
+
+def slices(batch: pa.RecordBatch):
+    """The batch in runs of rows with about ``SLICE`` bytes of text each (a longer text is alone)."""
+    _, offsets = texts_of(batch, "text")
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + SLICE, "right")) - 1)
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def cells(kind: int, bucket: np.ndarray, *arrays: np.ndarray):
     """Record batches with one cell for each bucket that occurs; records keep their order within a bucket."""
     if not len(bucket):

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barquet.llm.common import RangeHash, in_arrow, mix64, pack, pick, settle, texts_of, unpack
-from barquet.llm.firsts import CELLS, LAST_ID, Rows, buckets, cells, home, joined, names_of, read_cells, runs, with_bucket
+from barquet.llm.firsts import CELLS, LAST_ID, Rows, buckets, cells, home, joined, names_of, read_cells, runs, slices, with_bucket
 from barquet.session import ship_package
 
 WIDTH, THRESHOLD = 5, (8, 10)
@@ -115,7 +115,7 @@ def frequencies(docs: DataFrame, width: int) -> np.ndarray:
     def run(batches):
         total = np.zeros(FREQUENCIES, np.uint32)
         seen = False
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             _, h = shingle_sets(*texts_of(batch, "text"), width)
             seen |= bool(len(h))
             for a in range(0, len(h), 1 << 22):
@@ -150,7 +150,7 @@ def _post(n: int, width: int, t, split: int, handle):
 
     def run(batches):
         level = handle.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             kid, tag = names_of(batch)
             null = np.array([x is None for x in batch.column("doc_id").to_pylist()], np.uint8)
             d, h = shingle_sets(*texts_of(batch, "text"), width)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from barquet.llm.common import BYTE_CODE, RangeHash, in_arrow, mix64, pick
-from barquet.llm.firsts import CELLS, FOUND, KEYED, KEYS, SPANS, Rows, buckets, cells, home, later, merged, names_of, read_cells, reduce_firsts, with_bucket
+from barquet.llm.firsts import CELLS, FOUND, KEYS, SPANS, Rows, buckets, cells, home, later, merged, names_of, read_cells, reduce_firsts, slices, with_bucket
 from barquet.session import ship_package
 
 WIDTH = 3
@@ -64,7 +64,7 @@ def _scan(n: int, width: int):
     from barquet.llm.common import texts_of
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             kid, tag = names_of(batch)
             doc, number, h1, h2 = line_windows(*texts_of(batch, "text"), width)
             order, is_later = later(h1, h2, kid[doc], tag[doc], number, within=True)

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 
 from barquet.llm.common import BYTE_CODE, RangeHash, in_arrow, mix64, pick, texts_of
 from barquet.llm.firsts import (CELLS, FOUND, KEYS, SPANS, PackedRows, buckets, cells, doc_cells, home, joined, merged, names_of, read_cells, reduce_firsts, repeated_ids,
-                                runs)
+                                runs, slices)
 from barquet.session import ship_package
 
 THRESHOLD, DIGIT = 50, 20
@@ -126,7 +126,7 @@ def classes(digit, reach, kid):
 def _scan(n: int, threshold: int, digit: int, tags: bool):
     """First digits of a task's texts, combined; reaches already known to be repeats or to need sorting go home at once."""
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             kid, tag = names_of(batch, tags=tags)
             data, offsets = texts_of(batch, "text")
             p, d, g, r = minimizers(data, offsets, threshold, digit)
