@@ -92,48 +92,32 @@ def linregress(df: DataFrame, y: str, x: str, by: str | Sequence[str] | None = N
     return out
 
 
-def _betacf(a: np.ndarray, b: np.ndarray, x: np.ndarray, iters: int = 300) -> np.ndarray:
-    """Continued fraction of the regularised incomplete beta (modified Lentz)."""
-    tiny = 1e-300
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c = np.ones_like(x)
-    d = 1.0 - qab * x / qap
-    d = np.where(np.abs(d) < tiny, tiny, d)
-    d = 1.0 / d
-    h = d.copy()
-    for m in range(1, iters + 1):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = np.where(np.abs(d) < tiny, tiny, d)
-        c = 1.0 + aa / c
-        c = np.where(np.abs(c) < tiny, tiny, c)
-        d = 1.0 / d
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = np.where(np.abs(d) < tiny, tiny, d)
-        c = 1.0 + aa / c
-        c = np.where(np.abs(c) < tiny, tiny, c)
-        d = 1.0 / d
-        delta = d * c
-        h *= delta
-        if np.all(np.abs(delta - 1.0) < 1e-15):
-            break
-    return h
-
-
-def _betainc(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
-    from math import lgamma
-    lg = np.vectorize(lgamma)
-    x = np.clip(x, 0.0, 1.0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        front = np.exp(lg(a + b) - lg(a) - lg(b) + a * np.log(x) + b * np.log1p(-x))
-        direct = x < (a + 1.0) / (a + b + 2.0)
-        res = np.where(direct, front * _betacf(a, b, x) / a,
-                       1.0 - front * _betacf(b, a, 1.0 - x) / b)
-    res = np.where(x <= 0.0, 0.0, np.where(x >= 1.0, 1.0, res))
-    return res
+_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(96)
+
+
+def _two_sided_tail(t: np.ndarray, dof: np.ndarray) -> np.ndarray:
+    """``P(|T| >= t)`` of Student's t by quadrature.
+
+    With ``T = sqrt(dof) tan(phi)`` the density is proportional to
+    ``cos(phi)^(dof - 1)``. For small ``t`` the middle part is integrated over
+    ``phi``; for larger ``t`` the tail, over ``v`` in
+    ``cos(phi) = cos(theta) exp(-v^2 / dof)``, which is smooth and carries the
+    tail's size as a factor, so small probabilities keep their digits.
+    """
+    from math import exp, lgamma, log, pi
+    half = np.array([exp(lgamma((n + 1) / 2) - lgamma(n / 2)) if n < 1e4
+                     else (n / 2) ** 0.5 * (1 - 1 / (4 * n) + 1 / (32 * n * n)) for n in dof])
+    scale = half / pi ** 0.5  # 1 / B(1/2, dof/2)
+    n, angle = dof[:, None], np.arctan(t / np.sqrt(dof))[:, None]
+    phi = angle * (_NODES + 1) / 2
+    with np.errstate(under="ignore"):
+        middle = (np.exp((n - 1) * np.log(np.cos(phi))) * _WEIGHTS).sum(1) * angle[:, 0] / 2
+        log_cos2 = -np.log1p((t * t / dof))[:, None]
+        v = 3.5 * (_NODES + 1)
+        inner = 1.0 - np.exp(log_cos2 - 2.0 * v * v / n)
+        tail = (np.exp(-v * v) * 2.0 * v / np.sqrt(inner) * _WEIGHTS).sum(1) * 3.5 / dof
+        far = 2.0 * scale * np.exp(dof / 2 * log_cos2[:, 0]) * tail
+    return np.where(t < 1.5, 1.0 - 2.0 * scale * middle, np.minimum(far, 1.0))
 
 
 @F.pandas_udf(DoubleType())
@@ -142,8 +126,7 @@ def _t_p_udf(t: pd.Series, dof: pd.Series) -> pd.Series:
     out = np.full(len(tv), np.nan)
     ok = np.isfinite(tv) & np.isfinite(dv) & (dv > 0)
     if ok.any():
-        tt, dd = tv[ok], dv[ok]
-        out[ok] = _betainc(dd / 2.0, np.full_like(dd, 0.5), dd / (dd + tt * tt))
+        out[ok] = _two_sided_tail(np.abs(tv[ok]), dv[ok])
     inf = np.isinf(tv) & (dv > 0)
     out[inf] = 0.0
     return pd.Series(out)

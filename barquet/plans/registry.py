@@ -938,3 +938,18 @@ def a5_a6_approx_within_bound(spark: SparkSession, sf: str) -> DataFrame:
     both = a.alias("a").join(e.alias("e"), F.col("a.n_rows") == F.col("e.n_rows"), "left")
     return both.select(F.lit(1).alias("n_tables"), F.col("e.n_rows").isNotNull().alias("rows_ok"), near("n_securities").alias("securities_ok"),
                        near("n_groups").alias("groups_ok")).join(n.hint("broadcast"))
+
+
+@register("m1b_p_value_of_volume", _w("trades") + """, lr as (select ISIN, corr(EndPrice, TradedVolume) as r, count(*) as n from trades
+    where Date >= '2024-01-08' and Date <= '2024-01-10' group by ISIN),
+  t as (select ISIN, n - 2 as dof, atan(abs(r) * sqrt(n - 2) / sqrt(1 - r * r) / sqrt(n - 2)) as theta from lr),
+  s as (select ISIN, dof, theta, case when k in (0, 4000) then 1 when k % 2 = 1 then 4 else 2 end * pow(cos(theta * k / 4000), dof - 1) as v
+    from t, (select unnest(range(4001)) as k))
+  select ISIN, """ + _re("1 - 2 / sqrt(pi()) * exp(lgamma((dof + 1) / 2.0) - lgamma(dof / 2.0)) * sum(v) * theta / 12000", 6) + """ as p_value
+  from s group by ISIN, dof, theta""")
+def m1b_p_value_of_volume(spark: SparkSession, sf: str) -> DataFrame:
+    """Two-sided p value of the slope of volume on close per security, against the t density integrated by Simpson's rule."""
+    from pyspark.sql import functions as F
+    from barquet.operators.regression import linregress
+    t = fx.trades(spark, sf, "2024-01-08", "2024-01-10").filter(F.col("Date").between("2024-01-08", "2024-01-10"))
+    return _round(linregress(t, "TradedVolume", "EndPrice", by="ISIN").select("ISIN", "p_value"), {"p_value": 6})
