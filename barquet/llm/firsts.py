@@ -64,12 +64,12 @@ def names_of(batch, ids: str = "doc_id", text: str = "text", tags: bool = True)
 SLICE = 16 << 20
 
 
-def slices(batch: pa.RecordBatch):
-    """The batch in runs of rows with about ``SLICE`` bytes of text each (a longer text is alone)."""
+def slices(batch: pa.RecordBatch, size: int = SLICE):
+    """The batch in runs of rows with about ``size`` bytes of text each (a longer text is alone)."""
     _, offsets = texts_of(batch, "text")
     a = 0
     while a < batch.num_rows:
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + SLICE, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + size, "right")) - 1)
         yield batch.slice(a, b - a)
         a = b
 

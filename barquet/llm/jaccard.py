@@ -47,6 +47,8 @@ FREQUENCIES = 1 << 22
 #: Documents of one shingle in one cell, about.
 SPLIT = 20_000
 PIECE = 1 << 20
+#: Bytes of text whose shingles a task holds at once.
+SLICE = 8 << 20
 POSTING = (np.uint64, np.int64, np.uint32, np.uint32, np.uint32, np.uint8)  # key, kid, tag, set size, position, side
 LABELLED = POSTING + (np.int64, np.uint32)
 DOCUMENT = (np.int64, np.uint32, np.uint32, np.uint8)  # kid, tag, set size, whether the id is null
@@ -115,7 +117,7 @@ def frequencies(docs: DataFrame, width: int) -> np.ndarray:
     def run(batches):
         total = np.zeros(FREQUENCIES, np.uint32)
         seen = False
-        for batch in (part for whole in batches for part in slices(whole)):
+        for batch in (part for whole in batches for part in slices(whole, SLICE)):
             _, h = shingle_sets(*texts_of(batch, "text"), width)
             seen |= bool(len(h))
             for a in range(0, len(h), 1 << 22):
@@ -150,7 +152,7 @@ def _post(n: int, width: int, t, split: int, handle):
 
     def run(batches):
         level = handle.value
-        for batch in (part for whole in batches for part in slices(whole)):
+        for batch in (part for whole in batches for part in slices(whole, SLICE)):
             kid, tag = names_of(batch)
             null = np.array([x is None for x in batch.column("doc_id").to_pylist()], np.uint8)
             d, h = shingle_sets(*texts_of(batch, "text"), width)
