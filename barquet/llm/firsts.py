@@ -109,18 +109,21 @@ def runs(*sorted_keys: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(new, np.arange(n), 0))
 
 
-def later(h1, h2, kid, tag, pos, within: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(order, is_later): rows by key, kid, tag, position, and which have an earlier occurrence of their key.
+def later(h1, h2, kid, tag, pos, within: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, is_first, is_later): rows by key, kid, tag, position, which is the first of its key, and which have an earlier occurrence of it.
 
     ``within``: earlier positions of the same document count; else only
-    documents with a smaller id do.
+    documents with a smaller id do. Equal rows have one name, so what has the
+    first one's kid, tag and position is that same occurrence: neither first
+    nor later.
     """
     order = np.lexsort((pos, tag, kid, h2, h1))
     first = runs(h1[order], h2[order])
+    is_first = first == np.arange(len(order))
+    k, t, p = kid[order], tag[order], pos[order]
     if within:
-        return order, first != np.arange(len(order))
-    k = kid[order]
-    return order, k > k[first]
+        return order, is_first, (k != k[first]) | (t != t[first]) | (p != p[first])
+    return order, is_first, k > k[first]
 
 
 def merged(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,7 +148,7 @@ def reduce_firsts(exchanged: DataFrame, n: int, length: int, within: bool) -> Da
 
     def run(table: pa.Table) -> pa.Table:
         h1, h2, kid, tag, pos = read_cells(table, KEYS, KEYED)
-        order, is_later = later(h1, h2, kid, tag, pos, within)
+        order, _, is_later = later(h1, h2, kid, tag, pos, within)
         own = order[is_later]
         own = own[np.lexsort((pos[own], tag[own], kid[own]))]
         out = list(cells(FOUND, home(kid[own], n), kid[own], tag[own], pos[own], pos[own] + length))

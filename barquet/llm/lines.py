@@ -7,8 +7,9 @@ same document - is a repeat, and the lines that repeats cover are removed.
 Defined cases: lines end at ``\\n``; a null text stays null and has no line;
 texts of fewer than ``WIDTH`` lines have no window; a null id counts as
 larger than every id; rows with one id are ordered by their text's hash;
-fully equal rows are the same document twice and get the same result. A text
-that repeats one line is left with its first line.
+fully equal rows (null ids with equal texts too) are the same document twice:
+neither is a repeat of the other, and both get the same result. A text that
+repeats one line is left with its first line.
 """
 
 from __future__ import annotations
@@ -67,11 +68,11 @@ def _scan(n: int, width: int):
         for batch in (part for whole in batches for part in slices(whole)):
             kid, tag = names_of(batch)
             doc, number, h1, h2 = line_windows(*texts_of(batch, "text"), width)
-            order, is_later = later(h1, h2, kid[doc], tag[doc], number, within=True)
+            order, is_first, is_later = later(h1, h2, kid[doc], tag[doc], number, within=True)
             # a window that this batch holds before is a repeat for certain
             own = np.sort(order[is_later])
             yield from cells(FOUND, home(kid[doc[own]], n), kid[doc[own]], tag[doc[own]], number[own], number[own] + width)
-            f = np.sort(order[~is_later])
+            f = np.sort(order[is_first])
             yield from cells(KEYS, (h1[f] % np.uint64(n)).astype(np.int64), h1[f], h2[f].astype(np.uint32), kid[doc[f]], tag[doc[f]], number[f])
     return run
 

@@ -45,6 +45,18 @@ def test_rows_keep_columns_and_lose_emptied_documents(make_docs):
     assert not any(i == 7 and t == "" for i, t in got)
 
 
+def test_equal_rows_do_not_remove_each_other(make_docs):
+    one, two, partly = "u1\nu2\nu3\nu4", "v1\nv2\nv3", "u1\nu2\nu3\nw"
+    rows = [(1, one, "en", "s")] * 2 + [(None, two, None, None)] * 2 + [(5, partly, "en", "s")] * 2 + [(6, "k\nk\nk\nk", "en", "s")] * 3 + [(9, None, "en", "s")] * 2
+    want = sorted([(1, one)] * 2 + [(None, two)] * 2 + [(5, "w")] * 2 + [(6, "k")] * 3 + [(9, None)] * 2, key=str)
+    for parts in (1, 7):  # repeats within a batch, and in several tasks
+        docs = make_docs(rows, parts)
+        assert sorted(((r["doc_id"], r["text"]) for r in lines.dedup_lines(docs).collect()), key=str) == want
+        sha = lambda t: None if t is None else hashlib.sha256(t.encode()).hexdigest()
+        counts = sorted(map(tuple, lines.dedup_counts(docs).collect()), key=str)
+        assert counts == sorted([(i, n, g, sha(t)) for i, n, g, t in plain(rows)], key=str)
+
+
 def test_empty_table(make_docs):
     assert lines.dedup_counts(make_docs([])).collect() == []
     assert lines.dedup_lines(make_docs([])).collect() == []
