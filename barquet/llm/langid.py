@@ -1,5 +1,9 @@
 """Language of mixed texts: script ranges, per-word scores, Viterbi spans.
 
+A text is cut into words at white space and at every character that is no
+letter, mark or joiner; a word is cut further where its script changes and
+after every ``PIECE`` characters, so text without spaces becomes many words,
+each scored on all of its characters. Learning and prediction cut alike.
 A word's score under a language is the sum of log-odds of its character
 n-grams (1 to 4, with word boundaries) against the mean over languages,
 learned from at most ``PER_LANG`` documents a language. A word is only
@@ -16,6 +20,7 @@ from __future__ import annotations
 
 
 import functools
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +41,10 @@ SCRIPTS = [("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400,
            ("arabic", 0x600, 0x77F), ("devanagari", 0x900, 0x97F), ("bengali", 0x980, 0x9FF), ("tamil", 0xB80, 0xBFF), ("thai", 0xE00, 0xE7F),
            ("georgian", 0x10A0, 0x10FF), ("latin", 0x1E00, 0x1EFF), ("greek", 0x1F00, 0x1FFF), ("kana", 0x3040, 0x30FF), ("han", 0x3400, 0x9FFF),
            ("hangul", 0xAC00, 0xD7AF)]
+#: Characters of a word at most: a longer run of letters is several words.
+PIECE = 32
 _NOT_LETTERS = bytes(b for b in range(33, 128) if not chr(b).isalpha())
+_TO_SPACES = bytes.maketrans(_NOT_LETTERS, b" " * len(_NOT_LETTERS))
 
 
 @functools.cache
@@ -49,9 +57,49 @@ def script_of(word: str) -> str:
     return next((x for x in map(_script_of_letter, word) if x), "other")
 
 
+@functools.cache
+def _run_of(c: str) -> str | None:
+    """The run of letters that a character belongs to: a script's name, "" for the one before it (marks, joiners), None for no run."""
+    kind = unicodedata.category(c)
+    if kind[0] in "PSZN":
+        return None
+    name = _script_of_letter(c)
+    if name or kind[0] != "L" or kind == "Lm":
+        return name or ""
+    # letters outside the known ranges: by the first word of the character's name
+    first = unicodedata.name(c, "other").split()[0].lower()
+    return {"cjk": "han"}.get(first, first)
+
+
+def _cut(raw: bytes) -> tuple[bytes, ...]:
+    """A white-space word in runs of one script, of ``PIECE`` characters at most, without what is no letter."""
+    out, own, script = [], [], ""
+    for c in raw.decode("utf-8", "replace"):
+        run = _run_of(c)
+        if own and (run is None or len(own) == PIECE or (run and script and run != script)):
+            out.append("".join(own).encode("utf-8", "replace"))
+            own, script = [], ""
+        if run is not None:
+            own.append(c)
+            script = run or script
+    if own:
+        out.append("".join(own).encode("utf-8", "replace"))
+    return tuple(out)
+
+
+_cut_known = functools.lru_cache(1 << 16)(_cut)
+
+
 def words_of(text: str) -> list[bytes]:
-    """White-space words, lower case, without ASCII characters that are no letters (words may be empty of letters)."""
-    return text.lower().encode("utf-8", "replace").translate(None, _NOT_LETTERS).split()
+    """Words of one script, lower case, ``PIECE`` characters at most (words may be empty of letters)."""
+    raw = text.lower().encode("utf-8", "replace").translate(_TO_SPACES).split()
+    out = []
+    for w in raw:
+        if len(w) <= PIECE and w.isascii():
+            out.append(w)
+        else:
+            out += _cut_known(w) if len(w) <= 8 * PIECE else _cut(w)
+    return out
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -128,8 +176,8 @@ class LanguageModel:
             self.letters = np.concatenate([self.letters, np.zeros(size - len(self.letters), np.int64)])
         first = len(self.known)
         self.known.update(zip(new, range(first, need)))
-        words = [raw.decode("utf-8", "replace")[:64] for raw in new]
-        self.letters[first:need] = [_letters(raw.decode("utf-8", "replace")) for raw in new]
+        words = [raw.decode("utf-8", "replace") for raw in new]
+        self.letters[first:need] = [_letters(w) for w in words]
         self.scores[first:need] = 0
         for a in range(0, len(words), 20_000):
             part = words[a:a + 20_000]

@@ -47,6 +47,32 @@ def test_scripts_narrow_the_candidates():
     assert langid.script_of("漢字") == "han" and langid.script_of("123") == "other"
 
 
+def test_words_are_cut_at_punctuation_scripts_and_length():
+    words = lambda t: [w.decode() for w in langid.words_of(t)]
+    assert words("One,two/three-four5six") == ["one", "two", "three", "four", "six"]
+    assert words("привет。hello\u3000мир") == ["привет", "hello", "мир"]
+    assert words("helloпривет漢字かな") == ["hello", "привет", "漢字", "かな"]
+    assert words("हिन्दी прʼят ə́naïve") == ["हिन्दी", "прʼят", "ə́naïve"]
+    for letter in "aжก漢":
+        text = letter * (5 * langid.PIECE + 3)
+        assert "".join(words(text)) == text and max(map(len, words(text))) == langid.PIECE
+
+
+def test_language_changes_inside_unspaced_text():
+    rng = random.Random(8)
+    make = {"aa": "กขคงจฉชซ", "bb": "ฟภมยรลวศ", "cc": "abcdefgh"}
+    text = lambda l, n: "".join(rng.choice(make[l]) for _ in range(n))
+    counts = [(l, "script:" + langid.script_of(x), -1, 1000) for l, x in make.items()]
+    for l in make:
+        counts += [(l, "", g, 1) for g in langid.grams([w.decode() for w in langid.words_of(text(l, 4000))])[1].tolist()]
+    m = langid.LanguageModel(counts)
+    n = 8 * langid.PIECE
+    # one white-space word each: a change of language after its 64th character, a change of script, joined words
+    for joined, want in ((text("aa", n) + text("bb", 4 * n), [("aa", n), ("bb", 4 * n)]), (text("cc", n) + text("aa", 3 * n), [("cc", n), ("aa", 3 * n)]),
+                         (",".join([text("aa", 8)] * 20 + [text("bb", 8)] * 60), [("aa", 160), ("bb", 480)])):
+        assert [(m.langs[s[2]], s[3]) for s in m.spans([joined])[0]] == want
+
+
 def test_odd_rows_and_und(model, make_docs, odd_rows):
     got = langid.predict(make_docs(odd_rows), model[0]).collect()
     assert len(got) == len(odd_rows)
