@@ -7,7 +7,7 @@ term's hash votes for or against the same bit of the fingerprint; several bits'
 votes are summed in one long.
 
 Documents are ordered by (doc_id, text hash); a null id comes last. Fully
-equal rows are one document. A null text is empty; a text without words has
+equal rows are one document, computed once; each has its output row. A null text is empty; a text without words has
 the fingerprint 0. The document after the last is the first; a single
 document is its own next. Texts with equal words and white space layout have
 equal fingerprints.
@@ -28,6 +28,8 @@ MAX_WEIGHT = 16
 LAST_ID = (1 << 63) - 1
 #: Terms a block: BLOCK * MAX_WEIGHT votes fit 15 bits (the highest field has the sign).
 BLOCK = 2000
+#: Output rows that one joined row stands for at most.
+COPIES = 10_000
 #: The lowest bit of each of four 16-bit fields, and the 16-bit values in two 32-bit fields.
 _FOUR = 1 + (1 << 16) + (1 << 32) + (1 << 48)
 _TWO_FIELDS = 0xFFFF + (0xFFFF << 32)
@@ -61,7 +63,7 @@ def _bits(part: str, total: str) -> Column:
 
 
 def fingerprints(texts: DataFrame, keys: list[str], sides: list[str]) -> DataFrame:
-    """Fingerprints of one or more texts (string columns ``sides``) of each row of ``keys``: two longs for each side.
+    """Fingerprints of one or more texts (string columns ``sides``) of each row of ``keys`` (distinct): two longs for each side.
 
     ``common`` (long) counts leading words that all sides share; their votes
     are counted once. Votes are summed four bits to a long over blocks of
@@ -101,7 +103,7 @@ def likeness(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
 
 
 def next_documents(keys: DataFrame) -> DataFrame:
-    """For distinct rows (kid, th, n, doc_id): the next row's kid and th in ascending order, the last followed by the first.
+    """For distinct rows (kid, th, n): the next row's kid and th in ascending order, the last followed by the first.
 
     Rows are range-partitioned and numbered by partition once (written, as
     range bounds are sampled); within a partition a window finds the next
@@ -118,7 +120,7 @@ def next_documents(keys: DataFrame) -> DataFrame:
     after = firsts.select("pid", F.coalesce(F.lead("own").over(order), wrap).alias("after"))
     out = attach(ranged.withColumn("nxt", following), after, "pid")
     nxt = F.coalesce("nxt", "after")
-    return out.select("kid", "th", "n", "doc_id", nxt["kid"].alias("next_kid"), nxt["th"].alias("next_th"))
+    return out.select("kid", "th", "n", nxt["kid"].alias("next_kid"), nxt["th"].alias("next_th"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -128,40 +130,51 @@ def keyed(docs: DataFrame) -> DataFrame:
         "doc_id", text.alias("text"), F.coalesce("doc_id", F.lit(LAST_ID)).alias("kid"), F.xxhash64(text).alias("th"))
 
 
-def edited_documents(docs: DataFrame) -> DataFrame:
-    """Each document with its edited text: its last floor(n / 4) characters replaced by the next document's first as many.
+def edited_documents(rows: DataFrame) -> DataFrame:
+    """Each distinct document of ``rows`` (see ``keyed``) with its edited text: its last floor(n / 4) characters replaced by the next document's first as many.
 
     The text moves once; a document's next one receives only (key, number of
     characters) and sends that prefix back.
     """
-    rows = keyed(docs)
-    links = settle(next_documents(rows.select("kid", "th", F.length("text").cast("long").alias("n"), "doc_id").distinct()), "next")
-    asked = links.select(F.col("next_kid").alias("kid"), F.col("next_th").alias("th"), F.col("doc_id").alias("to_id"),
+    # equal rows meet in the scan tasks already: a key sends one text a task
+    texts = rows.groupBy("kid", "th").agg(F.first("text").alias("text"))
+    lengths = rows.select("kid", "th", F.length("text").cast("long").alias("n")).distinct()
+    links = settle(next_documents(lengths), "next")
+    asked = links.select(F.col("next_kid").alias("kid"), F.col("next_th").alias("th"),
                          F.col("kid").alias("to_kid"), F.col("th").alias("to_th"), F.floor(F.col("n") / 4).cast("int").alias("k"))
-    # both joins read kid, th and text alone, so that they share one exchange of the texts
-    texts = rows.select("kid", "th", "text")
+    # both joins read the same texts, so that they share one exchange of them
     sent = (texts.join(asked, ["kid", "th"])
-            .select(F.col("to_kid").alias("kid"), F.col("to_th").alias("th"), F.col("to_id").alias("doc_id"),
+            .select(F.col("to_kid").alias("kid"), F.col("to_th").alias("th"),
                     F.substring("text", F.lit(1), F.col("k")).alias("tail"), F.col("kid").alias("next_kid"), F.col("th").alias("next_th")))
     own = texts.join(sent, ["kid", "th"])
     n = F.length("text")
     kept = n - F.floor(n / 4).cast("int")
-    return own.select("kid", "th", "doc_id", "next_kid", "next_th", "text", n.cast("long").alias("n_chars"),
+    return own.select("kid", "th", "next_kid", "next_th", "text", n.cast("long").alias("n_chars"),
                       F.concat(F.substring("text", F.lit(1), kept), "tail").alias("edited"))
 
 
+def each_row(rows: DataFrame) -> DataFrame:
+    """(kid, th, doc_id, copies): the rows of each document, in steps of ``COPIES`` at most."""
+    counted = rows.groupBy("kid", "th", "doc_id").agg(F.count("*").alias("_all"))
+    steps = counted.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_all") - 1, F.lit(COPIES).cast("long"))).alias("_from"))
+    return steps.select("kid", "th", "doc_id", F.least(F.col("_all") - F.col("_from"), F.lit(COPIES)).cast("int").alias("copies"))
+
+
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
-    """One row a document: doc_id, n_chars, edited_sha256, the two fingerprints and their likenesses (module docstring)."""
-    e = edited_documents(docs)
+    """One row a row of ``docs``: doc_id, n_chars, edited_sha256, the two fingerprints and their likenesses (module docstring)."""
+    given = keyed(docs)
+    e = edited_documents(given)
     kept = F.col("n_chars") - F.floor(F.col("n_chars") / 4)
     # words before the last one of the kept text are the same in both texts
-    sides = e.select("kid", "th", F.struct("doc_id", "next_kid", "next_th", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")).alias("info"),
+    sides = e.select("kid", "th", F.struct("next_kid", "next_th", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")).alias("info"),
                      "text", "edited", (F.size(_words(F.substring("text", F.lit(1), kept.cast("int")))) - 1).alias("common"))
     prints = fingerprints(sides, ["kid", "th", "info"], ["text", "edited"])
     rows = prints.select("kid", "th", "info", F.col("f0_0").alias("f0"), F.col("f0_1").alias("f1"), F.col("f1_0").alias("e0"), F.col("f1_1").alias("e1"))
     rows = settle(rows, "fingerprints")
     after = rows.select(F.col("kid").alias("next_kid"), F.col("th").alias("next_th"), F.col("f0").alias("n0"), F.col("f1").alias("n1"))
     out = rows.select("*", "info.*").join(after, ["next_kid", "next_th"], "left")
+    # one output row for each input row
+    out = out.join(each_row(given), ["kid", "th"]).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies"))))
     c = F.col
     return out.select("doc_id", "n_chars", "edited_sha256", as_text(c("f0"), c("f1")).alias("fingerprint"), as_text(c("e0"), c("e1")).alias("edited_fingerprint"),
                       likeness(c("f0"), c("f1"), c("e0"), c("e1")).alias("near_edited"), likeness(c("f0"), c("f1"), c("n0"), c("n1")).alias("near_next"))

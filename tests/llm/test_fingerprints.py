@@ -28,6 +28,21 @@ def test_edited_texts_lengths_and_next(spark, make_docs):
         assert len(g["fingerprint"]) == len(g["edited_fingerprint"]) == 32
 
 
+def test_repeated_rows_are_computed_once_and_all_returned(make_docs):
+    rng = random.Random(9)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(18)) for _ in range(n))
+    single = [(1, text(30), "en", "a"), (2, text(2000), "en", "a"), (3, text(2000), "en", "a"), (4, text(50), "en", "a"), (7, None, "en", "a"), (None, text(300), None, None)]
+    times = [1, 12, 9, 1, 3, 40]
+    alone = {r["doc_id"]: r for r in fp.fingerprint_documents(make_docs(single)).collect()}
+    got = fp.fingerprint_documents(make_docs([r for r, n in zip(single, times) for _ in range(n)])).collect()
+    assert all(r == alone[r["doc_id"]] for r in got)
+    ids = [r["doc_id"] for r in got]
+    assert [ids.count(r[0]) for r in single] == times and len(got) == sum(times)
+    # a null text and an empty one with the same id are equal; LAST_ID is not null
+    odd = fp.fingerprint_documents(make_docs([(5, None, "en", "a"), (5, "", "en", "a"), (fp.LAST_ID, "x y", "en", "a"), (None, "x y", "en", "a")])).collect()
+    assert sorted((str(r["doc_id"]) for r in odd)) == sorted(["5", "5", str(fp.LAST_ID), "None"])
+
+
 def test_equal_texts_equal_fingerprints_and_shared_words_change_nothing(spark):
     rng = random.Random(5)
     texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(rng.randint(0, 5000))) for _ in range(20)] + ["", " ", "one", "one  two"]
