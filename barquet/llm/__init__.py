@@ -1,4 +1,4 @@
-"""Training-data operators: ten document, vector and conversation operators and their queries.
+"""Training-data operators: document, vector and conversation operators and their queries.
 
 Nothing else in the library imports this subpackage. Each module holds one
 operator; :mod:`barquet.llm.queries` binds them to the driver's tables and
