@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barquet.llm import chat, fingerprints, jaccard, langid, lines, mixing, mtree, orchard, packing, pieces, repeats, toxicity
+from barquet.llm import chat, fingerprints, jaccard, langid, lines, mixing, mtree, orchard, packing, pieces, repeats, toxicity, trie
 from barquet.llm.common import settle, table
 
 
@@ -62,13 +62,17 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(rows))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.with_shared_heads(table(spark, sf_dir, "conversations")))
+
+
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.encode(table(spark, sf_dir, "documents")))
 
 
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orchard.cluster_report(table(spark, sf_dir, "embeddings"))
+    return orchard.cluster_report(table(spark, sf_dir, "embeddings")).drop("n_measured")
 
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_fingerprints, op4_best_fit_packing, op5_language_id, op6_source_mixing, op7_mtree_topk, op8_line_dedup, op9_jaccard_join, op10_chat_formatting,
-                                op12_sentencepiece, op13_centroid_clustering)}
+                                op11_prefix_trie, op12_sentencepiece, op13_centroid_clustering)}

@@ -42,11 +42,11 @@ def test_a_query_is_registered_for_each_operator():
     import __spark_entry__ as entry
     names = entry.queries()
     assert "pipeline" in names
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == [*range(1, 11), 12, 13]
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert queries.QUERIES.keys() <= names.keys()
 
 
-@pytest.mark.parametrize("name", ["op6_source_mixing", "op7_mtree_topk", "op8_line_dedup", "op10_chat_formatting"])
+@pytest.mark.parametrize("name", ["op6_source_mixing", "op7_mtree_topk", "op8_line_dedup", "op10_chat_formatting", "op11_prefix_trie", "op13_centroid_clustering"])
 def test_oracles(spark, name):
     duckdb = pytest.importorskip("duckdb")
     from barquet.llm.oracles import ORACLES
