@@ -542,12 +542,15 @@ def m7_one_class_certificate(spark: SparkSession, sf: str) -> DataFrame:
     model = one_class_fit(c, "series_id", "Close", nu)
     rows = one_class_score(c, model, "series_id", "Close")
     tiny = F.lit(1e-5) * F.col("rho")
-    r = rows.join(model.select("series_id", "rho", "support_values", "support_weights", "n"), "series_id")
+    r = rows.join(model.select("series_id", "rho", "support_values", "support_weights", "support_cells", "n"), "series_id")
+    x = F.col("Close").cast("double")
+    held = F.array_contains("support_values", x) | F.exists("support_cells", lambda c: x.between(c["lo"], c["hi"]))
+    weights = F.concat("support_weights", F.transform("support_cells", lambda c: c["weight"]))
     per = r.groupBy("series_id").agg(
         F.max("n").alias("n"), F.sum(F.col("is_anomaly").cast("int")).alias("flagged"),
         F.sum((F.col("score") <= tiny).cast("int")).alias("low"),
-        F.max(F.aggregate("support_weights", F.lit(0.0), lambda a, x: a + x)).alias("total"),
-        F.min(F.when(~F.array_contains("support_values", F.col("Close").cast("double")), F.col("score") / F.col("rho"))).alias("off"))
+        F.max(F.aggregate(weights, F.lit(0.0), lambda a, w: a + w)).alias("total"),
+        F.min(F.when(~held, F.col("score") / F.col("rho"))).alias("off"))
     return per.select("series_id", "n", (F.col("flagged") <= nu * F.col("n")).alias("share_ok"), (F.col("low") >= nu * F.col("n")).alias("support_ok"),
                       (F.abs(F.col("total") - nu * F.col("n")) < 1e-4).alias("weights_ok"), (F.coalesce("off", F.lit(0.0)) > -1e-5).alias("bounds_ok"))
 
