@@ -6,8 +6,14 @@ are binary cells of many packed records, dealt by a bucket of the key; so a
 key that stands in a third of all documents sends one record a task, and no
 task ever holds the occurrences of a key one by one.
 
-A document is named by (kid, tag): its id, nulls last, and 32 bits of its
-text's hash, which tells rows with a repeated id apart.
+A sender makes at most ``FAN`` cells of a kind. With more buckets than that,
+records go to their bucket digit by digit (:func:`routed`): ``hops`` stages of
+about the root of the buckets each, so cells grow as buckets times that root,
+and never beyond the records.
+
+A document is named by (kid, tag): its id, nulls last, and 63 bits of its
+text's hashes, which tells rows with a repeated id apart. Its home is a bucket
+by the hash of both, so neither null ids nor ids of one stride meet in one.
 """
 
 from __future__ import annotations
@@ -16,6 +22,8 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,24 +33,67 @@ from barquet.session import ship_package
 LAST_ID = (1 << 63) - 1
 CELLS = "bucket int, kind int, cell binary"
 #: Record layouts.
-KEYED = (np.uint64, np.uint32, np.int64, np.uint32, np.int64)  # key (96 bits), kid, tag, position
-SPANS = (np.int64, np.uint32, np.int64, np.int64)  # kid, tag, start, end
+KEYED = (np.uint64, np.uint32, np.int64, np.int64, np.int64)  # key (96 bits), kid, tag, position
+SPANS = (np.int64, np.int64, np.int64, np.int64)  # kid, tag, start, end
 #: Cell kinds.
 KEYS, FOUND = 0, 1
 
 
+#: Cells of one kind that a sender makes at most; and what the kind of a cell under way is raised by, times the stages behind it.
+FAN, HOP = 256, 100
+
+
 def buckets(spark) -> int:
-    """Three buckets for two partitions: hashing buckets to partitions is uneven, but tasks send a cell to every bucket."""
-    return partitions(spark) + (partitions(spark) + 1) // 2
+    """Two buckets a partition, as hashing buckets to partitions is uneven."""
+    return 2 * partitions(spark)
+
+
+def hops(n: int) -> int:
+    """Stages in which a record reaches one of n buckets."""
+    k = 1
+    while FAN ** k < n:
+        k += 1
+    return k
+
+
+def radix(n: int) -> int:
+    """Least number whose power ``hops(n)`` is n or more."""
+    k, r = hops(n), 1
+    while r ** k < n:
+        r += 1
+    return r
+
+
+_P1, _P2, _P3, _P4, _P5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5  # fixed values of XXH64
 
 
-def home(kid: np.ndarray, n: int) -> np.ndarray:
-    return kid % n
+def _xxh64(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """XXH64 of eight bytes, as SQL's xxhash64 has it for a long."""
+    u = lambda v: np.uint64(v & (1 << 64) - 1)
+    turn = lambda v, k: (v << np.uint64(k)) | (v >> np.uint64(64 - k))
+    with np.errstate(over="ignore"):
+        h = seed + u(_P5 + 8)
+        h = h ^ turn(x.astype(np.uint64) * u(_P2), 31) * u(_P1)
+        h = turn(h, 27) * u(_P1) + u(_P4)
+        h = (h ^ h >> np.uint64(33)) * u(_P2)
+        h = (h ^ h >> np.uint64(29)) * u(_P3)
+        return h ^ h >> np.uint64(32)
+
+
+def home(kid: np.ndarray, tag: np.ndarray, n: int) -> np.ndarray:
+    return _xxh64(np.asarray(tag), _xxh64(np.asarray(kid), np.uint64(42))).view(np.int64) % n
+
+
+def home_column(kid, tag, n: int):
+    """:func:`home` as a column."""
+    return F.pmod(F.xxhash64(kid, tag), F.lit(n)).cast("int")
 
 
 def with_bucket(docs: DataFrame, n: int) -> DataFrame:
-    """``docs`` (with doc_id) and the bucket in which its results are gathered."""
-    return docs.withColumn("bucket", F.pmod(F.coalesce("doc_id", F.lit(LAST_ID)), F.lit(n)).cast("int"))
+    """``docs`` (with doc_id and text) and the bucket in which its results are gathered."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    tag = F.shiftleft(F.crc32(text.cast("binary")), 31).bitwiseOR(F.xxhash64(text).bitwiseAND(F.lit((1 << 31) - 1)))
+    return docs.withColumn("bucket", home_column(F.coalesce("doc_id", F.lit(LAST_ID)), tag, n))
 
 
 def repeated_ids(docs: DataFrame) -> bool:
@@ -55,9 +106,9 @@ def names_of(batch, ids: str = "doc_id", text: str = "text", tags: bool = True)
     kid = batch.column(ids).fill_null(LAST_ID).to_numpy(zero_copy_only=False) if isinstance(batch, pa.RecordBatch) else \
         batch.column(ids).combine_chunks().fill_null(LAST_ID).to_numpy(zero_copy_only=False)
     if not tags:
-        return kid.astype(np.int64), np.zeros(len(kid), np.uint32)
-    tag = np.fromiter((zlib.crc32((t or "").encode("utf-8", "replace")) for t in batch.column(text).to_pylist()), np.uint32, len(kid))
-    return kid.astype(np.int64), tag
+        return kid.astype(np.int64), np.zeros(len(kid), np.int64)
+    raw = ((t or "").encode("utf-8", "replace") for t in batch.column(text).to_pylist())
+    return kid.astype(np.int64), np.fromiter((zlib.crc32(t) << 31 | xxhash.xxh64_intdigest(t, 42) & (1 << 31) - 1 for t in raw), np.int64, len(kid))
 
 
 #: Bytes of text combined at once: bounds a task's memory whatever the batch.
@@ -74,7 +125,7 @@ def slices(batch: pa.RecordBatch, size: int = SLICE):
         a = b
 
 
-def cells(kind: int, bucket: np.ndarray, *arrays: np.ndarray):
+def _cells(kind: int, bucket: np.ndarray, arrays, head: bytes = b""):
     """Record batches with one cell for each bucket that occurs; records keep their order within a bucket."""
     if not len(bucket):
         return
@@ -84,7 +135,44 @@ def cells(kind: int, bucket: np.ndarray, *arrays: np.ndarray):
     arrays = [a[order] for a in arrays]
     yield pa.RecordBatch.from_arrays(
         [pa.array(b[cuts[:-1]].astype(np.int32)), pa.array(np.full(len(cuts) - 1, kind, np.int32)),
-         pa.array([pack(*[a[s:e] for a in arrays]) for s, e in zip(cuts, cuts[1:])], pa.binary())], ["bucket", "kind", "cell"])
+         pa.array([head + pack(*[a[s:e] for a in arrays]) for s, e in zip(cuts, cuts[1:])], pa.binary())], ["bucket", "kind", "cell"])
+
+
+def _dealt(n: int, kind: int, target: np.ndarray, arrays, done: int):
+    """Cells whose address has one digit of the target more than the ``done`` ones; on the way the sender's own number fills the rest."""
+    k, r = hops(n), radix(n)
+    if done + 1 == k:
+        yield from _cells(kind, target, arrays)
+        return
+    rest = r ** (k - done - 1)
+    lane = (TaskContext.get().partitionId() if TaskContext.get() else 0) % rest
+    head = bytes([len(arrays), *(a.dtype.itemsize for a in arrays)])
+    yield from _cells(kind + HOP * (done + 1), target // rest * rest + lane, [np.asarray(target).astype(np.uint32), *arrays], head)
+
+
+def cells(n: int, kind: int, bucket: np.ndarray, *arrays: np.ndarray):
+    """The records on their way to their buckets, of which there are n. Read them behind :func:`routed`."""
+    yield from _dealt(n, kind, bucket, arrays, 0)
+
+
+def routed(dealt: DataFrame, n: int) -> DataFrame:
+    """Cells at their buckets: the stages that are left for :func:`cells` of n buckets."""
+    def stage(done: int):
+        def run(table: pa.Table) -> pa.Table:
+            kinds, given = np.array(table.column("kind").to_pylist()), table.column("cell").to_pylist()
+            out = []
+            for kind in np.unique(kinds[kinds >= HOP]):
+                parts = []
+                for i in np.flatnonzero(kinds == kind):
+                    widths = given[i][1:1 + given[i][0]]
+                    parts.append(unpack(given[i][1 + given[i][0]:], np.uint32, *[f"V{w}" for w in widths]))
+                target, *arrays = (np.concatenate(x) for x in zip(*parts))
+                out += _dealt(n, int(kind) % HOP, target.astype(np.int64), arrays, done)
+            return joined(out, table, *range(HOP))
+        return run
+    for done in range(1, hops(n)):
+        dealt = dealt.groupBy("bucket").applyInArrow(stage(done), CELLS)
+    return dealt
 
 
 def read_cells(table, kind: int, layout) -> list[np.ndarray]:
@@ -151,10 +239,10 @@ def reduce_firsts(exchanged: DataFrame, n: int, length: int, within: bool) -> Da
         order, _, is_later = later(h1, h2, kid, tag, pos, within)
         own = order[is_later]
         own = own[np.lexsort((pos[own], tag[own], kid[own]))]
-        out = list(cells(FOUND, home(kid[own], n), kid[own], tag[own], pos[own], pos[own] + length))
+        out = list(cells(n, FOUND, home(kid[own], tag[own], n), kid[own], tag[own], pos[own], pos[own] + length))
         return joined(out, table, FOUND)
 
-    return exchanged.groupBy("bucket").applyInArrow(run, CELLS)
+    return routed(routed(exchanged, n).groupBy("bucket").applyInArrow(run, CELLS), n)
 
 
 class Rows:
@@ -188,7 +276,7 @@ def doc_cells(docs: DataFrame, n: int, tags: bool = True) -> DataFrame:
             kid, tag = names_of(batch, tags=tags)
             null = np.array([x is None for x in batch.column("doc_id").to_pylist()], np.uint8)
             data, offsets = texts_of(batch, "text")
-            size, bucket = np.diff(offsets), home(kid, n)
+            size, bucket = np.diff(offsets), home(kid, tag, n)
             order = np.argsort(bucket, kind="stable")
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]]) if len(order) else [0]
             for a, b in zip(cuts, cuts[1:]):
@@ -209,9 +297,9 @@ class PackedRows(Rows):
         heads, bodies = [], []
         for cell, size in zip(table.column("cell").to_pylist(), table.column("size").to_pylist()):
             h = int.from_bytes(cell[:8], "little")
-            heads.append(unpack(cell[8:8 + h], np.int64, np.uint32, np.uint8, np.int64))
+            heads.append(unpack(cell[8:8 + h], np.int64, np.int64, np.uint8, np.int64))
             bodies.append(pa.decompress(cell[8 + h:], decompressed_size=size, codec="zstd", asbytes=True))
-        kid, tag, self.null, sizes = (np.concatenate(x) for x in zip(*heads)) if heads else (np.zeros(0, t) for t in (np.int64, np.uint32, np.uint8, np.int64))
+        kid, tag, self.null, sizes = (np.concatenate(x) for x in zip(*heads)) if heads else (np.zeros(0, t) for t in (np.int64, np.int64, np.uint8, np.int64))
         super().__init__(names=(kid, tag))
         self.data = np.frombuffer(b"".join(bodies), np.uint8)
         self.offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barquet.llm.common import RangeHash, in_arrow, mix64, pack, pick, settle, texts_of, unpack
-from barquet.llm.firsts import CELLS, LAST_ID, Rows, buckets, cells, home, joined, names_of, read_cells, runs, slices, with_bucket
+from barquet.llm.firsts import CELLS, HOP, LAST_ID, Rows, buckets, cells, home, home_column, joined, names_of, read_cells, routed, runs, slices, with_bucket
 from barquet.session import ship_package
 
 WIDTH, THRESHOLD = 5, (8, 10)
@@ -49,10 +49,10 @@ SPLIT = 20_000
 PIECE = 1 << 20
 #: Bytes of text whose shingles a task holds at once.
 SLICE = 8 << 20
-POSTING = (np.uint64, np.int64, np.uint32, np.uint32, np.uint32, np.uint8)  # key, kid, tag, set size, position, side
-LABELLED = POSTING + (np.int64, np.uint32)
-DOCUMENT = (np.int64, np.uint32, np.uint32, np.uint8)  # kid, tag, set size, whether the id is null
-PAIR = (np.int64, np.uint32, np.int64, np.uint32)  # the set that travels, the set that stays
+POSTING = (np.uint64, np.int64, np.int64, np.uint32, np.uint32, np.uint8)  # key, kid, tag, set size, position, side
+LABELLED = POSTING + (np.int64, np.int64)
+DOCUMENT = (np.int64, np.int64, np.uint32, np.uint8)  # kid, tag, set size, whether the id is null
+PAIR = (np.int64, np.int64, np.int64, np.int64)  # the set that travels, the set that stays
 #: Cell kinds.
 POSTS, DOCS, COPIES, PAIRS = 0, 1, 2, 3
 
@@ -157,7 +157,7 @@ def _post(n: int, width: int, t, split: int, handle):
             null = np.array([x is None for x in batch.column("doc_id").to_pylist()], np.uint8)
             d, h = shingle_sets(*texts_of(batch, "text"), width)
             size = np.bincount(d, minlength=len(kid))
-            yield from cells(DOCS, home(kid, n), kid, tag, size.astype(np.uint32), null)
+            yield from cells(n, DOCS, home(kid, tag, n), kid, tag, size.astype(np.uint32), null)
             if not len(d):
                 continue
             # equal sets of this batch: the smallest name posts, the others link to it
@@ -171,7 +171,7 @@ def _post(n: int, width: int, t, split: int, handle):
             mine = have[order]
             twin = (top != mine) & ((kid[top] != kid[mine]) | (tag[top] != tag[mine]))
             c, r = mine[twin], top[twin]
-            yield from cells(COPIES, home(kid[c], n), kid[c], tag[c], kid[r], tag[r])
+            yield from cells(1, COPIES, np.zeros(len(c), np.int64), kid[c], tag[c], kid[r], tag[r])
             posts = np.zeros(len(kid), bool)
             posts[mine[top == mine]] = True
             sel = posts[d]
@@ -188,7 +188,7 @@ def _post(n: int, width: int, t, split: int, handle):
             if hot.any():  # cells (i, j) of a grid of blocks: a document of block b goes to all cells of row and column b
                 parts = [(d[~hot], h[~hot], pos[~hot], side[~hot])]
                 m = np.ceil(2.0 ** (freq[hot] / 8.0) / split).astype(np.int64)
-                block = (mix64(kid[d[hot]].astype(np.uint64) + tag[d[hot]]) % m.astype(np.uint64)).astype(np.int64)
+                block = (mix64(kid[d[hot]].astype(np.uint64) + tag[d[hot]].astype(np.uint64)) % m.astype(np.uint64)).astype(np.int64)
                 rep = np.repeat(np.arange(len(m)), m)
                 j = np.arange(len(rep)) - np.repeat(np.cumsum(m) - m, m)
                 i = block[rep]
@@ -196,7 +196,7 @@ def _post(n: int, width: int, t, split: int, handle):
                 parts.append((d[hot][rep], mix64(h[hot][rep] ^ mix64(grid + np.uint64(1))), pos[hot][rep],
                               np.where(i == j, 2, (i > j).astype(np.int64)).astype(np.uint8)))
                 d, key, pos, side = (np.concatenate(x) for x in zip(*parts))
-            yield from cells(POSTS, (mix64(key) % np.uint64(n)).astype(np.int64), key, kid[d], tag[d], size[d].astype(np.uint32), pos.astype(np.uint32), side)
+            yield from cells(n, POSTS, (mix64(key) % np.uint64(n)).astype(np.int64), key, kid[d], tag[d], size[d].astype(np.uint32), pos.astype(np.uint32), side)
     return run
 
 
@@ -217,7 +217,7 @@ def _pairs_out(n: int, pairs: list) -> list:
     ak, at, bk, bt = ak[order], at[order], bk[order], bt[order]
     keep = np.arange(len(ak)) == runs(ak, at, bk, bt)
     ak, at, bk, bt = ak[keep], at[keep], bk[keep], bt[keep]
-    return list(cells(PAIRS, home(ak, n), ak, at, bk, bt))
+    return list(cells(n, PAIRS, home(ak, at, n), ak, at, bk, bt))
 
 
 def _stars(n: int, t):
@@ -235,7 +235,7 @@ def _stars(n: int, t):
         out = _pairs_out(n, [(kid[lead], tag[lead], kid[x], tag[x])])
         more = np.flatnonzero(count > 2)
         more = more[np.lexsort((pos[more], tag[more], kid[more]))]
-        out += cells(POSTS, home(kid[more], n), key[more], kid[more], tag[more], size[more], pos[more], side[more])
+        out += cells(n, POSTS, home(kid[more], tag[more], n), key[more], kid[more], tag[more], size[more], pos[more], side[more])
         return joined(out, table)
     return run
 
@@ -250,8 +250,8 @@ def _label(n: int):
             at = np.flatnonzero(np.arange(len(kid)) == runs(kid, tag))
             found = [names.get(x, x) for x in zip(kid[at].tolist(), tag[at].tolist())]
             times = np.diff(np.append(at, len(kid)))
-            lkid, ltag = np.repeat(np.array([f[0] for f in found], np.int64), times), np.repeat(np.array([f[1] for f in found], np.uint32), times)
-        out = list(cells(POSTS, (mix64(key) % np.uint64(n)).astype(np.int64), key, kid, tag, size, pos, side, lkid, ltag))
+            lkid, ltag = np.repeat(np.array([f[0] for f in found], np.int64), times), np.repeat(np.array([f[1] for f in found], np.int64), times)
+        out = list(cells(n, POSTS, (mix64(key) % np.uint64(n)).astype(np.int64), key, kid, tag, size, pos, side, lkid, ltag))
         return joined(out, posts.slice(0, 0))
     return run
 
@@ -287,7 +287,7 @@ def _send(n: int, width: int):
             return schema.empty_table()
         batch = docs.combine_chunks().to_batches()[0]
         rows = Rows(batch)
-        target = home(bk, n)
+        target = home(bk, bt, n)
         order = np.lexsort((bt, bk, target, at, ak))
         ak, at, bk, bt, target = (x[order] for x in (ak, at, bk, bt, target))
         keep = np.arange(len(ak)) == runs(ak, at, bk, bt)
@@ -369,6 +369,11 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select(F.col("id.kid").alias("kid"), F.col("id.tag").alias("tag"), F.col("label.kid").alias("lkid"), F.col("label.tag").alias("ltag"))
 
 
+def of_kind(dealt: DataFrame, kind: int) -> DataFrame:
+    """The cells of one kind, at their bucket or under way."""
+    return dealt.filter(F.col("kind") % HOP == kind)
+
+
 def similarity_groups(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD, split: int = SPLIT):
     """(cells of documents, components): see :func:`group_documents` and :func:`keep_one`."""
     spark = docs.sparkSession
@@ -378,13 +383,13 @@ def similarity_groups(docs: DataFrame, width: int = WIDTH, threshold: tuple[int,
     flat = own.select("doc_id", "text")
     handle = spark.sparkContext.broadcast(frequencies(flat, width))
     posted = settle(in_arrow(flat, _post(n, width, threshold, split, handle), CELLS), "posts")
-    stars = settle(posted.filter(F.col("kind") == POSTS).groupBy("bucket").applyInArrow(_stars(n, threshold), CELLS), "stars")
-    links = settle(_tested(own, stars.filter(F.col("kind") == PAIRS), n, width, threshold), "links")
+    stars = settle(routed(of_kind(posted, POSTS), n).groupBy("bucket").applyInArrow(_stars(n, threshold), CELLS), "stars")
+    links = settle(_tested(own, routed(of_kind(stars, PAIRS), n), n, width, threshold), "links")
     labels = components(links)
-    by_home = labels.withColumn("bucket", F.pmod(F.col("kid"), F.lit(n)).cast("int"))
-    labelled = stars.filter(F.col("kind") == POSTS).groupBy("bucket").cogroup(by_home.groupBy("bucket")).applyInArrow(_label(n), CELLS)
-    across = settle(labelled.groupBy("bucket").applyInArrow(_across(n, threshold), CELLS), "across")
-    more = _tested(own, across, n, width, threshold) if across.limit(1).count() else None
+    by_home = labels.withColumn("bucket", home_column("kid", "tag", n))
+    labelled = routed(of_kind(stars, POSTS), n).groupBy("bucket").cogroup(by_home.groupBy("bucket")).applyInArrow(_label(n), CELLS)
+    across = settle(routed(labelled, n).groupBy("bucket").applyInArrow(_across(n, threshold), CELLS), "across")
+    more = _tested(own, routed(across, n), n, width, threshold) if across.limit(1).count() else None
 
     def copies(table):
         for batch in table:
@@ -392,7 +397,7 @@ def similarity_groups(docs: DataFrame, width: int = WIDTH, threshold: tuple[int,
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in names], ["akid", "atag", "bkid", "btag"])
 
     all_links = links.unionByName(in_arrow(posted.filter(F.col("kind") == COPIES), copies, "akid long, atag long, bkid long, btag long"))
-    return posted.filter(F.col("kind") == DOCS), components(all_links.unionByName(more) if more is not None else all_links)
+    return routed(of_kind(posted, DOCS), n), components(all_links.unionByName(more) if more is not None else all_links)
 
 
 def unpack_pairs(batch) -> list[np.ndarray]:
@@ -414,7 +419,7 @@ def group_documents(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, i
     """doc_id, n_shingles (set size) and component_id (the smallest id that links reach) of every document."""
     found, labels = similarity_groups(docs, width, threshold, split)
     n = buckets(docs.sparkSession)
-    by_home = labels.withColumn("bucket", F.pmod(F.col("kid"), F.lit(n)).cast("int"))
+    by_home = labels.withColumn("bucket", home_column("kid", "tag", n))
     return found.groupBy("bucket").cogroup(by_home.groupBy("bucket")).applyInArrow(_groups(), "doc_id long, n_shingles long, component_id long")
 
 
@@ -427,7 +432,7 @@ def keep_one(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = T
     n = buckets(docs.sparkSession)
     own = with_bucket(held.withColumns({"doc_id": held[find("doc_id")], "text": held[find("text")]}), n)
     _, labels = similarity_groups(docs, width, threshold)
-    by_home = labels.withColumn("bucket", F.pmod(F.col("kid"), F.lit(n)).cast("int"))
+    by_home = labels.withColumn("bucket", home_column("kid", "tag", n))
     schema = to_arrow_schema(held.schema)
 
     def run(table: pa.Table, groups: pa.Table) -> pa.Table:

@@ -71,9 +71,9 @@ def _scan(n: int, width: int):
             order, is_first, is_later = later(h1, h2, kid[doc], tag[doc], number, within=True)
             # a window that this batch holds before is a repeat for certain
             own = np.sort(order[is_later])
-            yield from cells(FOUND, home(kid[doc[own]], n), kid[doc[own]], tag[doc[own]], number[own], number[own] + width)
+            yield from cells(n, FOUND, home(kid[doc[own]], tag[doc[own]], n), kid[doc[own]], tag[doc[own]], number[own], number[own] + width)
             f = np.sort(order[is_first])
-            yield from cells(KEYS, (h1[f] % np.uint64(n)).astype(np.int64), h1[f], h2[f].astype(np.uint32), kid[doc[f]], tag[doc[f]], number[f])
+            yield from cells(n, KEYS, (h1[f] % np.uint64(n)).astype(np.int64), h1[f], h2[f].astype(np.uint32), kid[doc[f]], tag[doc[f]], number[f])
     return run
 
 

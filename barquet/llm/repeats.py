@@ -39,17 +39,17 @@ from pyspark.sql import DataFrame
 
 from barquet.llm.common import BYTE_CODE, RangeHash, in_arrow, mix64, pick, texts_of
 from barquet.llm.firsts import (CELLS, FOUND, KEYS, SPANS, PackedRows, buckets, cells, doc_cells, home, joined, merged, names_of, read_cells, reduce_firsts, repeated_ids,
-                                runs, slices)
+                                routed, runs, slices)
 from barquet.session import ship_package
 
 THRESHOLD, DIGIT = 50, 20
 CHUNK = 1 << 18  # windows handled at once: arrays of this length stay in cache
 #: Record layout of minimizer occurrences: digit (40 bits), reach (48 bits), kid, tag, position.
-DIGITS = (np.uint32, np.uint8, np.uint32, np.uint16, np.int64, np.uint32, np.uint32)
+DIGITS = (np.uint32, np.uint8, np.uint32, np.uint16, np.int64, np.int64, np.uint32)
 #: kid, tag, position, what (a reach that is a repeat, or one whose windows are to be sorted).
-REACHES = (np.int64, np.uint32, np.int64, np.uint8)
+REACHES = (np.int64, np.int64, np.int64, np.uint8)
 #: Second digit, kid, tag, position, side.
-SECOND = (np.uint64, np.int64, np.uint32, np.uint32, np.uint8)
+SECOND = (np.uint64, np.int64, np.int64, np.uint32, np.uint8)
 COVERED, PROBE = 0, 1
 #: What another document shares: the digit lengthened to the left, to the right.
 LEFT, RIGHT = 1, 2
@@ -137,7 +137,7 @@ def _scan(n: int, threshold: int, digit: int, tags: bool):
             what = np.where(repeat[known], COVERED, PROBE).astype(np.uint8)
             by = np.lexsort((pos[own], d[own]))
             own, what = own[by], what[by]
-            yield from cells(REACHED, home(kid[d[own]], n), kid[d[own]], tag[d[own]], pos[own], what)
+            yield from cells(n, REACHED, home(kid[d[own]], tag[d[own]], n), kid[d[own]], tag[d[own]], pos[own], what)
             # one record for a digit with several reaches here, every other first occurrence as it is
             lone = np.sort(order[~known])
             several = order[np.unique(group[mixed])] if mixed.any() else np.zeros(0, np.int64)
@@ -145,7 +145,7 @@ def _scan(n: int, threshold: int, digit: int, tags: bool):
             reach = np.concatenate([r[lone], np.full(len(several), SEVERAL, np.uint64)])
             gs, ks, ts = g[send], kid[d[send]], tag[d[send]]
             ks[len(lone):] = -1 << 63  # other than every document
-            yield from cells(KEYS, (gs % np.uint64(n)).astype(np.int64), (gs & np.uint64(0xFFFFFFFF)).astype(np.uint32), (gs >> np.uint64(32)).astype(np.uint8),
+            yield from cells(n, KEYS, (gs % np.uint64(n)).astype(np.int64), (gs & np.uint64(0xFFFFFFFF)).astype(np.uint32), (gs >> np.uint64(32)).astype(np.uint8),
                              (reach & np.uint64(0xFFFFFFFF)).astype(np.uint32), (reach >> np.uint64(32)).astype(np.uint16),
                              ks, ts, pos[send].astype(np.uint32))
     return run
@@ -163,7 +163,7 @@ def _by_digit(n: int):
         what = np.where(repeat[known], COVERED, PROBE).astype(np.uint8)
         by = np.lexsort((pos[own], tag[own], kid[own]))
         own, what = own[by], what[by]
-        out = list(cells(REACHED, home(kid[own], n), kid[own], tag[own], pos[own].astype(np.int64), what))
+        out = list(cells(n, REACHED, home(kid[own], tag[own], n), kid[own], tag[own], pos[own].astype(np.int64), what))
         return joined(out, table, REACHED)
     return run
 
@@ -226,7 +226,7 @@ def _lengthen(n: int, threshold: int, digit: int):
         size = offsets[row + 1] - offsets[row]
         cover = what == COVERED
         r, s, e = merged(row[cover], np.maximum(pos - (threshold - digit), 0)[cover], np.minimum(pos + threshold, size)[cover])
-        out = list(cells(FOUND, home(rows.kid[r], n), rows.kid[r], rows.tag[r], s, e))
+        out = list(cells(n, FOUND, home(rows.kid[r], rows.tag[r], n), rows.kid[r], rows.tag[r], s, e))
         keys = []
         for side, (a, b) in ((LEFT, (pos - more, pos + digit)), (RIGHT, (pos, pos + digit + more))):
             ok = np.flatnonzero(~cover & (a >= 0) & (b <= size))
@@ -236,13 +236,13 @@ def _lengthen(n: int, threshold: int, digit: int):
         order, _, mixed, group = classes(key, k.astype(np.uint64), k)
         alive = order[mixed]
         alive = alive[np.lexsort((p[alive], r[alive]))]
-        out += cells(REACHED, home(k[alive], n), k[alive], t[alive], p[alive], side[alive])
+        out += cells(n, REACHED, home(k[alive], t[alive], n), k[alive], t[alive], p[alive], side[alive])
         lone = np.sort(order[~mixed])
         several = order[np.unique(group[mixed])] if mixed.any() else np.zeros(0, np.int64)
         send = np.concatenate([lone, several])
         k = k[send]
         k[len(lone):] = -1 << 63  # other than every document
-        out += cells(KEYS, (key[send] % np.uint64(n)).astype(np.int64), key[send], k, t[send], p[send].astype(np.uint32), side[send])
+        out += cells(n, KEYS, (key[send] % np.uint64(n)).astype(np.int64), key[send], k, t[send], p[send].astype(np.uint32), side[send])
         return joined(out, found, FOUND)
     return run
 
@@ -254,7 +254,7 @@ def _by_key(n: int):
         order, _, mixed, _ = classes(key, kid.astype(np.uint64), kid)
         own = order[mixed & (kid[order] != -1 << 63)]
         own = own[np.lexsort((pos[own], tag[own], kid[own]))]
-        out = list(cells(REACHED, home(kid[own], n), kid[own], tag[own], pos[own].astype(np.int64), side[own]))
+        out = list(cells(n, REACHED, home(kid[own], tag[own], n), kid[own], tag[own], pos[own].astype(np.int64), side[own]))
         return joined(out, table, FOUND, REACHED)
     return run
 
@@ -292,11 +292,11 @@ def _windows(n: int, threshold: int, digit: int):
         repeat[order] = (k[order] > k[order][first]) & (group[order] >= 0)
         out = []
         row, start, end = merged(r[repeat], s[repeat], s[repeat] + threshold)
-        out += cells(FOUND, home(rows.kid[row], n), rows.kid[row], rows.tag[row], start, end)
+        out += cells(n, FOUND, home(rows.kid[row], rows.tag[row], n), rows.kid[row], rows.tag[row], start, end)
         f = np.flatnonzero(~repeat)
         h1 = range_hashes(data, offsets, r[f], s[f], s[f] + threshold)
         h2 = range_hashes(data, offsets, r[f], s[f], s[f] + threshold, code)
-        out += cells(KEYS, (h1 % np.uint64(n)).astype(np.int64), h1, h2.astype(np.uint32), rows.kid[r[f]], rows.tag[r[f]], s[f])
+        out += cells(n, KEYS, (h1 % np.uint64(n)).astype(np.int64), h1, h2.astype(np.uint32), rows.kid[r[f]], rows.tag[r[f]], s[f])
         return joined(out, found, FOUND)
     return run
 
@@ -338,10 +338,10 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIG
     plain = pick(docs, "doc_id", "text")
     tags = repeated_ids(plain)
     own = doc_cells(plain, n, tags)  # one exchange serves the three reads below
-    digits = in_arrow(plain, _scan(n, threshold, digit, tags), CELLS)
-    reaches = digits.groupBy("bucket").applyInArrow(_by_digit(n), CELLS)
-    longer = own.groupBy("bucket").cogroup(reaches.groupBy("bucket")).applyInArrow(_lengthen(n, threshold, digit), CELLS)
-    alive = longer.groupBy("bucket").applyInArrow(_by_key(n), CELLS)
+    digits = routed(in_arrow(plain, _scan(n, threshold, digit, tags), CELLS), n)
+    reaches = routed(digits.groupBy("bucket").applyInArrow(_by_digit(n), CELLS), n)
+    longer = routed(own.groupBy("bucket").cogroup(reaches.groupBy("bucket")).applyInArrow(_lengthen(n, threshold, digit), CELLS), n)
+    alive = routed(longer.groupBy("bucket").applyInArrow(_by_key(n), CELLS), n)
     windows = own.groupBy("bucket").cogroup(alive.groupBy("bucket")).applyInArrow(_windows(n, threshold, digit), CELLS)
     spans = reduce_firsts(windows, n, threshold, within=False)
     kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary, spans array<array<bigint>>" if texts else "")
