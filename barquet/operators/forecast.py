@@ -7,9 +7,9 @@ system has to be solved on it, a vectorised pandas function does that
 over batches of keys (``mapInPandas``: no extra shuffle). Forecast rows are
 generated per key with ``explode(sequence(1, h))``.
 
-These are conditional least-squares estimates (Hannan-Rissanen for the
-ARMA), not maximum likelihood, so they differ slightly from a likelihood
-fit of the same model.
+The fits here are conditional least squares (Hannan-Rissanen for the ARMA,
+refined on request); the exact likelihood of the ARMA is in
+:mod:`barquet.operators.arma`, and ``method="likelihood"`` forecasts from it.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from barquet.operators.series import DEFAULT_BLOCK, discounted_cumsum, with_shifts
+from barquet.operators import arma
+from barquet.operators.series import DEFAULT_BLOCK, with_shifts
 from barquet.session import materialize
 
 
@@ -120,52 +121,20 @@ def solve_normal_equations(sums: DataFrame, keys: Sequence[str], dim: int, prefi
 
 def arma11_css_refine(lagged: DataFrame, params: DataFrame, keys: Sequence[str], idx: str, iterations: int,
                       max_root: float = 0.999) -> DataFrame:
-    """Gauss-Newton steps on the conditional sum of squares of ARMA(1,1).
-
-    ``lagged`` has the centred value ``_bq_y`` and its lag ``_bq_y1``;
-    ``params`` has ``c, phi, theta`` per key (the two-stage estimate as a
-    start). The residuals ``e_t = u_t - theta e_(t-1)`` with
-    ``u_t = y_t - c - phi y_(t-1)`` and their derivatives in ``phi`` and
-    ``theta`` are linear recurrences in ``r = -theta``, computed by
-    :func:`barquet.operators.series.discounted_cumsum` (blocked, no per-series
-    task); the derivative in ``c`` is ``-(1 - r^t) / (1 - r)``. Each step
-    aggregates ``J'J`` and ``J'e`` per key and solves the 3x3 system. The
-    start is set back inside ``max_root``, and of a step that would leave it
-    the largest halving that stays inside is taken. Steps stop early once no
-    estimate moves by more than 1e-9.
+    """Gauss-Newton steps on the conditional sum of squares of ARMA(1,1): keys, c, phi, theta, converged.
+
+    ``lagged`` has the centred value ``_bq_y``; ``params`` has ``c, phi,
+    theta`` per key (the two-stage estimate as a start). The values are laid
+    out once in blocks; a step is one pass over them and one small shuffle
+    (:func:`barquet.operators.arma.css_refine`). The start is set back inside
+    ``max_root``, and of a step that would leave it the largest halving that
+    stays inside is taken. Steps stop early once no estimate moves by more
+    than 1e-9; ``converged`` says for which series that held.
     """
     keys = list(keys)
-    limit = lambda c: F.greatest(F.least(F.col(c), F.lit(max_root)), F.lit(-max_root)).alias(c)
-    params = params.select(*keys, "c", limit("phi"), limit("theta"))
-    rows = lagged.select(*keys, idx, "_bq_y", "_bq_y1")
-    for _ in range(iterations):
-        p = rows.join(params.select(*keys, "c", "phi", "theta"), on=keys).withColumn("_bq_r", -F.col("theta"))
-        has = F.col("_bq_y1").isNotNull()
-        p = (p.withColumn("_bq_u", F.when(has, F.col("_bq_y") - F.col("c") - F.col("phi") * F.col("_bq_y1")))
-              .withColumn("_bq_xb", F.when(has, -F.col("_bq_y1"))))
-        eb = discounted_cumsum(p, keys, idx, ["_bq_u", "_bq_xb"], "_bq_r", ["_bq_e", "_bq_db"])
-        e1 = with_shifts(eb, keys, idx, "_bq_e", lags=[1], lag_name="_bq_e1").withColumn("_bq_xg", -F.col("_bq_e1"))
-        full = discounted_cumsum(e1, keys, idx, ["_bq_xg"], "_bq_r", ["_bq_dg"])
-        r, t = F.col("_bq_r"), F.col(idx).cast("double")
-        d_c = -(F.lit(1.0) - F.pow(r, t)) / (F.lit(1.0) - r)
-        jac = [d_c, F.col("_bq_db"), F.col("_bq_dg")]
-        sums = full.filter(F.col(idx) >= 1).groupBy(*keys).agg(*_sym_sums(jac, -F.col("_bq_e"), "gn"))
-        step = solve_normal_equations(sums, keys, 3, "gn", ["_d_c", "_d_phi", "_d_theta"])
-        cand = params.join(step, on=keys, how="left")
-        good = F.coalesce(~F.isnan("_d_phi") & ~F.isnan("_d_theta") & ~F.isnan("_d_c"), F.lit(False))
-        fits = lambda x: (F.abs(F.col("phi") + x * F.col("_d_phi")) <= max_root) & (F.abs(F.col("theta") + x * F.col("_d_theta")) <= max_root)
-        part = F.lit(0.0)
-        for halving in range(30, -1, -1):
-            part = F.when(fits(F.lit(0.5 ** halving)), F.lit(0.5 ** halving)).otherwise(part)
-        step = F.when(good, part).otherwise(F.lit(0.0))
-        params = materialize(cand.withColumn("_step", step).select(
-            *keys, *[(F.col(n) + F.when(F.col("_step") > 0, F.col("_step") * F.col(f"_d_{n}")).otherwise(F.lit(0.0))).alias(n) for n in ("c", "phi", "theta")],
-            F.when(F.col("_step") > 0, F.greatest(F.abs("_d_phi"), F.abs("_d_theta"))).otherwise(F.lit(0.0)).alias("_moved")))
-        if not params.filter(F.col("_moved") > 1e-9).limit(1).count():
-            break
-        params = params.drop("_moved")
-    params = params.drop("_moved")
-    return params
+    laid = arma.layout(lagged, keys, idx, "_bq_y")
+    before = laid.select(*keys, (F.col("_block") + 1).alias("_block"), F.element_at("_y", -1).alias("_before"))
+    return arma.css_refine(laid.drop("_prev").join(before, [*keys, "_block"], "left"), params, keys, iterations, max_root)
 
 
 def _two_stage(batches, keys: list[str], p: int, names: list[str]):
@@ -212,7 +181,8 @@ def arma11_fit(series: DataFrame, key: str | Sequence[str], idx: str, value: str
     ``max_root``. A series too short for a regression (under six rows) has
     NULL estimates. ``css_iterations`` > 0 refines the estimate by that many
     Gauss-Newton steps on the conditional sum of squares
-    (:func:`arma11_css_refine`), which moves it toward the likelihood fit.
+    (:func:`arma11_css_refine`), which moves it toward the likelihood fit, and
+    adds the column ``converged``.
     """
     keys = _keys(key)
     p = ar_order
@@ -232,15 +202,16 @@ def arma11_fit(series: DataFrame, key: str | Sequence[str], idx: str, value: str
     schema = StructType([f for f in moments.schema.fields if f.name in keys] + [StructField(n, DoubleType()) for n in names])
     raw = moments.mapInPandas(lambda batches: _two_stage(batches, keys, p, names), schema)
     inside = [F.greatest(F.least(F.col(n), F.lit(max_root)), F.lit(-max_root)) for n in ("phi", "theta")]
-    arma = raw.select(*keys, "c", inside[0].alias("phi"), inside[1].alias("theta"),
+    estimates = raw.select(*keys, "c", inside[0].alias("phi"), inside[1].alias("theta"),
                       ((F.abs("phi") < max_root) & (F.abs("theta") < max_root)).alias("ok"))
     one = with_shifts(centred.select(*keys, idx, "_bq_y"), keys, idx, "_bq_y", lags=[1], block=block, lag_name="_bq_y{k}")
     if css_iterations > 0:
-        one, start = materialize(one), materialize(arma)
-        arma = arma11_css_refine(one, start, keys, idx, css_iterations, max_root).join(start.select(*keys, "ok"), on=keys)
+        start = materialize(estimates)
+        estimates = (arma11_css_refine(centred, start, keys, idx, css_iterations, max_root)
+                     .join(start.select(*keys, "ok"), on=keys))
 
     # the last innovation
-    fit = stats.join(arma, on=keys, how="left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+    fit = stats.join(estimates, on=keys, how="left").withColumn("ok", F.coalesce("ok", F.lit(False)))
     u = F.col("_bq_y") - F.col("c") - F.col("phi") * F.col("_bq_y1")
     weight = F.pow(-F.col("theta"), (F.col("last_idx") - F.col(idx)).cast("double"))
     tail = (one.join(fit.select(*keys, "c", "phi", "theta", "last_idx"), on=keys)
@@ -249,18 +220,36 @@ def arma11_fit(series: DataFrame, key: str | Sequence[str], idx: str, value: str
     return fit.join(tail, on=keys)
 
 
+#: Steps of the conditional least-squares refinement, unless told otherwise.
+CSS_ITERATIONS = 8
+
+
 def arma11_forecast(series: DataFrame, key: str | Sequence[str], idx: str, value: str, days: int,
-                    ar_order: int = 10, block: int = DEFAULT_BLOCK, css_iterations: int = 0) -> DataFrame:
-    """``days + 1`` forecasts per key after the last position (M6); NULL only where the series is too short for the fit."""
+                    ar_order: int = 10, block: int = DEFAULT_BLOCK, css_iterations: int = 0, method: str | None = None) -> DataFrame:
+    """``days + 1`` forecasts per key after the last position (M6); NULL only where the series is too short for the fit.
+
+    ``method``: ``"two_stage"``, ``"css"`` (the two-stage estimate refined on
+    the conditional sum of squares), or ``"likelihood"`` (exact maximum
+    likelihood, :func:`barquet.operators.arma.arma11_likelihood`). Without it,
+    ``css_iterations`` tells whether to refine.
+    """
     keys = _keys(key)
-    fit = arma11_fit(series, keys, idx, value, ar_order, block, css_iterations=css_iterations)
-    c, phi, theta = F.col("c"), F.col("phi"), F.col("theta")
-    f1 = c + phi * F.col("last_centred") + theta * F.col("last_innovation")
-    mu = c / (F.lit(1.0) - phi)
+    if method not in (None, "two_stage", "css", "likelihood"):
+        raise ValueError(f"unknown method {method!r}")
     h = F.col("step")
-    fc = F.col("mean") + mu + F.pow(phi, (h - 1).cast("double")) * (f1 - mu)
-    return (fit.select(*keys, "mean", "c", "phi", "theta", "last_centred", "last_innovation", "last_idx",
-                       F.explode(F.sequence(F.lit(1), F.lit(days + 1))).alias("step"))
+    if method == "likelihood":
+        fit = arma.arma11_likelihood(series, keys, idx, value)
+        fc = F.col("mean") + F.pow("phi", (h - 1).cast("double")) * F.col("next_centred")
+        columns = ["mean", "phi", "next_centred"]
+    else:
+        css = css_iterations or CSS_ITERATIONS if method == "css" else 0 if method == "two_stage" else css_iterations
+        fit = arma11_fit(series, keys, idx, value, ar_order, block, css_iterations=css)
+        c, phi, theta = F.col("c"), F.col("phi"), F.col("theta")
+        f1 = c + phi * F.col("last_centred") + theta * F.col("last_innovation")
+        mu = c / (F.lit(1.0) - phi)
+        fc = F.col("mean") + mu + F.pow(phi, (h - 1).cast("double")) * (f1 - mu)
+        columns = ["mean", "c", "phi", "theta", "last_centred", "last_innovation"]
+    return (fit.select(*keys, *columns, "last_idx", F.explode(F.sequence(F.lit(1), F.lit(days + 1))).alias("step"))
             .withColumn("step", F.col("step").cast("long"))
             .select(*keys, "step", (F.col("last_idx") + h).alias(idx),
                     fc.alias("forecast")))

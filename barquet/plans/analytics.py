@@ -15,15 +15,14 @@ from barquet.session import materialize
 
 def analyze_series(series: DataFrame, days: int, nu: float, key: str | Sequence[str] = "series_id",
                    idx: str = "idx", value: str = "Close",
-                   css_iterations: int = 4) -> dict[str, DataFrame]:
+                   method: str = "likelihood") -> dict[str, DataFrame]:
     """The web form's job for every series at once.
 
     ``days``: forecast horizon (``days + 1`` ARMA(1,1) steps are returned);
     ``nu``: the one-class model's bound on the anomaly share;
-    ``css_iterations``: Gauss-Newton steps refining the ARMA fit toward the
-    conditional least-squares optimum, closer to the likelihood fit the form
-    used (four steps settle the estimates to about three decimals from the
-    two-stage start; 0 keeps the two-stage estimate). Returns
+    ``method``: how the ARMA is fitted, by default by exact maximum likelihood
+    as the form did (see :func:`barquet.operators.forecast.arma11_forecast`).
+    Returns
     ``forecast`` (labelled forecast rows), ``chart`` (actual then forecast
     on one position axis), ``scored`` (every row with score and flag) and
     ``anomalies`` (positions and prices of flagged rows).
@@ -36,7 +35,7 @@ def analyze_series(series: DataFrame, days: int, nu: float, key: str | Sequence[
     series = materialize(series.select(*keys, idx, value))
     # the forecast and the one-class model each feed two outputs; both are
     # small (days + 1 rows, one row per series): write them once
-    fc = materialize(arma11_forecast(series, key, idx, value, days, css_iterations=css_iterations))
+    fc = materialize(arma11_forecast(series, key, idx, value, days, method=method))
     model = materialize(one_class_fit(series, key, value, nu))
     scored = one_class_score(series, model, key, value)
     return {
