@@ -18,6 +18,7 @@ import datetime as dt
 import os
 import re
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -136,17 +137,53 @@ def _decoded(uri: str) -> str:
 MAX_LAYOUTS = 10_000
 
 
-def _header_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """First line of every file: (path, header), whatever the file system and the length of the line.
+#: Files whose first lines are fetched at once.
+HEADER_THREADS = 32
 
-    Files are read line by line by Spark's own text source; a file's first
-    line is the first of its split at offset 0, so only those splits' first
-    rows are kept and nothing is shuffled but a row a file.
+
+def _header_lines(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """First line of every file that has one, by the file's (URL-encoded) URI.
+
+    The listing is Spark's own; each file is opened by the Hadoop file system
+    that Spark reads with, one line is taken, and it is closed: a buffer's
+    worth of bytes a file, whatever its length, and no Spark job.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    files = spark.read.text(paths).inputFiles()
+
+    def first(uri: str) -> str | None:
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri))
+        stream = path.getFileSystem(conf).open(path)
+        try:
+            codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+            opened = codec.createInputStream(stream) if codec else stream
+            return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(opened, "UTF-8")).readLine()
+        finally:
+            stream.close()
+    with ThreadPoolExecutor(HEADER_THREADS) as pool:
+        return {f: line for f, line in zip(files, pool.map(first, files)) if line is not None}
+
+
+def _layout_paths(headers: dict[str, str], given: list[str]) -> dict[str, list[str]]:
+    """The paths to read for each header line: folders where all files of one have it, else the files.
+
+    Folders stand for their files only where the caller gave folders.
     """
-    lines = (spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("at"), "value").filter("start = 0"))
-    return lines.groupBy("path").agg(F.min_by("value", "at").alias("header"))
+    known = {_plain(p) for p in given}
+    by_folder: dict[str, dict[str, list[str]]] = {}
+    for uri, header in headers.items():
+        by_folder.setdefault(uri.rsplit("/", 1)[0], {}).setdefault(header, []).append(uri)
+    out: dict[str, list[str]] = {}
+    for folder, lines in sorted(by_folder.items()):
+        for header, files in lines.items():
+            whole = len(lines) == 1 and _plain(_decoded(folder)) in known
+            out.setdefault(header, []).extend([_decoded(folder)] if whole else [_decoded(f) for f in sorted(files)])
+    return out
+
+
+def _plain(path: str) -> str:
+    """A path without scheme differences and a slash at its end."""
+    return re.sub(r"^file:/+", "/", path).rstrip("/")
 
 
 def _cells(header: str) -> list[str]:
@@ -179,21 +216,18 @@ def read_csv_by_name(spark: SparkSession, paths: Sequence[str] | str, schema: St
     names = [f.name for f in schema.fields]
     tokens = [t for t in (na_values or ()) if t != ""]
     headers = _header_lines(spark, path_list)
-    layouts = headers.groupBy("header").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("example")).limit(MAX_LAYOUTS + 1).collect()
-    if len(layouts) > MAX_LAYOUTS:
+    held = _layout_paths(headers, path_list)
+    if len(held) > MAX_LAYOUTS:
         raise ValueError(f"more than {MAX_LAYOUTS} different header lines under {path_list[:3]}")
     parts = []
-    for lay in sorted(layouts, key=lambda r: r["header"]):
-        cells = _cells(lay["header"])
+    for header, own in sorted(held.items()):
+        cells = _cells(header)
         lowered = [c.lower() for c in cells]
         at = {n: lowered.index(n.lower()) for n in names if n.lower() in lowered}
         lacking = [n for n in (required or ()) if n not in at]
         if not at or lacking:
-            raise ValueError(f"{lay['n']} file(s) such as {lay['example']}: " + (f"no column {lacking}" if lacking else f"header {cells[:8]} has none of {names}"))
+            raise ValueError(f"{own[:3]}{' ...' * (len(own) > 3)}: " + (f"no column {lacking}" if lacking else f"header {cells[:8]} has none of {names}"))
         raw_schema = StructType([StructField(f"_c{i}", StringType()) for i in range(len(cells))])
-        own = path_list
-        if len(layouts) > 1:  # the files of this layout: names only, as many as the listing that Spark holds anyway
-            own = [_decoded(r["path"]) for r in headers.filter(F.col("header") == lay["header"]).select("path").toLocalIterator()]
         raw = spark.read.schema(raw_schema).option("header", True).option("mode", "PERMISSIVE").csv(own)
         if position_cols:
             raw = raw.select("*", F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("_bq_path"), F.col("_metadata.file_block_start").alias("_bq_start"),

@@ -290,3 +290,41 @@ def test_missing_tokens_like_pandas(spark):
 def _schema8():
     from pyspark.sql.types import StructType
     return StructType([f for f in BAR_SCHEMA.fields if f.name != "Mnemonic"])
+
+
+def _records_read(spark, since):
+    """Input records of the stages that started after the given one."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(i).inputRecords() for i in range(stages.size()) if stages.apply(i).stageId() > since)
+
+
+def _last_stage(spark):
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return max([stages.apply(i).stageId() for i in range(stages.size())], default=-1)
+
+
+def test_header_step_takes_one_line_of_each_file(spark, tmp_path):
+    from barquet.sources.files import _header_lines, _layout_paths, read_csv_by_name
+    n = 200_000
+    for day, names in (("2024-01-01", ["a", "b"]), ("2024-01-02", ["c"]), ("2024-01-03", ["d"])):
+        (tmp_path / day).mkdir()
+        for name in names:
+            head = "Time,EndPrice\n" if name in "ac" else "EndPrice,Time,More\n"
+            row = "09:00,{}\n" if name in "ac" else "{},09:00,x\n"
+            with open(tmp_path / day / f"{name}.csv", "w") as f:
+                f.write(head + "".join(row.format(i) for i in range(n)))
+    (tmp_path / "2024-01-02" / "empty.csv").write_text("")
+    paths = [str(p) for p in sorted(tmp_path.iterdir())]
+    since = _last_stage(spark)
+    headers = _header_lines(spark, paths)
+    rows = {f.rsplit("/", 1)[1]: line for f, line in headers.items()}
+    assert rows == {"a.csv": "Time,EndPrice", "b.csv": "EndPrice,Time,More", "c.csv": "Time,EndPrice", "d.csv": "EndPrice,Time,More"}
+    assert _records_read(spark, since) == 0  # no job: a line of each file, through its file system
+    held = _layout_paths(headers, paths)
+    ends = {k: sorted(p.rsplit("/", 1)[1] for p in v) for k, v in held.items()}
+    assert ends == {"Time,EndPrice": ["2024-01-02", "a.csv"], "EndPrice,Time,More": ["2024-01-03", "b.csv"]}  # whole folders, and files of the mixed one
+    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+    schema = StructType([StructField("Time", StringType()), StructField("EndPrice", DoubleType())])
+    got = read_csv_by_name(spark, paths, schema).groupBy().agg({"EndPrice": "sum", "Time": "count"}).collect()[0]
+    assert sorted(got) == sorted([4 * n, 4 * n * (n - 1) / 2])
+    assert _records_read(spark, since) == 4 * n  # the data once, whatever the number of layouts
