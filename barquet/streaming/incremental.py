@@ -12,11 +12,14 @@ aggregation over the dated CSV tree:
   batches is still aggregated exactly (all five parts merge);
 * ``update`` output hands each trigger the full current value of every
   changed (ISIN, Date) to ``foreachBatch``, which replaces those rows in a
-  Parquet table partitioned by ``Date`` (dynamic partition overwrite of the
-  touched days only, so a replayed batch rewrites the same rows);
+  Parquet table partitioned by ``Date`` (the touched days only, so a replayed
+  batch rewrites the same rows). New days are written aside, a journal names
+  them, and only then do folders change places; a run that dies on the way is
+  finished from the journal by the next upsert or read (:func:`recover`);
 * a watermark (``late_days``, 31 by default) bounds the state: bars older than
-  that many days behind the newest day seen are not added any more; ``None``
-  keeps every (ISIN, Date) in the state for good.
+  that many days behind the newest day seen are not added any more, and
+  :func:`late_bars` counts them; ``None`` keeps every (ISIN, Date) in the
+  state for good.
 
 The light part, previous close, change and rounding, is a batch job over
 that small table (:func:`report_from_daily_table`).
@@ -31,6 +34,7 @@ mixed headers go through the batch reader
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +45,6 @@ from barquet.functions.columns import (EUR_TO_MXN, MORNING_CLOSE, MORNING_OPEN,
                                        round_numeric_columns, row_stddev)
 from barquet.operators.bars import daily_ohlcv, drop_missing, morning_ohlcv
 from barquet.plans.reports import CHANGE, previous_close
-from barquet.session import materialize
 from barquet.sources.files import missing_tokens_to_null
 from barquet.sources.schemas import BAR_SCHEMA
 
@@ -57,44 +60,101 @@ MORNING_TABLE_DDL = ("ISIN string, start_price double, end_price double, minimum
                      "maximum_price double, daily_traded_volume bigint, Date string")
 
 
-def _days_present(spark: SparkSession, path: str, dates: list[str]) -> list[str]:
-    """Those of ``dates`` that the table has a partition directory for (success markers are not asked for)."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return [d for d in dates if fs.exists(jvm.org.apache.hadoop.fs.Path(root, f"Date={d}"))]
+#: Folders of a table that readers do not look into: days written aside, and journals of changes under way.
+ASIDE, JOURNAL = "_aside", "_journal"
+
+
+class _Folders:
+    """The table's folders through the file system that Spark writes with."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.jvm = spark.sparkContext._jvm
+        self.root = self.jvm.org.apache.hadoop.fs.Path(path)
+        self.fs = self.root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def at(self, *parts: str):
+        return self.jvm.org.apache.hadoop.fs.Path(self.root, "/".join(parts))
+
+    def has(self, *parts: str) -> bool:
+        return self.fs.exists(self.at(*parts))
+
+    def names(self, *parts: str) -> list[str]:
+        return sorted(x.getPath().getName() for x in self.fs.listStatus(self.at(*parts))) if self.has(*parts) else []
+
+    def drop(self, *parts: str) -> None:
+        self.fs.delete(self.at(*parts), True)
+
+    def move(self, source: tuple[str, ...], target: tuple[str, ...]) -> None:
+        if not self.fs.rename(self.at(*source), self.at(*target)):
+            raise OSError(f"{'/'.join(source)} could not be moved to {'/'.join(target)} in {self.root}")
+
+
+def _put_in_place(folders: _Folders, change: str) -> None:
+    """Let the days written aside by a journalled change take their places; may be repeated from any point."""
+    for day in folders.names(ASIDE, change):
+        if day.startswith("Date="):
+            if folders.has(day):
+                folders.drop(day)
+            folders.move((ASIDE, change, day), (day,))
+    folders.drop(JOURNAL, change)
+    folders.drop(ASIDE, change)
+
+
+def recover(spark: SparkSession, table_path: str) -> list[str]:
+    """Finish the changes that a run journalled and did not end; returns their names. What was not journalled has changed nothing."""
+    folders = _Folders(spark, table_path)
+    changes = folders.names(JOURNAL)
+    for change in changes:
+        _put_in_place(folders, change)
+    for left in folders.names(ASIDE):  # written aside, never journalled
+        folders.drop(ASIDE, left)
+    return changes
 
 
 def upsert_days(batch: DataFrame, table_path: str, ddl: str = DAILY_TABLE_DDL) -> None:
     """Replace the rows of ``batch``'s (ISIN, Date) keys in the day-partitioned table.
 
+    The merged days are written aside; a journal entry, made by one rename,
+    says that they are whole; then each takes its place. A run that dies
+    before the entry has changed nothing, one that dies after it is finished
+    by :func:`recover`, which every upsert and report begins with. One writer
+    at a time, as a stream's batches are.
+
     The micro-batch is used several times (touched days, anti-join, union),
     so it is persisted for the call instead of re-running the batch's plan.
     """
     from pyspark import StorageLevel
     spark = batch.sparkSession
+    recover(spark, table_path)
+    folders = _Folders(spark, table_path)
     batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         dates = [r.Date for r in batch.select("Date").distinct().collect()]  # days touched: a short list
         if not dates:
             return
-        present = _days_present(spark, table_path, dates)
+        present = [d for d in dates if folders.has(f"Date={d}")]
+        merged = batch
         if present:
             # only the touched days' files are listed and read
             kept = (spark.read.schema(ddl).option("basePath", table_path)
                     .parquet(*[os.path.join(table_path, f"Date={d}") for d in present])
                     .join(batch.select(*KEYS), on=KEYS, how="left_anti"))
             merged = kept.unionByName(batch.select(*kept.columns))
-            # the touched partitions are read and rewritten: write them from a copy
-            merged = materialize(merged)
-        else:
-            merged = batch
-        (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("Date").parquet(table_path))
+        change = uuid.uuid4().hex
+        merged.write.partitionBy("Date").parquet(os.path.join(table_path, ASIDE, change))
+        folders.fs.mkdirs(folders.at(JOURNAL))
+        folders.fs.create(folders.at(ASIDE, change, "_whole")).close()
+        folders.move((ASIDE, change, "_whole"), (JOURNAL, change))
+        _put_in_place(folders, change)
     finally:
         batch.unpersist()
 
 
+def late_bars(query: StreamingQuery) -> int:
+    """Bars that the watermark kept out in the batches that the query still knows of (the last hundred by default)."""
+    return sum(int(state.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for state in p["stateOperators"])
+
+
 def _start(spark: SparkSession, source_base: str, table_path: str, checkpoint_location: str, schema: StructType,
            late_days: int | None, available_now: bool, processing_time: str | None, aggregate, ddl: str
            ) -> StreamingQuery:
@@ -146,6 +206,7 @@ def start_morning_aggregation(spark: SparkSession, source_base: str, table_path:
 def report_from_daily_table(spark: SparkSession, table_path: str, arg_date: str | None = None,
                             decimals: int = 2) -> DataFrame:
     """Daily report columns from the incremental table (no ``index``; D1's light part)."""
+    recover(spark, table_path)
     day = spark.read.schema(DAILY_TABLE_DDL).parquet(table_path).select(
         "ISIN", "Date", "opening_price_eur", "closing_price_eur", "minimum_price_eur", "maximum_price_eur",
         "daily_traded_volume")
@@ -159,6 +220,7 @@ def report_from_daily_table(spark: SparkSession, table_path: str, arg_date: str
 
 def report_from_morning_table(spark: SparkSession, table_path: str, rate: float = EUR_TO_MXN) -> DataFrame:
     """Morning report columns from the incremental morning table (D2's light part)."""
+    recover(spark, table_path)
     m = spark.read.schema(MORNING_TABLE_DDL).parquet(table_path)
     return m.select("ISIN", "Date", "start_price", "end_price", "minimum_price", "maximum_price",
                     "daily_traded_volume", convert_currency("end_price", rate).alias("end_price_mx"),

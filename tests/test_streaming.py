@@ -99,3 +99,62 @@ def test_upsert_without_success_markers_keeps_other_securities(spark):
         spark._jsc.hadoopConfiguration().unset("mapreduce.fileoutputcommitter.marksuccessfuljobs")
     got = sorted((r.ISIN, r.Date, r.closing_price_eur) for r in spark.read.schema(DAILY_TABLE_DDL).parquet(path).collect())
     assert got == [("A", "2024-01-01", 3.0), ("A", "2024-01-02", 5.0), ("B", "2024-01-01", 2.0)]
+
+
+def test_a_run_that_dies_while_days_change_places_loses_nothing(spark, monkeypatch):
+    from barquet.streaming import incremental
+    from barquet.streaming.incremental import DAILY_TABLE_DDL, recover, upsert_days
+    row = lambda isin, day, close: (isin, 1.0, close, 0.5, 2.0, 10, day)
+    first = [row("A", "2024-01-01", 1.0), row("B", "2024-01-01", 2.0), row("A", "2024-01-02", 5.0), row("C", "2024-01-03", 9.0)]
+    second = [row("A", "2024-01-01", 3.0), row("A", "2024-01-02", 6.0)]
+    want = [("A", "2024-01-01", 3.0), ("A", "2024-01-02", 6.0), ("B", "2024-01-01", 2.0), ("C", "2024-01-03", 9.0)]
+    old = [("A", "2024-01-01", 1.0), ("A", "2024-01-02", 5.0), ("B", "2024-01-01", 2.0), ("C", "2024-01-03", 9.0)]
+    read = lambda path: sorted((r.ISIN, r.Date, r.closing_price_eur) for r in spark.read.schema(DAILY_TABLE_DDL).parquet(path).collect())
+    for dies_at in range(5):  # at the journal entry; and before or after a day's removal or move
+        path = tempfile.mkdtemp(prefix="bq-die-") + "/daily"
+        upsert_days(spark.createDataFrame(first, DAILY_TABLE_DDL), path)
+        left = [dies_at]
+
+        class Dying(incremental._Folders):
+            def _count(self):
+                if left[0] == 0:
+                    left[0] = -1
+                    raise KeyboardInterrupt
+                left[0] -= 1
+
+            def drop(self, *parts):
+                if parts[0].startswith("Date="):
+                    super().drop(*parts)
+                    self._count()
+                else:
+                    super().drop(*parts)
+
+            def move(self, source, target):
+                self._count()
+                super().move(source, target)
+        with monkeypatch.context() as m:
+            m.setattr(incremental, "_Folders", Dying)
+            try:
+                upsert_days(spark.createDataFrame(second, DAILY_TABLE_DDL), path)
+            except KeyboardInterrupt:
+                pass
+        journalled = recover(spark, path)
+        assert (left[0] == -1) and len(journalled) == (dies_at > 0)
+        assert read(path) == (want if journalled else old)
+        upsert_days(spark.createDataFrame(second, DAILY_TABLE_DDL), path)  # the replayed batch
+        assert read(path) == want and not any(os.path.exists(f"{path}/{d}") and os.listdir(f"{path}/{d}") for d in ("_aside", "_journal"))
+
+
+def test_late_bars_are_counted(spark):
+    from barquet.streaming.incremental import late_bars
+    root = tempfile.mkdtemp(prefix="bq-stream-count-")
+    src, table, ckpt = f"{root}/src", f"{root}/daily", f"{root}/ckpt"
+    _write(f"{src}/2024-01-01/a.csv", ["A,X,2024-01-01,09:00,10,11,9,10.5,5\n"])
+    _write(f"{src}/2024-01-09/a.csv", ["A,X,2024-01-09,09:00,11,12,10,11.5,5\n"])
+    q = start_daily_aggregation(spark, src, table, ckpt, late_days=1)
+    q.awaitTermination()
+    assert late_bars(q) == 0
+    _write(f"{src}/2024-01-01/late.csv", ["A,X,2024-01-01,17:00,99,99,99,99,1\n", "B,X,2024-01-01,17:00,99,99,99,99,1\n"])
+    q = start_daily_aggregation(spark, src, table, ckpt, late_days=1)
+    q.awaitTermination()
+    assert late_bars(q) >= 1
