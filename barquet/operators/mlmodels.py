@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression
@@ -70,6 +71,12 @@ def lag_forecast(series: DataFrame, key: str | Sequence[str], idx: str, value: s
     windows of all keys, report RMSE per key and part in price units, and
     forecast ``horizon`` steps per key by feeding each prediction back.
 
+    The linear model needs no table of windows: one aggregate per key and part
+    holds all sums of products of (1, target, lags), whose total over the
+    training parts gives the coefficients and whose own form in them each
+    part's squared error. The trees of ``kind="gbt"`` are fitted on the
+    windows themselves, which are written once.
+
     Returns ``(forecast, errors)``: ``forecast`` has key, step, idx,
     forecast; ``errors`` has key, split, rmse, mse. ``series`` is read three
     times (statistics, windows, last values): pass a materialized DataFrame
@@ -95,16 +102,21 @@ def lag_forecast(series: DataFrame, key: str | Sequence[str], idx: str, value: s
     scaled = minmax_scale(series, keys, value, name="_bq_v", fit=fit)
     windows = lag_windows(scaled, keys, idx, "_bq_v", time_step=time_step, frac=frac,
                           features="_bq_f", target="_bq_t", lengths=stats.select(*keys, "n"))
-    # The solver makes several passes over its input: write the windows once
-    # (reliable checkpoint in the shared folder) instead of recomputing the
-    # scans, aggregates and windows behind them on every pass.
-    windows = materialize(windows.withColumn("_bq_x", array_to_vector("_bq_f")))
-    model = _regressor(kind, "_bq_x", "_bq_t").fit(windows.filter(F.col("split") == "train"))
-
-    pred = model.transform(windows).join(fit, on=keys)
-    pred = pred.select(*keys, idx, "split", minmax_inverse("_bq_t").alias("actual"),
-                       minmax_inverse("prediction").alias("predicted"))
-    errors = errors_by(pred, "actual", "predicted", [*keys, "split"])
+    if kind == "linear":
+        moments = materialize(_lag_moments(windows, keys, time_step))
+        weights = _lag_weights(moments, time_step)
+        errors = _lag_errors(moments, weights, fit, keys)
+        predict = lambda w: F.aggregate(F.zip_with(w, F.array(*[F.lit(c) for c in weights[1:]]), lambda x, c: x * c), F.lit(weights[0]), lambda acc, t: acc + t)
+    else:
+        # The solver makes several passes over its input: write the windows once
+        # (reliable checkpoint in the shared folder) instead of recomputing the
+        # scans, aggregates and windows behind them on every pass.
+        windows = materialize(windows.withColumn("_bq_x", array_to_vector("_bq_f")))
+        model = _regressor(kind, "_bq_x", "_bq_t").fit(windows.filter(F.col("split") == "train"))
+        pred = model.transform(windows).join(fit, on=keys)
+        pred = pred.select(*keys, idx, "split", minmax_inverse("_bq_t").alias("actual"),
+                           minmax_inverse("prediction").alias("predicted"))
+        errors = errors_by(pred, "actual", "predicted", [*keys, "split"])
 
     # the last time_step scaled values of each key, oldest first (a bounded group of time_step rows)
     tail = scaled.join(stats.select(*keys, "_last"), on=keys).filter(F.col(idx) > F.col("_last") - time_step)
@@ -112,13 +124,19 @@ def lag_forecast(series: DataFrame, key: str | Sequence[str], idx: str, value: s
         F.transform(F.array_sort(F.collect_list(F.struct(F.col(idx).alias("i"), F.col("_bq_v").alias("v")))),
                     lambda s: s["v"]).alias("_bq_w"),
         F.max(idx).alias("_last"))
-    state = state.withColumn("_bq_out", F.array().cast("array<double>"))
-    for _ in range(horizon):
-        stepped = model.transform(state.withColumn("_bq_x", array_to_vector("_bq_w")))
-        state = stepped.select(
-            *keys, "_last",
-            F.slice(F.concat("_bq_w", F.array(F.col("prediction"))), 2, time_step).alias("_bq_w"),
-            F.concat("_bq_out", F.array(F.col("prediction"))).alias("_bq_out"))
+    if kind == "linear":
+        # all steps in one expression: each appends the prediction from the last time_step entries
+        grown = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), F.col("_bq_w"),
+                            lambda acc, _: F.concat(acc, F.array(predict(F.slice(acc, -time_step, time_step)))))
+        state = state.withColumn("_bq_out", F.when(F.size("_bq_w") == time_step, F.slice(grown, time_step + 1, horizon)).otherwise(F.array().cast("array<double>")))
+    else:
+        state = state.withColumn("_bq_out", F.array().cast("array<double>"))
+        for _ in range(horizon):
+            stepped = model.transform(state.withColumn("_bq_x", array_to_vector("_bq_w")))
+            state = stepped.select(
+                *keys, "_last",
+                F.slice(F.concat("_bq_w", F.array(F.col("prediction"))), 2, time_step).alias("_bq_w"),
+                F.concat("_bq_out", F.array(F.col("prediction"))).alias("_bq_out"))
     fc = (state.select(*keys, "_last", F.posexplode("_bq_out").alias("_p", "_v"))
           .join(fit, on=keys)
           .select(*keys, (F.col("_p") + 1).cast("long").alias("step"), (F.col("_last") + F.col("_p") + 1).alias(idx),
@@ -126,6 +144,35 @@ def lag_forecast(series: DataFrame, key: str | Sequence[str], idx: str, value: s
     return fc, errors
 
 
+def _lag_moments(windows: DataFrame, keys: list[str], time_step: int) -> DataFrame:
+    """Per key and part, the sums of products of (1, target, oldest to newest lag): m_i_j, i <= j."""
+    z = [F.lit(1.0), F.col("_bq_t"), *[F.col("_bq_f")[i] for i in range(time_step)]]
+    flat = windows.select(*keys, "split", *[c.alias(f"z{i}") for i, c in enumerate(z)])
+    return flat.groupBy(*keys, "split").agg(*[F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"m_{i}_{j}") for i in range(len(z)) for j in range(i, len(z))])
+
+
+def _lag_weights(moments: DataFrame, time_step: int) -> list[float]:
+    """Intercept and coefficients from the total over the training parts (one row reaches the driver)."""
+    d = time_step + 2
+    total = moments.filter(F.col("split") == "train").agg(*[F.sum(f"m_{i}_{j}").alias(f"m_{i}_{j}") for i in range(d) for j in range(i, d)]).collect()[0]
+    if total["m_0_0"] is None:
+        raise ValueError(f"no training part has more than {time_step + 1} rows")
+    m = np.array([[total[f"m_{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)])
+    x = [0, *range(2, d)]
+    return [float(c) for c in np.linalg.pinv(m[np.ix_(x, x)], rcond=1e-15, hermitian=True) @ m[x, 1]]
+
+
+def _lag_errors(moments: DataFrame, weights: list[float], fit: DataFrame, keys: list[str]) -> DataFrame:
+    """rmse and mse per key and part in price units: the squared error is a form in the moments."""
+    v = [-weights[0], 1.0, *[-c for c in weights[1:]]]
+    square = F.lit(0.0)
+    for i in range(len(v)):
+        for j in range(i, len(v)):
+            square = square + F.lit(v[i] * v[j] * (1 if i == j else 2)) * F.col(f"m_{i}_{j}")
+    mse = F.greatest(square, F.lit(0.0)) / F.col("m_0_0") * F.col("scale_range") * F.col("scale_range")
+    return moments.join(fit, on=keys).withColumn("mse", mse).select(*keys, "split", F.sqrt("mse").alias("rmse"), "mse")
+
+
 def sigmoid_unit(series: DataFrame, key: str | Sequence[str], order: str, value: str, shift: int = 7,
                  max_iter: int = 100):
     """One sigmoid unit without bias from a scaled price to the scaled price ``shift`` rows later (M5).

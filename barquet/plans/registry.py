@@ -579,29 +579,95 @@ def m3_multi_feature_ols(spark: SparkSession, sf: str) -> DataFrame:
     return summary
 
 
-@register("d7_lag_forecast")
+def _lag_model_sql(series: str, step: int = 10) -> str:
+    """CTEs of the lag-window model over rows (k, idx, v) of ``series``: st (per-key numbers), sc (scaled), win (windows), coef (intercept, then oldest to newest lag).
+
+    The normal equations of all training windows are solved by Gauss-Jordan steps on a list of rows.
+    """
+    lags = ", ".join(f"lag(x, {step + 1 - i}) over o as l{i}" for i in range(1, step + 1))
+    z = ["1.0", *[f"l{i}" for i in range(1, step + 1)], "t"]
+    rows = ", ".join("[" + ", ".join(f"sum({z[i]} * {z[j]})" for j in range(step + 2)) + "]" for i in range(step + 1))
+    return f"""ls as ({series}),
+  st as (select k, count(*) as n, max(idx) as last, min(v) as lo, coalesce(nullif(max(v) - min(v), 0), 1.0) as rng, cast(floor(count(*) * 0.8) as bigint) as cut from ls group by k),
+  sc as (select ls.k, ls.idx, (ls.v - st.lo) / st.rng as x, case when ls.idx < cut then 'train' else 'test' end as split, case when ls.idx < cut then 0 else cut end as s0,
+    case when ls.idx < cut then cut else n - cut end as len from ls join st on ls.k = st.k),
+  lw as (select k, split, x as t, {lags}, idx - s0 as rel, len from sc window o as (partition by k order by idx)),
+  win as (select * from lw where rel >= {step} and rel <= len - 2),
+  gj(p, m) as (select 1, [{rows}] from win where split = 'train'
+    union all select p + 1, list_transform(m, lambda r, i: case when i = p then list_transform(r, lambda x: x / m[p][p])
+      else list_transform(r, lambda x, j: x - r[p] / m[p][p] * m[p][j]) end) from gj where p <= {step + 1}),
+  coef as (select list_transform(m, lambda r: r[{step + 2}]) as b from gj where p = {step + 2})"""
+
+
+def _recursive(sql: str) -> str:
+    return "with recursive " + sql.removeprefix("with ")
+
+
+_LAG_FIT = " + ".join(["b[1]", *[f"b[{i + 1}] * l{i}" for i in range(1, 11)]])
+
+
+@register("d7_lag_forecast", _recursive(_morning_sql("trades")) + ", " + _lag_model_sql("select ISIN as k, row_number() over (partition by ISIN order by Date) - 1 as idx, end_price as v from morning where end_price is not null") + """,
+  f(k, step, l) as (select k, 0, list(x order by idx) from (select sc.*, st.last from sc join st on sc.k = st.k) where idx > last - 10 group by k
+    union all select k, step + 1, list_append(l[2:], b[1] + list_sum(list_transform(list_zip(l, b[2:]), lambda z: z[1] * z[2]))) from f, coef where step < 7)
+  select f.k as ISIN, cast(step as bigint) as step, last + step as idx, """ + _re("l[10] * rng + lo", 4) + " as forecast from f join st on f.k = st.k where step > 0")
 def d7_lag_forecast(spark: SparkSession, sf: str) -> DataFrame:
     """7-step lag-window forecast of every security's morning close (time_step 10)."""
     from barquet.plans.analytics import report_lag_forecast
     fc, _ = report_lag_forecast(reports.morning_report(fx.trades(spark, sf)), time_step=10, horizon=7)
-    return fc
+    return _round(fc, {"forecast": 4})
 
 
-@register("d7_lag_forecast_errors")
+@register("d7_lag_forecast_errors", _recursive(_w("closes_smooth")) + ", " + _lag_model_sql("select series_id as k, idx, Close as v from closes_smooth")
+          + ", e as (select win.k, split, (" + _LAG_FIT + " - t) * rng as d from win join st on win.k = st.k, coef)\n"
+          + "  select k as series_id, split, " + _re("sqrt(avg(d * d))", 2) + " as rmse, " + _re("avg(d * d)", -2) + " as mse from e group by k, split")
 def d7_lag_forecast_errors(spark: SparkSession, sf: str) -> DataFrame:
     """Train/test RMSE of the lag-window model on the smooth closes, per series."""
     from barquet.operators.mlmodels import lag_forecast
     _, err = lag_forecast(fx.closes_smooth(spark, sf), "series_id", "idx", "Close", 10, 7)
-    return err
+    return _round(err, {"rmse": 2, "mse": -2})
+
+
+@register("m6_arma11_loglik", _w("closes_smooth") + """, l as (select series_id, count(*) as n,
+    list(struct_pack(ay := Close, ao := 0.0::double, p := 0.0::double, yy := 0.0::double, yo := 0.0::double, oo := 0.0::double, lf := 0.0::double) order by idx) as l
+    from closes_smooth group by series_id),
+  e as (select series_id, n, list_reduce(list_concat([struct_pack(ay := 0.0::double, ao := 0.0::double, p := (0.7::double + 0.3) * (0.7::double + 0.3) / (1 - 0.7::double * 0.7), yy := 0.0::double,
+      yo := 0.0::double, oo := 0.0::double, lf := 0.0::double)], l), lambda a, x: struct_pack(
+      ay := 0.7::double * a.ay + (0.7::double * a.p + 1.0) / (1 + a.p) * (x.ay - a.ay), ao := 0.7::double * a.ao + (0.7::double * a.p + 1.0) / (1 + a.p) * (1 - a.ao),
+      p := 0.09::double * a.p / (1 + a.p), yy := a.yy + (x.ay - a.ay) * (x.ay - a.ay) / (1 + a.p), yo := a.yo + (x.ay - a.ay) * (1 - a.ao) / (1 + a.p),
+      oo := a.oo + (1 - a.ao) * (1 - a.ao) / (1 + a.p), lf := a.lf + ln(1 + a.p))) as e from l),
+  f as (select series_id, n, e.yo / e.oo as m, (e.yy - e.yo / e.oo * e.yo) / n as s2, e.lf as lf, e.ay - e.yo / e.oo * e.ao as following from e)
+  select series_id, cast(n as bigint) as n, """ + _re("m", 2) + " as mean, " + _re("sqrt(s2)", 2) + " as sigma, "
+          + _re("-0.5 * (n * ln(2 * pi() * s2) + lf + n)", 4) + " as loglik, " + _re("following", 2) + " as next_centred from f")
+def m6_arma11_loglik(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact ARMA(1,1) log likelihood of the smooth closes at phi = 0.7, theta = 0.3, with the best mean and variance, and the next value's prediction (M6)."""
+    from pyspark.sql import functions as F
+    from barquet.operators.arma import arma11_loglik
+    fit = arma11_loglik(fx.closes_smooth(spark, sf), ["series_id"], "idx", "Close", 0.7, 0.3)
+    return _round(fit.select("series_id", "n", "mean", F.sqrt("sigma2").alias("sigma"), "loglik", "next_centred"), {"mean": 2, "sigma": 2, "loglik": 4, "next_centred": 2})
 
 
-@register("m5_sigmoid_unit")
+@register("m6_arma11_forecast_likelihood")
+def m6_arma11_forecast_likelihood(spark: SparkSession, sf: str) -> DataFrame:
+    """ARMA(1,1) forecasts (days = 7) of the smooth closes from the exact maximum likelihood fit."""
+    from barquet.operators.forecast import arma11_forecast
+    return arma11_forecast(fx.closes_smooth(spark, sf), "series_id", "idx", "Close", days=7, method="likelihood")
+
+
+@register("m5_sigmoid_unit", _recursive(_morning_sql("trades")) + """, p as (select ISIN, Date, end_price as x, lead(end_price, 7) over (partition by ISIN order by Date) as y from morning),
+  q as (select * from p where y is not null),
+  b as (select ISIN, min(x) as xl, coalesce(nullif(max(x) - min(x), 0), 1.0) as xr, min(y) as yl, coalesce(nullif(max(y) - min(y), 0), 1.0) as yr from q group by ISIN),
+  d as (select list(struct_pack(x := (x - xl) / xr, y := (y - yl) / yr)) as d from q join b on q.ISIN = b.ISIN),
+  newton(i, w) as (select 0, 0.0::double union all select i + 1,
+    w + list_sum(list_transform(d, lambda p: (p.y - 1 / (1 + exp(-w * p.x))) * p.x)) / list_sum(list_transform(d, lambda p: p.x * p.x / (1 + exp(-w * p.x)) / (1 + exp(w * p.x))))
+    from newton, d where i < 30)
+  select r.ISIN, r.Date, r.x as end_price, """ + _re("1 / (1 + exp(-w * (r.x - xl) / xr)) * yr + yl", 2) + """ as predicted_later
+  from (select *, row_number() over (partition by ISIN order by Date desc) as rn from p) r join b on r.ISIN = b.ISIN, newton where rn <= 7 and i = 30""")
 def m5_sigmoid_unit(spark: SparkSession, sf: str) -> DataFrame:
     """Scaled close 7 rows later from a one-unit logistic model, for each security's last 7 days."""
     from barquet.operators.mlmodels import sigmoid_unit
     m = reports.morning_report(fx.trades(spark, sf)).select("ISIN", "Date", "end_price")
     _, pred = sigmoid_unit(m, "ISIN", "Date", "end_price", 7)
-    return pred
+    return _round(pred, {"predicted_later": 2})
 
 
 # --- files -------------------------------------------------------------------
