@@ -19,6 +19,7 @@ an empty result.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import defaultdict
 
@@ -66,11 +67,14 @@ class ChunkTokenizer:
         import tiktoken
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {t["content"] for t in spec["added_tokens"] if t["special"]}
+        if any(t[flag] for t in spec["added_tokens"] for flag in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that depend on their neighbours are not supported")
+        self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.cut = re.compile("|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) or r"(?!)")
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
         of = {chr(b): b for b in printable}
         of |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in printable)}
-        ranks = {bytes(of[c] for c in k): i for k, i in spec["model"]["vocab"].items() if k not in special}
+        ranks = {bytes(of[c] for c in k): i for k, i in spec["model"]["vocab"].items() if k not in self.added}
         self.encoding = tiktoken.Encoding("chunks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.bytes_of = np.zeros(max(ranks.values()) + 1, np.int64)
         for k, i in ranks.items():
@@ -82,6 +86,13 @@ class ChunkTokenizer:
         self.ids, self.start, self.count, self.loose = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
 
     def encode(self, text: str) -> np.ndarray:
+        parts, at = [], 0
+        for m in self.cut.finditer(text):
+            parts += [self._plain(text[at:m.start()]), np.array([self.added[m[0]]], "<u4")]
+            at = m.end()
+        return np.concatenate([*parts, self._plain(text[at:])]) if parts else self._plain(text)
+
+    def _plain(self, text: str) -> np.ndarray:
         return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
 
     def _learn(self) -> None:
@@ -122,7 +133,7 @@ class ChunkTokenizer:
             self.reset()
         number, rows = self.known.__getitem__, []
         for t in texts:
-            if "\0" in t:
+            if "\0" in t or self.cut.search(t):
                 rows.append(None)
                 continue
             words = t.split(" ")

@@ -359,14 +359,16 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> T
     """Fit on at most about ``train_docs`` labelled documents outside the held-out quarter.
 
     They are chosen by a hash of the id; texts over ``TRAIN_CHARS`` characters
-    are not learned from. Only their distinct pieces reach the driver.
+    are not learned from, and an id with several texts gives its least one.
+    Only their distinct pieces reach the driver.
     """
     own = pick(labels, "doc_id", "toxic").filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out())
     own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = own.count()
     u = F.pmod(F.xxhash64(F.lit("toxic"), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     chosen = own.filter(u < min(1.0, train_docs / max(1, n)))
-    texts = pick(docs, "doc_id", "text").filter(F.length("text") <= TRAIN_CHARS).join(F.broadcast(chosen), "doc_id")  # at most about train_docs rows
+    texts = pick(docs, "doc_id", "text").filter(F.length("text") <= TRAIN_CHARS).join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # at most about train_docs rows, however many an id has
 
     def run(batches):
         for batch in batches:

@@ -93,3 +93,16 @@ def test_nothing_to_learn_from(spark, make_docs):
     model = tox.learn(docs, labels)
     assert [r["score"] for r in tox.score(docs, model).collect()] == [0.0, 0.0]
     assert tox.clean(docs, model).count() == 2
+
+
+def test_many_rows_of_one_labelled_id_do_not_reach_the_driver(spark, make_docs, monkeypatch):
+    rows = [(1, f"you are a grand fool number {i}", "en", "a") for i in range(600)] + [(i, "a calm and pleasant day in town", "en", "a") for i in range(2, 12)]
+    labels = spark.createDataFrame([(i, int(i == 1)) for i in range(1, 12)], "doc_id long, toxic int")
+    gathered, real = [], tox.in_arrow
+
+    def counted(df, fn, schema):
+        gathered.append(df.count())
+        return real(df, fn, schema)
+    monkeypatch.setattr(tox, "in_arrow", counted)
+    tox.learn(make_docs(rows), labels)
+    assert gathered and max(gathered) <= 11
