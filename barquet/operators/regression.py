@@ -69,7 +69,8 @@ def linregress(df: DataFrame, y: str, x: str, by: str | Sequence[str] | None = N
                p_value: bool = True) -> DataFrame:
     """slope, intercept, r, stderr (of the slope), intercept_stderr, n and the two-sided p value.
 
-    ``r`` is clamped to [-1, 1] against rounding. The p value tests slope = 0
+    ``r`` is clamped to [-1, 1] against rounding, and NULL (with what follows
+    from it) where a column is constant. The p value tests slope = 0
     with Student's t on n - 2 degrees of freedom; it is computed on the one-row-per-group result by a vectorised
     pandas function.
     """
@@ -78,10 +79,12 @@ def linregress(df: DataFrame, y: str, x: str, by: str | Sequence[str] | None = N
     pair = xc.isNotNull() & yc.isNotNull()
     xs, ys = F.when(pair, xc), F.when(pair, yc)
     agg = [F.regr_slope(yc, xc).alias("slope"), F.regr_intercept(yc, xc).alias("intercept"),
-           F.least(F.greatest(F.corr(xs, ys), F.lit(-1.0)), F.lit(1.0)).alias("r"),
+           F.covar_pop(xs, ys).alias("_cxy"),
            F.regr_count(yc, xc).cast("long").alias("n"),
            F.var_pop(xs).alias("_vx"), F.var_pop(ys).alias("_vy"), F.avg(xs).alias("_mx")]
     g = df.groupBy(*keys).agg(*agg) if keys else df.agg(*agg)
+    raw = F.try_divide(F.col("_cxy"), F.sqrt(F.col("_vx") * F.col("_vy")))
+    g = g.withColumn("r", F.when(raw.isNotNull(), F.least(F.greatest(raw, F.lit(-1.0)), F.lit(1.0))))
     dof = F.col("n") - 2
     se = F.sqrt(F.try_divide((F.lit(1.0) - F.col("r") * F.col("r")) * F.col("_vy"), F.col("_vx") * dof))
     out = g.select(*keys, "slope", "intercept", "r", se.alias("stderr"),

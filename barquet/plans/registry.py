@@ -670,6 +670,63 @@ def m5_sigmoid_unit(spark: SparkSession, sf: str) -> DataFrame:
     return _round(pred, {"predicted_later": 2})
 
 
+# --- kept a day, merged over days ----------------------------------------------
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written by day in the shared scratch folder and read back, as a run a day leaves it."""
+    from barquet.session import work_dir
+    path = work_dir(df.sparkSession, name)
+    df.write.partitionBy("Date").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@register("d5_fit_from_day_moments", _morning_sql("trades_wide")
+          + ", rng as (select * from morning where Date >= '2024-01-08' and Date <= '2024-01-19')"
+          + _ols_sql("rng", None))
+def d5_fit_from_day_moments(spark: SparkSession, sf: str) -> DataFrame:
+    """Open-to-close regression over a date range from moments stored a day: the fit reads one row a day, no bars."""
+    from barquet.operators.daystats import day_moments, ols_between
+    moments = _kept(day_moments(reports.morning_report(fx.trades_wide(spark, sf)), "end_price", "start_price"), "day_moments")
+    return _round(ols_between(moments, "2024-01-08", "2024-01-19"), _M6)
+
+
+@register("m1b_linregress_from_day_moments", _LINREG_SQL.format(a="2024-01-08", b="2024-01-19") + " select ISIN, "
+          + ", ".join(f"{_re(c, d)} as {c}" for c, d in _LR_DIG.items()) + ", n from lr")
+def m1b_linregress_from_day_moments(spark: SparkSession, sf: str) -> DataFrame:
+    """Close on open of the raw bars per security over a date range, from moments stored a day."""
+    from barquet.operators.daystats import day_moments, linregress_between
+    moments = _kept(day_moments(fx.trades(spark, sf), "EndPrice", "StartPrice", by="ISIN"), "day_moments")
+    return _round(linregress_between(moments, "2024-01-08", "2024-01-19", by="ISIN"), _LR_DIG)
+
+
+@register("d8_explore_from_day_sketches", _w("trades_wide") + """ select count(*) as n_rows, count(distinct ISIN) as n_securities, count(distinct row(ISIN, Date)) as n_groups,
+  true as securities_ok, true as groups_ok from trades_wide where Date >= '2024-01-05' and Date <= '2024-01-20'""")
+def d8_explore_from_day_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows, securities and groups of a date range from sketches stored a day, held against the exact counts: within four standard errors."""
+    from pyspark.sql import functions as F
+    from barquet.operators.bars import explore
+    from barquet.operators.daystats import day_sketches, explore_between
+    t = fx.trades_wide(spark, sf)
+    sketched = explore_between(_kept(day_sketches(t), "day_sketches"), "2024-01-05", "2024-01-20")
+    exact = explore(t.filter(F.col("Date").between("2024-01-05", "2024-01-20")))
+    near = lambda c: F.abs(F.col(f"a.{c}") - F.col(f"e.{c}")) <= 0.033 * F.col(f"e.{c}") + 1
+    both = exact.alias("e").join(F.broadcast(sketched).alias("a"), F.col("e.n_rows") == F.col("a.n_rows"))  # one row each; rows are counted exactly
+    return both.select("e.n_rows", "e.n_securities", "e.n_groups", near("n_securities").alias("securities_ok"), near("n_groups").alias("groups_ok"))
+
+
+@register("d1_daily_report_by_steps", _daily_sql("trades_wide", index=False))
+def d1_daily_report_by_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """The daily report run in three steps of days: each reads its own bars and one stored close a security."""
+    from pyspark.sql import functions as F
+    from barquet.session import materialize
+    t = fx.trades_wide(spark, sf)
+    middle = "2024-01-20"
+    _, last = reports.daily_report_step(t.filter(F.col("Date") < RUN_DATE))
+    one, last = reports.daily_report_step(t.filter((F.col("Date") >= RUN_DATE) & (F.col("Date") < middle)), materialize(last))
+    two, _ = reports.daily_report_step(t.filter(F.col("Date") >= middle), materialize(last))
+    return one.unionByName(two)
+
+
 # --- files -------------------------------------------------------------------
 
 def _landing(spark: SparkSession, sf: str) -> str:

@@ -73,6 +73,31 @@ def daily_report(bars: DataFrame, arg_date: str | None = None, close_col: str =
     return rep
 
 
+#: What a run keeps of a security for the next one.
+LAST_CLOSE = ["ISIN", "Date", "closing_price_eur"]
+
+
+def daily_report_step(bars: DataFrame, last_closes: DataFrame | None = None, close_col: str = "EndPrice",
+                      subset: Sequence[str] | None | object = _ALL, tiebreak: str | None = None, decimals: int = 2) -> tuple[DataFrame, DataFrame]:
+    """The daily report of some new days (D1 without ``index``), and the last closes to hand to the next step.
+
+    ``bars`` are the new days' alone; ``last_closes`` (ISIN, Date,
+    closing_price_eur) is what the step before returned: the previous close
+    (W3) of a security's first new row is its last stored one, however many
+    days lie between. No earlier bar and no earlier report row is read. A
+    stored row on or after a new row's day is not before it and is not used
+    for it.
+    """
+    day = daily_ohlcv(drop_missing(bars, subset), close_col=close_col, tiebreak=tiebreak).withColumn("_bq_new", F.lit(True))
+    rows = day
+    if last_closes is not None:
+        kept = last_closes.select(*LAST_CLOSE).join(day.select("ISIN", "Date"), ["ISIN", "Date"], "left_anti")  # a day that is run again
+        rows = day.unionByName(kept.withColumn("_bq_new", F.lit(False)), allowMissingColumns=True)
+    rep = previous_close(rows).filter("_bq_new").drop("_bq_new").withColumn(CHANGE, pct_change("closing_price_eur", "prev_closing_price")).drop("prev_closing_price")
+    last = rows.groupBy("ISIN").agg(F.max_by(F.struct("Date", "closing_price_eur"), "Date").alias("_bq_l")).select("ISIN", "_bq_l.Date", "_bq_l.closing_price_eur")
+    return round_numeric_columns(rep, decimals), last
+
+
 def morning_report(bars: DataFrame, lo: str = MORNING_OPEN, hi: str = MORNING_CLOSE,
                    rate: float = EUR_TO_MXN, subset: Sequence[str] | None | object = _ALL,
                    tiebreak: str | None = None, sort: bool = False) -> DataFrame:
