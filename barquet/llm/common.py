@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 
 import numpy as np
@@ -56,6 +57,45 @@ def in_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
+def of_task(fn):
+    """``fn`` of a task's batches, for mapInArrow."""
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+    return run
+
+
+def give_back() -> None:
+    """Return freed memory to the machine: Python workers live on after a task, and what they keep counts against their executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
+def of_group(fn):
+    """``fn`` of a group's table, for applyInArrow."""
+    def run(table: pa.Table) -> pa.Table:
+        try:
+            return fn(table)
+        finally:
+            give_back()
+    return run
+
+
+def of_cogroup(fn):
+    """``fn`` of two tables of a group, for applyInArrow."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return fn(left, right)
+        finally:
+            give_back()
+    return run
+
+
 def attach(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
     """Join a table with one row a key, by a key that may hold a third of ``left``.
 

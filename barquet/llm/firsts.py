@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barquet.llm.common import pack, partitions, texts_of, unpack, unpack_all
+from barquet.llm.common import of_group, pack, partitions, texts_of, unpack, unpack_all
 from barquet.session import ship_package
 
 LAST_ID = (1 << 63) - 1
@@ -171,7 +171,7 @@ def routed(dealt: DataFrame, n: int) -> DataFrame:
             return joined(out, table, *range(HOP))
         return run
     for done in range(1, hops(n)):
-        dealt = dealt.groupBy("bucket").applyInArrow(stage(done), CELLS)
+        dealt = dealt.groupBy("bucket").applyInArrow(of_group(stage(done)), CELLS)
     return dealt
 
 
@@ -242,7 +242,7 @@ def reduce_firsts(exchanged: DataFrame, n: int, length: int, within: bool) -> Da
         out = list(cells(n, FOUND, home(kid[own], tag[own], n), kid[own], tag[own], pos[own], pos[own] + length))
         return joined(out, table, FOUND)
 
-    return routed(routed(exchanged, n).groupBy("bucket").applyInArrow(run, CELLS), n)
+    return routed(routed(exchanged, n).groupBy("bucket").applyInArrow(of_group(run), CELLS), n)
 
 
 class Rows:

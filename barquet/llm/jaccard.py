@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barquet.llm.common import RangeHash, in_arrow, mix64, pack, pick, settle, texts_of, unpack
+from barquet.llm.common import RangeHash, in_arrow, mix64, of_cogroup, of_group, of_task, pack, pick, settle, texts_of, unpack
 from barquet.llm.firsts import CELLS, HOP, LAST_ID, Rows, buckets, cells, home, home_column, joined, names_of, read_cells, routed, runs, slices, with_bucket
 from barquet.session import ship_package
 
@@ -48,7 +48,7 @@ FREQUENCIES = 1 << 22
 SPLIT = 20_000
 PIECE = 1 << 20
 #: Bytes of text whose shingles a task holds at once.
-SLICE = 8 << 20
+SLICE = 4 << 20
 POSTING = (np.uint64, np.int64, np.int64, np.uint32, np.uint32, np.uint8)  # key, kid, tag, set size, position, side
 LABELLED = POSTING + (np.int64, np.int64)
 DOCUMENT = (np.int64, np.int64, np.uint32, np.uint8)  # kid, tag, set size, whether the id is null
@@ -134,7 +134,7 @@ def frequencies(docs: DataFrame, width: int) -> np.ndarray:
         level = np.minimum(255, np.ceil(8 * np.log2(total.astype(float) + 1))).astype(np.uint8)
         return pa.table({"bucket": table.column("bucket").slice(0, 1), "kind": table.column("kind").slice(0, 1), "cell": pa.array([pack(level)], pa.binary())})
 
-    rows = in_arrow(docs, run, CELLS).groupBy("bucket").applyInArrow(add, CELLS).collect()  # FREQUENCIES bytes in all
+    rows = in_arrow(docs, of_task(run), CELLS).groupBy("bucket").applyInArrow(of_group(add), CELLS).collect()  # FREQUENCIES bytes in all
     out = np.zeros(FREQUENCIES, np.uint8)
     for bucket, _, cell in rows:
         out[bucket * chunk:(bucket + 1) * chunk] = unpack(bytes(cell), np.uint8)[0]
@@ -345,8 +345,8 @@ def _test(width: int, t):
 
 def _tested(docs: DataFrame, pairs: DataFrame, n: int, width: int, t) -> DataFrame:
     """The pairs that reach the threshold: akid, atag, bkid, btag."""
-    sent = docs.groupBy("bucket").cogroup(pairs.groupBy("bucket")).applyInArrow(_send(n, width), "bucket int, hashes binary, pairs binary")
-    return docs.groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(_test(width, t), "akid long, atag long, bkid long, btag long")
+    sent = docs.groupBy("bucket").cogroup(pairs.groupBy("bucket")).applyInArrow(of_cogroup(_send(n, width)), "bucket int, hashes binary, pairs binary")
+    return docs.groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(of_cogroup(_test(width, t)), "akid long, atag long, bkid long, btag long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -382,13 +382,13 @@ def similarity_groups(docs: DataFrame, width: int = WIDTH, threshold: tuple[int,
     own = with_bucket(pick(docs, "doc_id", "text"), n)
     flat = own.select("doc_id", "text")
     handle = spark.sparkContext.broadcast(frequencies(flat, width))
-    posted = settle(in_arrow(flat, _post(n, width, threshold, split, handle), CELLS), "posts")
-    stars = settle(routed(of_kind(posted, POSTS), n).groupBy("bucket").applyInArrow(_stars(n, threshold), CELLS), "stars")
+    posted = settle(in_arrow(flat, of_task(_post(n, width, threshold, split, handle)), CELLS), "posts")
+    stars = settle(routed(of_kind(posted, POSTS), n).groupBy("bucket").applyInArrow(of_group(_stars(n, threshold)), CELLS), "stars")
     links = settle(_tested(own, routed(of_kind(stars, PAIRS), n), n, width, threshold), "links")
     labels = components(links)
     by_home = labels.withColumn("bucket", home_column("kid", "tag", n))
-    labelled = routed(of_kind(stars, POSTS), n).groupBy("bucket").cogroup(by_home.groupBy("bucket")).applyInArrow(_label(n), CELLS)
-    across = settle(routed(labelled, n).groupBy("bucket").applyInArrow(_across(n, threshold), CELLS), "across")
+    labelled = routed(of_kind(stars, POSTS), n).groupBy("bucket").cogroup(by_home.groupBy("bucket")).applyInArrow(of_cogroup(_label(n)), CELLS)
+    across = settle(routed(labelled, n).groupBy("bucket").applyInArrow(of_group(_across(n, threshold)), CELLS), "across")
     more = _tested(own, routed(across, n), n, width, threshold) if across.limit(1).count() else None
 
     def copies(table):
@@ -420,7 +420,7 @@ def group_documents(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, i
     found, labels = similarity_groups(docs, width, threshold, split)
     n = buckets(docs.sparkSession)
     by_home = labels.withColumn("bucket", home_column("kid", "tag", n))
-    return found.groupBy("bucket").cogroup(by_home.groupBy("bucket")).applyInArrow(_groups(), "doc_id long, n_shingles long, component_id long")
+    return found.groupBy("bucket").cogroup(by_home.groupBy("bucket")).applyInArrow(of_cogroup(_groups()), "doc_id long, n_shingles long, component_id long")
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -445,4 +445,4 @@ def keep_one(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = T
         empty = [not (x or "").strip(" \t\n\v\f\r") for x in batch.column("text").to_pylist()]
         keep = [e or (top.get(x, x) == x and rows.first[x] == i) for i, (x, e) in enumerate(zip(own_names, empty))]
         return pa.Table.from_batches([batch.select(schema.names).filter(pa.array(keep, pa.bool_()))]).cast(schema)
-    return own.groupBy("bucket").cogroup(by_home.groupBy("bucket")).applyInArrow(run, held.schema).toDF(*names)
+    return own.groupBy("bucket").cogroup(by_home.groupBy("bucket")).applyInArrow(of_cogroup(run), held.schema).toDF(*names)

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from barquet.llm.common import BYTE_CODE, RangeHash, in_arrow, mix64, pick
+from barquet.llm.common import BYTE_CODE, RangeHash, in_arrow, mix64, of_cogroup, of_task, pick
 from barquet.llm.firsts import CELLS, FOUND, KEYS, SPANS, Rows, buckets, cells, home, later, merged, names_of, read_cells, reduce_firsts, slices, with_bucket
 from barquet.session import ship_package
 
@@ -113,7 +113,7 @@ def _cut(text_at: str, schema: pa.Schema, whole: bool, chars_at: str | None):
 
 
 def _spans(own: DataFrame, n: int, width: int) -> DataFrame:
-    keyed = in_arrow(own.select("doc_id", "text"), _scan(n, width), CELLS)
+    keyed = in_arrow(own.select("doc_id", "text"), of_task(_scan(n, width)), CELLS)
     return reduce_firsts(keyed, n, width, within=True)
 
 
@@ -124,7 +124,7 @@ def dedup_counts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     own = with_bucket(pick(docs, "doc_id", "text"), n)
     schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
     return own.groupBy("bucket").cogroup(_spans(own, n, width).groupBy("bucket")).applyInArrow(
-        _cut("", schema, False, None), "doc_id long, n_lines long, n_removed long, kept_sha256 string")
+        of_cogroup(_cut("", schema, False, None)), "doc_id long, n_lines long, n_removed long, kept_sha256 string")
 
 
 def dedup_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -142,5 +142,5 @@ def dedup_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     chars = find("n_chars") if "n_chars" in [c.lower() for c in names] else None
     own = with_bucket(held.withColumns({"doc_id": held[find("doc_id")], "text": held[find("text")]}), n)
     schema = to_arrow_schema(held.schema)
-    cut = own.groupBy("bucket").cogroup(_spans(own, n, width).groupBy("bucket")).applyInArrow(_cut(find("text"), schema, True, chars), held.schema)
+    cut = own.groupBy("bucket").cogroup(_spans(own, n, width).groupBy("bucket")).applyInArrow(of_cogroup(_cut(find("text"), schema, True, chars)), held.schema)
     return cut.toDF(*names)

@@ -37,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from barquet.llm.common import BYTE_CODE, RangeHash, in_arrow, mix64, pick, texts_of
+from barquet.llm.common import BYTE_CODE, RangeHash, in_arrow, mix64, of_cogroup, of_group, of_task, pick, texts_of
 from barquet.llm.firsts import (CELLS, FOUND, KEYS, SPANS, PackedRows, buckets, cells, doc_cells, home, joined, merged, names_of, read_cells, reduce_firsts, repeated_ids,
                                 routed, runs, slices)
 from barquet.session import ship_package
@@ -338,11 +338,11 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIG
     plain = pick(docs, "doc_id", "text")
     tags = repeated_ids(plain)
     own = doc_cells(plain, n, tags)  # one exchange serves the three reads below
-    digits = routed(in_arrow(plain, _scan(n, threshold, digit, tags), CELLS), n)
-    reaches = routed(digits.groupBy("bucket").applyInArrow(_by_digit(n), CELLS), n)
-    longer = routed(own.groupBy("bucket").cogroup(reaches.groupBy("bucket")).applyInArrow(_lengthen(n, threshold, digit), CELLS), n)
-    alive = routed(longer.groupBy("bucket").applyInArrow(_by_key(n), CELLS), n)
-    windows = own.groupBy("bucket").cogroup(alive.groupBy("bucket")).applyInArrow(_windows(n, threshold, digit), CELLS)
+    digits = routed(in_arrow(plain, of_task(_scan(n, threshold, digit, tags)), CELLS), n)
+    reaches = routed(digits.groupBy("bucket").applyInArrow(of_group(_by_digit(n)), CELLS), n)
+    longer = routed(own.groupBy("bucket").cogroup(reaches.groupBy("bucket")).applyInArrow(of_cogroup(_lengthen(n, threshold, digit)), CELLS), n)
+    alive = routed(longer.groupBy("bucket").applyInArrow(of_group(_by_key(n)), CELLS), n)
+    windows = own.groupBy("bucket").cogroup(alive.groupBy("bucket")).applyInArrow(of_cogroup(_windows(n, threshold, digit)), CELLS)
     spans = reduce_firsts(windows, n, threshold, within=False)
     kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary, spans array<array<bigint>>" if texts else "")
-    return own.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(_cut(texts), kind)
+    return own.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(of_cogroup(_cut(texts)), kind)

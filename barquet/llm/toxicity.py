@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barquet.llm.common import crc_bucket, in_arrow, pick
+from barquet.llm.common import crc_bucket, in_arrow, of_task, pick
 from barquet.llm.packing import groups_of
 
 #: Labelled documents learned from at most, and the longest of them in characters.
@@ -421,4 +421,4 @@ def clean(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -
                 top = m.heights(texts[a:b]) if m.weights is not None else [(0.0, None)] * (b - a)
                 keep += [m.weights is None or m.probability(h) < threshold for h, _ in top]
             yield batch.filter(pa.array(keep, pa.bool_()))
-    return in_arrow(held, run, schema).toDF(*names)
+    return in_arrow(held, of_task(run), schema).toDF(*names)
