@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barquet.llm.common import in_arrow, partitions, pick, settle, tokenizer_path
+from barquet.llm.common import give_back, in_arrow, of_task, partitions, pick, settle, tokenizer_path
 
 CAPACITY, END_ID = 1024, 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -157,6 +157,7 @@ _TOKENIZERS: dict[str, ChunkTokenizer] = {}
 def chunk_tokenizer(path: str) -> ChunkTokenizer:
     if path not in _TOKENIZERS:
         _TOKENIZERS[path] = ChunkTokenizer(path)
+        give_back()  # what reading the vocabulary took
     return _TOKENIZERS[path]
 
 
@@ -209,7 +210,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
     be shorter and all others are full.
     """
     path = path or tokenizer_path("byte_bpe_50k.json")
-    return in_arrow(pick(docs, "doc_id", "text"), _tokenise(path, capacity, end_id, with_ids),
+    return in_arrow(pick(docs, "doc_id", "text"), of_task(_tokenise(path, capacity, end_id, with_ids)),
                     PIECES + (", ids array<int>" if with_ids else ""))
 
 
@@ -313,7 +314,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     own = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = (cut.withColumn("own", F.row_number().over(own) - 1).join(starts, ["length", "bucket"])
               .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("own")).alias("rank")))
-    return in_arrow(ranked, _place(rules), PIECES + ", sequence_id long, offset long")
+    return in_arrow(ranked, of_task(_place(rules)), PIECES + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
