@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression
@@ -39,9 +40,11 @@ def multi_feature_regression(df: DataFrame, label: str, features: Sequence[str],
 
     The summary has the coefficients (linear only), intercept, and the
     training MSE and RMSE (A8, A7) computed as aggregates of the predictions.
+    The model is a pipeline over the feature columns as they are:
+    :func:`multi_feature_predict` scores new rows with it.
     """
     rows = df.na.drop(subset=[label, *features])
-    va = VectorAssembler(inputCols=list(features), outputCol="_bq_x")
+    va = VectorAssembler(inputCols=list(features), outputCol="_bq_x", handleInvalid="keep")
     data = materialize(va.transform(rows))
     model = _regressor(kind, "_bq_x", label).fit(data)
     pred = model.transform(data).drop("_bq_x")
@@ -52,7 +55,16 @@ def multi_feature_regression(df: DataFrame, label: str, features: Sequence[str],
                              "mse", "rmse")
     else:
         summary = err
-    return model, summary, pred
+    return PipelineModel([va, model]), summary, pred
+
+
+def multi_feature_predict(model: PipelineModel, rows: DataFrame, name: str = "prediction") -> DataFrame:
+    """New rows with the prediction of a :func:`multi_feature_regression` model; NULL where a feature is missing."""
+    missing = F.lit(False)
+    for c in model.stages[0].getInputCols():
+        missing = missing | F.col(c).isNull() | F.isnan(F.col(c).cast("double"))
+    scored = model.transform(rows).drop("_bq_x")
+    return scored.withColumn("prediction", F.when(~missing, F.col("prediction"))).withColumnRenamed("prediction", name)
 
 
 def series_positions(df: DataFrame, key: str | Sequence[str], order: str, name: str = "idx") -> DataFrame:

@@ -476,6 +476,25 @@ def m6b_ar1_forecast(spark: SparkSession, sf: str) -> DataFrame:
     return _round(ar1_forecast(fx.closes(spark, sf), "series_id", "idx", "Close", steps=100), {"forecast": 2})
 
 
+_LISTED = ("click", "purchase", "view")
+
+
+@register("m6b_ar1_of_listed_securities", "with rep as (" + _daily_sql("trades", index=False, arg_date=None) + "), closes as (select ISIN as series_id, "
+          "row_number() over (partition by ISIN order by Date) - 1 as idx, closing_price_eur as Close from rep where ISIN in " + str(_LISTED) + ")"
+          + _AR1 + """, s as (select f.*, unnest(generate_series(1, 100)) as step from f)
+  select series_id as ISIN, cast(step as bigint) as step, last_idx + step as idx,
+    case when abs(phi) < 1 then """ + _re("c / (1 - phi) + pow(phi, step) * (yn - c / (1 - phi))", 4) + " end as forecast from s")
+def m6b_ar1_of_listed_securities(spark: SparkSession, sf: str) -> DataFrame:
+    """100-step AR(1) forecasts of the report closes of the securities in a list."""
+    from pyspark.sql import functions as F
+    from barquet.operators.forecast import ar1_forecast
+    from barquet.operators.mlmodels import series_positions
+    bars = fx.trades(spark, sf).filter(F.col("ISIN").isin(*_LISTED))
+    report = reports.daily_report(bars, with_index=False, sort=False)
+    series = series_positions(report.select("ISIN", "Date", "closing_price_eur"), "ISIN", "Date")
+    return _round(ar1_forecast(series, "ISIN", "idx", "closing_price_eur", steps=100), {"forecast": 4})
+
+
 @register("a7_a8_ar1_errors", _w("closes") + _AR1 + """, n as (select series_id, count(*) as n,
   cast(floor(count(*) * 0.8) as bigint) as cut from closes group by series_id),
   p as (select l.series_id, case when idx < cut then 'train' else 'test' end as split,

@@ -28,6 +28,16 @@ def test_multi_feature_regression_is_ols(spark):
     assert pred.count() == len(rows)
 
 
+def test_new_rows_are_scored_by_their_own_columns(spark):
+    from barquet.operators.mlmodels import multi_feature_predict
+    rows = [(float(i), float(i % 7), 3.0 * i - 2.0 * (i % 7) + 5.0) for i in range(40)]
+    model, summary, _ = multi_feature_regression(spark.createDataFrame(rows, "a double, b double, y double"), "y", ["a", "b"])
+    new = spark.createDataFrame([(100.0, 3.0, "x"), (None, 1.0, "y"), (1.0, float("nan"), "z")], "a double, b double, tag string")
+    got = {r.tag: r.guess for r in multi_feature_predict(model, new, "guess").collect()}
+    assert math.isclose(got["x"], 299.0, rel_tol=1e-9) and got["y"] is None and got["z"] is None
+    assert np.allclose(summary.collect()[0].coefficients, [3.0, -2.0])
+
+
 def _walk(spark, n, keys=("a", "b")):
     rng = np.random.default_rng(2)
     rows = []
