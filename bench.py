@@ -34,6 +34,7 @@ HEADLINE = [
     "m6b_ar1_forecast",
     "m6_arma11_forecast",
     "m6_arma11_forecast_css",
+    "m6_arma11_forecast_likelihood",
     "m7_one_class_flags",
     "d6_analyze_series_chart",
     "d7_lag_forecast",
