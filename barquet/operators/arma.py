@@ -61,7 +61,7 @@ def layout(series: DataFrame, keys: Sequence[str], idx: str, value: str, block:
     i = F.col(idx).cast("long")
     rows = series.select(*keys, F.floor(i / block).alias("_block"), i.alias("_i"), F.col(value).cast("double").alias("_v"))
     laid = rows.groupBy(*keys, "_block").agg(F.array_sort(F.collect_list(F.struct("_i", F.coalesce("_v", F.lit(float("nan"))).alias("_v")))).alias("_r"))
-    laid = materialize(laid.select(*keys, "_block", F.transform("_r", lambda r: r["_v"]).alias("_y")))
+    laid = materialize(laid.select(*keys, "_block", F.transform("_r", lambda r: r["_v"]).alias("_y")), merge=True)
     missing = laid.filter(F.exists("_y", F.isnan)).select(*keys, (F.col("_block") + 1).alias("_block"), F.col("_y").alias("_prev"))
     return laid.join(missing, [*keys, "_block"], "left")
 
@@ -217,7 +217,7 @@ def arma11_likelihood(series: DataFrame, keys: Sequence[str], idx: str, value: s
     """
     keys = list(keys)
     ship_package(series.sparkSession)
-    laid = layout(series, keys, idx, value, block)
+    laid = materialize(layout(series, keys, idx, value, block), merge=True)  # joined once, not in every pass
     limit = float(np.arctanh(max_root))
     fields = [f for f in laid.schema.fields if f.name in keys]
     doubles = ArrayType(DoubleType())
@@ -268,12 +268,14 @@ def arma11_likelihood(series: DataFrame, keys: Sequence[str], idx: str, value: s
     points = laid.select(*keys).distinct().select(*keys, *[F.array(*[F.lit(float(x)) for x in v]).alias(c) for c, v in (("_state", [0, 0, np.inf, 0]), ("_phi", grid[0]), ("_theta", grid[1]))])
     fits = None
     while True:
-        now = materialize(_elements(laid, points, keys, block).groupBy(*keys).applyInPandas(step, schema))
-        ended = now.filter("_done").select(*keys, *[F.when(~F.isnan(x), F.col(x)).alias(x) for x in names], *longs, "converged")
-        fits = ended if fits is None else fits.unionByName(ended)
-        points = now.filter(~F.col("_done")).select(*keys, "_state", "_phi", "_theta")
-        if points.isEmpty():
+        now = materialize(_elements(laid, points, keys, block).groupBy(*keys).applyInPandas(step, schema), merge=True)
+        ended, searched = now.agg(F.count_if("_done"), F.count_if(~F.col("_done"))).first()
+        if ended or fits is None:
+            those = now.filter("_done").select(*keys, *[F.when(~F.isnan(x), F.col(x)).alias(x) for x in names], *longs, "converged")
+            fits = those if fits is None else fits.unionByName(those)
+        if not searched:
             return fits
+        points = now.filter(~F.col("_done")).select(*keys, "_state", "_phi", "_theta")
 
 
 def arma11_loglik(series: DataFrame, keys: Sequence[str], idx: str, value: str, phi: float, theta: float, block: int = BLOCK) -> DataFrame:
@@ -387,7 +389,7 @@ def css_refine(laid: DataFrame, params: DataFrame, keys: Sequence[str], iteratio
     fit = params.select(*keys, "c", inside("phi"), inside("theta"), F.lit(False).alias("converged"))
     for _ in range(iterations):
         known = fit.filter(F.col("c").isNotNull() & F.col("phi").isNotNull() & F.col("theta").isNotNull() & ~F.isnan("c"))
-        fit = materialize(laid.join(known.drop("converged"), keys).mapInPandas(products, sums).groupBy(*keys).applyInPandas(solve, out))
+        fit = materialize(laid.join(known.drop("converged"), keys).mapInPandas(products, sums).groupBy(*keys).applyInPandas(solve, out), merge=True)
         if fit.filter(~F.col("converged")).isEmpty():
             break
     return fit

@@ -134,7 +134,8 @@ def arma11_css_refine(lagged: DataFrame, params: DataFrame, keys: Sequence[str],
     keys = list(keys)
     laid = arma.layout(lagged, keys, idx, "_bq_y")
     before = laid.select(*keys, (F.col("_block") + 1).alias("_block"), F.element_at("_y", -1).alias("_before"))
-    return arma.css_refine(laid.drop("_prev").join(before, [*keys, "_block"], "left"), params, keys, iterations, max_root)
+    joined = materialize(laid.drop("_prev").join(before, [*keys, "_block"], "left"), merge=True)  # once, not in every step
+    return arma.css_refine(joined, params, keys, iterations, max_root)
 
 
 def _two_stage(batches, keys: list[str], p: int, names: list[str]):
@@ -206,7 +207,7 @@ def arma11_fit(series: DataFrame, key: str | Sequence[str], idx: str, value: str
                       ((F.abs("phi") < max_root) & (F.abs("theta") < max_root)).alias("ok"))
     one = with_shifts(centred.select(*keys, idx, "_bq_y"), keys, idx, "_bq_y", lags=[1], block=block, lag_name="_bq_y{k}")
     if css_iterations > 0:
-        start = materialize(estimates)
+        start = materialize(estimates, merge=True)
         estimates = (arma11_css_refine(centred, start, keys, idx, css_iterations, max_root)
                      .join(start.select(*keys, "ok"), on=keys))
 

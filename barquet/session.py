@@ -96,7 +96,7 @@ def work_dir(spark: SparkSession, *parts: str) -> str:
     return os.path.join(base, "barquet", *parts, uuid.uuid4().hex)
 
 
-def materialize(df):
+def materialize(df, merge: bool = False):
     """Write ``df`` once to the shared checkpoint folder and return a DataFrame over that copy.
 
     Used where a reduced table is read several times (solver passes,
@@ -104,9 +104,16 @@ def materialize(df):
     sampled range split). The copy survives executor loss and cuts the
     lineage. The input is persisted for the duration of the write so the
     checkpoint job does not recompute it, then released.
+
+    A persisted plan keeps its last shuffle's partitions, mostly empty where a
+    table is small. ``merge`` leaves the persisting out: AQE then merges them
+    by size, and an eager checkpoint computes the input once all the same.
+    Loops use it, whose tasks would otherwise be rounds times partitions.
     """
     from pyspark import StorageLevel
     work_dir(df.sparkSession)
+    if merge:
+        return df.checkpoint(eager=True)
     held = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return held.checkpoint(eager=True)

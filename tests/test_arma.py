@@ -124,3 +124,23 @@ def test_css_grams_equal_the_recurrence():
     rows = [arma.gram(u[a:a + 250], xb[a:a + 250], a, theta) for a in range(0, 900, 250)]
     a, b = arma.css_step(rows)
     assert np.allclose(a, j.T @ j, rtol=1e-9) and np.allclose(b, -j.T @ e, rtol=1e-9)
+
+
+def test_passes_do_not_deal_a_few_series_over_all_shuffle_partitions(spark):
+    """A pass over a few short series is a few tasks, however many partitions a shuffle has; ended series do not pile up as empty parts."""
+    df = frame(spark, {k: simulate(*SERIES[k]) for k in ("short", "near")})
+    sc, before, group = spark.sparkContext, spark.conf.get("spark.sql.shuffle.partitions"), "arma-passes"
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    sc.setJobGroup(group, group)
+    try:
+        fits = arma.arma11_likelihood(df, ["k"], "idx", "v", block=500)
+        passes = max(r.passes for r in fits.collect())
+        steps = arma11_forecast(df, "k", "idx", "v", days=1, method="css").collect()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(steps) == 4 and passes > 2 and fits.rdd.getNumPartitions() <= 16
+    tracker = sc.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    ran = [tracker.getStageInfo(s) for s in stages]
+    assert max(s.numTasks for s in ran if s is not None and s.numCompletedTasks) < 64
