@@ -242,11 +242,11 @@ def one_class_fit(series: DataFrame, key: str | Sequence[str], value: str, nu: f
     if not 0 < nu <= 1:
         raise ValueError("nu must be in (0, 1]")
     keys = _keys(key)
-    counts = materialize(_values(series, keys, value))
+    counts = materialize(_values(series, keys, value), merge=True)
     sums = counts.groupBy(*keys).agg(F.sum("_w").alias("_n"), F.sum(F.col("_w") * F.col("_v")).alias("_s"), F.count(F.lit(1)).alias("_values"))
     sums = sums.withColumn("_mean", F.col("_s") / F.col("_n")).drop("_s")
     spread = counts.join(sums, keys).groupBy(*keys, "_n", "_values", "_mean").agg((F.sum(F.col("_w") * F.pow(F.col("_v") - F.col("_mean"), 2)) / F.first("_n")).alias("_var"))
-    stats = materialize(spread.withColumn("_g", F.when(F.col("_var") > 0, 1 / F.col("_var")).otherwise(F.lit(1.0))).drop("_var"))
+    stats = materialize(spread.withColumn("_g", F.when(F.col("_var") > 0, 1 / F.col("_var")).otherwise(F.lit(1.0))).drop("_var"), merge=True)
     located = (counts.join(stats, keys).withColumn("_u", F.sqrt("_g") * (F.col("_v") - F.col("_mean")))
                .withColumn("_cell", F.floor(F.col("_u") * PER_WIDTH)))
     single = F.col("_values") <= DIRECT
@@ -283,23 +283,28 @@ def one_class_fit(series: DataFrame, key: str | Sequence[str], value: str, nu: f
                    at_bound=int(mass[a >= mass].sum()), _zones=[{"cell": int(c), "lo": x, "hi": y} for c, x, y in zip(pdf["_cell"][cut], lo[cut], hi[cut])])
         return pd.DataFrame([row], columns=names)
 
-    ship_package(series.sparkSession)
-    models = None
+    spark = series.sparkSession
+    ship_package(spark)
+    models, unsolved, most = None, stats.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
     while True:
-        solved = materialize(pending.groupBy(*keys).applyInPandas(solve, schema))
-        done = solved.filter(F.size("_zones") == 0).drop("_zones")
-        models = done if models is None else models.unionByName(done)
+        # a solve takes long for its few atoms: dealt by series, not merged by size
+        dealt = pending.repartition(max(1, min(unsolved, most)), *keys)
+        solved = materialize(dealt.groupBy(*keys).applyInPandas(solve, schema), merge=True)
+        ended, unsolved = solved.agg(F.count_if(F.size("_zones") == 0), F.count_if(F.size("_zones") > 0)).first()
+        if ended or models is None:
+            done = solved.filter(F.size("_zones") == 0).drop("_zones")
+            models = done if models is None else models.unionByName(done)
+        if not unsolved:
+            return models
         zones = solved.filter(F.size("_zones") > 0).select(*keys, F.explode("_zones").alias("_z")).select(
             *keys, F.col("_z.cell").alias("_cell"), F.col("_z.lo").alias("_lo"), F.col("_z.hi").alias("_hi"))
-        if zones.isEmpty():
-            return models
         inside = located.join(zones, [*keys, "_cell"]).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
         part = F.least(F.lit(SPLIT - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * SPLIT))
         parts = _atoms_of(inside.withColumn("_part", part).withColumnRenamed("_lo", "_zlo").withColumnRenamed("_hi", "_zhi"), [*keys, "_cell", "_zlo", "_part"],
                           F.expr(f"sqrt(_g) * (_zlo + (_part + 0.5) / {SPLIT} * (_zhi - _zlo) - _mean)"), [])
         open_keys = zones.select(*keys).distinct()
         kept = pending.join(open_keys, keys, "left_semi").join(zones.drop("_cell"), [*keys, "_lo", "_hi"], "left_anti")
-        pending = materialize(kept.unionByName(parts.drop("_zlo", "_part").join(stats, keys)))
+        pending = materialize(kept.unionByName(parts.drop("_zlo", "_part").join(stats, keys)), merge=True)
 
 
 def one_class_score(series: DataFrame, model: DataFrame, key: str | Sequence[str], value: str,

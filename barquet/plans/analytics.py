@@ -32,11 +32,11 @@ def analyze_series(series: DataFrame, days: int, nu: float, key: str | Sequence[
     keys = [key] if isinstance(key, str) else list(key)
     # the forecast, the anomaly model and the chart each read the series:
     # write its three columns once instead of recomputing whatever produced it
-    series = materialize(series.select(*keys, idx, value))
+    series = materialize(series.select(*keys, idx, value), merge=True)
     # the forecast and the one-class model each feed two outputs; both are
     # small (days + 1 rows, one row per series): write them once
-    fc = materialize(arma11_forecast(series, key, idx, value, days, method=method))
-    model = materialize(one_class_fit(series, key, value, nu))
+    fc = materialize(arma11_forecast(series, key, idx, value, days, method=method), merge=True)
+    model = materialize(one_class_fit(series, key, value, nu), merge=True)
     scored = one_class_score(series, model, key, value)
     return {
         "forecast": forecast_only(fc, key, idx),

@@ -90,3 +90,22 @@ def test_one_series_is_spread_over_all_tasks(spark):
     finally:
         anomaly._atoms_of = real
     assert model.n == 20000 and max(seen) < 700 and sum(seen) < 2500
+
+
+def test_rounds_do_not_pile_up_empty_parts(spark, table):
+    """A round over a few series is a few tasks, however many partitions a shuffle has, and what rounds leave is not added up over them."""
+    sc, before, group = spark.sparkContext, spark.conf.get("spark.sql.shuffle.partitions"), "one-class-rounds"
+    table.count()
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    sc.setJobGroup(group, group)
+    try:
+        model = one_class_fit(table, "k", "x", 0.05)
+        assert {r.k for r in model.collect()} == {"norm", "outlier", "mixed", "short", "constant"}
+        assert model.rdd.getNumPartitions() <= 25
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    tracker = sc.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    ran = [tracker.getStageInfo(s) for s in stages]
+    assert max(s.numTasks for s in ran if s is not None and s.numCompletedTasks) < 64
