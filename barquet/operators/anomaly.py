@@ -250,8 +250,8 @@ def one_class_fit(series: DataFrame, key: str | Sequence[str], value: str, nu: f
     located = (counts.join(stats, keys).withColumn("_u", F.sqrt("_g") * (F.col("_v") - F.col("_mean")))
                .withColumn("_cell", F.floor(F.col("_u") * PER_WIDTH)))
     single = F.col("_values") <= DIRECT
-    pending = _atoms_of(located.withColumn("_own", F.when(single, F.col("_v"))), [*keys, "_cell", "_own"],
-                        F.when(single, F.col("_u")).otherwise((F.col("_cell") + 0.5) / PER_WIDTH), []).drop("_own").join(stats, keys)
+    pending = materialize(_atoms_of(located.withColumn("_own", F.when(single, F.col("_v"))), [*keys, "_cell", "_own"],
+                                    F.when(single, F.col("_u")).otherwise((F.col("_cell") + 0.5) / PER_WIDTH), []).drop("_own").join(stats, keys), merge=True)
     key_fields = [f for f in series.schema.fields if f.name in keys]
     cell = StructType([StructField(x, DoubleType()) for x in ("at", "lo", "hi", "weight")] + [StructField("coefs", ArrayType(DoubleType()))])
     zone = StructType([StructField("cell", LongType()), StructField("lo", DoubleType()), StructField("hi", DoubleType())])
