@@ -59,3 +59,37 @@ def test_pages_are_left_out_by_their_bounds():
     r, ids, s = again.search(space, np.array([-1]), q, np.array([-np.inf]), pivot, 5)
     want = np.sort(x @ q[0])[::-1][:5]
     assert np.array_equal(np.sort(s)[::-1], want)
+
+
+def test_queries_travel_once_a_group_of_trees(spark, monkeypatch):
+    """Vectors without clusters: bounds leave out next to nothing, so every query has to be compared with every part."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1600, 64))
+    rows = [(i, [float(np.float32(v)) for v in r]) for i, r in enumerate(x / np.linalg.norm(x, axis=1)[:, None])]
+    made, real = [], mtree.in_arrow
+    monkeypatch.setattr(mtree, "in_arrow", lambda *a: made.append(real(*a)) or made[-1])
+    monkeypatch.setattr(mtree, "LEAST_PART", 8)
+    assert found(spark, rows) == brute(rows)
+    # the last is what the second pass sends: not 32 queries to each of over 64 parts
+    assert made[-1].count() <= int(spark.conf.get("spark.sql.shuffle.partitions")) ** 2
+
+
+def test_components_beyond_short_numbers_and_floats(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=5) * rng.choice([1, 1e4])]) for i in range(260)]
+    rows += [(1000 + 50 * i, [0.0] * 5) for i in range(2)] + [(300, [1.0, 2.0]), (350, [])]
+    assert found(spark, rows) == brute(rows)
+
+
+def test_trees_share_the_best_and_ties_go_to_the_smaller_id():
+    rng = np.random.default_rng(6)
+    x = np.concatenate([np.floor(256 * rng.normal(size=(300, 16))), np.zeros((300, 16)) + 700.0])
+    ids = rng.permutation(600)
+    space = mtree.Space(16, float((x * x).sum(1).max()))
+    pivot = space.lift(x[:1])[0]
+    q, q_ids, best = x[::40], ids[::40], mtree.Best(np.full(15, -np.inf), 5)
+    for own in np.array_split(rng.permutation(600), 4):
+        mtree.Tree.unpack(mtree.Tree.build(ids[own], x[own], space, pivot).pack()).improve(space, q_ids, q, best, pivot, np.arange(15))
+    r, i, s = best.hits()
+    want = [sorted((-int(q[n] @ v), int(j)) for j, v in zip(ids, x) if j != q_ids[n])[:5] for n in range(15)]
+    assert [[(-int(b), int(a)) for a, b in zip(i[r == n], s[r == n])] for n in range(15)] == want
