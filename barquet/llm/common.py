@@ -40,11 +40,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle(df: DataFrame, *parts: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared work folder and read back: lineage ends there."""
+#: Whether Spark (4.1 on) removes the shuffle files of an execution at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settle(df: DataFrame, *parts: str, free: bool = False) -> DataFrame:
+    """``df`` written once as Parquet in the shared work folder and read back: lineage ends there.
+
+    ``free``: the shuffle files that led to it go at once, not when the driver
+    happens to collect its garbage.
+    """
     spark = df.sparkSession
     path = work_dir(spark, "llm", *parts)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    if free:
+        spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if free:
+            spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

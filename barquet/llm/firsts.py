@@ -48,17 +48,17 @@ def buckets(spark) -> int:
     return 2 * partitions(spark)
 
 
-def hops(n: int) -> int:
-    """Stages in which a record reaches one of n buckets."""
+def hops(n: int, fan: int | None = None) -> int:
+    """Stages in which a record reaches one of n buckets, with ``fan`` cells a sender at most (FAN if not given)."""
     k = 1
-    while FAN ** k < n:
+    while (fan or FAN) ** k < n:
         k += 1
     return k
 
 
-def radix(n: int) -> int:
+def radix(n: int, fan: int | None = None) -> int:
     """Least number whose power ``hops(n)`` is n or more."""
-    k, r = hops(n), 1
+    k, r = hops(n, fan), 1
     while r ** k < n:
         r += 1
     return r
@@ -138,9 +138,9 @@ def _cells(kind: int, bucket: np.ndarray, arrays, head: bytes = b""):
          pa.array([head + pack(*[a[s:e] for a in arrays]) for s, e in zip(cuts, cuts[1:])], pa.binary())], ["bucket", "kind", "cell"])
 
 
-def _dealt(n: int, kind: int, target: np.ndarray, arrays, done: int):
+def _dealt(n: int, kind: int, target: np.ndarray, arrays, done: int, fan: int | None = None):
     """Cells whose address has one digit of the target more than the ``done`` ones; on the way the sender's own number fills the rest."""
-    k, r = hops(n), radix(n)
+    k, r = hops(n, fan), radix(n, fan)
     if done + 1 == k:
         yield from _cells(kind, target, arrays)
         return
@@ -150,12 +150,12 @@ def _dealt(n: int, kind: int, target: np.ndarray, arrays, done: int):
     yield from _cells(kind + HOP * (done + 1), target // rest * rest + lane, [np.asarray(target).astype(np.uint32), *arrays], head)
 
 
-def cells(n: int, kind: int, bucket: np.ndarray, *arrays: np.ndarray):
-    """The records on their way to their buckets, of which there are n. Read them behind :func:`routed`."""
-    yield from _dealt(n, kind, bucket, arrays, 0)
+def cells(n: int, kind: int, bucket: np.ndarray, *arrays: np.ndarray, fan: int | None = None):
+    """The records on their way to their buckets, of which there are n. Read them behind :func:`routed` with the same ``fan``."""
+    yield from _dealt(n, kind, bucket, arrays, 0, fan)
 
 
-def routed(dealt: DataFrame, n: int) -> DataFrame:
+def routed(dealt: DataFrame, n: int, fan: int | None = None) -> DataFrame:
     """Cells at their buckets: the stages that are left for :func:`cells` of n buckets."""
     def stage(done: int):
         def run(table: pa.Table) -> pa.Table:
@@ -167,10 +167,10 @@ def routed(dealt: DataFrame, n: int) -> DataFrame:
                     widths = given[i][1:1 + given[i][0]]
                     parts.append(unpack(given[i][1 + given[i][0]:], np.uint32, *[f"V{w}" for w in widths]))
                 target, *arrays = (np.concatenate(x) for x in zip(*parts))
-                out += _dealt(n, int(kind) % HOP, target.astype(np.int64), arrays, done)
+                out += _dealt(n, int(kind) % HOP, target.astype(np.int64), arrays, done, fan)
             return joined(out, table, *range(HOP))
         return run
-    for done in range(1, hops(n)):
+    for done in range(1, hops(n, fan)):
         dealt = dealt.groupBy("bucket").applyInArrow(of_group(stage(done)), CELLS)
     return dealt
 
@@ -230,7 +230,7 @@ def merged(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return row[at], start[at], e[last] - shift[at]
 
 
-def reduce_firsts(exchanged: DataFrame, n: int, length: int, within: bool) -> DataFrame:
+def reduce_firsts(exchanged: DataFrame, n: int, length: int, within: bool, fan: int | None = None) -> DataFrame:
     """Cells of keyed records -> cells of spans [position, position + length) of later occurrences, by document bucket."""
     ship_package(exchanged.sparkSession)
 
@@ -239,10 +239,10 @@ def reduce_firsts(exchanged: DataFrame, n: int, length: int, within: bool) -> Da
         order, _, is_later = later(h1, h2, kid, tag, pos, within)
         own = order[is_later]
         own = own[np.lexsort((pos[own], tag[own], kid[own]))]
-        out = list(cells(n, FOUND, home(kid[own], tag[own], n), kid[own], tag[own], pos[own], pos[own] + length))
+        out = list(cells(n, FOUND, home(kid[own], tag[own], n), kid[own], tag[own], pos[own], pos[own] + length, fan=fan))
         return joined(out, table, FOUND)
 
-    return routed(routed(exchanged, n).groupBy("bucket").applyInArrow(of_group(run), CELLS), n)
+    return routed(routed(exchanged, n, fan).groupBy("bucket").applyInArrow(of_group(run), CELLS), n, fan)
 
 
 class Rows:

@@ -36,13 +36,17 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from barquet.llm.common import BYTE_CODE, RangeHash, in_arrow, mix64, of_cogroup, of_group, of_task, pick, texts_of
-from barquet.llm.firsts import (CELLS, FOUND, KEYS, SPANS, PackedRows, buckets, cells, doc_cells, home, joined, merged, names_of, read_cells, reduce_firsts, repeated_ids,
+from barquet.llm.common import BYTE_CODE, RangeHash, in_arrow, mix64, of_cogroup, of_group, of_task, pick, settle, texts_of
+from barquet.llm.firsts import (CELLS, FOUND, KEYS, SPANS, PackedRows, buckets, cells, doc_cells, home, hops, joined, merged, names_of, read_cells, reduce_firsts, repeated_ids,
                                 routed, runs, slices)
 from barquet.session import ship_package
 
 THRESHOLD, DIGIT = 50, 20
+#: Bytes of text for each pair of buckets from which on records go straight to their buckets: with some 60 records
+#: a cell, cells don't outweigh the records, and each further stage of routing would write all of them once more.
+DIRECT = 1024
 CHUNK = 1 << 18  # windows handled at once: arrays of this length stay in cache
 #: Record layout of minimizer occurrences: digit (40 bits), reach (48 bits), kid, tag, position.
 DIGITS = (np.uint32, np.uint8, np.uint32, np.uint16, np.int64, np.int64, np.uint32)
@@ -123,7 +127,7 @@ def classes(digit, reach, kid):
     return order, repeat, mixed, group
 
 
-def _scan(n: int, threshold: int, digit: int, tags: bool):
+def _scan(n: int, fan: int | None, threshold: int, digit: int, tags: bool):
     """First digits of a task's texts, combined; reaches already known to be repeats or to need sorting go home at once."""
     def run(batches):
         for batch in (part for whole in batches for part in slices(whole)):
@@ -137,7 +141,7 @@ def _scan(n: int, threshold: int, digit: int, tags: bool):
             what = np.where(repeat[known], COVERED, PROBE).astype(np.uint8)
             by = np.lexsort((pos[own], d[own]))
             own, what = own[by], what[by]
-            yield from cells(n, REACHED, home(kid[d[own]], tag[d[own]], n), kid[d[own]], tag[d[own]], pos[own], what)
+            yield from cells(n, REACHED, home(kid[d[own]], tag[d[own]], n), kid[d[own]], tag[d[own]], pos[own], what, fan=fan)
             # one record for a digit with several reaches here, every other first occurrence as it is
             lone = np.sort(order[~known])
             several = order[np.unique(group[mixed])] if mixed.any() else np.zeros(0, np.int64)
@@ -147,11 +151,11 @@ def _scan(n: int, threshold: int, digit: int, tags: bool):
             ks[len(lone):] = -1 << 63  # other than every document
             yield from cells(n, KEYS, (gs % np.uint64(n)).astype(np.int64), (gs & np.uint64(0xFFFFFFFF)).astype(np.uint32), (gs >> np.uint64(32)).astype(np.uint8),
                              (reach & np.uint64(0xFFFFFFFF)).astype(np.uint32), (reach >> np.uint64(32)).astype(np.uint16),
-                             ks, ts, pos[send].astype(np.uint32))
+                             ks, ts, pos[send].astype(np.uint32), fan=fan)
     return run
 
 
-def _by_digit(n: int):
+def _by_digit(n: int, fan: int | None):
     """All tasks' records of a digit: repeats of a smaller id's reach, and first occurrences whose digit has other reaches."""
     def run(table: pa.Table) -> pa.Table:
         g0, g1, r0, r1, kid, tag, pos = read_cells(table, KEYS, DIGITS)
@@ -163,7 +167,7 @@ def _by_digit(n: int):
         what = np.where(repeat[known], COVERED, PROBE).astype(np.uint8)
         by = np.lexsort((pos[own], tag[own], kid[own]))
         own, what = own[by], what[by]
-        out = list(cells(n, REACHED, home(kid[own], tag[own], n), kid[own], tag[own], pos[own].astype(np.int64), what))
+        out = list(cells(n, REACHED, home(kid[own], tag[own], n), kid[own], tag[own], pos[own].astype(np.int64), what, fan=fan))
         return joined(out, table, REACHED)
     return run
 
@@ -215,7 +219,7 @@ def range_hashes(data, offsets, row, start, end, code=BYTE_CODE) -> np.ndarray:
     return out
 
 
-def _lengthen(n: int, threshold: int, digit: int):
+def _lengthen(n: int, fan: int | None, threshold: int, digit: int):
     """Whole repeats become spans; for undecided reaches, their two second digits go out."""
     more = -(-(threshold - digit) // 2)
 
@@ -226,7 +230,7 @@ def _lengthen(n: int, threshold: int, digit: int):
         size = offsets[row + 1] - offsets[row]
         cover = what == COVERED
         r, s, e = merged(row[cover], np.maximum(pos - (threshold - digit), 0)[cover], np.minimum(pos + threshold, size)[cover])
-        out = list(cells(n, FOUND, home(rows.kid[r], rows.tag[r], n), rows.kid[r], rows.tag[r], s, e))
+        out = list(cells(n, FOUND, home(rows.kid[r], rows.tag[r], n), rows.kid[r], rows.tag[r], s, e, fan=fan))
         keys = []
         for side, (a, b) in ((LEFT, (pos - more, pos + digit)), (RIGHT, (pos, pos + digit + more))):
             ok = np.flatnonzero(~cover & (a >= 0) & (b <= size))
@@ -236,30 +240,30 @@ def _lengthen(n: int, threshold: int, digit: int):
         order, _, mixed, group = classes(key, k.astype(np.uint64), k)
         alive = order[mixed]
         alive = alive[np.lexsort((p[alive], r[alive]))]
-        out += cells(n, REACHED, home(k[alive], t[alive], n), k[alive], t[alive], p[alive], side[alive])
+        out += cells(n, REACHED, home(k[alive], t[alive], n), k[alive], t[alive], p[alive], side[alive], fan=fan)
         lone = np.sort(order[~mixed])
         several = order[np.unique(group[mixed])] if mixed.any() else np.zeros(0, np.int64)
         send = np.concatenate([lone, several])
         k = k[send]
         k[len(lone):] = -1 << 63  # other than every document
-        out += cells(n, KEYS, (key[send] % np.uint64(n)).astype(np.int64), key[send], k, t[send], p[send].astype(np.uint32), side[send])
+        out += cells(n, KEYS, (key[send] % np.uint64(n)).astype(np.int64), key[send], k, t[send], p[send].astype(np.uint32), side[send], fan=fan)
         return joined(out, found, FOUND)
     return run
 
 
-def _by_key(n: int):
+def _by_key(n: int, fan: int | None):
     """Occurrences whose second digit another document has, too."""
     def run(table: pa.Table) -> pa.Table:
         key, kid, tag, pos, side = read_cells(table, KEYS, SECOND)
         order, _, mixed, _ = classes(key, kid.astype(np.uint64), kid)
         own = order[mixed & (kid[order] != -1 << 63)]
         own = own[np.lexsort((pos[own], tag[own], kid[own]))]
-        out = list(cells(n, REACHED, home(kid[own], tag[own], n), kid[own], tag[own], pos[own].astype(np.int64), side[own]))
+        out = list(cells(n, REACHED, home(kid[own], tag[own], n), kid[own], tag[own], pos[own].astype(np.int64), side[own], fan=fan))
         return joined(out, table, FOUND, REACHED)
     return run
 
 
-def _windows(n: int, threshold: int, digit: int):
+def _windows(n: int, fan: int | None, threshold: int, digit: int):
     """Sort the windows around what is left: a task's own repeats are found by bytes, its first windows go out by digest."""
     code = mix64(BYTE_CODE + np.uint64(0x5851F42D4C957F2D))
 
@@ -292,11 +296,11 @@ def _windows(n: int, threshold: int, digit: int):
         repeat[order] = (k[order] > k[order][first]) & (group[order] >= 0)
         out = []
         row, start, end = merged(r[repeat], s[repeat], s[repeat] + threshold)
-        out += cells(n, FOUND, home(rows.kid[row], rows.tag[row], n), rows.kid[row], rows.tag[row], start, end)
+        out += cells(n, FOUND, home(rows.kid[row], rows.tag[row], n), rows.kid[row], rows.tag[row], start, end, fan=fan)
         f = np.flatnonzero(~repeat)
         h1 = range_hashes(data, offsets, r[f], s[f], s[f] + threshold)
         h2 = range_hashes(data, offsets, r[f], s[f], s[f] + threshold, code)
-        out += cells(n, KEYS, (h1 % np.uint64(n)).astype(np.int64), h1, h2.astype(np.uint32), rows.kid[r[f]], rows.tag[r[f]], s[f])
+        out += cells(n, KEYS, (h1 % np.uint64(n)).astype(np.int64), h1, h2.astype(np.uint32), rows.kid[r[f]], rows.tag[r[f]], s[f], fan=fan)
         return joined(out, found, FOUND)
     return run
 
@@ -324,6 +328,14 @@ def _cut(texts: bool):
     return run
 
 
+def fan_of(docs: DataFrame, n: int) -> int | None:
+    """Cells of a kind that a sender makes at most: one for each of the n buckets if the texts fill them, else the default."""
+    if hops(n) == 1:
+        return None
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return n if size >= DIRECT * n * n else None
+
+
 def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIGIT, texts: bool = False) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and, with ``texts``, the kept bytes and removed spans).
 
@@ -337,12 +349,14 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIG
     n = buckets(spark)
     plain = pick(docs, "doc_id", "text")
     tags = repeated_ids(plain)
-    own = doc_cells(plain, n, tags)  # one exchange serves the three reads below
-    digits = routed(in_arrow(plain, of_task(_scan(n, threshold, digit, tags)), CELLS), n)
-    reaches = routed(digits.groupBy("bucket").applyInArrow(of_group(_by_digit(n)), CELLS), n)
-    longer = routed(own.groupBy("bucket").cogroup(reaches.groupBy("bucket")).applyInArrow(of_cogroup(_lengthen(n, threshold, digit)), CELLS), n)
-    alive = routed(longer.groupBy("bucket").applyInArrow(of_group(_by_key(n)), CELLS), n)
-    windows = own.groupBy("bucket").cogroup(alive.groupBy("bucket")).applyInArrow(of_cogroup(_windows(n, threshold, digit)), CELLS)
-    spans = reduce_firsts(windows, n, threshold, within=False)
+    # Each step is written before the next begins: its shuffle files go then, and the packed texts, computed
+    # again where they are needed, are on disk only with one step's records.
+    fan, own = fan_of(plain, n), doc_cells(plain, n, tags).groupBy("bucket")
+    digits = routed(in_arrow(plain, of_task(_scan(n, fan, threshold, digit, tags)), CELLS), n, fan)
+    reaches = routed(settle(digits.groupBy("bucket").applyInArrow(of_group(_by_digit(n, fan)), CELLS), "repeats", free=True), n, fan)
+    longer = routed(own.cogroup(reaches.groupBy("bucket")).applyInArrow(of_cogroup(_lengthen(n, fan, threshold, digit)), CELLS), n, fan)
+    alive = routed(settle(longer.groupBy("bucket").applyInArrow(of_group(_by_key(n, fan)), CELLS), "repeats", free=True), n, fan)
+    windows = own.cogroup(alive.groupBy("bucket")).applyInArrow(of_cogroup(_windows(n, fan, threshold, digit)), CELLS)
+    spans = settle(reduce_firsts(windows, n, threshold, within=False, fan=fan), "repeats", free=True)
     kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary, spans array<array<bigint>>" if texts else "")
-    return own.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(of_cogroup(_cut(texts)), kind)
+    return own.cogroup(spans.groupBy("bucket")).applyInArrow(of_cogroup(_cut(texts)), kind)

@@ -1,9 +1,11 @@
+import os
 import random
 
 import brute
 import pytest
 
-from barquet.llm import repeats
+from barquet.llm import firsts, repeats
+from barquet.llm.common import CLEANUP, pick, settle
 
 
 def check(docs, rows, **k):
@@ -47,3 +49,32 @@ def test_empty_table_and_bad_threshold(make_docs):
     assert repeats.remove_repeats(make_docs([])).collect() == []
     with pytest.raises(ValueError):
         repeats.remove_repeats(make_docs([]), threshold=20, digit=20)
+
+
+def shuffles_on_disk(spark):
+    """Numbers of the shuffles that have files."""
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {f.split("_")[1] for d in dirs for _, _, names in os.walk(d.getPath()) for f in names if f.startswith("shuffle_") and f.endswith(".data")}
+
+
+def test_a_step_leaves_no_shuffle_files_to_the_next(spark, make_docs, odd_rows):
+    docs = settle(pick(make_docs(odd_rows), "doc_id", "text"))
+    before = shuffles_on_disk(spark)
+    made = repeats.remove_repeats(docs)
+    tagging = shuffles_on_disk(spark) - before  # what finds out whether ids repeat
+    made.write.format("noop").mode("overwrite").save()
+    assert len(tagging) <= 2 and len(shuffles_on_disk(spark) - before - tagging) <= 2  # the texts and the spans
+    assert spark.conf.get(CLEANUP) == "false"
+
+
+@pytest.mark.parametrize("least, stages", [(0, 1), (repeats.DIRECT, 2)])
+def test_records_go_straight_to_their_buckets_where_texts_fill_the_cells(spark, make_docs, odd_rows, monkeypatch, least, stages):
+    monkeypatch.setattr(repeats, "DIRECT", least)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "150")
+    try:
+        docs = make_docs(odd_rows)
+        assert firsts.hops(300) == 2 and firsts.hops(300, repeats.fan_of(pick(docs, "text"), 300)) == stages
+        check(docs, odd_rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
